@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.geometry import corners, fields, has_area, iou
@@ -98,35 +99,84 @@ def overlapping_pairs(
         pairs = pairs.withColumn("iou", overlap)
         return pairs.where(F.col("iou") > min_iou if strict else F.col("iou") >= min_iou)
 
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        # a merge join leaves rows partitioned by the keys, which the walk then reuses
+        return _renamed(a, keys, "l_").join(_renamed(b, keys, "r_").hint("merge"), list(keys))
+
     if hot is None:
-        return finish(_renamed(left, keys, "l_").join(_renamed(right, keys, "r_"), list(keys))), None
+        return finish(joined(left, right)), None
     calm_l, calm_r = left.join(hot, list(keys), "left_anti"), right.join(hot, list(keys), "left_anti")
     warm_l, warm_r = left.join(hot, list(keys), "left_semi"), right.join(hot, list(keys), "left_semi")
-    calm = finish(_renamed(calm_l, keys, "l_").join(_renamed(calm_r, keys, "r_"), list(keys)))
+    calm = finish(joined(calm_l, calm_r))
     warm = finish(_gridded(_renamed(warm_l, keys, "l_"), _renamed(warm_r, keys, "r_"), keys, min_iou))
     return calm, warm
 
 
-def _walk_small(pairs: DataFrame, keys: Sequence[str], l: str, r: str, order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
+@dataclass(frozen=True)
+class Levels:
+    """Several thresholds judged over the same pairs.
+
+    ``steps`` maps the emitted value to its bound; ``passes(get, bound)`` tests one
+    pair, reading its columns through ``get``. Columns it reads must be in ``keep``.
+    """
+
+    name: str
+    steps: Sequence[tuple[object, float]]
+    passes: Callable[[Callable[[str], Column], Column], Column]
+
+
+def _test(levels: Levels, bound: float) -> Callable[[Column], Column]:
+    return lambda entry: levels.passes(lambda c: entry[c], F.lit(bound))
+
+
+def _walk(entries: Column) -> Column:
+    """Take each entry, in order, whose two ends are free."""
+
+    def taken(pairs: Column) -> Column:
+        folded = F.aggregate(
+            pairs,
+            F.slice(pairs, 1, 0),
+            lambda acc, e: F.when(
+                F.exists(acc, lambda m: (m["_l"] == e["_l"]) | (m["_r"] == e["_r"])), acc
+            ).otherwise(F.concat(acc, F.array(e))),
+        )
+        return F.when(F.size(pairs) <= 1, pairs).otherwise(folded)
+
+    # binding the array to a lambda variable evaluates it once
+    return F.transform(F.array(entries), taken)[0]
+
+
+def _walk_small(
+    pairs: DataFrame, keys: Sequence[str], l: str, r: str, order: Sequence[Column], keep: Sequence[str], levels: Levels | None
+) -> DataFrame:
     entry = F.struct(
         *[o.alias(f"_o{i}") for i, o in enumerate(order)],
         F.col(l).alias("_l"), F.col(r).alias("_r"), *[F.col(c) for c in keep],
     )
-    taken = F.aggregate(
-        "_pairs",
-        F.filter("_pairs", lambda _: F.lit(False)),
-        lambda acc, e: F.when(
-            F.exists(acc, lambda m: (m["_l"] == e["_l"]) | (m["_r"] == e["_r"])), acc
-        ).otherwise(F.concat(acc, F.array(e))),
-    )
+    grouped = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_pairs"))
+    out = [F.col("_m._l").alias(l), F.col("_m._r").alias(r), *[F.col(f"_m.{c}").alias(c) for c in keep]]
+    if levels is None:
+        return grouped.select(*keys, F.explode(_walk(F.col("_pairs"))).alias("_m")).select(*keys, *out)
+    each = F.array(*[
+        F.struct(
+            F.lit(value).alias(levels.name),
+            _walk(F.filter("_pairs", _test(levels, bound))).alias("_ms"),
+        )
+        for value, bound in levels.steps
+    ])
     return (
-        pairs.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(entry)).alias("_pairs"))
-        .select(*keys, F.explode(taken).alias("_m"))
-        .select(*keys, F.col("_m._l").alias(l), F.col("_m._r").alias(r), *[F.col(f"_m.{c}").alias(c) for c in keep])
+        grouped.select(*keys, F.explode(each).alias("_e"))
+        .select(*keys, F.col(f"_e.{levels.name}").alias(levels.name), F.explode("_e._ms").alias("_m"))
+        .select(*keys, levels.name, *out)
     )
 
 
+def _at_levels(pairs: DataFrame, levels: Levels) -> DataFrame:
+    steps = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(b).alias("bound")) for v, b in levels.steps])
+    passed = F.filter(steps, lambda s: levels.passes(F.col, s["bound"]))
+    return pairs.select("*", F.explode(F.transform(passed, lambda s: s["value"])).alias(levels.name))
+
+
 def _walk_rounds(pairs: DataFrame, keys: Sequence[str], l: str, r: str, order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
     names = [f"_o{i}" for i in range(len(order))]
     left_edges = materialize(pairs.select(*keys, l, r, *[o.alias(n) for o, n in zip(order, names)], *[c for c in keep]))
@@ -162,11 +212,15 @@ def greedy_match(
     r: str,
     order: Sequence[Column],
     keep: Sequence[str] = (),
+    levels: Levels | None = None,
 ) -> DataFrame:
     """Walk pairs in ascending ``order`` and take each one whose two ends are free."""
-    matched = _walk_small(calm, keys, l, r, order, keep)
+    matched = _walk_small(calm, keys, l, r, order, keep, levels)
     if warm is not None:
-        matched = matched.unionByName(_walk_rounds(warm, keys, l, r, order, keep))
+        warm_keys = list(keys)
+        if levels is not None:
+            warm, warm_keys = _at_levels(warm, levels), [*keys, levels.name]
+        matched = matched.unionByName(_walk_rounds(warm, warm_keys, l, r, order, keep))
     return matched
 
 
@@ -179,16 +233,17 @@ def match_boxes(
     min_iou: float,
     order: Sequence[Column],
     keep: Sequence[str] = (),
-    where: Column | None = None,
-    split: Callable[[DataFrame], DataFrame] | None = None,
-    extra_keys: Sequence[str] = (),
+    levels: Levels | None = None,
+    candidate: str | None = None,
     limit: int = FOLD_BOXES,
 ) -> DataFrame:
-    """Pairs, optional fan-out of the pairs over ``extra_keys``, then the greedy walk."""
-    calm, warm = overlapping_pairs(left, right, keys, min_iou, where=where, limit=limit)
-    if split is not None:
-        calm, warm = split(calm), None if warm is None else split(warm)
-    return greedy_match(calm, warm, [*keys, *extra_keys], l, r, order, keep)
+    """Pairs and then the greedy walk; ``candidate`` names a prefixed column that splits the groups further."""
+    calm, warm = overlapping_pairs(left, right, keys, min_iou, limit=limit)
+    if candidate is not None:
+        calm = calm.withColumnRenamed(candidate, "candidate")
+        warm = None if warm is None else warm.withColumnRenamed(candidate, "candidate")
+        keys = [*keys, "candidate"]
+    return greedy_match(calm, warm, keys, l, r, order, keep, levels)
 
 
 def suppress(boxes: DataFrame, keys: Sequence[str], order: Sequence[Column], ident: str, max_iou: float, limit: int = FOLD_BOXES) -> DataFrame:
@@ -223,7 +278,7 @@ def suppress(boxes: DataFrame, keys: Sequence[str], order: Sequence[Column], ide
     entry = F.struct(*names, *[c for c in cols if c not in keys])
     out = (
         small.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(entry)).alias("_boxes"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("_boxes"))
         .select(*keys, F.explode(kept).alias("_k"))
         .select(*[F.col(c) if c in keys else F.col(f"_k.{c}").alias(c) for c in cols])
     )

@@ -88,6 +88,15 @@ FIXTURES: dict[str, str] = {
                CASE WHEN page_id % 5 = 0 THEN 'synth-scan' ELSE 'synth-clean' END AS dataset,
                CASE WHEN page_id % 3 = 0 THEN 'calib' ELSE 'test' END AS split
         FROM fx_box WHERE l_partkey % 11 <> 0""",
+    "fx_ref": """
+        SELECT ws, page_id, box_id AS det_id, class_id, label,
+               CAST((l_suppkey * 31 + l_partkey * 7) % 1000 AS DOUBLE) / 1000 AS score,
+               x1 + l_suppkey % 2 AS x1, y1, x2 + l_suppkey % 2 AS x2, y2,
+               CASE WHEN page_id % 5 = 0 THEN 'synth-scan' ELSE 'synth-clean' END AS dataset,
+               CASE WHEN page_id % 3 = 0 THEN 'calib' ELSE 'test' END AS split
+        FROM fx_box WHERE l_partkey % 7 <> 0""",
+    "fx_runs": """
+        SELECT 'candidate' AS candidate, * FROM fx_pred UNION ALL SELECT 'reference' AS candidate, * FROM fx_ref""",
     "fx_raw": "SELECT vec_id AS page_id, label AS tile_id, @posx(embedding) FROM embeddings",
     "fx_box_query": """
         SELECT page_id, tile_id, q,
