@@ -69,7 +69,7 @@ def batch_view(batches: DataFrame, releases: DataFrame, candidates: DataFrame, i
         F.sum((F.col("state") == s).cast("bigint")).alias(f"n_{s}") for s in ("queued", "running", "succeeded", "failed", "cancelled")
     ])
     out = batches.join(rel, ["ws", "release_id"]).join(name, ["ws", "candidate_id"], "left").join(shadow, ["ws", "shadow_candidate_id"], "left")
-    per_batch = counts.join(batch_timings(items), ["ws", "batch_id"], "left").withColumnRenamed("batch_id", "id")
+    per_batch = counts.join(batch_timings(items).drop("n_succeeded"), ["ws", "batch_id"], "left").withColumnRenamed("batch_id", "id")
     return out.join(per_batch, ["ws", "id"], "left").withColumn("candidate_name", F.coalesce("candidate_name", F.lit("unknown")))
 
 
