@@ -77,8 +77,7 @@ def _tiff_size(data: bytes) -> tuple[int, int] | None:
             at = start + 2 + 12 * n
             if at + 12 > len(data):
                 break
-            tag, kind = struct.unpack_from(order + "H", data, at)[0], data[at + 2]
-            kind = struct.unpack_from(order + "H", data, at + 2)[0]
+            tag, kind = struct.unpack_from(order + "HH", data, at)
             if tag in (256, 257) and tag not in found and kind in (3, 4):
                 found[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), data, at + 8)[0]
     except struct.error:

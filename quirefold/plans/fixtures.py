@@ -167,6 +167,17 @@ FIXTURES: dict[str, str] = {
                @sha(concat(lang, doc_id % 2)) AS manifest_hash, n_chars AS pages, doc_id % 2 = 0 AS synthetic,
                @plus_ms(TIMESTAMP '2024-01-01 00:00:00', doc_id * 60000) AS created_at
         FROM documents""",
+    "fx_annotation": """
+        SELECT concat('n', l_orderkey, '-', ((l_partkey * 100000 + l_suppkey) * 10 + l_linenumber) * 64 + CAST(l_quantity AS BIGINT)) AS id,
+               concat('w', l_orderkey % 4) AS ws, concat('d', (l_partkey % 50) * 4 + l_orderkey % 4) AS dataset_version_id,
+               concat('p', l_orderkey, '-', l_linenumber % 4) AS page_id,
+               CASE l_suppkey % 3 WHEN 0 THEN 'calib' WHEN 1 THEN 'test' ELSE 'bench' END AS split,
+               CASE l_partkey % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'picture' WHEN 2 THEN 'text' ELSE 'title' END AS class_name,
+               CASE l_partkey % 4 WHEN 0 THEN 8 WHEN 1 THEN 6 WHEN 2 THEN 9 ELSE 10 END AS class_id,
+               CAST((l_partkey * 7) % 500 AS DOUBLE) + l_tax AS x1, CAST((l_suppkey * 13) % 600 AS DOUBLE) + l_discount AS y1,
+               CAST((l_partkey * 7) % 500 AS DOUBLE) + 40 + l_quantity AS x2, CAST((l_suppkey * 13) % 600 AS DOUBLE) + 60 AS y2
+        FROM lineitem""",
+    "fx_canvas": "SELECT concat('w', o_orderkey % 4) AS ws, o_orderkey AS page_id, 560 AS width, 600 AS height FROM orders",
     # releases --------------------------------------------------------------------
     "fx_release": """
         SELECT concat('r', o_orderkey) AS id, concat('w', o_orderkey % 4) AS ws, concat('ch', o_orderkey % 48) AS channel_id,
