@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quirefold import constants as K
 from quirefold.operators.matching import FOLD_BOXES, overlapping_pairs
 from quirefold.operators.ordering import HOT_ROWS, position
+from quirefold.session import materialize
 
 # Lists are hashed in runs of this many entries, then the run digests are hashed, three
 # levels deep, so the content hash of a list of any length never gathers it in one place.
@@ -141,42 +142,65 @@ def gt_report(boxes: DataFrame, pages: DataFrame, issues: DataFrame) -> DataFram
     return p.join(b, "ws", "left").join(rules, "ws", "left").na.fill({"boxes": 0, "n_errors": 0}).withColumn("ok", F.col("n_errors") == 0)
 
 
-def _page_ink(raw: bytes, width: int, height: int, boxes: list, margin: int) -> list[tuple[str, int, float]]:
-    """Ink rules of one page image: boxes with too little ink, and core ink outside all boxes."""
+# Boxes judged beside one copy of a page image; a page with more is judged in slices.
+INK_SLICE = 1024
+
+
+def _words(mask: np.ndarray) -> list[int]:
+    """A pixel mask as 64-bit words."""
+    bits = np.packbits(mask.ravel())
+    return np.pad(bits, (0, -len(bits) % 8)).view(np.int64).tolist()
+
+
+def _slice_ink(raw: bytes, width: int, height: int, boxes: list, margin: int, lead: bool) -> tuple[list[tuple[int, float]], list[int], list[int]]:
+    """Boxes with too little ink, the pixels the boxes cover, and (for one slice of a page) its core ink."""
     ink = np.frombuffer(raw, np.uint8, count=width * height * 3).reshape(height, width, 3).mean(axis=2, dtype=np.float32) < K.INK_LEVEL
     covered = np.zeros_like(ink)
-    out = []
+    bare = []
     for b in boxes:
         if not (0 <= b["x1"] < b["x2"] <= width and 0 <= b["y1"] < b["y2"] <= height):
             continue
         cut = np.s_[int(np.floor(b["y1"])):int(np.ceil(b["y2"])), int(np.floor(b["x1"])):int(np.ceil(b["x2"]))]
         share = float(ink[cut].mean())
         if share < K.MIN_INK_FRACTION:
-            out.append(("no_ink", int(b["box_id"]), share))
+            bare.append((int(b["box_id"]), share))
         covered[cut] = True
-    core = np.s_[margin:max(margin, height - margin), margin:max(margin, width - margin)]
-    total = int(ink[core].sum())
-    if total and (share := int((ink[core] & covered[core]).sum()) / total) < K.MIN_INK_COVERAGE:
-        out.append(("ink_uncovered", -1, share))
-    return out
+    core = np.zeros_like(ink)
+    window = np.s_[margin:max(margin, height - margin), margin:max(margin, width - margin)]
+    core[window] = ink[window]
+    return bare, _words(covered & core), _words(core) if lead else []
 
 
-def gt_ink_issues(pages: DataFrame, boxes: DataFrame, margin: int = K.INK_MARGIN_PX) -> DataFrame:
+def gt_ink_issues(pages: DataFrame, boxes: DataFrame, margin: int = K.INK_MARGIN_PX, slice_boxes: int = INK_SLICE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Ink rules over raw RGB pages (``ws, page_id, width, height, rgb``).
 
-    The boxes of one image travel beside its pixels; images are judged in Arrow batches.
+    Images are judged in Arrow batches beside at most ``slice_boxes`` boxes each. What
+    the slices of a page cover is combined word by word, so a page may have any number
+    of boxes.
     """
     key = ["ws", "page_id"]
-    listed = boxes.groupBy(*key).agg(F.collect_list(F.struct("box_id", "x1", "y1", "x2", "y2")).alias("boxes"))
+    numbered = position(boxes, key, [F.col("box_id")], "_pos", hot_rows).withColumn("slice", F.floor((F.col("_pos") - 1) / slice_boxes))
+    listed = numbered.groupBy(*key, "slice").agg(F.collect_list(F.struct("box_id", "x1", "y1", "x2", "y2")).alias("boxes"))
     framed = pages.join(listed, key)
+    columns = ["ws", "page_id", "slice", "bare", "covered", "core"]
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (p.ws, p.page_id, rule, box, share)
+                (p.ws, p.page_id, p.slice, *_slice_ink(p.rgb, p.width, p.height, p.boxes, margin, p.slice == 0))
                 for p in batch.itertuples(index=False)
-                for rule, box, share in _page_ink(p.rgb, p.width, p.height, p.boxes, margin)
             ]
-            yield pd.DataFrame(rows, columns=["ws", "page_id", "rule", "box_id", "share"])
-
-    return framed.select(*key, "width", "height", "rgb", "boxes").mapInPandas(judge, "ws string, page_id bigint, rule string, box_id bigint, share double")
+            for row in rows:
+                row[3][:] = [{"box_id": b, "share": share} for b, share in row[3]]
+            yield pd.DataFrame(rows, columns=columns)
+
+    judged = materialize(framed.select(*key, "slice", "width", "height", "rgb", "boxes").mapInPandas(
+        judge, "ws string, page_id bigint, slice bigint, bare array<struct<box_id:bigint,share:double>>, covered array<bigint>, core array<bigint>"))
+    bare = judged.select(*key, F.explode("bare").alias("_b")).select(*key, F.lit("no_ink").alias("rule"), "_b.box_id", "_b.share")
+    words = (
+        judged.select(*key, F.posexplode("covered").alias("word", "_v")).groupBy(*key, "word").agg(F.bit_or("_v").alias("_v"))
+        .groupBy(*key).agg(F.sum(F.bit_count("_v")).alias("_in")))
+    core = judged.where(F.col("slice") == 0).select(
+        *key, F.aggregate("core", F.lit(0).cast("bigint"), lambda n, w: n + F.bit_count(w)).alias("_all"))
+    loose = core.join(words, key).where(F.col("_all") > 0).withColumn("share", F.col("_in") / F.col("_all")).where(F.col("share") < K.MIN_INK_COVERAGE)
+    return bare.unionByName(loose.select(*key, F.lit("ink_uncovered").alias("rule"), F.lit(-1).cast("bigint").alias("box_id"), "share"))

@@ -338,13 +338,16 @@ def oracle(sql: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, or a derived one."""
+def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A driver table, or a derived one; ``stream`` reads the driver tables as file streams."""
     if name not in FIXTURES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        batch = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if not stream:
+            return batch
+        return spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     text = spell(FIXTURES[name], 0).replace("{", "{{").replace("}", "}}")
     inputs = {
-        t: table(spark, sf_dir, t)
+        t: table(spark, sf_dir, t, stream)
         for t in [*DRIVER_TABLES, *FIXTURES]
         if t != name and re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", text)
     }

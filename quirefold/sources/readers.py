@@ -50,9 +50,12 @@ def object_listing(spark: SparkSession, root: str, stream: bool = False) -> Data
         F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
-def bench_samples(spark: SparkSession, root: str) -> DataFrame:
-    """One row per page sample from a folder of trial files."""
-    trials = spark.read.schema(TRIAL_FILE).option("multiLine", "true").json(root)
+def bench_samples(spark: SparkSession, root: str, pretty: bool = True) -> DataFrame:
+    """One row per page sample from a folder of trial files.
+
+    ``pretty`` files hold one indented document each; otherwise one document per line.
+    """
+    trials = spark.read.schema(TRIAL_FILE).option("multiLine", str(pretty).lower()).json(root)
     return trials.select("config", "trial", F.posexplode("samples").alias("pos", "_s")).select("config", "trial", "pos", "_s.*")
 
 
