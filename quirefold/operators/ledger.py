@@ -214,7 +214,7 @@ def _closings(at: np.ndarray, size: int, window_ms: int) -> tuple[np.ndarray, np
     n = len(at)
     closed = np.minimum(np.arange(n) + size - 1, n)
     by_time = np.zeros(n, dtype=bool)
-    for ahead in range(size - 2, -1, -1):
+    for ahead in range(min(size - 2, n - 1), -1, -1):
         hit = np.zeros(n, dtype=bool)
         hit[: n - ahead] = at[ahead:] - at[: n - ahead] >= window_ms
         closed[hit] = np.nonzero(hit)[0] + ahead

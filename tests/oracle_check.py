@@ -3,8 +3,9 @@
 import re
 import sys
 import time
+from pathlib import Path
 
-sys.path.insert(0, "/root/repo")
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import duckdb
 import pandas as pd
 
@@ -74,4 +75,5 @@ def main():
     print("bad", bad)
 
 
-main()
+if __name__ == "__main__":
+    main()
