@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from quirefold import constants as K
 from quirefold.functions.geometry import has_area
 from quirefold.operators.matching import FOLD_BOXES, Levels, match_boxes
-from quirefold.operators.ordering import HOT_ROWS, running_sums
+from quirefold.operators.ordering import HOT_ROWS, oversize_groups, running_sums
+from quirefold.session import materialize
 
 SCOPE = ("ws", "dataset")
 
@@ -47,8 +48,11 @@ def eval_inputs(
 
 
 def strongest(pred: DataFrame, scope: Sequence[str] = SCOPE, cap: int = K.MAX_DETS) -> DataFrame:
-    """The protocol scores at most ``cap`` detections per page and class."""
-    best = Window.partitionBy(*scope, "candidate", "page_id", "label").orderBy(F.desc("score"), F.asc("det_id"))
+    """The protocol scores at most ``cap`` detections per page and class; usually no page has more."""
+    group = [*scope, "candidate", "page_id", "label"]
+    if oversize_groups(pred, group, cap) is None:
+        return pred
+    best = Window.partitionBy(*group).orderBy(F.desc("score"), F.asc("det_id"))
     return pred.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= cap).drop("_rank")
 
 
@@ -60,14 +64,17 @@ def coco_match(
     limit: int = FOLD_BOXES,
 ) -> DataFrame:
     """Greedy matches for every overlap threshold at once: best scores choose first,
-    each takes its best free truth, and the later truth wins a tie."""
+    each takes its best free truth, and the later truth wins a tie.
+
+    ``pred`` comes from ``strongest``, so the truth side alone decides which pages are hot.
+    """
     matched = match_boxes(
         pred.select(*scope, "page_id", "label", "candidate", "det_id", "score", "x1", "y1", "x2", "y2"),
         truth.select(*scope, "page_id", "label", "box_id", "x1", "y1", "x2", "y2"),
         [*scope, "page_id", "label"], "l_det_id", "r_box_id", min(thresholds),
         order=[-F.col("l_score"), F.col("l_det_id"), -F.col("iou"), -F.col("r_box_id")], keep=["iou"],
         levels=Levels("thr", [(i, min(t, 1 - 1e-10)) for i, t in enumerate(thresholds)], lambda get, bound: get("iou") >= bound),
-        candidate="l_candidate", limit=limit,
+        candidate="l_candidate", limit=limit, sized_by=truth,
     )
     return matched.withColumnsRenamed({"l_det_id": "det_id", "r_box_id": "box_id"})
 
@@ -87,22 +94,24 @@ def pr_curve(
     best precision per recall point before any ordering, and a running maximum over
     at most 101 points finishes the curve.
     """
-    pred = strongest(pred, scope)
     n = len(thresholds)
     group = [*scope, "candidate", "label"]
+    # read by the size checks, the matcher and the ranking: compute it once
+    pred = strongest(materialize(pred.select(*group, "page_id", "det_id", "score", "x1", "y1", "x2", "y2")), scope)
     hits = (
         coco_match(truth, pred, scope, thresholds, limit)
         .groupBy(*group, "page_id", "det_id")
-        .agg(*[F.max(F.when(F.col("thr") == i, 1)).alias(f"h{i}") for i in range(n)])
+        .agg(F.bit_or(F.expr("shiftleft(1L, thr)")).alias("hits"))
     )
     flagged = pred.select(*group, "page_id", "det_id", "score").join(hits, [*group, "page_id", "det_id"], "left")
-    one = {f"tp{i}": F.coalesce(F.col(f"h{i}"), F.lit(0)).cast("bigint") for i in range(n)}
+    bit = lambda i: F.coalesce(F.col("hits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
+    one = {f"tp{i}": bit(i).cast("bigint") for i in range(n)}
     walked = running_sums(
         flagged, group, [F.desc("score"), F.asc("page_id"), F.asc("det_id")],
         {"pos": F.lit(1).cast("bigint"), **one}, hot_rows, sized_by=pred,
     )
     positives = truth.groupBy(*scope, "label").agg(F.count("*").alias("npig"))
-    each = F.array(*[F.struct(F.lit(i).alias("thr"), F.col(f"tp{i}").alias("tp"), F.col(f"h{i}").alias("hit")) for i in range(n)])
+    each = F.array(*[F.struct(F.lit(i).alias("thr"), F.col(f"tp{i}").alias("tp"), bit(i).alias("hit")) for i in range(n)])
     recall = F.col("tp") / F.col("npig")
     guess = F.floor(recall * 100)
     point = (
@@ -111,7 +120,7 @@ def pr_curve(
         .otherwise(guess - 1)
     )
     best = (
-        walked.select(*group, "pos", F.explode(F.filter(each, lambda s: s["hit"] == 1)).alias("_s"))
+        walked.select(*group, "pos", F.explode(F.filter(each, lambda s: s["hit"])).alias("_s"))
         .select(*group, "pos", "_s.thr", "_s.tp")
         .join(positives, [*scope, "label"])
         .groupBy(*group, "thr", F.least(point, F.lit(100)).cast("int").alias("recall_point"))

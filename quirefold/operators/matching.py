@@ -236,9 +236,14 @@ def match_boxes(
     levels: Levels | None = None,
     candidate: str | None = None,
     limit: int = FOLD_BOXES,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Pairs and then the greedy walk; ``candidate`` names a prefixed column that splits the groups further."""
-    calm, warm = overlapping_pairs(left, right, keys, min_iou, limit=limit)
+    """Pairs and then the greedy walk; ``candidate`` names a prefixed column that splits the groups further.
+
+    ``sized_by`` names the side whose group sizes decide, when the other is bounded already.
+    """
+    hot = hot_groups(keys, limit, *([left, right] if sized_by is None else [sized_by]))
+    calm, warm = overlapping_pairs(left, right, keys, min_iou, hot=hot)
     if candidate is not None:
         calm = calm.withColumnRenamed(candidate, "candidate")
         warm = None if warm is None else warm.withColumnRenamed(candidate, "candidate")

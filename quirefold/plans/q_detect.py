@@ -11,6 +11,7 @@ from quirefold.operators import detect as D
 from quirefold.operators import evaluate as E
 from quirefold.operators.matching import overlapping_pairs
 from quirefold.plans.fixtures import oracle, table
+from quirefold.session import materialize
 
 CLASSES = ["table", "picture", "text", "title"]
 
@@ -230,9 +231,10 @@ def shadow_pairs(s, d):
 def _shadow_sides(s, d):
     from quirefold.functions.jsoncols import detection_rows
 
-    paired = E.shadow_pairs(table(s, d, "fx_item"), table(s, d, "fx_prediction")).where(
-        (F.col("role") == "primary") & F.col("has_shadow"))
     keys = ["ws", "id", "shadow_item_id"]
+    paired = materialize(
+        E.shadow_pairs(table(s, d, "fx_item"), table(s, d, "fx_prediction"))
+        .where((F.col("role") == "primary") & F.col("has_shadow")).select(*keys, "primary_detections", "shadow_detections"))
     return (detection_rows(paired, "primary_detections", keys), detection_rows(paired, "shadow_detections", keys), keys)
 
 
