@@ -96,8 +96,6 @@ def test_comparability_names_libraries(spark):
     env = "struct<cpu_brand:string,cpu_physical_cores:int,cpu_perf_levels:map<string,int>,mem_total_bytes:long,os_version:string,machine:string,library_versions:map<string,string>>"
     base = ("m", 8, None, 1, "1", None, {"torch": "2.1", "numpy": "1"})
     other = ("n", 8, None, 1, "1", None, {"torch": "2.2", "ort": "1"})
-    levels = [f"cast(NULL as string) AS {c}" for c in ("x",)]
-    del levels
     df = spark.createDataFrame([(base, other), (base, base)], f"a {env}, b {env}")
     fields = [f for f in K.ENV_FIELDS if f != "cpu_perf_levels"]
     assert [r[0] for r in df.select(B.env_differences("a", "b", fields)).collect()] == [["cpu_brand", "library:numpy", "library:ort", "library:torch"], []]
