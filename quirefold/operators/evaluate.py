@@ -111,6 +111,7 @@ def pr_curve(
         {"pos": F.lit(1).cast("bigint"), **one}, hot_rows, sized_by=pred,
     )
     positives = truth.groupBy(*scope, "label").agg(F.count("*").alias("npig"))
+    axis = positives.join(pred.select(*scope, "candidate").distinct(), list(scope))
     each = F.array(*[F.struct(F.lit(i).alias("thr"), F.col(f"tp{i}").alias("tp"), bit(i).alias("hit")) for i in range(n)])
     recall = F.col("tp") / F.col("npig")
     guess = F.floor(recall * 100)
@@ -119,18 +120,16 @@ def pr_curve(
         .when(guess.cast("double") * 0.01 <= recall, guess)
         .otherwise(guess - 1)
     )
+    # the axis has one row per class, so it joins before the rows fan out over thresholds
     best = (
-        walked.select(*group, "pos", F.explode(F.filter(each, lambda s: s["hit"])).alias("_s"))
-        .select(*group, "pos", "_s.thr", "_s.tp")
-        .join(positives, [*scope, "label"])
+        walked.where(F.col("hits").isNotNull()).join(axis, group)
+        .select(*group, "pos", "npig", F.explode(F.filter(each, lambda s: s["hit"])).alias("_s"))
+        .select(*group, "pos", "npig", "_s.thr", "_s.tp")
         .groupBy(*group, "thr", F.least(point, F.lit(100)).cast("int").alias("recall_point"))
         .agg(F.max(F.col("tp") / (F.col("pos") + F.lit(K.COCO_EPS))).alias("_p"))
     )
-    seen = pred.select(*scope, "candidate").distinct()
     grid = (
-        positives.select(*scope, "label")
-        .join(seen, list(scope))
-        .select(*group, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("thr"))
+        axis.select(*group, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("thr"))
         .select(*group, "thr", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("recall_point"))
     )
     onwards = Window.partitionBy(*group, "thr").orderBy(F.desc("recall_point")).rowsBetween(Window.unboundedPreceding, 0)
