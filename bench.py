@@ -18,9 +18,9 @@ from quirefold.plans.registry import QUERIES
 from quirefold.session import local_session
 
 HEADLINE = [
-    "nms", "postprocess", "detection_agreement", "precision_recall", "coco_match", "class_ap", "quality_table", "best_f1_threshold", "shadow_diff",
-    "gt_box_issues", "batch_rollup", "batch_timings", "item_state_fold", "fenced_writes", "micro_batches", "lease_sweep", "trial_summary", "bootstrap_ci",
-    "gate_verdicts", "register_pages", "fan_out_items", "annotation_hash", "document_hash", "pinning_audit", "orphan_objects", "constraint_audit",
+    "nms", "postprocess", "detection_agreement", "precision_recall", "coco_match", "class_ap", "shadow_diff", "gt_box_issues", "batch_rollup",
+    "batch_timings", "item_state_fold", "micro_batches", "lease_sweep", "trial_summary", "bootstrap_ci", "gate_verdicts", "register_pages",
+    "fan_out_items", "annotation_hash", "pinning_audit",
 ]
 
 

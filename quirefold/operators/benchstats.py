@@ -128,14 +128,14 @@ def env_stamp(cpu: Column, performance: Column, efficiency: Column, os_version:
 
 
 def speedups(aggregates: DataFrame, stable: DataFrame, ci: DataFrame, env_diffs: DataFrame) -> DataFrame:
-    """The best stable configuration against every other one: a ratio, or the reason there is none.
+    """Per run, the best stable configuration against every other one: a ratio, or the reason there is none.
 
-    ``env_diffs`` carries ``config, differs`` (text, empty when the runs are comparable).
+    ``env_diffs`` carries ``run, config, differs`` (text, empty when the runs are comparable).
+    A run compares the points of one configuration matrix, so its window is small.
     """
     full = aggregates.drop("n_trials").join(stable.select("config", "stable"), "config").join(ci, "config").join(env_diffs, "config")
-    best = full.where("stable").agg(F.max_by(F.struct("config", "throughput_median", "ci_low", "ci_high"), F.struct("throughput_median", "config")).alias("best"))
-    # one row on the right: a constant key makes it an ordinary one-row join
-    paired = full.withColumn("_k", F.lit(1)).join(best.withColumn("_k", F.lit(1)), "_k").where(F.col("config") != F.col("best.config"))
+    leader = F.max(F.when(F.col("stable"), F.struct("throughput_median", "config", "ci_low", "ci_high"))).over(Window.partitionBy("run"))
+    paired = full.withColumn("best", leader).where(F.col("config") != F.col("best.config"))
     reason = (
         F.when(~F.col("stable"), "unstable").when(F.col("differs") != "", F.concat(F.lit("differs in "), F.col("differs")))
         .when(F.col("throughput_median") == 0, "zero throughput").otherwise(""))

@@ -68,7 +68,7 @@ def speedups(s, d):
     """Trials regrouped so that several configurations pass the stability rule; one ran on another host."""
     samples = table(s, d, "fx_sample").withColumn("trial", F.col("trial") % 2)
     trials = B.trial_summary(samples)
-    diffs = trials.select("config").distinct().withColumn("differs", F.when(F.col("config") == "view", "cpu_brand").otherwise(""))
+    diffs = trials.select("config").distinct().withColumn("differs", F.when(F.col("config") == "view", "cpu_brand").otherwise("")).withColumn("run", F.lit("r1"))
     out = B.speedups(B.config_aggregate(trials), B.stability(trials, 0.05, 0.10), B.bootstrap_ci(trials), diffs)
     return out.withColumn("ratio", F.coalesce("ratio", F.lit(-1.0)))
 
