@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FOLDERS: set[str] = set()
+
+
 def local_session(app: str = "quirefold", cores: int | str = 8, partitions: int = 8) -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
     return (
@@ -25,22 +29,31 @@ def local_session(app: str = "quirefold", cores: int | str = 8, partitions: int
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """This application's folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a local-mode session may fall back to a folder of its own: on a cluster
-    a machine-local path would vanish with the executor that wrote it.
+    Where a session does not name one, as in tests, it is set to a folder in the
+    warehouse, which is shared as well. The folder goes when the driver's process ends.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    fallback = getattr(spark, "_quirefold_scratch", None)
-    if fallback:
-        return fallback
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    fallback = tempfile.mkdtemp(prefix="quirefold-")
-    spark._quirefold_scratch = fallback
-    return fallback
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+        spark.conf.set("spark.checkpoint.dir", root)
+    folder = f"{root.rstrip('/')}/quirefold-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder through Spark's file systems, if the session still lives."""
+    if spark.sparkContext._jsc is None:
+        return
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    except (Py4JError, OSError):
+        return
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -50,6 +63,6 @@ def materialize(df: DataFrame) -> DataFrame:
     an RDD checkpoint it computes the plan once and stays columnar.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/quirefold/{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
