@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quirefold.llm import mixing, pii
+from quirefold.llm import mixing, packing, pii, tokencount
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_pii": pii.op2_pii,
+    "op5_tokencount": tokencount.op5_tokencount,
+    "op7_packing": packing.op7_packing,
 }
 
 ORACLES = {
