@@ -16,7 +16,7 @@ from functools import lru_cache
 from quirefold.llm.common import CACHE_ENTRIES
 
 # The white space of Unicode (property White_Space).
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BARE = re.compile(f"[^{SPACE}]+")
 CUT = re.compile(f"[^{SPACE}](?=[{SPACE}])")

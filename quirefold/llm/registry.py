@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quirefold.llm import mixing, packing, pii, tokencount
+from quirefold.llm import mixing, packing, pii, quality, tokencount
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_pii": pii.op2_pii,
+    "op4_quality": quality.op4_quality,
     "op5_tokencount": tokencount.op5_tokencount,
     "op7_packing": packing.op7_packing,
 }
