@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirefold.llm import fingerprint, mixing, packing, pii, quality, tokencount
+from quirefold.llm import fingerprint, mixing, ngramjoin, packing, pii, quality, tokencount
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_tokencount": tokencount.op5_tokencount,
     "op7_packing": packing.op7_packing,
+    "op9_ngramjoin": ngramjoin.op9_ngramjoin,
     "op10_fingerprint": fingerprint.op10_fingerprint,
 }
 
