@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quirefold.llm import fingerprint, mixing, ngramjoin, packing, pii, quality, tokencount
+from quirefold.llm import fingerprint, langid, mixing, ngramjoin, packing, pii, quality, tokencount
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_pii": pii.op2_pii,
     "op4_quality": quality.op4_quality,
     "op5_tokencount": tokencount.op5_tokencount,
+    "op6_langid": langid.op6_langid,
     "op7_packing": packing.op7_packing,
     "op9_ngramjoin": ngramjoin.op9_ngramjoin,
     "op10_fingerprint": fingerprint.op10_fingerprint,
