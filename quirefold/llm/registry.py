@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quirefold.llm import fingerprint, langid, mixing, ngramjoin, packing, pii, quality, tokencount
+from quirefold.llm import ann, fingerprint, langid, mixing, ngramjoin, packing, pii, quality, tokencount
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_pii": pii.op2_pii,
+    "op3_ann": ann.op3_ann,
     "op4_quality": quality.op4_quality,
     "op5_tokencount": tokencount.op5_tokencount,
     "op6_langid": langid.op6_langid,
