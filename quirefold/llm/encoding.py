@@ -10,20 +10,36 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
-from quirefold.llm.common import CACHE_ENTRIES
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from quirefold.llm.common import CACHE_ENTRIES, offsets
 
 # The white space of Unicode (property White_Space).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BARE = re.compile(f"[^{SPACE}]+")
 CUT = re.compile(f"[^{SPACE}](?=[{SPACE}])")
+# The word vocabulary lowers each character and takes runs of letters, single digits and runs
+# of other signs apart. Below U+0180 that needs no normalising; the apostrophe (it starts
+# runs of its own) and "<" (special strings) are left to the library, as is the capital
+# dotted I, which lowers to two characters.
+_LATIN = [chr(c) for c in range(0x180) if chr(c) not in "'<" and c != 0x130]
+_LETTERS, _DIGITS = (re.escape("".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == k)) for k in "LN")
+PLAIN = re.compile(f"[{re.escape(''.join(_LATIN))}]+")
+RUN = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
 #: Characters of text that are worked on at a time, and bytes in one call of the library.
 SEGMENT, BATCH_BYTES = 1 << 20, 1 << 18
 #: Longer pieces are encoded but not kept.
 KEEP_CHARS = 64
+#: The vocabulary whose ids never cover white space, and bytes of text whose ids are made together.
+WORDS, ROWS_BYTES = "word_bpe_49k.json", 8 << 20
 
 
 def load(name: str):
@@ -67,42 +83,51 @@ def balanced(pieces: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]
 
 
 class Encoder:
-    """What ``keep`` makes of the ids of each piece, for whole texts."""
+    """What ``keep`` makes of the ids of each piece; values of short pieces are remembered, within bounds."""
 
-    def __init__(self, name: str, keep, bare: bool) -> None:
-        self.tokenizer, self.keep, self.bare = load(name), keep, bare
+    def __init__(self, name: str, keep, parts: bool = False) -> None:
+        self.tokenizer, self.keep = load(name), keep
         self.cuts = not name.endswith(".model")
         self.seen: dict[str, object] = {}
+        self.parts: dict[str, bytes] | None = {} if parts else None
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         if not self.cuts:
             return self.tokenizer.encode(pieces, num_threads=1)
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _split(self, text: str) -> list[str]:
-        if not self.cuts:
-            return [text]
-        if not self.bare:
-            return PIECE.findall(text)
-        # str.split() takes four control characters for white space that the library does not
-        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-        return BARE.findall(text) if odd else text.split()
+    def _encoded(self, pieces) -> Iterator[tuple[str, object]]:
+        for batch in balanced(list(pieces)):
+            yield from zip(batch, map(self.keep, self._ids(batch)))
+
+    def _made(self, fresh: set[str]) -> Iterator[tuple[str, object]]:
+        """Values of unseen pieces; with ``parts`` of plain pieces by their runs, which repeat far more."""
+        if self.parts is None:
+            yield from self._encoded(fresh)
+            return
+        split = {p: RUN.findall(p.lower()) for p in fresh if len(p) <= KEEP_CHARS and PLAIN.fullmatch(p)}
+        self.parts.update(self._encoded(set().union(*split.values()).difference(self.parts)))
+        for piece, runs in split.items():
+            yield piece, b"".join(map(self.parts.__getitem__, runs))
+        yield from self._encoded(fresh.difference(split))
+
+    def lookup(self, pieces: set[str]):
+        """A mapping that has the values of all these pieces."""
+        fresh = pieces.difference(self.seen)
+        if len(self.seen) + len(self.parts or ()) + len(fresh) > CACHE_ENTRIES:
+            self.seen, self.parts, fresh = {}, None if self.parts is None else {}, pieces
+        once = {}
+        for piece, value in self._made(fresh):
+            (self.seen if len(piece) <= KEEP_CHARS else once)[piece] = value
+        if not once:
+            return self.seen
+        return {**once, **{p: self.seen[p] for p in pieces if p not in once}}
 
     def _group(self, texts: list[str]) -> Iterator[list]:
-        split = [self._split(t) for t in texts]
-        fresh = set().union(*split).difference(self.seen)
-        if len(self.seen) + len(fresh) > CACHE_ENTRIES:
-            self.seen = {}
-            fresh = set().union(*split)
-        once = {}
-        for batch in balanced(list(fresh)):
-            for piece, ids in zip(batch, self._ids(batch)):
-                (self.seen if len(piece) <= KEEP_CHARS else once)[piece] = self.keep(ids)
-        if once:
-            once = {**once, **{p: self.seen[p] for p in set().union(*split) if p not in once}}
-        look = (once or self.seen).__getitem__
+        split = [PIECE.findall(t) if self.cuts else [t] for t in texts]
+        look = self.lookup(set().union(*split)).__getitem__
         for pieces in split:
-            yield [look(p) for p in pieces]
+            yield list(map(look, pieces))
 
     def values(self, texts: list[str | None]) -> Iterator[list]:
         """Per text the kept values of its pieces, in order; a null text counts as empty."""
@@ -129,12 +154,47 @@ class Encoder:
 @lru_cache(maxsize=4)
 def lengths_of(name: str) -> Encoder:
     """Number of ids of each piece; one encoder per worker."""
-    return Encoder(name, len, bare=False)
+    return Encoder(name, len)
 
 
 @lru_cache(maxsize=4)
-def ids_of(name: str, dtype: str) -> Encoder:
-    """Ids of each piece as little-endian bytes; white space gives none in this vocabulary."""
-    import numpy as np
-
-    return Encoder(name, lambda ids: np.array(ids, dtype).tobytes(), bare=True)
+def _ids_of(name: str) -> Encoder:
+    """Ids of each piece as little-endian bytes."""
+    return Encoder(name, lambda ids: np.array(ids, "<u4").tobytes(), parts=name == WORDS)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and how many each text has."""
+    # Arrow, like Python, takes four control characters for white space that the library does not
+    if pc.any(pc.match_substring_regex(texts, r"[\x1c-\x1f]")).as_py():
+        split = [BARE.findall(t) for t in texts.to_pylist()]
+        return pa.array(list(chain.from_iterable(split)), pa.string()), np.array([len(w) for w in split], np.int64)
+    lists = pc.utf8_split_whitespace(texts)
+    return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def word_ids(column: pa.Array, name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of texts under the word vocabulary, for some rows at a time: all ids, and where each text starts.
+
+    Words are told apart by Arrow; Python sees each distinct word of the rows once.
+    """
+    if name != WORDS:
+        raise ValueError(f"white space may carry ids in {name}")
+    column = column.fill_null("")
+    sizes, at = pc.binary_length(column).to_numpy(zero_copy_only=False), 0
+    while at < len(column):
+        end, size = at, 0
+        while end < len(column) and (size < ROWS_BYTES or end == at):
+            size += int(sizes[end])
+            end += 1
+        words, per_text = _words(column.slice(at, end - at))
+        coded = words.dictionary_encode()
+        which, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        values = list(map(_ids_of(name).lookup(set(distinct)).__getitem__, distinct))
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        pool, from_ = np.frombuffer(b"".join(values), "<u4"), offsets(lengths)[:-1]
+        taken = lengths[which]
+        to = offsets(taken)
+        ids = pool[np.repeat(from_[which] - to[:-1], taken) + np.arange(to[-1])]
+        yield ids, to[offsets(per_text)]
+        at = end

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import table
-from quirefold.llm.encoding import ids_of
+from quirefold.llm.encoding import word_ids
 from quirefold.session import materialize
 
 LENGTH, WINDOWS, FAN_IN = 4096, 32, 64
@@ -123,10 +123,10 @@ def pack(
         packer, kind = Packer(part << 32, length, windows, min_cut), None
         for batch in batches:
             kind = batch.schema.field(0).type
-            encoded = ids_of(tokenizer, "<u4").values(batch.column(1).to_pylist())
-            for doc_id, values in zip(batch.column(0).to_pylist(), encoded):
-                ids = b"".join(values) + end
-                packer.add(doc_id, len(ids) // WIDTH, 0, ids)
+            doc_ids = iter(batch.column(0).to_pylist())
+            for ids, starts in word_ids(batch.column(1), tokenizer):
+                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                    packer.add(next(doc_ids), b - a + 1, 0, ids[a:b].tobytes() + end)
             yield _rows(packer, None, part, with_ids, kind)
         if kind is not None:
             left = packer.leftover()
