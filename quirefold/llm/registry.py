@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirefold.llm import ann, fingerprint, langid, mixing, ngramjoin, packing, pii, quality, tokencount
+from quirefold.llm import ann, binout, fingerprint, langid, mixing, ngramjoin, packing, pii, quality, tokencount
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_tokencount": tokencount.op5_tokencount,
     "op6_langid": langid.op6_langid,
     "op7_packing": packing.op7_packing,
+    "op8_binout": binout.op8_binout,
     "op9_ngramjoin": ngramjoin.op9_ngramjoin,
     "op10_fingerprint": fingerprint.op10_fingerprint,
 }
