@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import WORD, word_count
+from quirefold.llm.common import WORD, table, word_count
 from quirefold.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -130,7 +130,7 @@ def mix(
 
 
 def training_order(mixed: DataFrame, schedule=SCHEDULE) -> DataFrame:
-    """One row per use of a document, range-sorted by its moment: ``row, words, position``.
+    """One row per use of a document, range-sorted by its moment: ``row, words, size, position``.
 
     ``words`` is below the document's size only for the one cut document of a source.
     """
@@ -139,7 +139,7 @@ def training_order(mixed: DataFrame, schedule=SCHEDULE) -> DataFrame:
     )
     met = "(cast(_at as double) + _use * cast(source_size as double)) / cast(_quota as double)"
     return uses.select(
-        "row", F.expr("least(size, taken - _use * size)").alias("words"), F.expr(inverse_demand(met, "_cls", schedule)).alias("position"), "_use"
+        "row", F.expr("least(size, taken - _use * size)").alias("words"), "size", F.expr(inverse_demand(met, "_cls", schedule)).alias("position"), "_use"
     ).orderBy("position", F.col("row").getField("doc_id"), "_use")
 
 
@@ -149,8 +149,6 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def op1_mixing(spark, sf_dir) -> DataFrame:
-    from quirefold.llm.common import table
-
     return mix(table(spark, sf_dir, "documents")).select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "position"
     ).orderBy(F.col("position").asc_nulls_last(), "doc_id")

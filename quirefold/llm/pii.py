@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.llm.common import free_name, table
+
 #: Characters before a span in which a context word counts.
 NEAR = 48
 ACCEPT = 0.7
@@ -123,24 +125,23 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Only ``text`` changes, and ``n_chars`` where the table has it.
     """
-    found = find_spans(docs.select("*"), out="_pii_spans")
-    by_start = F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    rows = found.select(*[c for c in docs.columns if c != "text"], "text", by_start.alias("_pii_sorted"))
+    spans, by = free_name(docs, "_spans"), free_name(docs, "_sorted")
+    found = find_spans(docs, out=spans)
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    rows = found.select(*[c for c in docs.columns if c != "text"], "text", by_start.alias(by))
     folded = F.expr(
-        "aggregate(_pii_sorted, named_struct('at', 0L, 'out', cast(array() as array<string>)), (a, s) -> case when s.start < a.at then "
+        f"aggregate({by}, named_struct('at', 0L, 'out', cast(array() as array<string>)), (a, s) -> case when s.start < a.at then "
         "named_struct('at', greatest(a.at, s.end), 'out', a.out) else named_struct('at', s.end, 'out', concat(a.out, "
         "array(substring(text, int(a.at) + 1, int(s.start - a.at)), concat('[', upper(s.kind), ']')))) end, "
         "a -> concat(array_join(a.out, ''), substring(text, int(a.at) + 1)))"
     )
-    clean = rows.withColumn("text", F.when(F.size("_pii_sorted") > 0, folded).otherwise(F.col("text")))
+    clean = rows.withColumn("text", F.when(F.size(by) > 0, folded).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("_pii_sorted") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.size(by) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return clean.select(*docs.columns)
 
 
 def op2_pii(spark, sf_dir) -> DataFrame:
-    from quirefold.llm.common import table
-
     found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select(

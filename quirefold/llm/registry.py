@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quirefold.llm import ann, binout, fingerprint, langid, mixing, ngramjoin, packing, pii, quality, tokencount
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_binout": binout.op8_binout,
     "op9_ngramjoin": ngramjoin.op9_ngramjoin,
     "op10_fingerprint": fingerprint.op10_fingerprint,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
