@@ -37,7 +37,7 @@ from quirefold.session import materialize
 
 BITS, PERIOD, STRETCH = 256, 4096, 8192
 BANDS, BAND_BITS = 32, 10
-SIMILAR = 0.8
+SIMILAR = 0.7
 #: Characters whose walks advance together.
 TOGETHER = 4 << 20
 
