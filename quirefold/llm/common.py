@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries a worker keeps in a per-process cache before it starts over.
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,17 @@ class WordCache(dict):
         return value
 
 
+_HOLDER: list[tuple[str, Callable[[], None]]] = []
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """One operator's cache at a time in a worker: the one that held it before lets go."""
+    if not _HOLDER or _HOLDER[0][0] != name:
+        for _, let_go in _HOLDER:
+            let_go()
+        _HOLDER[:] = [(name, clear)]
+
+
 def offsets(lengths: np.ndarray) -> np.ndarray:
     """Starts of consecutive runs, with the end of the last one."""
     out = np.zeros(len(lengths) + 1, np.int64)

@@ -20,6 +20,7 @@ is not learned from; ids that repeat are predicted row by row. Other columns are
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from itertools import chain
 
@@ -29,14 +30,14 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import by_batch, id_crc, offsets, run_sums, table
+from quirefold.llm.common import by_batch, hold, id_crc, offsets, run_sums, table
 
 SPAN, HIDDEN = 24, 16
 PER_LANGUAGE, WORDS_OF, LANGUAGES = 250, 80, 64
 STEPS, BATCH, RATE = 1500, 256, 0.01
 UNKNOWN = "und"
 #: Words a worker remembers, and bytes of text worked on at a time.
-REMEMBERED, TOGETHER = 400_000, 4 << 20
+REMEMBERED, TOGETHER = 300_000, 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -53,7 +54,7 @@ class Network:
 
     def __init__(self, languages: list[str], seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
-        self.languages, h = languages, HIDDEN
+        self.languages, self.name, h = languages, uuid.uuid4().hex, HIDDEN
         self.w: dict[str, np.ndarray] = {}
         for d in "fb":
             self.w[f"in_{d}"] = rng.normal(0, 0.2, (257, 3 * h)).astype(np.float32)
@@ -71,10 +72,19 @@ class Network:
             codes[1 : len(word) + 1, i] = np.frombuffer(word, np.uint8)
         return codes, codes < 256
 
+    @staticmethod
+    def _inside(codes: np.ndarray) -> np.ndarray:
+        """1 on a word's bytes and the blanks beside them; padding leaves no trace, whatever the batch."""
+        real = codes < 256
+        near = real.copy()
+        near[1:] |= real[:-1]
+        near[:-1] |= real[1:]
+        return near.astype(np.float32)[:, :, None]
+
     def _direction(self, d: str, codes: np.ndarray, keep: list | None) -> np.ndarray:
         h, u = HIDDEN, self.w[f"rec_{d}"]
         x = self.w[f"in_{d}"][codes] + self.w[f"bias_{d}"]
-        state = np.zeros((codes.shape[1], h), np.float32)
+        state, inside = np.zeros((codes.shape[1], h), np.float32), self._inside(codes)
         out = np.empty((*codes.shape, h), np.float32)
         for t in range(len(codes)) if d == "f" else range(len(codes) - 1, -1, -1):
             gates = _sigmoid(x[t, :, : 2 * h] + state @ u[:, : 2 * h])
@@ -82,7 +92,7 @@ class Network:
             c = np.tanh(x[t, :, 2 * h :] + (r * state) @ u[:, 2 * h :])
             if keep is not None:
                 keep.append((t, state, z, r, c))
-            state = z * state + (1 - z) * c
+            state = (z * state + (1 - z) * c) * inside[t]
             out[t] = state
         return out
 
@@ -104,13 +114,13 @@ class Network:
         error[:, np.arange(len(words)), labels] -= 1
         error *= (real / real.sum())[:, :, None]
         g = {"out": np.tensordot(kept["both"], error, ((0, 1), (0, 1))), "out_bias": error.sum((0, 1))}
-        above = error @ self.w["out"].T
+        above, inside = error @ self.w["out"].T, self._inside(codes)
         for k, d in enumerate("fb"):
             u = self.w[f"rec_{d}"]
             gx, gu = np.zeros((*codes.shape, 3 * h), np.float32), np.zeros_like(u)
             flow = np.zeros((len(words), h), np.float32)
             for t, state, z, r, c in reversed(kept[d]):
-                flow = flow + above[t, :, k * h : (k + 1) * h]
+                flow = (flow + above[t, :, k * h : (k + 1) * h]) * inside[t]
                 gc = flow * (1 - z) * (1 - c * c)
                 through = gc @ u[:, 2 * h :].T
                 gates = np.concatenate([flow * (state - c) * z * (1 - z), through * state * r * (1 - r)], axis=1)
@@ -179,6 +189,18 @@ class Reader:
         return sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-9)
 
 
+#: The reader of the network a worker saw last; later tasks of the same job go on with it.
+_LAST: dict[str, Reader] = {}
+
+
+def reader_of(network: Network) -> Reader:
+    hold("languages", _LAST.clear)
+    if network.name not in _LAST:
+        _LAST.clear()
+        _LAST[network.name] = Reader(network)
+    return _LAST[network.name]
+
+
 def may_learn(doc_id: Column) -> Column:
     """crc32 of the id modulo 4 is not 2; NULL for a NULL id."""
     return id_crc(doc_id) % 4 != 2
@@ -213,11 +235,8 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, step
 
 def identify(docs: DataFrame, network: Network) -> DataFrame:
     """``doc_id, lang_pred, score`` of every document."""
-    readers: list[Reader] = []
-
     def predicted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not readers:
-            readers.append(Reader(network))
+        reader = reader_of(network)
         texts = batch.column(1).to_pylist()
         langs, scores, at = [], [], 0
         while at < len(texts):
@@ -226,7 +245,7 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
                 size += len(texts[end] or "")
                 end += 1
             part = texts[at:end]
-            p = readers[0].documents([(t or "").encode("utf-8", "replace") for t in part]) if network.languages else np.zeros((len(part), 1))
+            p = reader.documents([(t or "").encode("utf-8", "replace") for t in part]) if network.languages else np.zeros((len(part), 1))
             for text, row in zip(part, p):
                 known = bool(network.languages) and text is not None and _LETTER.search(text) is not None
                 best = int(row.argmax())
