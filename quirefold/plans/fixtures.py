@@ -338,27 +338,12 @@ def oracle(sql: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes)
 
 
-# fact tables and the key they are spread by
-_FACTS = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
-
-
-def _spread(df: DataFrame, name: str) -> DataFrame:
-    """A fact table that came as a few large splits is dealt to all cores.
-
-    Input with as many splits as there are cores, which is what a cluster reads, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if name not in _FACTS or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, _FACTS[name])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
     """A driver table, or a derived one; ``stream`` reads the driver tables as file streams."""
     if name not in FIXTURES:
         batch = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         if not stream:
-            return _spread(batch, name)
+            return batch
         return spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     text = spell(FIXTURES[name], 0).replace("{", "{{").replace("}", "}}")
     inputs = {

@@ -35,32 +35,32 @@ def stream_lease_sweep(s, d):
     return drain(swept, "lease_sweep")
 
 
-def _steps(s, d):
-    return drain(SL.item_steps(_replayed(s, table(s, d, "fx_event"), "events")), "item_steps")
+def _events(s, d):
+    return _replayed(s, table(s, d, "fx_event"), "events")
 
 
 def stream_fenced_writes(s, d):
-    return SL.fenced_writes(_steps(s, d)).select("ws", "item_id", "seq", "kind", "verdict")
+    return SL.fenced_writes(_events(s, d)).select("ws", "item_id", "seq", "kind", "verdict")
 
 
 def stream_item_state_fold(s, d):
-    return SL.item_state(_steps(s, d)).select(
+    return SL.item_state_fold(_events(s, d)).select(
         "ws", "item_id", "state", "attempts", F.coalesce("fencing_token", F.lit(-1)).alias("fencing_token"), F.coalesce("lease_owner", F.lit("")).alias("lease_owner"),
-        F.coalesce("lease_ms", F.lit(-1)).alias("lease_ms"), F.coalesce("failure_code", F.lit("")).alias("failure_code"))
+        F.coalesce(F.unix_millis("lease_expires_at"), F.lit(-1)).alias("lease_ms"), F.coalesce("failure_code", F.lit("")).alias("failure_code"))
 
 
 def stream_lease_extend(s, d):
-    return SL.lease_extend(_steps(s, d))
+    return SL.lease_extend(_events(s, d)).select("ws", "item_id", "gen_token", "held", "lost", F.unix_millis("lease_expires_at").alias("lease_ms"))
 
 
 def stream_unique_predictions(s, d):
     p = table(s, d, "fx_prediction").select("id", "ws", "work_item_id", "candidate_id", "created_at", "key")
     again = p.where(F.col("key") % 5 == 0).withColumn("id", F.concat(F.col("id"), F.lit("-again")))
-    return drain(SL.unique_predictions(_replayed(s, p.unionByName(again), "predictions")), "unique_predictions").select("ws", "work_item_id", "candidate_id")
+    return SL.unique_predictions(_replayed(s, p.unionByName(again), "predictions")).select("ws", "work_item_id", "candidate_id", "id")
 
 
 def stream_micro_batches(s, d):
-    return drain(SL.micro_batches(table(s, d, "fx_arrival", stream=True), 4, 3_600_000), "micro_batches").where(F.col("closed_by") != "flush")
+    return SL.micro_batches(table(s, d, "fx_arrival", stream=True), 4, 3_600_000)
 
 
 def stream_register_assets(s, d):
@@ -69,7 +69,7 @@ def stream_register_assets(s, d):
 
 
 def stream_idempotent_batches(s, d):
-    return drain(SI.idempotent_batches(table(s, d, "fx_batch", stream=True)), "idempotent").select("ws", "idempotency_key")
+    return SI.idempotent_batches(table(s, d, "fx_batch", stream=True)).select("ws", "idempotency_key", "id")
 
 
 def stream_fan_out_items(s, d):
@@ -85,11 +85,10 @@ QUERIES = {f.__name__: f for f in (
     stream_micro_batches, stream_register_assets, stream_idempotent_batches, stream_fan_out_items)}
 
 _Q = {
-    "stream_lease_extend": f"""WITH {q_ledger._GEN}, b AS (SELECT s.ws, s.item_id, coalesce(s.token = s.otoken AND (e.seq IS NULL OR s.seq < e.seq), false) AS ok FROM seen s LEFT JOIN ends e ON e.ws = s.ws AND e.item_id = s.item_id AND e.oseq = s.oseq WHERE s.kind = 'heartbeat')
-        SELECT ws, item_id, count(*) FILTER (ok) AS held, count(*) FILTER (NOT ok) AS lost FROM b GROUP BY ws, item_id""",
-    "stream_unique_predictions": "SELECT DISTINCT ws, work_item_id, candidate_id FROM fx_prediction",
-    "stream_micro_batches": "SELECT * FROM (" + q_ledger._Q["micro_batches"] + ") z WHERE closed_by <> 'flush'",
-    "stream_idempotent_batches": "SELECT DISTINCT ws, idempotency_key FROM fx_batch WHERE idempotency_key IS NOT NULL",
+    "stream_lease_extend": q_ledger._Q["lease_extend"],
+    "stream_unique_predictions": "SELECT ws, work_item_id, candidate_id, min(id) AS id FROM fx_prediction GROUP BY ALL",
+    "stream_micro_batches": q_ledger._Q["micro_batches"],
+    "stream_idempotent_batches": "SELECT ws, idempotency_key, arg_min(id, (created_at, id)) AS id FROM fx_batch WHERE idempotency_key IS NOT NULL GROUP BY ALL",
     "stream_state_counts": q_ledger._Q["state_counts"], "stream_queue_depth": q_ledger._Q["queue_depth"], "stream_lease_sweep": q_ledger._Q["lease_sweep"],
     "stream_fenced_writes": q_ledger._Q["fenced_writes"], "stream_item_state_fold": q_ledger._Q["item_state_fold"],
     "stream_register_assets": q_ingest._Q["register_assets"], "stream_fan_out_items": q_ingest._Q["fan_out_items"],

@@ -4,34 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from quirefold.operators.ingest import register_assets as first_arrivals
-from quirefold.streaming.runner import new_folder
+from quirefold.streaming.store import first_of_each
 
 
-def idempotent_batches(batches: DataFrame, delay: str = "24 hours") -> DataFrame:
-    """One batch per (ws, idempotency_key) among requests within ``delay`` of each other."""
-    keyed = batches.where("idempotency_key IS NOT NULL").withWatermark("created_at", delay)
-    return keyed.dropDuplicatesWithinWatermark(["ws", "idempotency_key"])
+def idempotent_batches(batches: DataFrame, root: str | None = None) -> DataFrame:
+    """The batch that each (ws, idempotency_key) resolves to: the first ever asked for, by time, then id."""
+    return first_of_each(batches.where("idempotency_key IS NOT NULL"), ("ws", "idempotency_key"), ("created_at", "id"), root)
 
 
 def register_assets(uploads: DataFrame, existing: DataFrame, root: str | None = None) -> DataFrame:
-    """Register each content once, ever: the registry is a table, not operator state.
-
-    Every trigger writes its own numbered folder, so a replayed trigger rewrites what it
-    wrote before instead of adding to it.
-    """
-    spark = uploads.sparkSession
-    root = root or new_folder(spark, "assets")
-    rows = f"{root}/rows"
-    layout = "trigger bigint, " + ", ".join(f"{n} {t}" for n, t in uploads.dtypes)
-
-    def settle(batch: DataFrame, number: int) -> None:
-        known = existing.select("ws", "sha256")
-        if number > 0:
-            earlier = spark.read.schema(layout).parquet(rows).where(f"trigger < {number}")
-            known = known.unionByName(earlier.select("ws", "sha256"))
-        first_arrivals(batch, known).select(*batch.columns).write.mode("overwrite").parquet(f"{rows}/trigger={number}")
-
-    query = uploads.writeStream.foreachBatch(settle).option("checkpointLocation", f"{root}/_state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(rows)
+    """Register each content once, ever, unless ``existing`` has it; the first arrival gives the row."""
+    first = first_of_each(uploads, ("ws", "sha256"), ("arrival", "id"), root)
+    return first.join(existing.select("ws", "sha256"), ["ws", "sha256"], "left_anti").select(*uploads.columns)

@@ -1,122 +1,82 @@
 """Streaming twins of the ledger operators.
 
-The event log is folded per item with keyed state; events of one trigger are put in
-sequence order first, and an event older than the item's last one is reported as
-``late`` and not applied. How many rows one key can bring per trigger is bounded by the
-source's rate options (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+The event log is stored and the items a trigger touches are folded again by the batch
+operators, so events may arrive in any order. Arrivals of micro-batches are taken in
+trigger order, which is what an arrival is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quirefold import constants as K
-from quirefold.operators.ledger import TERMINAL
-
-STEP = (
-    "ws string, item_id string, seq bigint, kind string, token bigint, verdict string, state string, attempts bigint, "
-    "fencing_token bigint, lease_owner string, lease_ms bigint, failure_code string"
-)
-STATE = "state string, attempts bigint, fencing_token bigint, owner string, lease_ms bigint, failure_code string, last_seq bigint"
-
-
-def item_steps(events: DataFrame, lease_s: int = K.LEASE_SECONDS) -> DataFrame:
-    """One row per event: its verdict and the item as it stands after it."""
+from quirefold.operators import ledger as L
+from quirefold.operators.ordering import position
+from quirefold.session import materialize
+from quirefold.streaming.runner import new_folder
+from quirefold.streaming.store import first_of_each, refolded
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, attempts, fence, owner, lease, code, last = held.get if held.exists else ("queued", 0, None, None, None, None, -1)
-        out = []
-        for e in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-            token = None if pd.isna(e.token) else int(e.token)
-            if e.seq <= last:
-                verdict = "late"
-            else:
-                last = int(e.seq)
-                mine = fence is not None and token == fence
-                verdict = "stale_token" if not mine else "accepted" if state == "running" else "not_running"
-                if e.kind == "claim":
-                    state, fence, owner, lease, code, verdict = "running", token, e.worker, int(e.ts_ms) + lease_s * 1000, None, "opened"
-                    attempts += 1
-                elif e.kind == "requeue":
-                    state, fence, owner, lease, code, verdict = "queued", None, None, None, None, "opened"
-                elif verdict == "accepted" and e.kind == "heartbeat":
-                    lease = max(lease, int(e.ts_ms) + lease_s * 1000)
-                elif verdict == "accepted":
-                    state, owner, lease = TERMINAL[e.kind], None, None
-                    code = e.code if e.kind == "fail" else "cancelled" if e.kind == "cancel" else None
-            out.append((*key, int(e.seq), e.kind, token, verdict, state, attempts, fence, owner, lease, code))
-        held.update((state, attempts, fence, owner, lease, code, last))
-        rows = pd.DataFrame(out, columns=[c.split()[0] for c in STEP.split(", ")])
-        rows = rows.astype({"token": "Int64", "fencing_token": "Int64", "lease_ms": "Int64", "lease_owner": "string", "failure_code": "string"})
-        yield rows
+ITEM = ("ws", "item_id")
 
-    slim = events.select("ws", "item_id", "seq", "kind", "token", "worker", "code", F.unix_millis("ts").alias("ts_ms"))
-    return slim.groupBy("ws", "item_id").applyInPandasWithState(step, STEP, STATE, "append", GroupStateTimeout.NoTimeout)
 
+def fenced_writes(events: DataFrame, root: str | None = None) -> DataFrame:
+    return refolded(events, ITEM, L.fenced_writes, root)
 
-def fenced_writes(steps: DataFrame) -> DataFrame:
-    return steps.where(F.col("kind").isin(list(TERMINAL)))
 
+def item_state_fold(events: DataFrame, root: str | None = None) -> DataFrame:
+    return refolded(events, ITEM, L.item_state_fold, root)
 
-def item_state(steps: DataFrame) -> DataFrame:
-    """The newest step per item, over a drained table of steps."""
-    applied = steps.where(F.col("verdict") != "late")
-    cols = ["state", "attempts", "fencing_token", "lease_owner", "lease_ms", "failure_code"]
-    return applied.groupBy("ws", "item_id").agg(F.max(F.struct("seq", *cols)).alias("_l")).select("ws", "item_id", *[f"_l.{c}" for c in cols])
 
+def lease_extend(events: DataFrame, root: str | None = None) -> DataFrame:
+    return refolded(events, ITEM, L.lease_extend, root)
 
-def lease_extend(steps: DataFrame) -> DataFrame:
-    """Accepted and refused heartbeats per claim, over a drained table of steps."""
-    beats = steps.where(F.col("kind") == "heartbeat")
-    return beats.groupBy("ws", "item_id").agg(
-        F.sum((F.col("verdict") == "accepted").cast("bigint")).alias("held"), F.sum((F.col("verdict") != "accepted").cast("bigint")).alias("lost"))
 
-
-def unique_predictions(predictions: DataFrame, delay: str = "1 day") -> DataFrame:
-    """First prediction per (item, candidate) among those that arrive within ``delay``."""
-    return predictions.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["ws", "work_item_id", "candidate_id"])
-
-
-BATCH = "{key} string, start_pos bigint, n bigint, closed_by string, waited_ms bigint, first_at_ms bigint"
+def unique_predictions(predictions: DataFrame, root: str | None = None) -> DataFrame:
+    """First prediction per (item, candidate), ever."""
+    return first_of_each(predictions, ("ws", "work_item_id", "candidate_id"), ("id",), root)
 
 
 def micro_batches(
-    arrivals: DataFrame, size: int = K.MAX_BATCH, window_ms: int = K.BATCH_WINDOW_MS, key: str = "pool", flush_idle: bool = False,
+    arrivals: DataFrame, size: int = K.MAX_BATCH, window_ms: int = K.BATCH_WINDOW_MS, key: str = "pool", root: str | None = None,
 ) -> DataFrame:
-    """Closed batches as they close.
+    """Batches over a drained stream, the unfinished last one of each key as ``flush``.
 
-    With ``flush_idle`` an open batch is flushed after ``window_ms`` without arrivals; that
-    needs a query that keeps running, because pending timers keep one that drains its
-    source from ending.
+    A trigger sees its own arrivals and those of the batch left open before it, and cuts
+    both with the batch operator; closed batches are final.
     """
-
-    def step(who: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        pos, first, start, n, latest = held.get if held.exists else (0, None, 0, 0, None)
-        out = []
-        if held.hasTimedOut:
-            if n:
-                out.append((who[0], start, n, "flush", latest - first, first))
-            held.update((pos, None, pos, 0, None))
-        else:
-            rows = pd.concat(list(frames)).sort_values(["at_ms", "item"])
-            for at in rows["at_ms"].tolist():
-                if n == 0:
-                    first, start = at, pos
-                n, pos, latest = n + 1, pos + 1, at
-                why = "size" if n >= size else "time" if at - first >= window_ms else None
-                if why:
-                    out.append((who[0], start, n, why, at - first, first))
-                    n = 0
-            held.update((pos, first, start, n, latest))
-            if flush_idle:
-                held.setTimeoutDuration(max(1, window_ms))
-        yield pd.DataFrame(out, columns=[key, "start_pos", "n", "closed_by", "waited_ms", "first_at_ms"])
-
-    return arrivals.select(key, "at_ms", "item").groupBy(key).applyInPandasWithState(
-        step, BATCH.format(key=key), "pos bigint, first bigint, start bigint, n bigint, latest bigint", "append",
-        GroupStateTimeout.ProcessingTimeTimeout if flush_idle else GroupStateTimeout.NoTimeout)
+    spark = arrivals.sparkSession
+    root = root or new_folder(spark, "micro")
+    slim = arrivals.select(key, "at_ms", "item")
+    rows_of = ", ".join(f"`{n}` {t}" for n, t in slim.dtypes)
+    kind = dict(slim.dtypes)[key]
+    cut_of = f"`{key}` {kind}, start_pos bigint, n bigint, closed_by string, waited_ms bigint, first_at_ms bigint"
+
+    def at(folder: str, layout: str, number: int) -> DataFrame:
+        """What trigger ``number`` left behind; nothing before the first."""
+        return spark.read.schema(layout).parquet(f"{root}/{folder}/{number}") if number >= 0 else spark.createDataFrame([], layout)
+
+    def settle(batch: DataFrame, number: int) -> None:
+        before = at("open", rows_of, number - 1)
+        base = at("done", f"`{key}` {kind}, done bigint", number - 1)
+        rows = materialize(batch.unionByName(before))
+        cut = materialize(L.micro_batches(rows, size, window_ms, key).join(base, key, "left").withColumn("_base", F.coalesce("done", F.lit(0))).drop("done"))
+        final = cut.where("closed_by <> 'flush'").withColumn("start_pos", F.col("start_pos") + F.col("_base")).drop("_base")
+        final.write.mode("overwrite").parquet(f"{root}/cut/{number}")
+        ended = final.groupBy(key).agg(F.sum("n").alias("_n"))
+        done = base.join(ended, key, "full").select(key, (F.coalesce("done", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("done"))
+        done.write.mode("overwrite").parquet(f"{root}/done/{number}")
+        left = cut.where("closed_by = 'flush'").select(key, F.col("start_pos").alias("_from"))
+        placed = position(rows, [key], [F.col("at_ms"), F.col("item")], "_pos").join(left, key).where(F.col("_pos") - 1 >= F.col("_from"))
+        placed.select(key, "at_ms", "item").write.mode("overwrite").parquet(f"{root}/open/{number}")
+        spark.createDataFrame([(number,)], "number bigint").write.mode("overwrite").parquet(f"{root}/settled/_trigger={number}")
+
+    query = slim.writeStream.foreachBatch(settle).option("checkpointLocation", f"{root}/_state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark.createDataFrame([(-1,)], "number bigint").write.mode("overwrite").parquet(f"{root}/settled/_trigger=-1")
+    last = spark.read.parquet(f"{root}/settled").agg(F.max("number")).first()[0]
+    if last < 0:
+        return spark.createDataFrame([], cut_of)
+    closed = spark.read.schema(cut_of).parquet(f"{root}/cut/*")
+    flushed = L.micro_batches(at("open", rows_of, last), size, window_ms, key).join(at("done", f"`{key}` {kind}, done bigint", last), key, "left")
+    return closed.unionByName(flushed.withColumn("start_pos", F.col("start_pos") + F.coalesce("done", F.lit(0))).drop("done"))

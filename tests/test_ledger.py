@@ -10,7 +10,7 @@ from quirefold.operators import ingest as I
 from quirefold.operators import ledger as L
 from quirefold.streaming import ledger as SL
 from quirefold.streaming import ingest as SI
-from quirefold.streaming.runner import drain, new_folder
+from quirefold.streaming.runner import new_folder
 
 EVENT = "ws string, item_id string, seq long, ts timestamp, kind string, worker string, token long, code string"
 T0 = datetime(2024, 1, 1)
@@ -65,17 +65,46 @@ def test_event_log_against_a_plain_fold(spark, hot_rows):
     assert beats == sum(1 for q, v in verdicts.items() if v == "accepted" and rows[q][4] == "heartbeat")
 
 
-def test_event_stream_over_several_triggers_equals_the_batch_fold(spark):
-    rows = event_log(9)
-    items, verdicts = fold(rows)
-    path = new_folder(spark, "events")
-    for i in range(0, 400, 100):
-        spark.createDataFrame(rows[i:i + 100], EVENT).coalesce(1).write.mode("append").parquet(path)
-        stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    steps = drain(SL.item_steps(stream), "steps").cache()
-    assert {r.seq: r.verdict for r in steps.collect() if r.verdict != "opened"} == verdicts
-    got = {r.item_id: (r.state, r.attempts, r.fencing_token, r.lease_owner, r.failure_code) for r in SL.item_state(steps).collect()}
-    assert got == {k: (s["state"], s["attempts"], s["token"], s["owner"], s["code"]) for k, s in items.items()}
+def replay(spark, df, files, seed=1):
+    """The rows as a stream of several triggers, in an order of their own."""
+    path = new_folder(spark, "replay")
+    for part in df.orderBy(F.rand(seed)).randomSplit([1.0] * files, seed):
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def rows_of(df):
+    return sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+
+def test_event_streams_in_any_order_equal_the_batch_folds(spark):
+    ev = spark.createDataFrame(event_log(9, 200), EVENT)
+    assert rows_of(SL.item_state_fold(replay(spark, ev, 3))) == rows_of(L.item_state_fold(ev))
+    assert rows_of(SL.fenced_writes(replay(spark, ev, 3))) == rows_of(L.fenced_writes(ev))
+    assert rows_of(SL.lease_extend(replay(spark, ev, 2))) == rows_of(L.lease_extend(ev))
+    assert SL.item_state_fold(replay(spark, ev.limit(0), 1)).count() == 0
+
+
+def test_first_of_each_key_has_no_horizon(spark):
+    """A key comes back after ten days, another request is older than any watermark would allow."""
+    rows = [("w", "k1", "b1", 1), ("w", "k2", "b2", 20), ("w", "k1", "b3", 11), ("w", "k3", "b4", 2), ("v", "k1", "b5", 3), ("w", None, "b6", 4), ("w", "k2", "b0", 20)]
+    df = spark.createDataFrame(rows, "ws string, idempotency_key string, id string, day int").withColumn("created_at", F.expr("date_add(date'2026-01-01', day)").cast("timestamp"))
+    for seed in (1, 2):
+        got = {(r.ws, r.idempotency_key): r.id for r in SI.idempotent_batches(replay(spark, df, 4, seed)).collect()}
+        assert got == {("w", "k1"): "b1", ("w", "k2"): "b0", ("w", "k3"): "b4", ("v", "k1"): "b5"}
+    p = spark.createDataFrame([("w", "i", "c", "p2"), ("w", "i", "c", "p1"), ("w", "j", "c", "p3")], "ws string, work_item_id string, candidate_id string, id string")
+    assert {r.id for r in SL.unique_predictions(replay(spark, p, 3)).collect()} == {"p1", "p3"}
+
+
+def test_micro_batches_over_triggers_keep_the_last_batch(spark):
+    times = [i * 40 + (i % 7) * 13 for i in range(60)]
+    path = new_folder(spark, "arrivals")
+    rows = [("p" if i % 3 else "q", t, i) for i, t in enumerate(times)]
+    for i in range(0, 60, 20):
+        spark.createDataFrame(rows[i:i + 20], "pool string, at_ms long, item long").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("pool string, at_ms long, item long").option("maxFilesPerTrigger", 1).parquet(path)
+    want = L.micro_batches(spark.createDataFrame(rows, "pool string, at_ms long, item long"), 4, 300)
+    assert rows_of(SL.micro_batches(stream, 4, 300)) == rows_of(want)
 
 
 def batches_by_hand(times, size, window):
