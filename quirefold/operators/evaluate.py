@@ -142,15 +142,21 @@ def class_ap(curve: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     return curve.groupBy(*scope, "candidate", "label").agg(F.round(F.avg("precision"), 5).alias("ap"))
 
 
-def coco_summary(truth: DataFrame, pred: DataFrame, curve: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """mAP at [.5:.95], .5 and .75 with counts; ``truth`` and ``pred`` are the evaluated inputs."""
+def coco_summary(
+    truth: DataFrame, pred: DataFrame, curve: DataFrame, scope: Sequence[str] = SCOPE, listed: DataFrame | None = None
+) -> DataFrame:
+    """mAP at [.5:.95], .5 and .75 with counts; ``truth`` and ``pred`` are the evaluated inputs.
+
+    ``listed`` is the truth before boxes without area went: every page of it is an image.
+    """
     scores = curve.groupBy(*scope, "candidate").agg(
         F.round(F.avg("precision"), 5).alias("map"),
         F.round(F.avg(F.when(F.col("thr") == 0, F.col("precision"))), 5).alias("map50"),
         F.round(F.avg(F.when(F.col("thr") == 5, F.col("precision"))), 5).alias("map75"),
     )
+    every = truth if listed is None else listed
     size = (
-        truth.groupBy(*scope, "page_id").agg(F.count("*").alias("_n"))
+        every.groupBy(*scope, "page_id").agg(F.sum(has_area().cast("bigint")).alias("_n"))
         .groupBy(*scope).agg(F.count("*").alias("n_images"), F.sum("_n").alias("n_annotations"))
     )
     found = pred.groupBy(*scope, "candidate").agg(F.count("*").alias("n_detections"))
@@ -163,7 +169,7 @@ def coco_empty(axis: DataFrame, summary: DataFrame, scope: Sequence[str] = SCOPE
     return axis.join(summary, [*scope, "candidate"], "left").select(
         *scope, "candidate",
         *[F.coalesce(F.col(c), F.lit(0).cast("bigint" if c == "n_detections" else "double")).alias(c) for c in numbers],
-        F.when(F.col("map").isNull(), "no detections above the score floor").otherwise("").alias("note"),
+        F.when(F.col("map").isNull(), "nothing_detected").otherwise("").alias("note"),
     )
 
 
@@ -174,7 +180,7 @@ def evaluate(
     """(summary, per-class AP) for every candidate and scope in one pass."""
     t, p = eval_inputs(truth, pred, categories, floor, scope)
     curve = pr_curve(t, p, scope)
-    return coco_summary(t, p, curve, scope), class_ap(curve, scope)
+    return coco_summary(t, p, curve, scope, truth), class_ap(curve, scope)
 
 
 def _truth_order_matches(truth: DataFrame, pred: DataFrame, scope: Sequence[str], min_iou: float, thresholds: Sequence[float], limit: int) -> DataFrame:
@@ -195,16 +201,20 @@ def precision_recall(
     scope: Sequence[str] = SCOPE,
     min_iou: float = K.MATCH_IOU,
     limit: int = FOLD_BOXES,
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
-    """Precision and recall at each score threshold; truths choose first, in their own order."""
+    """Precision and recall at each score threshold; truths choose first, in their own order.
+
+    ``candidates`` (scope columns and ``candidate``) names who is measured; one without a
+    prediction gets zeros. Without it, whoever predicted something anywhere is measured.
+    """
     pages = truth.select(*scope, "page_id").distinct()
     on_page = pred.join(pages, [*scope, "page_id"], "left_semi")
-    steps = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"_n{i}").alias("n_pred")) for i, t in enumerate(thresholds)]))
-    offered = (
-        on_page.groupBy(*scope, "candidate")
-        .agg(*[F.sum((F.col("score") >= t).cast("bigint")).alias(f"_n{i}") for i, t in enumerate(thresholds)])
-        .select(*scope, "candidate", steps.alias("_s")).select(*scope, "candidate", "_s.*")
-    )
+    counted = lambda i: F.coalesce(F.col(f"_n{i}"), F.lit(0).cast("bigint"))
+    steps = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), counted(i).alias("n_pred")) for i, t in enumerate(thresholds)]))
+    axis = (pred if candidates is None else candidates).select(*scope, "candidate").distinct()
+    counts = on_page.groupBy(*scope, "candidate").agg(*[F.sum((F.col("score") >= t).cast("bigint")).alias(f"_n{i}") for i, t in enumerate(thresholds)])
+    offered = axis.join(counts, [*scope, "candidate"], "left").select(*scope, "candidate", steps.alias("_s")).select(*scope, "candidate", "_s.*")
     tp = (
         _truth_order_matches(truth, on_page, scope, min_iou, thresholds, limit)
         .groupBy(*scope, "candidate", "threshold").agg(F.count("*").alias("tp"))
@@ -221,10 +231,11 @@ def precision_recall(
 
 
 def best_f1_threshold(
-    truth: DataFrame, pred: DataFrame, grid: Sequence[float] = K.F1_GRID, scope: Sequence[str] = SCOPE, limit: int = FOLD_BOXES
+    truth: DataFrame, pred: DataFrame, grid: Sequence[float] = K.F1_GRID, scope: Sequence[str] = SCOPE, limit: int = FOLD_BOXES,
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
-    """The threshold with the best F1; the lowest one on ties."""
-    swept = precision_recall(truth, pred, sorted(grid), scope, limit=limit)
+    """The threshold with the best F1; the lowest one on ties, also for a candidate that predicts nothing."""
+    swept = precision_recall(truth, pred, sorted(grid), scope, limit=limit, candidates=candidates)
     best = F.max_by(F.struct("threshold", "f1"), F.struct(F.col("f1"), -F.col("threshold")))
     return swept.groupBy(*scope, "candidate").agg(best.alias("_b")).select(*scope, "candidate", "_b.threshold", "_b.f1")
 
@@ -337,21 +348,37 @@ def class_ap_delta(candidate_ap: DataFrame, reference_ap: DataFrame, keys: Seque
 
 
 def evaluation_row(
-    operating: DataFrame, pr: DataFrame, clean: DataFrame, shift: DataFrame, agreement: DataFrame, keys: Sequence[str], reference: str, candidate: str
+    calib: tuple[DataFrame, DataFrame], clean: tuple[DataFrame, DataFrame], shift: tuple[DataFrame, DataFrame], candidate: str, reference: str,
+    same_weights: Column | None = None, same_path: Column | None = None, map_floor: float | None = K.SCORE_FLOOR, categories: Sequence[str] = K.CLASS_NAMES,
+    scope: Sequence[str] = ("ws",),
 ) -> DataFrame:
-    """One metrics row per key: operating point, P/R, clean and shifted maps of both sides, agreement."""
-
-    def side(frame: DataFrame, who: str, name: str) -> DataFrame:
-        return frame.where(F.col("candidate") == who).select(*keys, F.col("map").alias(name))
-
-    out = operating.where(F.col("candidate") == candidate).select(
-        *keys, F.col("threshold").alias("operating_threshold"), F.round("f1", 5).alias("calib_f1"))
-    parts = [
-        pr.where(F.col("candidate") == candidate).select(*keys, F.round("precision", 5).alias("precision"), F.round("recall", 5).alias("recall")),
-        side(clean, candidate, "clean_candidate"), side(clean, reference, "clean_reference"),
-        side(shift, candidate, "shift_candidate"), side(shift, reference, "shift_reference"),
-        agreement.select(*keys, F.round("agreement", 5).alias("agreement")),
-    ]
-    for part in parts:
-        out = out.join(part, list(keys), "left")
-    return out
+    """One evaluation record per scope; each argument pair is (truth, predictions of all candidates).
+
+    The candidate's threshold with the best F1 on the clean calibration split is frozen;
+    precision, recall and the agreement with the reference are measured at it on the clean
+    test split. Maps are scored from ``map_floor`` up, or from the frozen threshold where
+    it is None.
+    """
+    who = [candidate, reference]
+    axis = clean[0].select(*scope).distinct().select(*scope, F.explode(F.array(*[F.lit(w) for w in who])).alias("candidate"))
+    mine = axis.where(F.col("candidate") == candidate)
+    only = lambda pred: pred.where(F.col("candidate") == candidate)
+    chosen = materialize(best_f1_threshold(calib[0], only(calib[1]), scope=scope, candidates=mine).drop("candidate"))
+    frozen = lambda pred: pred.join(chosen.select(*scope, "threshold"), list(scope)).where(F.col("score") >= F.col("threshold")).drop("threshold")
+    at_threshold = materialize(frozen(clean[1].where(F.col("candidate").isin(who))))
+    pr = precision_recall(clean[0], only(at_threshold), (0.0,), scope, candidates=mine)
+    agree = mean_agreement(clean[0], only(at_threshold), at_threshold.where(F.col("candidate") == reference), scope, same_weights, same_path)
+
+    def maps(sides: tuple[DataFrame, DataFrame]) -> DataFrame:
+        truth, pred = sides[0], sides[1].where(F.col("candidate").isin(who))
+        t, p = eval_inputs(truth, frozen(pred) if map_floor is None else pred, categories, map_floor or 0.0, scope)
+        return coco_empty(axis, coco_summary(t, p, pr_curve(t, p, scope), scope, truth), scope)
+
+    out = chosen.select(*scope, F.col("threshold").alias("operating_threshold"), F.round("f1", 5).alias("calib_f1"))
+    out = out.join(pr.select(*scope, F.round("precision", 5).alias("precision"), F.round("recall", 5).alias("recall")), list(scope), "left")
+    for name, sides in (("clean", clean), ("shift", shift)):
+        scored = materialize(maps(sides))
+        for side, label in ((candidate, "candidate"), (reference, "reference")):
+            columns = [F.col(c).alias(f"{name}_{label}{c.removeprefix('map') and '_' + c}") for c in ("map", "map50")]
+            out = out.join(scored.where(F.col("candidate") == side).select(*scope, *columns), list(scope), "left")
+    return out.join(agree.select(*scope, F.round("agreement", 5).alias("agreement")), list(scope), "left")

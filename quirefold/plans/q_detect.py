@@ -174,6 +174,10 @@ def _curve(s, d):
     return t, p, E.pr_curve(t, p)
 
 
+def _listed(s, d):
+    return _tested(_truth(s, d))
+
+
 def pr_curve(s, d):
     return _curve(s, d)[2].select("ws", "dataset", "candidate", "label", F.col("thr").cast("bigint").alias("thr"),
                                   F.col("recall_point").cast("bigint").alias("recall_point"), F.round("precision", 9).alias("precision"))
@@ -181,7 +185,7 @@ def pr_curve(s, d):
 
 def coco_map(s, d):
     t, p, c = _curve(s, d)
-    return E.coco_summary(t, p, c)
+    return E.coco_summary(t, p, c, listed=_listed(s, d))
 
 
 def class_ap(s, d):
@@ -197,19 +201,24 @@ def coco_empty(s, d):
 
 
 def quality_table(s, d):
-    """All candidates on the clean and the scanned set in one job."""
-    scope = ["dataset"]
-    t, p = E.eval_inputs(_tested(_truth(s, d)), _tested(_runs(s, d)), CLASSES, scope=scope)
-    return E.coco_summary(t, p, E.pr_curve(t, p, scope), scope)
+    """All candidates on the clean and the scanned set in one job, per workspace."""
+    t, p = _inputs(s, d)
+    return E.coco_summary(t, p, E.pr_curve(t, p), listed=_listed(s, d)).select("ws", "dataset", "candidate", "map", "map50", "n_images", "n_annotations", "n_detections")
+
+
+def _measured(s, d):
+    """Both candidates and a third that predicts nothing."""
+    sets = _truth(s, d).select("ws", "dataset").distinct()
+    return sets.select("ws", "dataset", F.explode(F.array(*[F.lit(c) for c in ("candidate", "reference", "silent")])).alias("candidate"))
 
 
 def precision_recall(s, d):
-    out = E.precision_recall(_tested(_truth(s, d)), _tested(_runs(s, d)))
+    out = E.precision_recall(_tested(_truth(s, d)), _tested(_runs(s, d)), candidates=_measured(s, d))
     return out.select("ws", "dataset", "candidate", "tp", "n_pred", "n_truth", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 def best_f1_threshold(s, d):
-    return E.best_f1_threshold(_tested(_truth(s, d), "calib"), _tested(_runs(s, d), "calib")).select(
+    return E.best_f1_threshold(_tested(_truth(s, d), "calib"), _tested(_runs(s, d), "calib"), candidates=_measured(s, d)).select(
         "ws", "dataset", "candidate", "threshold", F.round("f1", 6).alias("f1"))
 
 
@@ -257,14 +266,12 @@ def class_ap_delta(s, d):
 
 
 def evaluation_row(s, d):
+    """The reference of w3 has other weights, so no agreement is asked for there."""
     truth, runs = _truth(s, d), _runs(s, d)
-    op = E.best_f1_threshold(_tested(truth, "calib"), _tested(runs, "calib"), scope=["ws"])
-    pr = E.precision_recall(_tested(truth), _tested(runs), scope=["ws"])
-    t, p, c = _curve(s, d)
-    both = E.coco_summary(t, p, c)
-    agree = E.mean_agreement(_tested(truth), _tested(table(s, d, "fx_pred")), _tested(table(s, d, "fx_ref")), scope=["ws"])
-    return E.evaluation_row(op, pr, both.where(F.col("dataset") == "synth-clean"), both.where(F.col("dataset") == "synth-scan"),
-                            agree, ["ws"], "reference", "candidate")
+    side = lambda split, dataset: tuple(_tested(f, split).where(F.col("dataset") == dataset) for f in (truth, runs))
+    return E.evaluation_row(
+        side("calib", "synth-clean"), side("test", "synth-clean"), side("test", "synth-scan"), "candidate", "reference",
+        same_weights=F.col("ws") != "w3", same_path=F.lit(False), categories=CLASSES)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -342,15 +349,18 @@ def _pr_sql(split: str, grid: list[float], scope: str) -> str:
       edges AS (SELECT pairs.*, threshold FROM pairs JOIN grid ON score >= threshold WHERE v >= 0.5::DOUBLE),
       {walk_sql(scope + ", candidate, page_id, label, threshold", "l, v DESC, r DESC")},
       hits AS (SELECT {scope}, candidate, threshold, count(*) AS tp FROM matched GROUP BY ALL),
-      offered AS (SELECT {scope}, candidate, threshold, count(*) FILTER (score >= threshold) AS n_pred FROM p, grid GROUP BY ALL),
+      counted AS (SELECT {scope}, candidate, threshold, count(*) FILTER (score >= threshold) AS n_pred FROM p, grid GROUP BY ALL),
       wanted AS (SELECT {scope}, count(*) AS n_truth FROM t GROUP BY ALL),
-      pr AS (SELECT *, tp::DOUBLE / n_pred AS precision, tp::DOUBLE / n_truth AS recall FROM
-             (SELECT {scope}, candidate, threshold, coalesce(tp, 0) AS tp, n_pred, n_truth FROM offered JOIN wanted USING ({scope}) LEFT JOIN hits USING ({scope}, candidate, threshold)) x),
+      offered AS (SELECT * FROM (SELECT {scope} FROM wanted), grid, (VALUES ('candidate'), ('reference'), ('silent')) AS c(candidate)),
+      pr AS (SELECT *, CASE WHEN n_pred > 0 THEN tp::DOUBLE / n_pred ELSE 0 END AS precision, tp::DOUBLE / n_truth AS recall FROM
+             (SELECT {scope}, candidate, threshold, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred, n_truth FROM offered JOIN wanted USING ({scope})
+              LEFT JOIN counted USING ({scope}, candidate, threshold) LEFT JOIN hits USING ({scope}, candidate, threshold)) x),
       f1 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM pr),
       best AS (SELECT {scope}, candidate, threshold, f1 FROM (SELECT *, row_number() OVER (PARTITION BY {scope}, candidate ORDER BY f1 DESC, threshold) AS rn FROM f1) WHERE rn = 1)"""
 
 
-_AGREE = f"""WITH RECURSIVE a AS (SELECT * FROM fx_pred), b AS (SELECT * FROM fx_ref),
+def _agree_sql(a: str, b: str) -> str:
+    return f"""WITH RECURSIVE a AS ({a}), b AS ({b}),
   edges AS (SELECT * FROM (SELECT a.ws, a.dataset, a.page_id, a.label, a.det_id AS l, b.det_id AS r, {iou_sql('a.', 'b.')} AS v
             FROM a JOIN b ON a.ws = b.ws AND a.dataset = b.dataset AND a.page_id = b.page_id AND a.label = b.label) z WHERE v >= 0.9::DOUBLE),
   {walk_sql("ws, dataset, page_id, label", "v DESC, l DESC, r DESC")},
@@ -360,6 +370,21 @@ _AGREE = f"""WITH RECURSIVE a AS (SELECT * FROM fx_pred), b AS (SELECT * FROM fx
   agree AS (SELECT ws, dataset, page_id, split, coalesce(matched, 0) AS matched, n_a, n_b, 2.0::DOUBLE * coalesce(matched, 0) / (n_a + n_b) AS agreement
             FROM cc LEFT JOIN mm USING (ws, dataset, page_id))"""
 
+
+_AGREE = _agree_sql("SELECT * FROM fx_pred", "SELECT * FROM fx_ref")
+_CHOSEN = _pr_sql("calib", K.F1_GRID, "ws, dataset") + " SELECT ws, threshold, f1 FROM best WHERE candidate = 'candidate' AND dataset = 'synth-clean'"
+_FROZEN = "SELECT x.* FROM {} x JOIN chosen c ON c.ws = x.ws WHERE x.score >= c.threshold AND x.split = 'test' AND x.dataset = 'synth-clean'"
+_EVALUATION = f"""WITH chosen AS MATERIALIZED ({_CHOSEN}),
+  prs AS ({_pr_sql("test", K.F1_GRID, "ws, dataset")} SELECT ws, threshold, precision, recall FROM pr WHERE candidate = 'candidate' AND dataset = 'synth-clean'),
+  maps AS MATERIALIZED ({_summary_sql("ws, dataset")} SELECT ws, dataset, candidate, map, map50 FROM coco),
+  agreed AS ({_agree_sql(_FROZEN.format("fx_pred"), _FROZEN.format("fx_ref"))} SELECT ws, avg(coalesce(agreement, 1.0)) AS agreement
+    FROM (SELECT DISTINCT ws, dataset, page_id FROM fx_truth WHERE split = 'test' AND dataset = 'synth-clean') t LEFT JOIN agree USING (ws, dataset, page_id) GROUP BY ws),
+  one AS (SELECT ws, {", ".join(f"coalesce(max({m}) FILTER (dataset = '{ds}' AND candidate = '{who}'), 0) AS {name}_{who}{'_map50' if m == 'map50' else ''}"
+                               for name, ds in (("clean", "synth-clean"), ("shift", "synth-scan")) for who in ("candidate", "reference") for m in ("map", "map50"))} FROM maps GROUP BY ws)
+  SELECT ws, threshold AS operating_threshold, round(f1, 5) AS calib_f1, round(precision, 5) AS precision, round(recall, 5) AS recall, one.* EXCLUDE (ws),
+    CASE WHEN ws <> 'w3' THEN round(agreement, 5) END AS agreement
+  FROM chosen LEFT JOIN prs USING (ws, threshold) LEFT JOIN one USING (ws) LEFT JOIN agreed USING (ws)"""
+
 _PAIRS = """pairs AS (SELECT w.ws, w.id, w.role, s.id AS shadow_item_id, pr.id AS primary_id, sr.id AS shadow_id,
     pr.detections AS pd, sr.detections AS sd
   FROM fx_item w LEFT JOIN fx_prediction pr ON pr.work_item_id = w.id AND pr.ws = w.ws AND pr.candidate_id = w.candidate_id
@@ -423,8 +448,9 @@ ORACLES = {k: oracle(v) for k, v in {
     "class_ap": _curve_sql("ws, dataset") + " SELECT ws, dataset, candidate, label, round(avg(prec), 5) AS ap FROM curve GROUP BY ALL",
     "coco_empty": _summary_sql("ws, dataset") + """, ax AS (SELECT DISTINCT ws, dataset, candidate FROM fx_runs UNION SELECT DISTINCT ws, dataset, 'silent' FROM fx_runs WHERE candidate = 'reference')
         SELECT ws, dataset, candidate, coalesce(map, 0) AS map, coalesce(map50, 0) AS map50, coalesce(map75, 0) AS map75, coalesce(n_detections, 0) AS n_detections,
-          CASE WHEN map IS NULL THEN 'no detections above the score floor' ELSE '' END AS note FROM ax LEFT JOIN coco USING (ws, dataset, candidate)""",
-    "quality_table": _summary_sql("dataset") + " SELECT * FROM coco",
+          CASE WHEN map IS NULL THEN 'nothing_detected' ELSE '' END AS note FROM ax LEFT JOIN coco USING (ws, dataset, candidate)""",
+    "quality_table": _summary_sql("ws, dataset") + " SELECT ws, dataset, candidate, map, map50, n_images, n_annotations, n_detections FROM coco",
+    "evaluation_row": _EVALUATION,
     "precision_recall": _pr_sql("test", [0.3], "ws, dataset") + " SELECT ws, dataset, candidate, tp, n_pred, n_truth, round(precision, 6) AS precision, round(recall, 6) AS recall FROM pr",
     "best_f1_threshold": _pr_sql("calib", K.F1_GRID, "ws, dataset") + " SELECT ws, dataset, candidate, threshold, round(f1, 6) AS f1 FROM best",
     "detection_agreement": _AGREE + " SELECT page_id, matched, n_a, n_b, round(agreement, 6) AS agreement FROM agree",
