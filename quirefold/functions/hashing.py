@@ -8,12 +8,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The two-character escapes of JSON.
+SHORT_ESCAPES = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
 def json_text(value: Column) -> Column:
-    """A JSON string literal."""
-    escaped = F.regexp_replace(value, r'([\\"])', r"\\$1")
-    for raw, name in (("\n", "n"), ("\r", "r"), ("\t", "t")):
-        escaped = F.replace(escaped, F.lit(raw), F.lit("\\" + name))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    """A JSON string literal in ASCII: other characters as ``\\uXXXX``, pairs of them above U+FFFF."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def escaped(c: Column) -> Column:
+        point = F.ascii(c).cast("bigint")
+        out = F.when(point > 0xFFFF, F.concat(unit(F.lit(0xD800 - 0x40) + F.shiftright(point, 10)), unit(F.lit(0xDC00) + point.bitwiseAND(F.lit(0x3FF)))))
+        for raw, short in SHORT_ESCAPES.items():
+            out = out.when(c == raw, short)
+        return out.when((point < 0x20) | (point > 0x7E), unit(point)).otherwise(c)
+
+    points = F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
+    plain = ~value.rlike(r'[^\x20-\x7E]|["\\]')
+    return F.concat(F.lit('"'), F.when(plain, value).otherwise(F.array_join(F.transform(points, escaped), "")), F.lit('"'))
 
 
 def json_object(fields: Mapping[str, Column]) -> Column:

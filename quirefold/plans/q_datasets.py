@@ -209,7 +209,11 @@ _ISSUES = f"""tb AS (SELECT ws, page_id, box_id, label, CASE WHEN box_id % 31 =
     UNION ALL SELECT a.ws, a.page_id, 'same_class_overlap' FROM tb a JOIN tb b ON a.ws = b.ws AND a.page_id = b.page_id AND a.label = b.label AND a.box_id < b.box_id WHERE {iou_sql('a.', 'b.')} > 0.3::DOUBLE)"""
 _Q = {
     "canonical_hash": """SELECT c_custkey, sha256(concat('{"acctbal_cents":', floor(c_acctbal * 100)::BIGINT, ',"name":"', c_name, '","nation":', c_nationkey, ',"segment":"', c_mktsegment, '"}')) AS hash FROM customer""",
-    "document_hash": r"""SELECT doc_id, sha256(concat('{"lang":"', lang, '","text":"', replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t'), '"}')) AS hash FROM documents""",
+    "document_hash": r"""WITH u AS (SELECT doc_id, lang, list_transform(string_split(text, ''), lambda c: CASE WHEN c IN ('"', '\') THEN '\' || c
+          WHEN c = chr(8) THEN '\b' WHEN c = chr(9) THEN '\t' WHEN c = chr(10) THEN '\n' WHEN c = chr(12) THEN '\f' WHEN c = chr(13) THEN '\r'
+          WHEN unicode(c) > 65535 THEN printf('\u%04x\u%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024)
+          WHEN unicode(c) > 126 OR unicode(c) < 32 THEN printf('\u%04x', unicode(c)) ELSE c END) AS cs FROM documents)
+        SELECT doc_id, sha256(concat('{"lang":"', lang, '","text":"', array_to_string(cs, ''), '"}')) AS hash FROM u""",
     "label_map_hash": """SELECT p_partkey, sha256(concat('{"0":"', p_brand, '","10":"', p_type, '","2":"', p_name, '"}')) AS hash FROM part""",
     "profile_hash": f"SELECT p_partkey, sha256({_PRE}) AS preprocess_hash, sha256({_RUN}) AS runtime_hash FROM part",
     "candidate_hash": f"""SELECT p_partkey, sha256(concat('{{"artifact_sha":"', sha256(p_name), '","label_map_hash":"', p_brand, '","preprocess":', {_PRE}, ',"runtime":', {_RUN}, ',"score_threshold":', p_size::DOUBLE / 100, ',"tile_enabled":', CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END, '}}')) AS hash FROM part""",

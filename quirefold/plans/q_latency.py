@@ -15,13 +15,13 @@ from quirefold.plans.q_detect import _shadow_sides
 def coerce_timestamps(s, d):
     """Event times rendered in several text forms, some blank or broken, read back to milliseconds."""
     e = table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("t"))
-    text = (
-        F.when(F.col("event_id") % 7 == 0, F.date_format("t", "yyyy-MM-dd HH:mm:ss"))
-        .when(F.col("event_id") % 7 == 1, F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss"))
-        .when(F.col("event_id") % 7 == 2, F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-        .when(F.col("event_id") % 7 == 3, F.concat(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
-        .when(F.col("event_id") % 7 == 4, F.concat(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
-        .when(F.col("event_id") % 7 == 5, F.lit("  ")).otherwise(F.lit("not a time")))
+    shown = lambda form, *tail: F.concat(F.date_format("t", form), *[F.lit(x) for x in tail])
+    forms = [
+        shown("yyyy-MM-dd HH:mm:ss"), shown("yyyy-MM-dd'T'HH:mm:ss"), shown("yyyy-MM-dd HH:mm:ss.SSSSSS"), shown("yyyy-MM-dd'T'HH:mm:ss", "+02:00"),
+        shown("yyyy-MM-dd'T'HH:mm:ss", "Z"), F.lit("  "), F.lit("not a time"), shown("yyyy-MM-dd HH:mm:ss.SSSSSS", "+00:00"), shown("yyyy-MM-dd HH:mm:ss", "+00"),
+        shown("yyyy-MM-dd'T'HH:mm"), shown("yyyy-MM-dd'T'HH:mm:ss.SSS", "-0330"), shown("yyyy-MM-dd"), F.lit("2026-13-01 00:00:00"),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("event_id") % len(forms) + 1).cast("int"))
     return e.select("event_id", F.coalesce(F.unix_millis(coerce_ts(text)), F.lit(-1)).alias("at_ms"))
 
 
@@ -104,8 +104,9 @@ _BT = f"""timed AS (SELECT *, {_QI} AS qi, {_SVC} AS svc, {_BW} AS bw FROM fx_it
 from quirefold.plans.q_detect import _SHADOW  # noqa: E402
 
 ORACLES = {k: oracle(v) for k, v in {
-    "coerce_ts": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN @idiv(epoch_us(ts), 1000000) * 1000 WHEN 1 THEN @idiv(epoch_us(ts), 1000000) * 1000 WHEN 2 THEN @ms(ts)
-        WHEN 3 THEN @idiv(epoch_us(ts), 1000000) * 1000 - 7200000 WHEN 4 THEN @idiv(epoch_us(ts), 1000000) * 1000 ELSE -1 END AS at_ms FROM events""",
+    "coerce_ts": """SELECT event_id, CASE event_id % 13 WHEN 0 THEN @idiv(epoch_us(ts), 1000000) * 1000 WHEN 1 THEN @idiv(epoch_us(ts), 1000000) * 1000 WHEN 2 THEN @ms(ts)
+        WHEN 3 THEN @idiv(epoch_us(ts), 1000000) * 1000 - 7200000 WHEN 4 THEN @idiv(epoch_us(ts), 1000000) * 1000 WHEN 7 THEN @ms(ts) WHEN 8 THEN @idiv(epoch_us(ts), 1000000) * 1000
+        WHEN 9 THEN @idiv(epoch_us(ts), 60000000) * 60000 WHEN 10 THEN @ms(ts) + 12600000 WHEN 11 THEN @idiv(epoch_us(ts), 86400000000) * 86400000 ELSE -1 END AS at_ms FROM events""",
     "delta_ms": f"SELECT id, coalesce({_QI}, -1)::DOUBLE AS ms FROM fx_item",
     "item_timings": f"SELECT id, coalesce({_QI}, -1)::DOUBLE AS queue_inclusive_ms, coalesce({_SVC}, -1)::DOUBLE AS service_ms, coalesce({_BW}, -1)::DOUBLE AS batch_wait_ms FROM fx_item",
     "batch_timings": f"WITH {_BT} SELECT * FROM bt",

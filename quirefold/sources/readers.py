@@ -44,10 +44,11 @@ def object_listing(spark: SparkSession, root: str, stream: bool = False) -> Data
     if stream:
         reader = reader.schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
     files = reader.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file:")
+    # Spark reports paths below the root as its file system spells it
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString().rstrip("/")
     return files.select(
-        F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), f"^{base}/", "").alias("key"),
-        F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+        F.expr(f"substring(path, {len(base) + 2})").alias("key"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
 def bench_samples(spark: SparkSession, root: str, pretty: bool = True) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import json
 import struct
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from quirefold.functions import hashing, times
 from quirefold.functions.media import header_dims, sniff_media
 from quirefold.operators import ingest as I
 from quirefold.sources import readers, sinks
@@ -95,3 +97,26 @@ def test_tables_keep_their_stored_names(spark, tmp_path):
     assert "workspace_id" in spark.read.parquet(f"{tmp_path}/channel").columns
     back = readers.load_table(spark, str(tmp_path), "channel")
     assert back.first().ws == "w" and dict(back.dtypes)["version"] == "bigint"
+
+
+def test_json_text_matches_the_json_module(spark):
+    texts = ["", "plain", "é", "日本", "😀", 'q"b\\s', "\x00\x01\x1f\x7f\b\f\n\r\t", "a\u2028b", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(hashing.json_text(F.col("t")))
+    assert [r[0] for r in df.collect()] == [None if t is None else json.dumps(t) for t in texts]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2026-01-01 10:00:00.123456+00:00", "2026-01-01 10:00:00.123456"), ("2026-01-01 10:00:00+00", "2026-01-01 10:00:00"), ("2026-01-01T10:00", "2026-01-01 10:00:00"),
+    ("2026-01-01T10:00:00.5-03:30", "2026-01-01 13:30:00.5"), ("2026-01-01", "2026-01-01 00:00:00"), ("2026-02-30 10:00:00", None), ("10:00", None), ("", None), (None, None),
+])
+def test_timestamp_forms(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(times.coerce_ts(F.col("t"))).first()[0]
+    assert got == (None if want is None else datetime.fromisoformat(want))
+
+
+def test_object_keys_below_an_odd_root(spark, tmp_path):
+    root = tmp_path / "a.b+c (1)"
+    (root / "x").mkdir(parents=True)
+    (root / "x" / "y.bin").write_bytes(b"12")
+    for given in (str(root), f"file://{root}", f"file:{root}/"):
+        assert [tuple(r) for r in readers.object_listing(spark, given).select("key", "size").collect()] == [("x/y.bin", 2)]
