@@ -68,7 +68,7 @@ class MissingDataset(ValueError):
 def require_dataset(truth: DataFrame, names: Sequence[str]) -> DataFrame:
     for name in names:
         if truth.where(F.col("dataset") == name).isEmpty():
-            raise MissingDataset(f"dataset {name} is not built")
+            raise MissingDataset(name)
     return truth
 
 

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold import constants as K
 from quirefold.functions.jsoncols import decode
 from quirefold.operators.catalog import latest_evaluation, newest_per
+from quirefold.operators.memory import predict_peak
 
 # Gate names in report order.
 GATES = ["G1_quality_clean", "G2_quality_shift", "G3_critical_classes", "G4_runtime_parity", "G5_memory_fit", "G6_provenance"]
 
 
 def _drop_detail(cand: Column, ref: Column) -> Column:
-    return F.format_string("candidate %.5f vs reference %.5f (drop %+.5f)", cand, ref, ref - cand)
+    return F.format_string("%.5f:%.5f", cand, ref)
+
+
+def drops_text(drops: Column) -> Column:
+    """``label=drop`` of every critical class, by label."""
+    return F.array_join(F.transform(F.map_entries(drops), lambda e: F.concat_ws("=", e["key"], F.format_string("%.5f", e["value"]))), ";")
 
 
 def class_drops(class_ap: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,6 +40,7 @@ def class_drops(class_ap: DataFrame, keys: list[str]) -> DataFrame:
 def gate_verdicts(metrics: DataFrame, drops: DataFrame, keys: list[str], budget: int = K.WORKER_MEM_BUDGET) -> DataFrame:
     """Six rows per candidate: gate, passed, observed, threshold, detail.
 
+    ``drops`` comes from ``class_drops``, ``peak_bytes`` from ``with_predicted_peak``.
     Comparisons stay in DOUBLE. A gate whose input is NULL passes and says so.
     """
     m = metrics.join(drops, keys, "left")
@@ -48,21 +57,28 @@ def gate_verdicts(metrics: DataFrame, drops: DataFrame, keys: list[str], budget:
         row(GATES[0], c("ref_map") - c("cand_map") <= F.lit(K.GATE_CLEAN_DROP), F.round("cand_map", 5), c("ref_map"), _drop_detail(c("cand_map"), c("ref_map"))),
         row(GATES[1], c("ref_shift") - c("cand_shift") <= F.lit(K.GATE_SHIFT_DROP), F.round("cand_shift", 5), c("ref_shift"), _drop_detail(c("cand_shift"), c("ref_shift"))),
         row(GATES[2], F.coalesce("classes_ok", F.lit(True)), F.round("worst_drop", 5), F.lit(K.GATE_CLASS_DROP),
-            F.when(F.coalesce("worst_drop", F.lit(0.0)) > 0, "a critical class dropped").otherwise("no critical class dropped")),
+            F.coalesce(drops_text(c("drops")), F.lit(""))),
         row(GATES[3], missing | (c("agreement") >= F.lit(K.GATE_AGREEMENT)), F.round("agreement", 5), F.when(~missing, K.GATE_AGREEMENT),
-            F.when(missing, "not applicable; reported, not gated").otherwise("detection agreement")),
+            F.when(missing, "not_applicable").otherwise("agreement")),
         row(GATES[4], unmeasured | (c("peak_bytes") <= budget), c("peak_bytes"), F.when(~unmeasured, budget),
-            F.when(unmeasured, "not calibrated yet; reported, not gated").otherwise("calibrated peak against the budget")),
+            F.when(unmeasured, "not_calibrated").otherwise("predicted_peak")),
         row(GATES[5], c("provenance_ok"), no, no, F.when(c("provenance_ok"), "ok").otherwise("failed")),
     )
     return m.select(*keys, F.explode(rows).alias("_g")).select(*keys, F.col("_g.gate"), F.coalesce("_g.passed", F.lit(False)).alias("passed"),
                                                                "_g.observed", "_g.threshold", "_g.detail")
 
 
+def with_predicted_peak(metrics: DataFrame, fits: DataFrame, fit_key: str, batch: Column) -> DataFrame:
+    """``metrics`` with the peak that the memory fit of its candidate predicts; NULL where nothing was measured."""
+    parts = [fit_key, "m0", "m_item", "valid", "largest_peak"]
+    return metrics.drop("peak_bytes").join(fits.select(*parts), fit_key, "left").withColumn(
+        "peak_bytes", F.when(F.col("m0").isNotNull(), predict_peak(batch))).drop(*parts[1:])
+
+
 def gate_summary(verdicts: DataFrame, keys: list[str]) -> DataFrame:
     failed = F.sort_array(F.collect_list(F.when(~F.col("passed"), F.col("gate"))))
     return verdicts.groupBy(*keys).agg(F.bool_and("passed").alias("passed"), failed.alias("_f")).select(
-        *keys, "passed", F.when(F.col("passed"), "all gates passed").otherwise(F.concat(F.lit("blocked by "), F.array_join("_f", ", "))).alias("summary"))
+        *keys, "passed", F.when(F.col("passed"), "passed").otherwise(F.concat(F.lit("failed:"), F.array_join("_f", ","))).alias("summary"))
 
 
 def negative_control_blocked(verdicts: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,15 +86,15 @@ def negative_control_blocked(verdicts: DataFrame, keys: list[str]) -> DataFrame:
     return verdicts.groupBy(*keys).agg((failed(GATES[0]) & failed(GATES[1])).alias("blocked"))
 
 
-def provenance(candidates: DataFrame, artifacts: DataFrame, datasets: DataFrame) -> DataFrame:
+def provenance(candidates: DataFrame, artifacts: DataFrame, datasets: DataFrame, evaluation_sets: Sequence[str]) -> DataFrame:
     """First failing provenance rule per candidate. ``artifacts`` carries ``verdict`` from the byte check."""
-    named = datasets.groupBy("ws").agg(F.count("*").alias("_n"))
+    named = datasets.where(F.col("name").isin(list(evaluation_sets))).groupBy("ws").agg(F.count("*").alias("_n"))
     art = artifacts.select("ws", F.col("id").alias("artifact_id"), "verdict", "revision")
     joined = candidates.join(art, ["ws", "artifact_id"], "left").join(named, "ws", "left")
     why = (
-        F.when(F.coalesce("_n", F.lit(0)) == 0, "no evaluation dataset is registered")
-        .when(F.coalesce("verdict", F.lit("missing")) != "ok", F.concat(F.lit("artifact "), F.coalesce("verdict", F.lit("missing"))))
-        .when(F.coalesce("revision", F.lit("")).isin("", "main"), "artifact is not pinned to a revision").otherwise("ok"))
+        F.when(F.coalesce("_n", F.lit(0)) == 0, "no_evaluation_set")
+        .when(F.coalesce("verdict", F.lit("missing")) != "ok", F.concat(F.lit("artifact_"), F.coalesce("verdict", F.lit("missing"))))
+        .when(F.coalesce("revision", F.lit("")).isin("", "main"), "unpinned_revision").otherwise("ok"))
     return joined.select("ws", "id", why.alias("detail")).withColumn("provenance_ok", F.col("detail") == "ok")
 
 
@@ -131,9 +147,9 @@ def rollback_target(channels: DataFrame, releases: DataFrame) -> DataFrame:
     current = releases.select("ws", F.col("id").alias("active_release_id"), F.col("previous_release_id").alias("_prev"), F.lit(True).alias("_cur"))
     back = releases.select("ws", F.col("id").alias("_prev"), F.col("candidate_id").alias("target_candidate"), F.lit(True).alias("_found"))
     why = (
-        F.when(F.col("active_release_id").isNull(), "nothing to roll back from")
-        .when(F.col("_cur").isNull() | F.col("_prev").isNull(), "no previous release to return to")
-        .when(F.col("_found").isNull(), "the previous release no longer exists").otherwise("ok"))
+        F.when(F.col("active_release_id").isNull(), "no_live_release")
+        .when(F.col("_cur").isNull() | F.col("_prev").isNull(), "no_previous")
+        .when(F.col("_found").isNull(), "previous_missing").otherwise("ok"))
     return channels.join(current, ["ws", "active_release_id"], "left").join(back, ["ws", "_prev"], "left").select(
         "ws", "id", F.col("_prev").alias("target_release"), "target_candidate", why.alias("reason"))
 
@@ -175,8 +191,8 @@ def candidate_request_check(requests: DataFrame, artifacts: DataFrame, preproces
         .join(known(runtime, "profile_hash", "runtime_hash", "_r"), ["ws", "runtime_hash"], "left")
         .join(owners, ["ws", "candidate_hash"], "left"))
     verdict = (
-        F.when(F.col("_a").isNull(), "unknown artifact sha256").when(F.col("_p").isNull(), "unknown preprocess profile")
-        .when(F.col("_r").isNull(), "unknown runtime profile").when(F.col("existing_id").isNotNull(), "reuse").otherwise("create"))
+        F.when(F.col("_a").isNull(), "unknown_artifact").when(F.col("_p").isNull(), "unknown_preprocess")
+        .when(F.col("_r").isNull(), "unknown_runtime").when(F.col("existing_id").isNotNull(), "reuse").otherwise("create"))
     return out.withColumn("verdict", verdict)
 
 

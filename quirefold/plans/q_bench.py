@@ -65,10 +65,13 @@ def comparability(s, d):
 
 
 def speedups(s, d):
-    """Trials regrouped so that several configurations pass the stability rule; one ran on another host."""
+    """Trials regrouped so that several configurations pass the stability rule; each ran in a recorded environment of its own."""
     samples = table(s, d, "fx_sample").withColumn("trial", F.col("trial") % 2)
     trials = B.trial_summary(samples)
-    diffs = trials.select("config").distinct().withColumn("differs", F.when(F.col("config") == "view", "cpu_brand").otherwise("")).withColumn("run", F.lit("r1"))
+    e = _envs(s, d)
+    runs = trials.select("config").distinct().withColumn("n", F.length("config") % 4 + 1).join(e, "n")
+    base = e.where(F.col("n") == 1).select(F.lit("r1").alias("run"), F.col("env").alias("base"))
+    diffs = runs.withColumn("run", F.lit("r1")).join(base, "run").select("run", "config", F.array_join(B.env_differences("base", "env"), ",").alias("differs"))
     out = B.speedups(B.config_aggregate(trials), B.stability(trials, 0.05, 0.10), B.bootstrap_ci(trials), diffs)
     return out.withColumn("ratio", F.coalesce("ratio", F.lit(-1.0)))
 
@@ -99,18 +102,18 @@ def marginal_peaks(s, d):
     return M.marginal_peaks(table(s, d, "fx_memory"), ["host"], F.lit(1_000_000)).withColumn("batch", F.col("batch").cast("bigint"))
 
 
-def _fits(s, d):
+def memory_fits(s, d):
     return M.fit_memory(_peaks(s, d), ["host"])
 
 
 def fit_memory(s, d):
-    return _fits(s, d).select("host", "n", "m0", F.round("m_item", 2).alias("m_item"), F.round("max_residual", 2).alias("max_residual"), "valid", "invalid_reason")
+    return memory_fits(s, d).select("host", "n", "m0", F.round("m_item", 2).alias("m_item"), F.round("max_residual", 2).alias("max_residual"), "valid", "invalid_reason")
 
 
 def predict_peak(s, d):
     """Predicted peak of every supplier's batch on its host."""
     obs = table(s, d, "fx_memory")
-    return obs.join(_fits(s, d), "host").select("sample", M.predict_peak(F.col("batch")).alias("predicted"))
+    return obs.join(memory_fits(s, d), "host").select("sample", M.predict_peak(F.col("batch")).alias("predicted"))
 
 
 def effective_budget(s, d):
@@ -122,12 +125,12 @@ def effective_budget(s, d):
 def admit(s, d):
     obs = table(s, d, "fx_memory")
     pending = (F.col("sample") % 5) * 10_000_000
-    return obs.join(_fits(s, d), "host").select(
+    return obs.join(memory_fits(s, d), "host").select(
         "sample", M.admit(F.col("sample") % 6 + 1, F.lit(90_000_000).cast("bigint"), pending).cast("bigint").alias("admitted"))
 
 
 def mispredictions(s, d):
-    return M.mispredictions(table(s, d, "fx_memory"), _fits(s, d), ["host"]).groupBy("host").agg(
+    return M.mispredictions(table(s, d, "fx_memory"), memory_fits(s, d), ["host"]).groupBy("host").agg(
         F.sum(F.col("mispredicted").cast("bigint")).alias("mispredictions"), F.count("*").alias("n"))
 
 
@@ -137,7 +140,7 @@ def pending_bytes(s, d):
 
 
 def admission_stats(s, d):
-    fits = _fits(s, d)
+    fits = memory_fits(s, d)
     return M.admission_stats(fits, M.mispredictions(table(s, d, "fx_memory"), fits, ["host"]), ["host"])
 
 
@@ -162,15 +165,20 @@ _BOOT = """bv AS (SELECT config, list(queue_inclusive_p95 ORDER BY trial) AS v,
   bs AS (SELECT config, b, quantile_disc(x, 0.95) AS s FROM bd GROUP BY config, b),
   bl AS (SELECT config, list(s ORDER BY s) AS l FROM bs GROUP BY config),
   ci AS (SELECT config, l[251] AS ci_low, l[9751] AS ci_high FROM bl)"""
-_FIT = """pk AS (SELECT host, batch, greatest(0, max(peak)) AS peak FROM fx_memory GROUP BY host, batch),
+FIT_SQL = """pk AS (SELECT host, batch, greatest(0, max(peak)) AS peak FROM fx_memory GROUP BY host, batch),
   mn AS (SELECT host, count(*) AS n, avg(batch::DOUBLE) AS mx, avg(peak::DOUBLE) AS my, max(peak) AS top FROM pk GROUP BY host),
   sl AS (SELECT host, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, any_value(top) AS top, sum((batch - mx) * (peak - my)) AS xy, sum((batch - mx) * (batch - mx)) AS xx FROM pk JOIN mn USING (host) GROUP BY host),
   f0 AS (SELECT host, n, CASE WHEN n = 1 THEN (top - floor(top * 0.9::DOUBLE))::DOUBLE WHEN xx = 0 THEN 0 ELSE xy / xx END AS m_item, mx, my, top FROM sl),
   f1 AS (SELECT *, CASE WHEN n = 1 THEN floor(top * 0.9::DOUBLE) ELSE my - m_item * mx END AS b0 FROM f0),
   fit AS (SELECT host, any_value(n) AS n, trunc(any_value(b0))::BIGINT AS m0, any_value(m_item) AS m_item, CASE WHEN any_value(n) = 1 THEN abs(any_value(m_item)) ELSE max(abs(peak - (b0 + m_item * batch))) END AS max_residual,
     any_value(b0) >= 0 AS valid, CASE WHEN any_value(b0) < 0 THEN 'negative intercept' ELSE '' END AS invalid_reason, coalesce(max(peak) FILTER (peak > 0), 0)::BIGINT AS largest FROM pk JOIN f1 USING (host) GROUP BY host)"""
-_PRED = "(CASE WHEN valid THEN trunc(m0::DOUBLE + {0}::DOUBLE * m_item)::BIGINT ELSE largest END)"
+PREDICTED_SQL = "(CASE WHEN valid THEN trunc(m0::DOUBLE + {0}::DOUBLE * m_item)::BIGINT ELSE largest END)"
 _FP = "substring(sha256(concat_ws('|', coalesce(cpu_brand, ''), cpu_physical_cores, mem_total_bytes, coalesce(machine, ''), coalesce(os_version, ''))), 1, 16)"
+# names of the fields in which run b differs from run a
+_DIFFERS = """concat_ws(',', CASE WHEN a.cpu_brand IS DISTINCT FROM b.cpu_brand THEN 'cpu_brand' END, CASE WHEN a.cpu_physical_cores IS DISTINCT FROM b.cpu_physical_cores THEN 'cpu_physical_cores' END,
+        CASE WHEN a.cpu_perf_levels IS DISTINCT FROM b.cpu_perf_levels THEN 'cpu_perf_levels' END, CASE WHEN a.mem_total_bytes IS DISTINCT FROM b.mem_total_bytes THEN 'mem_total_bytes' END,
+        CASE WHEN a.os_version IS DISTINCT FROM b.os_version THEN 'os_version' END, CASE WHEN a.machine IS DISTINCT FROM b.machine THEN 'machine' END,
+        CASE WHEN a.onnxruntime_version IS DISTINCT FROM b.onnxruntime_version THEN 'library:onnxruntime' END, CASE WHEN a.torch_version IS DISTINCT FROM b.torch_version THEN 'library:torch' END)"""
 _Q = {
     "config_matrix": """SELECT model, runtime, resize, batch, threads, concat_ws('/', model, runtime, resize, concat('b', batch), concat('t', threads)) AS config FROM (SELECT DISTINCT p_brand AS model FROM part) m,
         (VALUES ('torch'), ('onnxruntime')) r(runtime), (VALUES ('pil_bilinear'), ('cv2_linear'), ('cv2_area')) z(resize), (VALUES (1::BIGINT), (2), (4), (8)) b(batch), (VALUES (4::BIGINT), (8)) t(threads)""",
@@ -181,13 +189,10 @@ _Q = {
     "config_aggregate": f"WITH {_trial_sql()}, {_AGG} SELECT * FROM ag",
     "stability": f"WITH {_trial_sql()}, {_STAB} SELECT config, n_trials, stable, round(cv, 6) AS cv, round(drift, 6) AS drift, reasons FROM st",
     "bootstrap_ci": f"WITH {_trial_sql()}, {_BOOT} SELECT * FROM ci",
-    "comparability": """SELECT b.n, concat_ws(',', CASE WHEN a.cpu_brand IS DISTINCT FROM b.cpu_brand THEN 'cpu_brand' END, CASE WHEN a.cpu_physical_cores IS DISTINCT FROM b.cpu_physical_cores THEN 'cpu_physical_cores' END,
-        CASE WHEN a.cpu_perf_levels IS DISTINCT FROM b.cpu_perf_levels THEN 'cpu_perf_levels' END, CASE WHEN a.mem_total_bytes IS DISTINCT FROM b.mem_total_bytes THEN 'mem_total_bytes' END,
-        CASE WHEN a.os_version IS DISTINCT FROM b.os_version THEN 'os_version' END, CASE WHEN a.machine IS DISTINCT FROM b.machine THEN 'machine' END,
-        CASE WHEN a.onnxruntime_version IS DISTINCT FROM b.onnxruntime_version THEN 'library:onnxruntime' END, CASE WHEN a.torch_version IS DISTINCT FROM b.torch_version THEN 'library:torch' END) AS differs
-        FROM fx_env a JOIN fx_env b ON b.n = a.n + 1""",
+    "comparability": f"SELECT b.n, {_DIFFERS} AS differs FROM fx_env a JOIN fx_env b ON b.n = a.n + 1",
     "speedups": f"""WITH s2 AS (SELECT * REPLACE (trial % 2 AS trial) FROM fx_sample), {_trial_sql('s2')}, {_AGG}, {_STAB}, {_BOOT},
-        full_ AS (SELECT ag.config, throughput_median, stable, ci_low, ci_high, CASE WHEN ag.config = 'view' THEN 'cpu_brand' ELSE '' END AS differs FROM ag JOIN st USING (config) JOIN ci USING (config)),
+        full_ AS (SELECT ag.config, throughput_median, stable, ci_low, ci_high, {_DIFFERS} AS differs FROM ag JOIN st USING (config) JOIN ci USING (config)
+          JOIN fx_env b ON b.n = length(ag.config) % 4 + 1 JOIN fx_env a ON a.n = 1),
         best AS (SELECT * FROM full_ WHERE stable ORDER BY throughput_median DESC, config DESC LIMIT 1),
         o AS (SELECT best.config AS best, f.config AS other, CASE WHEN NOT f.stable THEN 'unstable' WHEN f.differs <> '' THEN concat('differs in ', f.differs) WHEN f.throughput_median = 0 THEN 'zero throughput' ELSE '' END AS reason,
           best.throughput_median / f.throughput_median AS r, best.ci_low AS best_ci_low, best.ci_high AS best_ci_high, f.ci_low AS other_ci_low, f.ci_high AS other_ci_high FROM full_ f, best WHERE f.config <> best.config)
@@ -197,15 +202,15 @@ _Q = {
     "env_stamp": f"SELECT run, concat(cpu_brand, ' ', cpu_physical_cores, 'P+?E, ', os_version, ', torch ', torch_version, ', ORT ', coalesce(onnxruntime_version, '?'), ', measured 2026-10-05T10:00:00, host ', {_FP}) AS stamp FROM fx_env",
     "host_fingerprint": f"SELECT run, {_FP} AS host FROM fx_env",
     "marginal_peaks": "SELECT host, batch::BIGINT AS batch, greatest(0, max(peak - 1000000)) AS peak, max(peak) AS high_water FROM fx_memory GROUP BY host, batch",
-    "fit_memory": f"WITH {_FIT} SELECT host, n, m0, round(m_item, 2) AS m_item, round(max_residual, 2) AS max_residual, valid, invalid_reason FROM fit",
-    "predict_peak": f"WITH {_FIT} SELECT sample, {_PRED.format('batch')} AS predicted FROM fx_memory JOIN fit USING (host)",
+    "fit_memory": f"WITH {FIT_SQL} SELECT host, n, m0, round(m_item, 2) AS m_item, round(max_residual, 2) AS max_residual, valid, invalid_reason FROM fit",
+    "predict_peak": f"WITH {FIT_SQL} SELECT sample, {PREDICTED_SQL.format('batch')} AS predicted FROM fx_memory JOIN fit USING (host)",
     "effective_budget": """SELECT run, trunc(least(b, greatest(0, b * (1.0::DOUBLE - 0.15::DOUBLE))))::BIGINT AS budget, trunc(greatest(0, least(b, trunc(trunc(free_fraction * mem_total_bytes) * 0.5::DOUBLE)) * (1.0::DOUBLE - 0.15::DOUBLE)))::BIGINT AS host_budget
         FROM (SELECT *, n * 1000003 + 5 AS b FROM fx_env) z""",
-    "admit": f"""WITH {_FIT}, o AS (SELECT sample, 90000000 - (sample % 5) * 10000000 AS room, least(sample % 6 + 1, 4) AS most, fit.* FROM fx_memory JOIN fit USING (host))
-        SELECT sample, CASE WHEN any_value(room) <= 0 THEN 0 ELSE coalesce(max(b) FILTER (b <= most AND {_PRED.format('b')} + CASE WHEN valid THEN max_residual ELSE 0 END <= room), 0) END AS admitted FROM o, range(1, 5) t(b) GROUP BY sample""",
-    "mispredictions": f"WITH {_FIT} SELECT host, count(*) FILTER ({_PRED.format('batch')} > 0 AND peak > {_PRED.format('batch')} * 1.10::DOUBLE) AS mispredictions, count(*) AS n FROM fx_memory JOIN fit USING (host) GROUP BY host",
+    "admit": f"""WITH {FIT_SQL}, o AS (SELECT sample, 90000000 - (sample % 5) * 10000000 AS room, least(sample % 6 + 1, 4) AS most, fit.* FROM fx_memory JOIN fit USING (host))
+        SELECT sample, CASE WHEN any_value(room) <= 0 THEN 0 ELSE coalesce(max(b) FILTER (b <= most AND {PREDICTED_SQL.format('b')} + CASE WHEN valid THEN max_residual ELSE 0 END <= room), 0) END AS admitted FROM o, range(1, 5) t(b) GROUP BY sample""",
+    "mispredictions": f"WITH {FIT_SQL} SELECT host, count(*) FILTER ({PREDICTED_SQL.format('batch')} > 0 AND peak > {PREDICTED_SQL.format('batch')} * 1.10::DOUBLE) AS mispredictions, count(*) AS n FROM fx_memory JOIN fit USING (host) GROUP BY host",
     "pending_bytes": "SELECT ws, asset_id, sum(width_px::BIGINT * height_px * 3) FILTER (page_index > 0)::BIGINT AS pending_bytes, count(*) AS n FROM fx_page GROUP BY ws, asset_id",
-    "admission_stats": f"""WITH {_FIT}, m AS (SELECT host, count(*) FILTER ({_PRED.format('batch')} > 0 AND peak > {_PRED.format('batch')} * 1.10::DOUBLE) AS mispredictions, count(*) AS n_observations FROM fx_memory JOIN fit USING (host) GROUP BY host)
+    "admission_stats": f"""WITH {FIT_SQL}, m AS (SELECT host, count(*) FILTER ({PREDICTED_SQL.format('batch')} > 0 AND peak > {PREDICTED_SQL.format('batch')} * 1.10::DOUBLE) AS mispredictions, count(*) AS n_observations FROM fx_memory JOIN fit USING (host) GROUP BY host)
         SELECT host, 4294967296::BIGINT AS budget_bytes, 3650722201::BIGINT AS effective_budget_bytes, valid AS calibration_valid, invalid_reason AS calibration_note, m0, round(m_item, 1) AS m_item, mispredictions, n_observations FROM fit JOIN m USING (host)""",
 }
 ORACLES = {k: oracle(v) for k, v in _Q.items()}

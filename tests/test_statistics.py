@@ -38,7 +38,7 @@ def test_critical_classes(spark):
 
 def test_summary_and_negative_control(spark):
     v = spark.createDataFrame([("a", "G2_quality_shift", False), ("a", "G1_quality_clean", False), ("b", "G1_quality_clean", True)], "candidate string, gate string, passed boolean")
-    assert {r.candidate: r.summary for r in G.gate_summary(v, ["candidate"]).collect()} == {"a": "blocked by G1_quality_clean, G2_quality_shift", "b": "all gates passed"}
+    assert {r.candidate: r.summary for r in G.gate_summary(v, ["candidate"]).collect()} == {"a": "failed:G1_quality_clean,G2_quality_shift", "b": "passed"}
     assert {r.candidate: r.blocked for r in G.negative_control_blocked(v, ["candidate"]).collect()} == {"a": True, "b": False}
 
 
