@@ -20,14 +20,24 @@ def decode(text: Column | str, schema: str, default: Column | None = None) -> Co
 
 
 def detection_rows(frame: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
-    """One row per detection, with its position; a row without usable detections gives none."""
-    complete = F.filter(decode(column, f"array<{DETECTION}>"), lambda e: e["label"].isNotNull() & (F.size(e["box"]) == 4))
-    return frame.select(*keys, F.posexplode(complete).alias("pos", "_d")).select(
+    """One row per usable detection, under its position in the stored text."""
+    placed = frame.select(*keys, F.posexplode(decode(column, f"array<{DETECTION}>")).alias("pos", "_d"))
+    return placed.where(_usable()).select(
         *keys, "pos", "_d.class_id", "_d.label", "_d.score",
         *[F.col("_d.box")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))],
     )
 
 
+def _usable() -> Column:
+    return F.coalesce(F.col("_d.label").isNotNull() & (F.size("_d.box") == 4), F.lit(False))
+
+
+def detection_faults(frame: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """Position and reason of every stored detection that ``detection_rows`` leaves out."""
+    placed = frame.select(*keys, F.posexplode(decode(column, f"array<{DETECTION}>")).alias("pos", "_d"))
+    return placed.where(~_usable()).select(*keys, "pos", F.when(F.col("_d.label").isNull(), "no_label").otherwise("no_box").alias("reason"))
+
+
 def encode_detections(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The inverse: detection rows back to one JSON text per key, in position order."""
     entry = F.struct("pos", F.struct("class_id", "label", "score", F.array("x1", "y1", "x2", "y2").alias("box")).alias("d"))

@@ -297,9 +297,11 @@ def shadow_pairs(items: DataFrame, predictions: DataFrame) -> DataFrame:
         (F.col("w.ws") == F.col("s.ws")) & (F.col("w.batch_id") == F.col("s.batch_id")) & (F.col("w.page_id") == F.col("s.page_id"))
         & (F.col("w.candidate_id") != F.col("s.shadow_candidate_id")), "left",
     ).select("w.*", "s.shadow_item_id", "s.shadow_candidate_id")
+    first = paired.join(primary, ["ws", "id", "candidate_id"], "left")
+    # items without a shadow would all meet in one partition of the join
+    alone = first.where(F.col("shadow_item_id").isNull()).withColumns({"shadow_id": F.lit(None).cast("string"), "shadow_detections": F.lit(None).cast("string")})
     return (
-        paired.join(primary, ["ws", "id", "candidate_id"], "left")
-        .join(second, ["ws", "shadow_item_id", "shadow_candidate_id"], "left")
+        first.where(F.col("shadow_item_id").isNotNull()).join(second, ["ws", "shadow_item_id", "shadow_candidate_id"], "left").unionByName(alone)
         .withColumn("has_primary", F.col("primary_id").isNotNull())
         .withColumn("has_shadow", F.col("shadow_id").isNotNull())
     )

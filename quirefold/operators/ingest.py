@@ -83,23 +83,31 @@ def register_pages(pages: DataFrame, existing: DataFrame, arrival: str = "arriva
         *key, F.coalesce("_id", "id").alias("id"), F.coalesce("_key", "object_key").alias("object_key"), F.col("_id").isNull().alias("fresh"))
 
 
-def batch_limit_verdict(files: DataFrame, queued: int = 0) -> DataFrame:
-    """The first limit a batch breaks, in the order the checks are made."""
+def batch_limit_verdict(files: DataFrame, queue: DataFrame | None = None) -> DataFrame:
+    """The first limit a batch breaks, in the order the checks are made.
+
+    ``queue`` carries ``ws, queued``, the items that wait already. Files are taken in
+    order: the first that breaks a rule stops the batch with its first broken rule.
+    """
+    fault = F.when(F.col("byte_size") > K.MAX_FILE_BYTES, "file_too_large").when(F.col("pages") > K.MAX_PAGES_PER_FILE, "file_has_too_many_pages")
     totals = files.groupBy("ws", "batch_id").agg(
         F.count("*").alias("n_files"), F.sum("byte_size").alias("bytes"), F.sum("pages").alias("n_pages"),
-        F.max("byte_size").alias("_file"), F.max("pages").alias("_pages"))
+        F.min(F.when(fault.isNotNull(), F.struct("file_no", fault.alias("code")))).alias("_fault"))
+    totals = totals.withColumn("queued", F.lit(0)) if queue is None else totals.join(queue.select("ws", "queued"), "ws", "left")
     verdict = (
         F.when(F.col("n_files") > K.MAX_FILES_PER_BATCH, "too_many_files").when(F.col("bytes") > K.MAX_BATCH_BYTES, "batch_too_large")
-        .when(F.lit(queued) >= K.MAX_QUEUE_DEPTH, "queue_full").when(F.col("_file") > K.MAX_FILE_BYTES, "file_too_large")
-        .when(F.col("_pages") > K.MAX_PAGES_PER_FILE, "file_has_too_many_pages").when(F.col("n_pages") > K.MAX_PAGES_PER_BATCH, "too_many_pages").otherwise("ok"))
-    return totals.withColumn("verdict", verdict)
+        .when(F.coalesce("queued", F.lit(0)) >= K.MAX_QUEUE_DEPTH, "queue_full").when(F.col("_fault").isNotNull(), F.col("_fault.code"))
+        .when(F.col("n_pages") > K.MAX_PAGES_PER_BATCH, "too_many_pages").otherwise("ok"))
+    return totals.withColumn("verdict", verdict).drop("_fault")
 
 
 def idempotent_batches(batches: DataFrame) -> DataFrame:
     """Each request with the batch it resolves to: the first with the same key, or itself."""
-    first = batches.where(F.col("idempotency_key").isNotNull()).groupBy("ws", "idempotency_key").agg(
-        F.min_by("id", F.struct("created_at", "id")).alias("_first"))
-    return batches.join(first, ["ws", "idempotency_key"], "left").withColumn("batch_id", F.coalesce("_first", "id")).drop("_first")
+    keyed = batches.where(F.col("idempotency_key").isNotNull())
+    first = keyed.groupBy("ws", "idempotency_key").agg(F.min_by("id", F.struct("created_at", "id")).alias("batch_id"))
+    # requests without a key would all meet in one partition of the join
+    alone = batches.where(F.col("idempotency_key").isNull()).withColumn("batch_id", F.col("id"))
+    return keyed.join(first, ["ws", "idempotency_key"]).unionByName(alone)
 
 
 def fan_out_items(pages: DataFrame) -> DataFrame:

@@ -68,7 +68,10 @@ def batch_view(batches: DataFrame, releases: DataFrame, candidates: DataFrame, i
     counts = items.groupBy("ws", "batch_id").agg(*[
         F.sum((F.col("state") == s).cast("bigint")).alias(f"n_{s}") for s in ("queued", "running", "succeeded", "failed", "cancelled")
     ])
-    out = batches.join(rel, ["ws", "release_id"]).join(name, ["ws", "candidate_id"], "left").join(shadow, ["ws", "shadow_candidate_id"], "left")
+    out = batches.join(rel, ["ws", "release_id"]).join(name, ["ws", "candidate_id"], "left")
+    # most batches have no shadow; they would all meet in one partition of the join
+    plain = out.where(F.col("shadow_candidate_id").isNull()).withColumn("shadow_candidate_name", F.lit(None).cast("string"))
+    out = out.where(F.col("shadow_candidate_id").isNotNull()).join(shadow, ["ws", "shadow_candidate_id"], "left").unionByName(plain)
     per_batch = counts.join(batch_timings(items).drop("n_succeeded"), ["ws", "batch_id"], "left").withColumnRenamed("batch_id", "id")
     return out.join(per_batch, ["ws", "id"], "left").withColumn("candidate_name", F.coalesce("candidate_name", F.lit("unknown")))
 

@@ -150,10 +150,9 @@ def object_listing(s, d):
 
 
 def bench_samples(s, d):
-    """Measured trials written as one JSON document each, then read back with the declared layout."""
+    """Every trial written as JSON documents, then read back with the declared layout."""
     path = _fresh(s, "trials")
-    kept = B.measured_window(table(s, d, "fx_sample"))
-    sinks.write_trials(kept.withColumn("page_id", F.col("page").cast("string")).drop("page"), path)
+    sinks.write_trials(table(s, d, "fx_sample").withColumn("page_id", F.col("page").cast("string")).drop("page"), path)
     return readers.bench_samples(s, path, pretty=False).groupBy("config", "trial").agg(F.count("*").alias("n"), F.round(F.sum("service_ms"), 4).alias("service_ms"), F.max("peak_rss").alias("peak_rss"))
 
 
@@ -236,7 +235,7 @@ _Q = {
     "gt_report": f"""WITH {_ISSUES}, r AS (SELECT ws, rule, count(*) AS n FROM iss GROUP BY ALL), e AS (SELECT ws, sum(n)::BIGINT AS n_errors, string_agg(concat(rule, '=', n), ',' ORDER BY rule) AS errors FROM r GROUP BY ws)
         SELECT c.ws, (SELECT count(*) FROM fx_canvas p WHERE p.ws = c.ws) AS pages, (SELECT count(*) FROM tb WHERE tb.ws = c.ws) AS boxes, n_errors, n_errors = 0 AS ok, errors FROM (SELECT DISTINCT ws FROM fx_canvas) c JOIN e USING (ws)""",
     "points_to_pixels": "SELECT page_id, box_id, round(x1 * (150 / 72.0::DOUBLE), 2) AS px1, round((792 - y2) * (150 / 72.0::DOUBLE), 2) AS py1, round(x2 * (150 / 72.0::DOUBLE), 2) AS px2, round((792 - y1) * (150 / 72.0::DOUBLE), 2) AS py2 FROM fx_box",
-    "bench_samples": """SELECT config, trial, count(*) AS n, round(sum(service_ms), 4) AS service_ms, max(peak_rss) AS peak_rss FROM (SELECT *, row_number() OVER (PARTITION BY config, trial ORDER BY page) AS rn FROM fx_sample) z WHERE rn > 20 AND rn <= 220 GROUP BY config, trial""",
+    "bench_samples": """SELECT config, trial, count(*) AS n, round(sum(service_ms), 4) AS service_ms, max(peak_rss) AS peak_rss FROM fx_sample GROUP BY config, trial""",
     "load_tables": """SELECT a.ws, items, infer_ms, releases, max_version FROM (SELECT ws, count(*) AS items, sum(infer_ms) AS infer_ms FROM fx_item GROUP BY ws) a JOIN (SELECT ws, count(*) AS releases, max(channel_version) AS max_version FROM fx_release GROUP BY ws) b USING (ws)""",
     "append_release_log": "SELECT ws, concat('release.', action) AS event, count(*) AS n FROM fx_release GROUP BY ws, action",
 }

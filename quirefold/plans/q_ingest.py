@@ -101,7 +101,9 @@ def register_pages(s, d):
 
 
 def batch_limit_verdict(s, d):
-    return I.batch_limit_verdict(table(s, d, "fx_upload")).select("ws", "batch_id", "n_files", "bytes", "n_pages", "verdict")
+    """The queue of a workspace is taken modulo a thousand, so that some are full and some are not."""
+    queue = table(s, d, "fx_item").where(F.col("state") == "queued").groupBy("ws").agg((F.count("*") % 1000).alias("queued"))
+    return I.batch_limit_verdict(table(s, d, "fx_upload"), queue).select("ws", "batch_id", "n_files", "bytes", "n_pages", "verdict")
 
 
 def failure_http_class(s, d):
@@ -170,8 +172,11 @@ _Q = {
     "register_assets": f"WITH {_STORED} SELECT ws, sha256, id FROM fresh",
     "resolve_assets": f"WITH {_STORED} SELECT c.id, coalesce(old.id, fresh.id) AS asset_id FROM c LEFT JOIN old ON old.ws = c.ws AND old.sha256 = c.sha256 LEFT JOIN fresh ON fresh.ws = c.ws AND fresh.sha256 = c.sha256",
     "register_pages": "SELECT ws, asset_id, page_index::BIGINT AS page_index, CASE WHEN render_dpi = 300 THEN concat('s', id) ELSE id END AS id, object_key, render_dpi <> 300 AS fresh FROM fx_page",
-    "batch_limit_verdict": """SELECT ws, batch_id, count(*) AS n_files, sum(byte_size)::BIGINT AS bytes, sum(pages)::BIGINT AS n_pages, CASE WHEN count(*) > 50 THEN 'too_many_files' WHEN sum(byte_size) > 104857600 THEN 'batch_too_large'
-        WHEN max(byte_size) > 26214400 THEN 'file_too_large' WHEN max(pages) > 30 THEN 'file_has_too_many_pages' WHEN sum(pages) > 200 THEN 'too_many_pages' ELSE 'ok' END AS verdict FROM fx_upload GROUP BY ws, batch_id""",
+    "batch_limit_verdict": """WITH q AS (SELECT ws, count(*) % 1000 AS queued FROM fx_item WHERE state = 'queued' GROUP BY ws),
+        f AS (SELECT *, CASE WHEN byte_size > 26214400 THEN 'file_too_large' WHEN pages > 30 THEN 'file_has_too_many_pages' END AS fault FROM fx_upload)
+        SELECT ws, batch_id, count(*) AS n_files, sum(byte_size)::BIGINT AS bytes, sum(pages)::BIGINT AS n_pages, CASE WHEN count(*) > 50 THEN 'too_many_files' WHEN sum(byte_size) > 104857600 THEN 'batch_too_large'
+        WHEN coalesce(any_value(queued), 0) >= 500 THEN 'queue_full' WHEN count(fault) > 0 THEN arg_min(fault, file_no) FILTER (fault IS NOT NULL) WHEN sum(pages) > 200 THEN 'too_many_pages' ELSE 'ok' END AS verdict
+        FROM f LEFT JOIN q USING (ws) GROUP BY ws, batch_id""",
     "failure_http_class": "SELECT failure_code, count(*) AS n, CASE failure_code WHEN 'pixel_limit' THEN 413 WHEN 'unsupported_type' THEN 415 ELSE 422 END::BIGINT AS status FROM fx_item WHERE failure_code IS NOT NULL GROUP BY failure_code",
     "idempotent_batches": "SELECT ws, id, CASE WHEN idempotency_key IS NULL THEN id ELSE first_value(id) OVER (PARTITION BY ws, idempotency_key ORDER BY created_at, id) END AS batch_id FROM fx_batch",
     "fan_out_items": """WITH f AS (SELECT p.ws, b.id AS batch_id, p.id AS page_id, r.candidate_id, b.shadow_candidate_id FROM fx_page p JOIN fx_batch b ON b.ws = p.ws AND concat('as', substring(b.id, 2)) = p.asset_id JOIN fx_release r ON r.ws = b.ws AND r.id = b.release_id)

@@ -35,10 +35,12 @@ def append_release_log(releases: DataFrame, root: str) -> None:
     write_table(audit, f"{root}/audit_event", "audit_event")
 
 
-def write_trials(samples: DataFrame, path: str) -> None:
-    """One JSON document per trial. A trial is bounded by the measuring protocol."""
+def write_trials(samples: DataFrame, path: str, most: int = 10_000) -> None:
+    """JSON documents of a trial's samples; a trial of more than about ``most`` is spread over several."""
     names = [c for c in samples.columns if c not in ("config", "trial")]
-    samples.groupBy("config", "trial").agg(F.sort_array(F.collect_list(F.struct("page_id", *[n for n in names if n != "page_id"]))).alias("samples")).write.json(path)
+    parts = samples.groupBy("config", "trial").agg(F.ceil(F.count("*") / most).alias("_parts"))
+    dealt = samples.join(parts, ["config", "trial"]).withColumn("_part", F.pmod(F.xxhash64("page_id"), F.col("_parts")))
+    dealt.groupBy("config", "trial", "_part").agg(F.sort_array(F.collect_list(F.struct("page_id", *[n for n in names if n != "page_id"]))).alias("samples")).drop("_part").write.json(path)
 
 
 def report(sections: dict[str, DataFrame]) -> DataFrame:
