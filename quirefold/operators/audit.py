@@ -4,42 +4,66 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold import schemas as S
 
 
+def _row_checks(name: str, df: DataFrame) -> DataFrame:
+    """CHECK and NOT NULL constraints of one table, in one scan."""
+    counts: dict[str, Column] = {}
+    for table, column, test in S.CHECKS:
+        if table == name and column in df.columns:
+            counts[f"{name}.{column} check"] = ~F.expr(test.format(c=column))
+    for column in df.columns:
+        if column in S.TABLES[name] and column not in S.NULLABLE.get(name, []):
+            counts[f"{name}.{column} not null"] = F.col(column).isNull()
+    sums = df.agg(*[F.coalesce(F.sum(F.coalesce(bad, F.lit(False)).cast("bigint")), F.lit(0)).alias(f"c{i}") for i, bad in enumerate(counts.values())])
+    rows = F.array(*[F.struct(F.lit(label).alias("constraint"), F.col(f"c{i}").alias("violations")) for i, label in enumerate(counts)])
+    return sums.select(F.explode(rows).alias("_c")).select("_c.*")
+
+
+def _keys(name: str, df: DataFrame, tables: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
+    """``kind, label, key`` of every unique key, reference and own key of a row, in one scan; and the constraints they belong to."""
+    joined = lambda cols: F.concat_ws("\x01", *[F.col(c).cast("string") for c in cols])
+    given = lambda cols: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    entry = lambda kind, label, cols, prefix="": F.when(given(cols), F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.concat(F.lit(prefix), joined(cols)).alias("key")))
+    own = ["ws", "id"] if "ws" in df.columns else ["id"]
+    unique = [k for t, k in S.UNIQUE if t == name and set(k) <= set(df.columns)] + [own]
+    entries = [entry("unique", f"{name}({', '.join(k)}) unique", k) for k in unique]
+    labels = [f"{name}({', '.join(k)}) unique" for k in unique]
+    for child, column, parent in S.FOREIGN:
+        if child == name and parent in tables and column in df.columns:
+            labels.append(f"{name}.{column} -> {parent}")
+            entries.append(entry("reference", labels[-1], ["ws", column], f"{parent}\x02"))
+    if "ws" in df.columns and "workspace" in tables:
+        labels.append(f"{name}.ws -> workspace")
+        entries.append(entry("reference", labels[-1], ["ws"], "workspace\x02"))
+    if name == "workspace" or any(parent == name for _, _, parent in S.FOREIGN):
+        entries.append(entry("owner", name, own, f"{name}\x02"))
+    return df.select(F.explode(F.array_compact(F.array(*entries))).alias("_e")).select("_e.*"), labels
+
+
 def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Violations per constraint, for the tables given. Zero rows are reported too.
 
-    CHECK and NOT NULL constraints of a table share one scan; a unique key is one
-    partial aggregate; a foreign key is one anti-join on (ws, key).
+    Each table is scanned twice: for the checks of its rows, and for its keys. Keys of all
+    tables meet in one aggregate; the references to a parent row lie beside that row, so
+    no constraint needs a join of its own.
     """
-    parts: list[DataFrame] = []
-    for name, df in tables.items():
-        counts = {}
-        for table, column, test in S.CHECKS:
-            if table == name and column in df.columns:
-                counts[f"{name}.{column} check"] = ~F.expr(test.format(c=column))
-        for column in df.columns:
-            if column in S.TABLES[name] and column not in S.NULLABLE.get(name, []):
-                counts[f"{name}.{column} not null"] = F.col(column).isNull()
-        sums = df.agg(*[F.coalesce(F.sum(F.coalesce(bad, F.lit(False)).cast("bigint")), F.lit(0)).alias(f"c{i}") for i, bad in enumerate(counts.values())])
-        parts.append(
-            sums.select(F.explode(F.array(*[
-                F.struct(F.lit(label).alias("constraint"), F.col(f"c{i}").alias("violations")) for i, label in enumerate(counts)
-            ])).alias("_c")).select("_c.*"))
-        keys = [k for t, k in S.UNIQUE if t == name and set(k) <= set(df.columns)]
-        keys.append(["ws", "id"] if "ws" in df.columns else ["id"])
-        for key in keys:
-            dup = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])).groupBy(*key).count()
-            parts.append(dup.agg(F.coalesce(F.sum((F.col("count") > 1).cast("bigint")), F.lit(0)).alias("violations")).select(
-                F.lit(f"{name}({', '.join(key)}) unique").alias("constraint"), "violations"))
-    for child, column, parent in S.FOREIGN:
-        if child in tables and parent in tables and column in tables[child].columns:
-            orphans = tables[child].select("ws", F.col(column).alias("id")).where(F.col("id").isNotNull()).join(
-                tables[parent].select("ws", "id"), ["ws", "id"], "left_anti")
-            parts.append(orphans.agg(F.count("*").alias("violations")).select(
-                F.lit(f"{child}.{column} -> {parent}").alias("constraint"), "violations"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    spark = next(iter(tables.values())).sparkSession
+    keyed, labels = zip(*[_keys(name, df, tables) for name, df in tables.items()])
+    counts = reduce(lambda a, b: a.unionByName(b), keyed).groupBy("kind", "label", "key").agg(F.count("*").alias("n"))
+    # unique keys are judged on their own; references are gathered beside the row they name
+    place = F.when(F.col("kind") == "unique", F.col("label")).otherwise(F.col("key"))
+    met = counts.groupBy(place.alias("place")).agg(
+        F.max(F.col("kind") == "owner").alias("owned"),
+        F.sum(F.when((F.col("kind") == "unique") & (F.col("n") > 1), 1)).alias("twice"),
+        F.collect_list(F.when(F.col("kind") == "reference", F.struct(F.col("label").alias("constraint"), F.col("n").alias("violations")))).alias("references"))
+    loose = F.when(~F.col("owned"), F.col("references")).otherwise(F.filter("references", lambda r: F.lit(False)))
+    doubled = F.when(F.col("twice") > 0, F.array(F.struct(F.col("place").alias("constraint"), F.col("twice").alias("violations")))).otherwise(F.filter("references", lambda r: F.lit(False)))
+    found = met.select(F.explode(F.concat(loose, doubled)).alias("_v")).groupBy("_v.constraint").agg(F.sum("_v.violations").alias("violations"))
+    axis = spark.createDataFrame([(label,) for group in labels for label in group], "constraint string")
+    by_key = axis.join(found, "constraint", "left").select("constraint", F.coalesce("violations", F.lit(0).cast("bigint")).alias("violations"))
+    return reduce(lambda a, b: a.unionByName(b), [_row_checks(name, df) for name, df in tables.items()]).unionByName(by_key)

@@ -142,21 +142,34 @@ def gt_report(boxes: DataFrame, pages: DataFrame, issues: DataFrame) -> DataFram
     return p.join(b, "ws", "left").join(rules, "ws", "left").na.fill({"boxes": 0, "n_errors": 0}).withColumn("ok", F.col("n_errors") == 0)
 
 
-# Boxes judged beside one copy of a page image; a page with more is judged in slices.
+# Boxes judged beside one copy of a page's ink; a page with more is judged in slices.
 INK_SLICE = 1024
 
 
+def ink_masks(pages: DataFrame) -> DataFrame:
+    """``ws, page_id, width, height, ink`` from raw RGB pages: one bit a pixel, made where the image is read."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            masks = []
+            for raw, width, height in zip(batch["rgb"], batch["width"], batch["height"]):
+                pixels = np.frombuffer(raw, np.uint8, count=width * height * 3).reshape(-1, 3)
+                masks.append(np.packbits(pixels.mean(axis=1, dtype=np.float32) < K.INK_LEVEL).tobytes())
+            yield batch.drop(columns="rgb").assign(ink=masks)
+
+    return pages.select("ws", "page_id", "width", "height", "rgb").mapInPandas(packed, "ws string, page_id bigint, width int, height int, ink binary")
+
+
 def _words(mask: np.ndarray) -> list[int]:
     """A pixel mask as 64-bit words."""
     bits = np.packbits(mask.ravel())
     return np.pad(bits, (0, -len(bits) % 8)).view(np.int64).tolist()
 
 
-def _slice_ink(raw: bytes, width: int, height: int, boxes: list, margin: int, lead: bool) -> tuple[list[tuple[int, float]], list[int], list[int]]:
-    """Boxes with too little ink, the pixels the boxes cover, and (for one slice of a page) its core ink."""
-    ink = np.frombuffer(raw, np.uint8, count=width * height * 3).reshape(height, width, 3).mean(axis=2, dtype=np.float32) < K.INK_LEVEL
-    covered = np.zeros_like(ink)
-    bare = []
+def _judge(raw: bytes, width: int, height: int, boxes: list, margin: int) -> tuple[list[tuple[int, float]], np.ndarray, np.ndarray]:
+    """Boxes with too little ink, the core ink that boxes cover, and all core ink."""
+    ink = np.unpackbits(np.frombuffer(raw, np.uint8), count=width * height).reshape(height, width).astype(bool)
+    covered, core, bare = np.zeros_like(ink), np.zeros_like(ink), []
     for b in boxes:
         if not (0 <= b["x1"] < b["x2"] <= width and 0 <= b["y1"] < b["y2"] <= height):
             continue
@@ -165,42 +178,40 @@ def _slice_ink(raw: bytes, width: int, height: int, boxes: list, margin: int, le
         if share < K.MIN_INK_FRACTION:
             bare.append((int(b["box_id"]), share))
         covered[cut] = True
-    core = np.zeros_like(ink)
     window = np.s_[margin:max(margin, height - margin), margin:max(margin, width - margin)]
     core[window] = ink[window]
-    return bare, _words(covered & core), _words(core) if lead else []
+    return bare, covered & core, core
 
 
 def gt_ink_issues(pages: DataFrame, boxes: DataFrame, margin: int = K.INK_MARGIN_PX, slice_boxes: int = INK_SLICE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Ink rules over raw RGB pages (``ws, page_id, width, height, rgb``).
 
-    Images are judged in Arrow batches beside at most ``slice_boxes`` boxes each. What
-    the slices of a page cover is combined word by word, so a page may have any number
-    of boxes.
+    Only ink masks are shuffled. A page is judged beside its boxes; one with more than
+    ``slice_boxes`` is judged in slices, whose coverage is combined word by word.
     """
     key = ["ws", "page_id"]
     numbered = position(boxes, key, [F.col("box_id")], "_pos", hot_rows).withColumn("slice", F.floor((F.col("_pos") - 1) / slice_boxes))
-    listed = numbered.groupBy(*key, "slice").agg(F.collect_list(F.struct("box_id", "x1", "y1", "x2", "y2")).alias("boxes"))
-    framed = pages.join(listed, key)
-    columns = ["ws", "page_id", "slice", "bare", "covered", "core"]
+    sizes = boxes.groupBy(*key).agg((F.count("*") > slice_boxes).alias("many"))
+    listed = numbered.groupBy(*key, "slice").agg(F.collect_list(F.struct("box_id", "x1", "y1", "x2", "y2")).alias("boxes")).join(sizes, key)
+    framed = ink_masks(pages).join(listed, key)
+    columns = ["ws", "page_id", "bare", "inside", "total", "covered"]
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (p.ws, p.page_id, p.slice, *_slice_ink(p.rgb, p.width, p.height, p.boxes, margin, p.slice == 0))
-                for p in batch.itertuples(index=False)
-            ]
-            for row in rows:
-                row[3][:] = [{"box_id": b, "share": share} for b, share in row[3]]
+            rows = []
+            for p in batch.itertuples(index=False):
+                bare, inside, core = _judge(p.ink, p.width, p.height, p.boxes, margin)
+                rows.append((p.ws, p.page_id, [{"box_id": b, "share": share} for b, share in bare],
+                             int(inside.sum()), int(core.sum()), _words(inside) if p.many else []))
             yield pd.DataFrame(rows, columns=columns)
 
-    judged = materialize(framed.select(*key, "slice", "width", "height", "rgb", "boxes").mapInPandas(
-        judge, "ws string, page_id bigint, slice bigint, bare array<struct<box_id:bigint,share:double>>, covered array<bigint>, core array<bigint>"))
+    judged = materialize(framed.select(*key, "width", "height", "ink", "boxes", "many").mapInPandas(
+        judge, "ws string, page_id bigint, bare array<struct<box_id:bigint,share:double>>, inside bigint, total bigint, covered array<bigint>"))
     bare = judged.select(*key, F.explode("bare").alias("_b")).select(*key, F.lit("no_ink").alias("rule"), "_b.box_id", "_b.share")
-    words = (
-        judged.select(*key, F.posexplode("covered").alias("word", "_v")).groupBy(*key, "word").agg(F.bit_or("_v").alias("_v"))
-        .groupBy(*key).agg(F.sum(F.bit_count("_v")).alias("_in")))
-    core = judged.where(F.col("slice") == 0).select(
-        *key, F.aggregate("core", F.lit(0).cast("bigint"), lambda n, w: n + F.bit_count(w)).alias("_all"))
-    loose = core.join(words, key).where(F.col("_all") > 0).withColumn("share", F.col("_in") / F.col("_all")).where(F.col("share") < K.MIN_INK_COVERAGE)
+    whole = judged.where(F.size("covered") == 0).select(*key, "inside", "total")
+    sliced = judged.where(F.size("covered") > 0)
+    combined = (
+        sliced.select(*key, "total", F.posexplode("covered").alias("word", "_v")).groupBy(*key, "word").agg(F.bit_or("_v").alias("_v"), F.max("total").alias("total"))
+        .groupBy(*key).agg(F.sum(F.bit_count("_v")).cast("bigint").alias("inside"), F.max("total").alias("total")))
+    loose = whole.unionByName(combined).where(F.col("total") > 0).withColumn("share", F.col("inside") / F.col("total")).where(F.col("share") < K.MIN_INK_COVERAGE)
     return bare.unionByName(loose.select(*key, F.lit("ink_uncovered").alias("rule"), F.lit(-1).cast("bigint").alias("box_id"), "share"))

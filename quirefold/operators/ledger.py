@@ -8,6 +8,7 @@ generation before it.
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Sequence
 
 import numpy as np
@@ -297,13 +298,14 @@ def orphan_objects(listing: DataFrame, references: DataFrame, now: Column, grace
 
 
 def expired_workspaces(workspaces: DataFrame, dependents: dict[str, DataFrame], now: Column) -> DataFrame:
-    """Expired workspaces per table, with the rows their removal takes along."""
+    """Expired workspaces per table, with the rows their removal takes along; tables that lose nothing show zero."""
     gone = workspaces.where(F.col("expires_at") < now).select(F.col("id").alias("ws"))
-    out = gone.groupBy().agg(F.count("*").alias("rows")).select(F.lit("workspace").alias("table"), "rows")
-    for name, df in dependents.items():
-        out = out.unionByName(
-            df.join(gone, "ws", "left_semi").groupBy().agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows"))
-    return out
+    everything = reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(name).alias("table"), "ws") for name, df in dependents.items()])
+    per_space = everything.groupBy("table", "ws").agg(F.count("*").alias("_n")).join(gone, "ws", "left_semi")
+    own = gone.select(F.lit("workspace").alias("table"), F.lit(1).cast("bigint").alias("_n"))
+    axis = workspaces.sparkSession.createDataFrame([("workspace",), *[(n,) for n in dependents]], "table string")
+    lost = per_space.select("table", "_n").unionByName(own).groupBy("table").agg(F.sum("_n").alias("rows"))
+    return axis.join(lost, "table", "left").select("table", F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"))
 
 
 def dead_tokens(tokens: DataFrame, now: Column) -> DataFrame:

@@ -199,6 +199,22 @@ FIXTURES: dict[str, str] = {
                  '},{"gate":"G2_quality_shift","passed":', CASE WHEN o_custkey % 5 = 0 THEN 'false' ELSE 'true' END, '}]') AS gates,
                concat('{"operating_threshold":0.', 1 + o_custkey % 9, '}') AS metrics
         FROM orders""",
+    "fx_benchmark_run": """
+        SELECT concat('r', s_suppkey) AS id, concat('w', s_suppkey % 4) AS ws, concat('v', s_suppkey % 3) AS protocol_version,
+               CASE s_suppkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'lost' ELSE 'done' END AS status, s_name AS config_summary, s_name AS summary,
+               concat('raw/', s_suppkey) AS raw_object_key, '{}' AS env_manifest, @plus_ms(TIMESTAMP '2024-01-01 00:00:00', s_suppkey * 60000) AS created_at,
+               CASE WHEN s_suppkey % 4 = 2 THEN @nots() ELSE @plus_ms(TIMESTAMP '2024-01-01 00:00:00', s_suppkey * 61000) END AS finished_at
+        FROM supplier""",
+    "fx_calibration": """
+        SELECT concat('k', s_suppkey) AS id, concat('w', s_suppkey % 7) AS ws, @sha(concat('cand', s_suppkey % 40)) AS candidate_hash, concat('h', s_nationkey) AS host_fingerprint,
+               CAST(FLOOR(s_acctbal * 1000) AS BIGINT) AS m0_bytes, CAST(s_acctbal AS DOUBLE) AS m_item_bytes, CAST(s_suppkey AS DOUBLE) AS max_residual, '[]' AS samples,
+               CASE WHEN s_suppkey % 9 = 0 THEN @nots() ELSE @plus_ms(TIMESTAMP '2024-01-01 00:00:00', s_suppkey * 1000) END AS measured_at
+        FROM supplier""",
+    "fx_audit_event": """
+        SELECT concat('ae', o_orderkey) AS id, concat('w', o_custkey) AS ws, concat('u', o_custkey % 9) AS actor, concat('release.', o_orderstatus) AS action, 'channel' AS subject_kind,
+               concat('ch', o_custkey % 50) AS subject_id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE concat('r', o_orderkey) END AS before_hash, concat('r', o_orderkey) AS after_hash,
+               @ts(o_orderdate) AS created_at
+        FROM orders""",
     "fx_metrics": """
         SELECT concat('c', p_partkey) AS candidate, CAST(p_size AS DOUBLE) / 50 AS ref_map,
                CAST(p_size AS DOUBLE) / 50 - CAST(p_partkey % 30 AS DOUBLE) / 1000 AS cand_map,

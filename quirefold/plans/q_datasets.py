@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from importlib import import_module
 
 from pyspark.sql import functions as F
 
+from quirefold import constants as K
 from quirefold import schemas as S
 from quirefold.functions import hashing as H
 from quirefold.functions.geometry import points_to_pixels as to_pixels
@@ -17,7 +20,7 @@ from quirefold.sources import readers, sinks
 
 
 def _fresh(s, name):
-    return f"{scratch_root(s)}/quirefold/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(s)}/{name}-{uuid.uuid4().hex}"
 
 
 # -- content identity --------------------------------------------------------------------------
@@ -127,11 +130,13 @@ def gt_report(s, d):
 
 
 def gt_ink_issues(s, d):
-    """Documents laid out as small RGB rasters (a blank is white); one box over the left half of each."""
+    """Whole documents laid out as small RGB rasters (a blank is white, so is the end of the last row); one box over the left half of each."""
     width = 40
-    raw = F.encode(F.translate(F.replace("text", F.lit(" "), F.lit("ÿ" * 9)), "\n", " "), "ISO-8859-1")
-    pages = table(s, d, "documents").select(F.concat(F.lit("w"), F.col("doc_id") % 4).alias("ws"), F.col("doc_id").alias("page_id"), raw.alias("rgb")).select(
-        "ws", "page_id", F.lit(width).alias("width"), F.floor(F.length("rgb") / (3 * width)).cast("int").alias("height"), "rgb").where(F.col("height") > 0)
+    drawn = F.translate(F.replace("text", F.lit(" "), F.lit("ÿ" * 9)), "\n", " ")
+    laid = table(s, d, "documents").select("doc_id", drawn.alias("t"), F.ceil(F.length(drawn) / (3 * width)).cast("int").alias("height")).where(F.col("height") > 0)
+    pages = laid.select(
+        F.concat(F.lit("w"), F.col("doc_id") % 4).alias("ws"), F.col("doc_id").alias("page_id"), F.lit(width).alias("width"), "height",
+        F.encode(F.rpad("t", F.col("height") * (3 * width), F.lit("ÿ")), "ISO-8859-1").alias("rgb"))
     boxes = pages.select("ws", "page_id", F.lit(1).cast("bigint").alias("box_id"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(width / 2).alias("x2"), F.col("height").cast("double").alias("y2"))
     return D.gt_ink_issues(pages, boxes, margin=1).select("ws", "page_id", "rule", "box_id", F.round("share", 6).alias("share"))
 
@@ -157,13 +162,15 @@ def bench_samples(s, d):
 
 
 def load_tables(s, d):
-    """Two ledger tables stored under their own column names and read back typed."""
-    path = _fresh(s, "ledger")
-    for name, fx in (("work_item", "fx_item"), ("release", "fx_release")):
+    """All nineteen tables stored under their own column names and read back typed: rows, and filled required cells."""
+    from quirefold.plans.q_ledger import AUDITED
+
+    path, parts = _fresh(s, "ledger"), []
+    for name, fx in AUDITED.items():
         sinks.write_table(table(s, d, fx), f"{path}/{name}", name)
-    items, releases = readers.load_table(s, path, "work_item"), readers.load_table(s, path, "release")
-    a = items.groupBy("ws").agg(F.count("*").alias("items"), F.sum("infer_ms").alias("infer_ms"))
-    return a.join(releases.groupBy("ws").agg(F.count("*").alias("releases"), F.max("channel_version").alias("max_version")), "ws")
+        back = readers.load_table(s, path, name)
+        parts.append(back.agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.count("id").alias("ids"), F.countDistinct("ws" if "ws" in back.columns else "id").alias("spaces")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def append_release_log(s, d):
@@ -177,14 +184,16 @@ def append_release_log(s, d):
 
 
 def report_tables(s, d):
-    """Benchmark, gate and dataset sections as JSON documents, one row per report line."""
-    from quirefold.plans.q_bench import config_aggregate, stability
-    from quirefold.plans.q_gates import gate_verdicts
+    """Eight sections as JSON documents, one row per report line."""
+    from quirefold.plans import q_bench, q_detect, q_gates
 
     path = _fresh(s, "report")
-    sinks.write_report({"throughput": config_aggregate(s, d), "stability": stability(s, d), "gates": gate_verdicts(s, d), "datasets": manifest_conflicts(s, d)}, path)
+    sinks.write_report({
+        "env": q_bench.comparability(s, d), "throughput": q_bench.config_aggregate(s, d), "stability": q_bench.stability(s, d), "memory": q_bench.fit_memory(s, d),
+        "quality": q_detect.quality_table(s, d), "gates": q_gates.gate_verdicts(s, d), "datasets": manifest_conflicts(s, d),
+        "refusals": q_bench.runnable_verdict(s, d).where(F.col("verdict") != "ok")}, path)
     back = s.read.schema("section STRING, body STRING").json(path)
-    return back.groupBy("section").agg(F.count("*").alias("n"), F.sum((F.get_json_object("body", "$.passed") == "true").cast("bigint")).alias("passed"))
+    return back.groupBy("section").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.get_json_object("body", "$.passed") == "true", F.lit(False)).cast("bigint")).alias("passed"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -193,6 +202,7 @@ QUERIES = {f.__name__: f for f in (
 
 from quirefold.plans.q_detect import iou_sql  # noqa: E402
 from quirefold.plans.q_gates import _V  # noqa: E402
+from quirefold.plans.q_ledger import AUDITED  # noqa: E402
 
 _PRE = """concat('{"label_map_hash":"', p_brand, '","processor_class":"proc","render_dpi":150,"resize":"', p_type, '","target":640,"tile_aspect":1.6,"tile_long_side_px":2200,"tile_overlap":0.15}')"""
 _RUN = """concat('{"batch_window_ms":25,"graph_opt_level":"all","inter_op_threads":1,"intra_op_threads":', p_size, ',"max_batch":4,"runtime":"', CASE WHEN p_partkey % 2 = 0 THEN 'torch' ELSE 'onnxruntime' END, '"}')"""
@@ -236,7 +246,26 @@ _Q = {
         SELECT c.ws, (SELECT count(*) FROM fx_canvas p WHERE p.ws = c.ws) AS pages, (SELECT count(*) FROM tb WHERE tb.ws = c.ws) AS boxes, n_errors, n_errors = 0 AS ok, errors FROM (SELECT DISTINCT ws FROM fx_canvas) c JOIN e USING (ws)""",
     "points_to_pixels": "SELECT page_id, box_id, round(x1 * (150 / 72.0::DOUBLE), 2) AS px1, round((792 - y2) * (150 / 72.0::DOUBLE), 2) AS py1, round(x2 * (150 / 72.0::DOUBLE), 2) AS px2, round((792 - y1) * (150 / 72.0::DOUBLE), 2) AS py2 FROM fx_box",
     "bench_samples": """SELECT config, trial, count(*) AS n, round(sum(service_ms), 4) AS service_ms, max(peak_rss) AS peak_rss FROM fx_sample GROUP BY config, trial""",
-    "load_tables": """SELECT a.ws, items, infer_ms, releases, max_version FROM (SELECT ws, count(*) AS items, sum(infer_ms) AS infer_ms FROM fx_item GROUP BY ws) a JOIN (SELECT ws, count(*) AS releases, max(channel_version) AS max_version FROM fx_release GROUP BY ws) b USING (ws)""",
+    "load_tables": " UNION ALL ".join(
+        f"SELECT '{name}' AS \"table\", count(*) AS rows, count(id) AS ids, count(DISTINCT {'id' if name == 'workspace' else 'ws'}) AS spaces FROM {fx}" for name, fx in AUDITED.items()),
+    "gt_ink_issues": f"""WITH c AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS i FROM (SELECT doc_id, string_split(replace(replace(text, ' ', repeat('ÿ', 9)), chr(10), ' '), '') AS cs FROM documents WHERE text <> '') z),
+        px AS (SELECT doc_id, i // 3 AS p, (sum(CASE WHEN unicode(c) > 255 THEN 63 ELSE unicode(c) END) + 255 * (3 - count(*))) / 3.0 < {K.INK_LEVEL}::DOUBLE AS ink FROM c GROUP BY doc_id, i // 3),
+        xy AS (SELECT doc_id, p % 40 AS x, p // 40 AS y, ink, max(p // 40) OVER (PARTITION BY doc_id) + 1 AS h FROM px),
+        pg AS (SELECT doc_id, count(*) FILTER (ink AND x < 20)::DOUBLE / (20 * max(h)) AS share, count(*) FILTER (ink AND x BETWEEN 1 AND 38 AND y BETWEEN 1 AND h - 2) AS total,
+               count(*) FILTER (ink AND x BETWEEN 1 AND 19 AND y BETWEEN 1 AND h - 2) AS inside FROM xy GROUP BY doc_id)
+        SELECT concat('w', doc_id % 4) AS ws, doc_id AS page_id, 'no_ink' AS rule, 1::BIGINT AS box_id, round(share, 6) AS share FROM pg WHERE share < {K.MIN_INK_FRACTION}::DOUBLE
+        UNION ALL SELECT concat('w', doc_id % 4), doc_id, 'ink_uncovered', -1, round(inside::DOUBLE / total, 6) FROM pg WHERE total > 0 AND inside::DOUBLE / total < {K.MIN_INK_COVERAGE}::DOUBLE""",
     "append_release_log": "SELECT ws, concat('release.', action) AS event, count(*) AS n FROM fx_release GROUP BY ws, action",
 }
 ORACLES = {k: oracle(v) for k, v in _Q.items()}
+
+
+def _report_sql() -> str:
+    bench, detect, gates = (import_module(f"quirefold.plans.{m}").ORACLES for m in ("q_bench", "q_detect", "q_gates"))
+    sections = {
+        "env": bench["comparability"], "throughput": bench["config_aggregate"], "stability": bench["stability"], "memory": bench["fit_memory"], "quality": detect["quality_table"],
+        "gates": gates["gate_verdicts"], "datasets": ORACLES["manifest_conflicts"], "refusals": f"SELECT * FROM ({bench['runnable_verdict']}) r WHERE verdict <> 'ok'"}
+    return " UNION ALL ".join(f"SELECT '{n}' AS section, count(*) AS n, {'count(*) FILTER (passed)' if n == 'gates' else '0'} AS passed FROM ({q}) q" for n, q in sections.items())
+
+
+ORACLES["report_tables"] = _report_sql()

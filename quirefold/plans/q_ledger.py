@@ -96,13 +96,15 @@ def over_hard_cap(s, d):
     return i.groupBy("pool").agg(F.count("*").alias("n"), F.sum(L.over_hard_cap(F.col("peak_rss"), cap).cast("bigint")).alias("over"))
 
 
-_AUDITED = {"workspace": "fx_workspace", "api_token": "fx_token", "asset": "fx_asset", "page": "fx_page", "model_artifact": "fx_artifact",
+AUDITED = {"workspace": "fx_workspace", "api_token": "fx_token", "asset": "fx_asset", "page": "fx_page", "model_artifact": "fx_artifact",
             "preprocess_profile": "fx_preprocess", "runtime_profile": "fx_runtime", "candidate": "fx_candidate", "channel": "fx_channel",
-            "release": "fx_release", "batch": "fx_batch", "work_item": "fx_item", "prediction": "fx_prediction"}
+            "release": "fx_release", "batch": "fx_batch", "work_item": "fx_item", "prediction": "fx_prediction", "dataset_version": "fx_dataset",
+            "annotation": "fx_annotation", "evaluation_run": "fx_evaluation", "benchmark_run": "fx_benchmark_run", "host_calibration": "fx_calibration",
+            "audit_event": "fx_audit_event"}
 
 
 def constraint_audit(s, d):
-    return audit.constraint_audit({name: table(s, d, fx).select(*_columns(fx)) for name, fx in _AUDITED.items()})
+    return audit.constraint_audit({name: table(s, d, fx).select(*_columns(fx)) for name, fx in AUDITED.items()})
 
 
 def orphan_objects(s, d):
@@ -116,7 +118,8 @@ def orphan_objects(s, d):
 
 def expired_workspaces(s, d):
     w = table(s, d, "fx_workspace")
-    return L.expired_workspaces(w, {"api_token": table(s, d, "fx_token")}, F.lit("2024-01-03").cast("timestamp"))
+    rest = {name: table(s, d, fx) for name, fx in AUDITED.items() if name != "workspace"}
+    return L.expired_workspaces(w, rest, F.lit("2024-01-03").cast("timestamp"))
 
 
 def dead_tokens(s, d):
@@ -146,7 +149,7 @@ _GEN = """opens AS (SELECT ws, item_id, seq, kind, CASE WHEN kind = 'claim' THEN
 
 def _audit_sql() -> str:
     parts = []
-    for name, fx in _AUDITED.items():
+    for name, fx in AUDITED.items():
         cols = [c.strip().split()[0] for c in S.TABLES[name].split(",")]
         have = _columns(fx)
         for t, c, test in S.CHECKS:
@@ -160,9 +163,12 @@ def _audit_sql() -> str:
             cond = " AND ".join(f"{c} IS NOT NULL" for c in k)
             parts.append(f"SELECT '{name}({', '.join(k)}) unique', count(*) FILTER (n > 1) FROM (SELECT count(*) AS n FROM {fx} WHERE {cond} GROUP BY {', '.join(k)})")
     for child, c, parent in S.FOREIGN:
-        if child in _AUDITED and parent in _AUDITED and c in _columns(_AUDITED[child]):
-            a, b = _AUDITED[child], _AUDITED[parent]
+        if c in _columns(AUDITED[child]):
+            a, b = AUDITED[child], AUDITED[parent]
             parts.append(f"SELECT '{child}.{c} -> {parent}', count(*) FROM {a} x WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {b} y WHERE y.ws = x.ws AND y.id = x.{c})")
+    for name, fx in AUDITED.items():
+        if name != "workspace":
+            parts.append(f"SELECT '{name}.ws -> workspace', count(*) FROM {fx} x WHERE ws IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fx_workspace y WHERE y.id = x.ws)")
     return " UNION ALL ".join(parts)
 
 
@@ -186,6 +192,12 @@ _COLUMNS = {
     "fx_item": "id ws batch_id page_id candidate_id pool state role attempts lease_owner lease_expires_at fencing_token failure_code received_at "
                "enqueued_at claimed_at preprocess_end infer_start persisted_at preprocess_ms infer_ms postprocess_ms persist_ms peak_rss",
     "fx_prediction": "id ws work_item_id candidate_id detections n_detections created_at",
+    "fx_dataset": "id ws name semver manifest_hash synthetic created_at",
+    "fx_annotation": "id ws dataset_version_id page_id split class_name class_id x1 y1 x2 y2",
+    "fx_evaluation": "id ws candidate_id status gates metrics created_at",
+    "fx_benchmark_run": "id ws protocol_version status config_summary summary raw_object_key env_manifest created_at finished_at",
+    "fx_calibration": "id ws candidate_hash host_fingerprint m0_bytes m_item_bytes max_residual samples measured_at",
+    "fx_audit_event": "id ws actor action subject_kind subject_id before_hash after_hash created_at",
 }
 
 _Q = {
@@ -240,8 +252,8 @@ _Q = {
     "constraint_audit": _audit_sql(),
     "orphan_objects": """WITH l AS (SELECT object_key AS key, created_at AS mtime FROM fx_page UNION ALL SELECT concat('tmp/', id), created_at FROM fx_asset)
         SELECT key FROM l WHERE mtime <= TIMESTAMP '1995-12-31 00:00:00' AND NOT EXISTS (SELECT 1 FROM fx_page p WHERE p.page_index < 3 AND p.object_key = key) AND NOT EXISTS (SELECT 1 FROM fx_asset a WHERE a.object_key = key)""",
-    "expired_workspaces": """SELECT 'workspace' AS "table", count(*) AS rows FROM fx_workspace WHERE expires_at < TIMESTAMP '2024-01-03 00:00:00' UNION ALL
-        SELECT 'api_token', count(*) FROM fx_token WHERE ws IN (SELECT id FROM fx_workspace WHERE expires_at < TIMESTAMP '2024-01-03 00:00:00')""",
+    "expired_workspaces": "WITH gone AS (SELECT id FROM fx_workspace WHERE expires_at < TIMESTAMP '2024-01-03 00:00:00') SELECT 'workspace' AS \"table\", count(*) AS rows FROM gone" + "".join(
+        f" UNION ALL SELECT '{name}', count(*) FROM {fx} WHERE ws IN (SELECT id FROM gone)" for name, fx in AUDITED.items() if name != "workspace"),
     "dead_tokens": f"SELECT CASE WHEN revoked_at IS NOT NULL THEN 'revoked' ELSE 'expired' END AS reason, role, count(*) AS n FROM fx_token WHERE revoked_at IS NOT NULL OR expires_at < TIMESTAMP '{NOW}' GROUP BY ALL",
     "sandbox_quota": "SELECT count(*) FILTER (kind = 'sandbox') AS sandboxes, 200::BIGINT AS quota, count(*) FILTER (kind = 'sandbox') >= 200 AS \"full\" FROM fx_workspace",
     "system_status": f"""SELECT count(*) FILTER (state = 'queued' AND pool = 'torch') AS queued_torch, count(*) FILTER (state = 'queued' AND pool = 'onnxruntime') AS queued_onnxruntime,
