@@ -190,4 +190,4 @@ def test_screen_order_of_batch_limits(spark):
     df = spark.createDataFrame(rows, "ws string, batch_id string, file_no int, byte_size long, pages int")
     got = {r.batch_id: r.verdict for r in I.batch_limit_verdict(df).collect()}
     assert got == {"many": "too_many_files", "fat": "file_too_large", "long": "file_has_too_many_pages", "fine": "ok"}
-    assert {r.verdict for r in I.batch_limit_verdict(df.where("batch_id = 'fine'"), queued=500).collect()} == {"queue_full"}
+    assert {r.verdict for r in I.batch_limit_verdict(df.where("batch_id = 'fine'"), spark.createDataFrame([("w", 500)], "ws string, queued long")).collect()} == {"queue_full"}
