@@ -74,6 +74,16 @@ def hot_groups(keys: Sequence[str], limit: int, *sides: DataFrame) -> DataFrame
     return oversize_groups(rows, keys, limit)
 
 
+def _hot_by_candidate(keys: Sequence[str], limit: int, left: DataFrame, right: DataFrame, candidate: str) -> DataFrame | None:
+    """Groups with more than half of ``limit`` boxes on the left, or of any one candidate on the right.
+
+    Each candidate is matched on its own, so how many of them share a page does not count.
+    """
+    rows = left.select(*keys, F.lit(None).cast("string").alias("_c")).unionByName(right.select(*keys, F.col(candidate).cast("string").alias("_c")))
+    hot = oversize_groups(rows, [*keys, "_c"], limit // 2)
+    return None if hot is None else hot.select(*keys).distinct()
+
+
 def overlapping_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -242,7 +252,10 @@ def match_boxes(
 
     ``sized_by`` names the side whose group sizes decide, when the other is bounded already.
     """
-    hot = hot_groups(keys, limit, *([left, right] if sized_by is None else [sized_by]))
+    if candidate is not None and sized_by is None:
+        hot = _hot_by_candidate(keys, limit, left, right, candidate.removeprefix("r_"))
+    else:
+        hot = hot_groups(keys, limit, *([left, right] if sized_by is None else [sized_by]))
     calm, warm = overlapping_pairs(left, right, keys, min_iou, hot=hot)
     if candidate is not None:
         calm = calm.withColumnRenamed(candidate, "candidate")
