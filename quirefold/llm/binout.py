@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm.codec import decode, encode
-from quirefold.llm.common import by_batch, offsets, table
+from quirefold.llm.common import by_batch, offsets, small_batches, table
 from quirefold.llm.encoding import word_ids
 from quirefold.session import scratch_root
 
@@ -69,7 +69,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, group_ids
             yield group()
 
     fields = f"part bigint, number bigint, start bigint, n_ids bigint, doc_ids array<{kind}>, lengths array<bigint>, blocks binary"
-    ordered.mapInArrow(coded, fields).write.option("compression", "none").parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(coded, fields).write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

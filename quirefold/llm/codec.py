@@ -29,7 +29,7 @@ import numpy as np
 BLOCK = 2048
 MAGIC, VERSION = b"QFCM", 1
 _HEAD = struct.Struct("<4sII")
-_BITS2, _BITS1 = 10, 9
+_BITS2, _BITS1 = 9, 8
 #: Four events in one 64-bit word of four fields: 0 and the three boundaries between events, out of 4096.
 _START = np.uint64(1024 << 16 | 1536 << 32 | 1792 << 48)
 _FIELDS = np.uint64(0x7FFF7FFF7FFF7FFF)
@@ -80,7 +80,7 @@ class _Model:
         return np.where(known == ids, np.where(sure < 3, kept + 65536, kept), np.where(sure > 0, kept - 65536, ids))
 
     def learn(self, event: np.ndarray, ids: np.ndarray) -> None:
-        pull = _PULL[event]
+        pull = _PULL.take(event)
         self.a[self.at_a] = self.seen_a - ((self.seen_a >> _U(5)) & _FIFTH) + pull
         self.b[self.at_b] = self.seen_b - ((self.seen_b >> _U(5)) & _FIFTH) + pull
         self.table2[self.at2] = self._entry(self.entry2, self.id2, ids)
@@ -92,17 +92,27 @@ class _Model:
         self.before2, self.before1, self.event = self.before1, ids.astype(np.int64), event
 
 
-def _bounds(fields: np.ndarray) -> list[np.ndarray]:
-    """Boundaries with at least 16 of 4096 left to every event."""
-    return [(((fields >> _U(16 * i)) & _U(0xFFFF)) * _U(63) >> _U(6)) + _U(16 * i) for i in (1, 2, 3)]
+def _scaled(boundary: np.ndarray, place) -> np.ndarray:
+    """A boundary moved so that every event keeps at least 16 of 4096."""
+    return (boundary * _U(63) >> _U(6)) + place
 
 
-def _width(bounds: list[np.ndarray], event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.empty((5, len(event)), np.uint64)
-    edge[0], edge[1], edge[2], edge[3], edge[4] = 0, *bounds, 4096
-    lane = np.arange(len(event))
-    start = edge[event, lane]
-    return start, edge[event + 1, lane] - start
+def _interval(fields: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of an event's share of 4096."""
+    place = event.astype(np.uint64) << _U(4)
+    rest = fields >> place
+    start = _scaled(rest & _U(0xFFFF), place)
+    end = np.where(event == 3, _U(4096), _scaled((rest >> _U(16)) & _U(0xFFFF), place + _U(16)))
+    return start, end - start
+
+
+def _found(fields: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The event whose share holds ``point``, with its start and size."""
+    one, two, three = (_scaled((fields >> _U(16 * i)) & _U(0xFFFF), _U(16 * i)) for i in (1, 2, 3))
+    past1, past2, past3 = point >= one, point >= two, point >= three
+    start = np.where(past3, three, np.where(past2, two, np.where(past1, one, _U(0))))
+    end = np.where(past3, _U(4096), np.where(past2, three, np.where(past1, two, one)))
+    return past1.astype(np.int64) + past2 + past3, start, end - start
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -124,9 +134,9 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         low[some] = (value & _U(0xFFFF)) << _U(16)
 
     for now in steps if len(ids) >= block else steps[: len(ids)]:
-        bounds = _bounds(model.predict())
+        fields = model.predict()
         event = model.event_of(now)
-        start, size = _width(bounds, event)
+        start, size = _interval(fields, event)
         part = width >> _U(12)
         low += part * start
         width = part * size
@@ -179,11 +189,10 @@ def decode(data: bytes) -> np.ndarray:
     model, block = _Model(lanes), int(index[:, 0].max())
     out, last = np.empty((block, lanes), np.int32), len(words) - 1
     for step in range(block):
-        bounds = _bounds(model.predict())
+        fields = model.predict()
         part = width >> _U(12)
         point = code // np.maximum(part, _U(1))
-        event = (point >= bounds[0]).astype(np.int64) + (point >= bounds[1]) + (point >= bounds[2])
-        start, size = _width(bounds, event)
+        event, start, size = _found(fields, point)
         code -= part * start
         width = part * size
         some = np.flatnonzero(width < 65536)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,25 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries a worker keeps in a per-process cache before it starts over.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 350_000
+
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+#: Rows of an Arrow batch where a row is a whole text.
+TEXT_ROWS = 2000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Arrow batches of fewer rows for the jobs that run inside, where a row is a whole text."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +78,7 @@ def hold(name: str, clear: Callable[[], None]) -> None:
         for _, let_go in _HOLDER:
             let_go()
         _HOLDER[:] = [(name, clear)]
+        pa.default_memory_pool().release_unused()
 
 
 def offsets(lengths: np.ndarray) -> np.ndarray:

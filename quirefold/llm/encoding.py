@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quirefold.llm.common import CACHE_ENTRIES, offsets
+from quirefold.llm.common import CACHE_ENTRIES, hold, offsets
 
 # The white space of Unicode (property White_Space).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -39,7 +39,9 @@ SEGMENT, BATCH_BYTES = 1 << 20, 1 << 18
 #: Longer pieces are encoded but not kept.
 KEEP_CHARS = 64
 #: The vocabulary whose ids never cover white space, and bytes of text whose ids are made together.
-WORDS, ROWS_BYTES = "word_bpe_49k.json", 8 << 20
+WORDS, ROWS_BYTES = "word_bpe_49k.json", 2 << 20
+#: Runs of letters, digits or signs in one line for the library.
+LINE = 512
 
 
 def load(name: str):
@@ -90,6 +92,7 @@ class Encoder:
         self.cuts = not name.endswith(".model")
         self.seen: dict[str, object] = {}
         self.parts: dict[str, bytes] | None = {} if parts else None
+        self.closing: np.ndarray | None = None
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         if not self.cuts:
@@ -106,16 +109,41 @@ class Encoder:
             yield from self._encoded(fresh)
             return
         split = {p: RUN.findall(p.lower()) for p in fresh if len(p) <= KEEP_CHARS and PLAIN.fullmatch(p)}
-        self.parts.update(self._encoded(set().union(*split.values()).difference(self.parts)))
+        self._encode_runs(list(set(chain.from_iterable(split.values())).difference(self.parts)))
+        look = self.parts.__getitem__
         for piece, runs in split.items():
-            yield piece, b"".join(map(self.parts.__getitem__, runs))
+            yield piece, b"".join(map(look, runs))
         yield from self._encoded(fresh.difference(split))
 
+    def _encode_runs(self, runs: list[str]) -> None:
+        """Runs go through the library many to a line; the ids that end a run tell them apart again."""
+        ends = self._ends()
+        for batch in balanced(runs):
+            lines = [" ".join(batch[i : i + LINE]) for i in range(0, len(batch), LINE)]
+            ids = np.concatenate([np.array(e, "<u4") for e in self._ids(lines)])
+            cut = np.flatnonzero(ends[ids]) + 1
+            if len(cut) != len(batch):
+                raise ValueError(f"{len(batch)} runs gave {len(cut)} ends")
+            raw, at = ids.tobytes(), [0, *(cut * 4).tolist()]
+            self.parts.update(zip(batch, (raw[a:b] for a, b in zip(at, at[1:]))))
+
+    def _ends(self) -> np.ndarray:
+        """Which ids close a run: their text carries the vocabulary's word end."""
+        if self.closing is None:
+            self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.closing[[i for text, i in self.tokenizer.get_vocab().items() if text.endswith("</w>")]] = True
+        return self.closing
+
+    def forget(self) -> None:
+        self.seen, self.parts = {}, None if self.parts is None else {}
+
     def lookup(self, pieces: set[str]):
         """A mapping that has the values of all these pieces."""
+        hold(f"pieces of {id(self)}", self.forget)
         fresh = pieces.difference(self.seen)
         if len(self.seen) + len(self.parts or ()) + len(fresh) > CACHE_ENTRIES:
-            self.seen, self.parts, fresh = {}, None if self.parts is None else {}, pieces
+            self.forget()
+            fresh = pieces
         once = {}
         for piece, value in self._made(fresh):
             (self.seen if len(piece) <= KEEP_CHARS else once)[piece] = value
