@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import table
+from quirefold.llm.common import small_batches, table
 from quirefold.llm.encoding import word_ids
 from quirefold.session import materialize
 
@@ -132,7 +132,8 @@ def pack(
             left = packer.leftover()
             yield _rows(packer, left, part, with_ids, kind)
 
-    done = materialize(docs.select("doc_id", "text").mapInArrow(first_pass, schema))
+    with small_batches(docs.sparkSession):
+        done = materialize(docs.select("doc_id", "text").mapInArrow(first_pass, schema))
     packed, level = done.where(~F.col("unfinished")), 0
     tails = done.where("unfinished")
     last = tails.agg(F.max("part")).first()[0]
