@@ -20,7 +20,7 @@ from quirefold.session import local_session
 HEADLINE = [
     "nms", "postprocess", "detection_agreement", "precision_recall", "coco_match", "class_ap", "shadow_diff", "gt_box_issues", "batch_rollup",
     "batch_timings", "item_state_fold", "micro_batches", "lease_sweep", "trial_summary", "bootstrap_ci", "gate_verdicts", "register_pages",
-    "fan_out_items", "annotation_hash", "pinning_audit",
+    "fan_out_items", "annotation_hash", "pinning_audit", "evaluation_row", "constraint_audit", "item_view", "gt_ink_issues", "bench_samples",
 ]
 
 

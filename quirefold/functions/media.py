@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import struct
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,62 +44,66 @@ def _pair(width: Column, height: Column) -> Column:
 _SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
 
 
+# Fixed values of the JPEG format: frame headers, markers without a body, markers that end the header.
+FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
+BARE = frozenset([0x01, *range(0xD0, 0xD9)])
+ENDS = frozenset([0xD9, 0xDA])
+_MARKER = re.compile(rb"\xff+([\x01-\xfe])")
+
+
 def _jpeg_size(data: bytes) -> tuple[int, int] | None:
-    """Height and width of the first frame header, found by hopping over segments."""
+    """Width and height of the first frame header before the scan."""
     at = 2
-    while at + 4 <= len(data):
-        if data[at] != 0xFF:
-            at += 1
-            continue
-        code = data[at + 1]
-        if code in (0xD9, 0xDA):
-            return None
-        if code == 0x01 or 0xD0 <= code <= 0xD8:
-            at += 2
-            continue
-        if 0xC0 <= code <= 0xCF and code not in (0xC4, 0xC8, 0xCC):
-            if at + 9 > len(data):
-                return None
-            height, width = struct.unpack_from(">HH", data, at + 5)
-            return width, height
-        at += 2 + struct.unpack_from(">H", data, at + 2)[0]
+    while marker := _MARKER.search(data, at):
+        code, at = marker[1][0], marker.end()
+        if code in ENDS:
+            break
+        if code in FRAMES:
+            body = data[at + 3 : at + 7]
+            return (int.from_bytes(body[2:], "big"), int.from_bytes(body[:2], "big")) if len(body) == 4 else None
+        if code not in BARE:
+            at += int.from_bytes(data[at : at + 2], "big")
     return None
 
 
-def _tiff_size(data: bytes) -> tuple[int, int] | None:
-    """ImageWidth (256) and ImageLength (257) of the first directory."""
-    order = "<" if data[:2] == b"II" else ">"
-    try:
-        (start,) = struct.unpack_from(order + "I", data, 4)
-        (entries,) = struct.unpack_from(order + "H", data, start)
-        found: dict[int, int] = {}
-        for n in range(entries):
-            at = start + 2 + 12 * n
-            if at + 12 > len(data):
-                break
-            tag, kind = struct.unpack_from(order + "HH", data, at)
-            if tag in (256, 257) and tag not in found and kind in (3, 4):
-                found[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), data, at + 8)[0]
-    except struct.error:
-        return None
-    return (found[256], found[257]) if len(found) == 2 else None
-
-
 @F.pandas_udf(_SIZE)
-def _walked(content: pd.Series) -> pd.DataFrame:
-    sizes = []
-    for raw in content:
-        data = bytes(raw or b"")
-        size = _jpeg_size(data) if data[:2] == b"\xff\xd8" else _tiff_size(data) if data[:2] in (b"II", b"MM") else None
-        sizes.append(size or (None, None))
+def _jpeg(content: pd.Series) -> pd.DataFrame:
+    sizes = [_jpeg_size(bytes(raw)) or (None, None) if raw is not None else (None, None) for raw in content]
     return pd.DataFrame(sizes, columns=["width", "height"], dtype="Int64")
 
 
+def _tiff_size(content: Column) -> Column:
+    """ImageWidth (256) and ImageLength (257) among the entries of the first directory."""
+    little = F.hex(F.substring(content, 1, 2)) == "4949"
+
+    def number(at: Column, size: int) -> Column:
+        digits = [F.hex(F.substring(content, (at + i + 1).cast("int"), F.lit(1))) for i in range(size)]
+        return F.conv(F.when(little, F.concat(*reversed(digits))).otherwise(F.concat(*digits)), 16, 10).cast("bigint")
+
+    def entry(n: Column, start: Column) -> Column:
+        at = start + 2 + n * 12
+        kind = number(at + 2, 2)
+        value = F.when(kind == 3, number(at + 8, 2)).when(kind == 4, number(at + 8, 4))
+        return F.struct(number(at, 2).alias("tag"), value.alias("value"))
+
+    def directory(start: Column) -> Column:
+        listed = F.least(number(start, 2), F.floor((F.length(content) - start - 2) / 12))
+        return F.when((start + 2 <= F.length(content)) & (listed > 0), F.transform(F.sequence(F.lit(0).cast("bigint"), listed - 1), lambda n: entry(n, start)))
+
+    def sized(entries: Column) -> Column:
+        first = lambda tag: F.try_element_at(F.filter(entries, lambda e: (e["tag"] == tag) & e["value"].isNotNull()), F.lit(1))["value"]
+        return F.when(first(256).isNotNull() & first(257).isNotNull(), _pair(first(256), first(257)))
+
+    # each step is bound to a lambda variable, so that it is worked out once
+    entries = F.transform(F.array(number(F.lit(4), 4)), directory)
+    return F.transform(entries, sized)[0]
+
+
 def header_dims(content: Column) -> Column:
     """STRUCT<width, height>, or NULL when the header does not say or says zero.
 
-    PNG, GIF and WebP are fixed offsets; only JPEG and TIFF, whose header must be
-    walked, are handed to Python, and only those bytes cross over.
+    PNG, GIF and WebP are fixed offsets, TIFF entries are read by position; only JPEG, whose
+    segments must be hopped over, is handed to Python, and only those bytes cross over.
     """
     head = F.hex(F.substring(content, 1, 32))
     size = F.length(content)
@@ -108,14 +112,15 @@ def header_dims(content: Column) -> Column:
     bits = _number(content, 21, 4, True)
     low14 = F.lit(0x3FFF).cast("bigint")
     plus = lambda c: c + 1
-    walks = head.startswith("FFD8") | head.startswith("49492A00") | head.startswith("4D4D002A")
-    walked = _walked(F.when(walks, content))
+    jpeg = head.startswith("FFD8")
+    tiff = head.startswith("49492A00") | head.startswith("4D4D002A")
     dims = (
         F.when(head.startswith(MAGIC[0][0]) & (size >= 24) & (F.substring(head, 25, 8) == "49484452"), _pair(_number(content, 16, 4), _number(content, 20, 4)))
         .when((F.substring(head, 1, 12).isin("474946383761", "474946383961")) & (size >= 10), _pair(_number(content, 6, 2, True), _number(content, 8, 2, True)))
         .when(webp & (size >= 30) & (chunk == "56503858"), _pair(plus(_number(content, 24, 3, True)), plus(_number(content, 27, 3, True))))
         .when(webp & (size >= 30) & (chunk == "56503820"), _pair(_number(content, 26, 2, True).bitwiseAND(low14), _number(content, 28, 2, True).bitwiseAND(low14)))
         .when(webp & (size >= 30) & (chunk == "5650384C"), _pair(plus(bits.bitwiseAND(low14)), plus(F.shiftright(bits, 14).bitwiseAND(low14))))
-        .when(walks, walked)
+        .when(jpeg, _jpeg(F.when(jpeg, content)))
+        .when(tiff, F.transform(F.array(content), _tiff_size)[0])
     )
     return F.when((dims["width"] > 0) & (dims["height"] > 0), dims)

@@ -120,6 +120,7 @@ def runnable_verdict(require_ac: bool = True, min_free: float = K.MIN_FREE_FRACT
         .when(F.col("free_fraction") < min_free, "memory_pressure").otherwise("ok"))
 
 
+# Fixed value: the layout of the environment line in reports.
 def env_stamp(cpu: Column, performance: Column, efficiency: Column, os_version: Column, torch: Column, ort: Column, at: Column, host: Column) -> Column:
     ask = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     return F.concat(
