@@ -17,9 +17,13 @@ def _signature(links: DataFrame):
     return links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``u, v`` (any direction) -> ``node, root``: the smallest node that links reach, for nodes that are not roots."""
-    stars = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+def components(links: DataFrame, files: int = 8) -> DataFrame:
+    """``u, v`` (any direction) -> ``node, root``: the smallest node that links reach, for nodes that are not roots.
+
+    Each round is written as ``files`` files, by as many tasks.
+    """
+    keep = lambda df: materialize(df.distinct().repartition(files))
+    stars = keep(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     before = _signature(stars)
     while before[0]:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         # every link now points from the larger to the smaller node
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        stars = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        stars = keep(small.unionByName(low.select("u", F.col("m").alias("v"))))
         after = _signature(stars)
         if after == before:
             break

@@ -9,13 +9,21 @@ One tree over a whole corpus would visit every pair of boxes of like size (two u
 documents lie within the radius that the threshold allows), so points are first dealt
 into cells: documents that can link share one of the rarest ``n - ceil(t*n) + 1`` shingles
 of both. Rarity comes from a table of ``2**RANK_BITS`` counters over all documents; any
-fixed order is exact, a rare-first one keeps common passages out of the cells.
+fixed order is exact, a rare-first one keeps common passages out of the cells. Points have
+two groups for every shingle (up to ``MOST_GROUPS``); the tree folds them to ``GROUPS``.
 
 1. Equal sets become one class, its smallest id stands for it.
 2. Each document of a cell is held against the cell's first one only; verified links give
    components. That is linear, and joins large groups of near copies.
-3. Cells whose documents still lie in different components are searched in full by the
-   tree, in blocks of bounded size, for pairs across components; survivors are verified.
+3. In larger cells that still hold more than one component, the tree finds for each
+   document its most promising partner in another one; again linear, again verified.
+4. Cells that even then hold more than one component are searched in full for pairs across
+   components: cells of a few points pair by pair, larger ones by the tree, in blocks of
+   bounded size. Survivors of the bound are verified.
+
+In a cell, a shingle at place p of a set of n leaves n - p for the overlap with a partner
+whose first common shingle it is; pairs that cannot reach the threshold that way are left
+to the cell of an earlier shingle.
 
 The links found connect exactly what all links would connect. Shingles are 64-bit hashes.
 Null and blank texts have an empty set and link with nothing; a text of fewer than ``k``
@@ -34,22 +42,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import WordCache, by_batch, offsets, table
+from quirefold.llm.common import WordCache, by_batch, hold, offsets, small_batches, table
 from quirefold.llm.components import components
 from quirefold.session import materialize
 
 K, PERCENT = 5, 80
-GROUPS, RANK_BITS = 64, 20
+GROUPS, MOST_GROUPS, RANK_BITS = 256, 65536, 21
 #: Points of one block of a cell, and members of one verification group.
 BLOCK, VERIFY = 1024, 512
-FANOUT = 16
+#: Points of a cell that is searched pair by pair, children of a box, and pairs held at a time.
+FEW, FANOUT, HELD = 64, 16, 1 << 18
+#: Pairs of boxes whose bounds are taken at a time.
+STRIDE = 1 << 12
+#: Documents for each file of the small tables between steps.
+DOCS_PER_FILE = 50_000
 #: Bytes of text whose sets are made together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 #: Routes up to this number (16 bytes each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROUTES = 1_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_SEEN = WordCache(xxhash.xxh3_64_intdigest, 500_000)
+_SEEN = WordCache(xxhash.xxh3_64_intdigest, 100_000)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -59,6 +72,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes | None], k: int = K) -> Iterator[np.ndarray]:
     """Per text its sorted distinct shingle hashes. bytes.lower and bytes.split follow the ASCII word rule."""
+    hold("shingles", _SEEN.clear)
     at = 0
     while at < len(texts):
         end, size = at, 0
@@ -87,7 +101,7 @@ def shingle_sets(texts: list[bytes | None], k: int = K) -> Iterator[np.ndarray]:
 
 
 def _shingle_ranks(docs: DataFrame, k: int) -> np.ndarray:
-    """log2 of how often the shingles of a counter occur: 2**RANK_BITS bytes, whatever the input."""
+    """How often the shingles of each counter occur, up to 65535: two bytes a counter, whatever the input."""
     slices = 16
     width = (1 << RANK_BITS) // slices
 
@@ -106,13 +120,13 @@ def _shingle_ranks(docs: DataFrame, k: int) -> np.ndarray:
             for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 total[piece] = total.get(piece, 0) + np.frombuffer(counts, "<u2").astype(np.int64)
         if total:
-            ranks = [np.log2(np.maximum(v, 1)).astype(np.uint8).tobytes() for v in total.values()]
+            ranks = [np.minimum(v, 65535).astype("<u2").tobytes() for v in total.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(ranks, pa.binary())], ["slice", "counts"])
 
     counts = docs.select("text").mapInArrow(counted, "slice bigint, counts binary")
-    ranks = np.zeros((slices, width), np.uint8)
+    ranks = np.zeros((slices, width), np.uint16)
     for row in counts.repartition(slices, "slice").mapInArrow(summed, "slice bigint, counts binary").collect():
-        ranks[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
+        ranks[row["slice"]] = np.frombuffer(row["counts"], "<u2")
     return ranks.ravel()
 
 
@@ -141,33 +155,47 @@ def _features(docs: DataFrame, ranks: np.ndarray, k: int, percent: int) -> DataF
 
 
 def _point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
+    """Group counts in one byte each, 255 for more than 254; groups are a power of two, at least twice the shingles."""
+    groups = GROUPS
+    while groups < MOST_GROUPS and groups < 2 * len(s):
+        groups *= 2
+    counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def _folded(raw: bytes, groups: int = GROUPS) -> np.ndarray:
+    """A point with fewer groups: groups are low bits of the hash, so every ``groups``-th count adds up.
+
+    A count that did not fit is taken for a very large one, which keeps the bound a bound.
+    """
+    counts = np.frombuffer(raw, np.uint8).astype(np.int32)
+    counts[counts == 255] = 1 << 20
+    return counts.reshape(-1, groups).sum(axis=0)
 
 
 def _cells(classes: DataFrame) -> DataFrame:
-    """Cells of two documents or more: one row ``token, doc, n, first, first_n`` per document after the first."""
-    rows = classes.select(F.explode("prefix").alias("token"), F.col("doc").alias("doc"), "n").repartition("token").sortWithinPartitions("token", "doc")
+    """Cells of two documents or more: one row per document after the first, which it names."""
+    rows = classes.select(F.posexplode("prefix").alias("place", "token"), "doc", "n").select("token", "doc", "n", "place")
+    rows = rows.repartition("token").sortWithinPartitions("token", "doc")
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, doc, n = (batch.column(i).to_numpy() for i in range(3))
+            cols = [c.to_numpy() for c in batch.columns]
             if held is not None:
-                token, doc, n = (np.concatenate([[h], c]) for h, c in zip(held, (token, doc, n)))
+                cols = [np.concatenate([[h], c]).astype(c.dtype) for h, c in zip(held, cols)]
+            token = cols[0]
             start = np.concatenate([[True], token[1:] != token[:-1]])
             first = np.flatnonzero(start)[np.cumsum(start) - 1]
             later = np.flatnonzero(~start)
-            held = tuple(c[first[-1]] for c in (token, doc, n))
+            held = [c[first[-1]] for c in cols]
             if len(later):
-                f = first[later]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[later]), pa.array(doc[later]), pa.array(n[later].astype(np.int32)), pa.array(doc[f]), pa.array(n[f].astype(np.int32))],
-                    ["token", "doc", "n", "first", "first_n"],
-                )
+                both = [c[later] for c in cols] + [c[first[later]] for c in cols[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in both], ["token", "doc", "n", "place", "first", "first_n", "first_place"])
 
-    return rows.mapInArrow(streamed, "token bigint, doc bigint, n int, first bigint, first_n int")
+    return rows.mapInArrow(streamed, "token bigint, doc bigint, n int, place int, first bigint, first_n int, first_place int")
 
 
 def _needed(a, b, percent: int):
@@ -175,8 +203,10 @@ def _needed(a, b, percent: int):
     return -(-percent * (a.astype(np.int64) + b) // (100 + percent))
 
 
-def _alike(a: str, b: str, percent: int):
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+def _may_link(na, nb, pa_, pb, percent: int):
+    """Whether sets of these sizes can link, with this shingle as their first common one."""
+    need = _needed(na, nb, percent)
+    return (na - pa_ >= need) & (nb - pb >= need) & (np.minimum(na, nb) >= need)
 
 
 def _within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -186,14 +216,49 @@ def _within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     b = points.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
 
     def bounded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("ca", "cb"))
+        shared = []
+        for x, y in zip(batch.column("ca").to_pylist(), batch.column("cb").to_pylist()):
+            groups = min(len(x), len(y))
+            shared.append(int(np.minimum(_folded(x, groups), _folded(y, groups)).sum()))
         na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-        keep = np.minimum(ca, cb).sum(axis=1) >= _needed(na, nb, percent)
+        keep = np.array(shared) >= _needed(na, nb, percent)
         return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     return by_batch(pairs.join(a, "a").join(b, "b"), bounded, "a bigint, b bigint")
 
 
+def _few_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs across components of small cells, sorted by token: all cells of a batch at once."""
+    held: list[np.ndarray] | None = None
+
+    def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, root, doc, n, place = cols
+        edge = np.append(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])), len(token))
+        ahead = np.repeat(edge[1:], np.diff(edge)) - np.arange(len(token)) - 1
+        upto = np.cumsum(ahead)
+        at = 0
+        while at < len(token):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + HELD)))
+            i = np.repeat(np.arange(at, end), ahead[at:end])
+            j = i + 1 + np.arange(len(i)) - np.repeat(upto[at:end] - ahead[at:end] - (upto[at - 1] if at else 0), ahead[at:end])
+            keep = (root[i] != root[j]) & _may_link(n[i], n[j], place[i], place[j], percent)
+            found = np.unique(np.stack([np.maximum(doc[i], doc[j]), np.minimum(doc[i], doc[j])], axis=1)[keep], axis=0)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            at = end
+
+    for batch in batches:
+        if batch.num_rows:
+            cols = [c.to_numpy() for c in batch.columns]
+            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            held = [c[last:] for c in cols]
+            if last:
+                yield from pairs([c[:last] for c in cols])
+    if held is not None:
+        yield from pairs(held)
+
+
 def tree_pairs(counts: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int) -> np.ndarray:
     """Index pairs of points in different groups that the overlap bound cannot rule out.
 
@@ -201,7 +266,7 @@ def tree_pairs(counts: np.ndarray, n: np.ndarray, group: np.ndarray, percent: in
     upper corner, its size range and its group (-1 when mixed). Pairs of boxes are refined
     level by level.
     """
-    levels = [(counts.astype(np.int64), n.astype(np.int64), n.astype(np.int64), group)]
+    levels = [(counts, n.astype(np.int64), n.astype(np.int64), group)]
     while len(levels[-1][1]) > 1:
         top, low, high, own = levels[-1]
         cut = np.arange(0, len(low), FANOUT)
@@ -215,9 +280,9 @@ def tree_pairs(counts: np.ndarray, n: np.ndarray, group: np.ndarray, percent: in
             i, j = (np.repeat(i * FANOUT, FANOUT * FANOUT) + np.tile(np.repeat(step, FANOUT), len(i)), np.repeat(j * FANOUT, FANOUT * FANOUT) + np.tile(step, len(j) * FANOUT))
             inside = (i < len(low)) & (j < len(low)) & ((i < j) if depth == 0 else (i <= j))
             i, j = i[inside], j[inside]
-        kept_i, kept_j = [], []
-        for at in range(0, len(i), 1 << 15):
-            a, b = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+        kept_i, kept_j = [i[:0]], [j[:0]]
+        for at in range(0, len(i), STRIDE):
+            a, b = i[at : at + STRIDE], j[at : at + STRIDE]
             keep = ((own[a] != own[b]) | (own[a] == -1)) & (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
             a, b = a[keep], b[keep]
             keep = np.minimum(top[a], top[b]).sum(axis=1) >= _needed(low[a], low[b], percent)
@@ -228,30 +293,57 @@ def tree_pairs(counts: np.ndarray, n: np.ndarray, group: np.ndarray, percent: in
     return np.stack([i[keep], j[keep]], axis=1)
 
 
-def _across(cells: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs across components, from cells that hold more than one."""
-    rows = cells.select("token", "doc").unionByName(cells.select("token", F.col("first").alias("doc")).distinct())
-    placed = rows.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root"))
-    mixed = placed.groupBy("token").agg(F.count("*").alias("_k"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
-    blocks = F.ceil(F.col("_k") / BLOCK).cast("int")
-    open_rows = placed.join(mixed.select("token", blocks.alias("_blocks")), "token").withColumn("_own", F.pmod(F.xxhash64("doc"), F.col("_blocks")).cast("int"))
+def _open_cells(cells: DataFrame, roots: DataFrame, files: int) -> DataFrame:
+    """Rows ``token, root, doc, n, place, size`` of cells that hold more than one component."""
+    firsts = cells.select("token", F.col("first").alias("doc"), F.col("first_n").alias("n"), F.col("first_place").alias("place")).distinct()
+    rows = cells.select("token", "doc", "n", "place").unionByName(firsts)
+    placed = rows.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("token", F.coalesce("root", "doc").alias("root"), "doc", "n", "place")
+    mixed = placed.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
+    return materialize(placed.join(mixed.select("token", "size"), "token").repartition(files))
+
+
+def _pair_by_pair(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components in cells of a few points."""
+    few = rows.where(F.col("size") <= FEW).select("token", "root", "doc", "n", "place").repartition("token").sortWithinPartitions("token", "root", "doc")
+    return few.mapInArrow(lambda batches: _few_pairs(batches, percent), "a bigint, b bigint")
+
+
+def _by_tree(rows: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs across components in larger cells; with ``best`` one for each point, the one with most overlap to spare."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    many = rows.where(F.col("size") > FEW).withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("doc"), F.col("_blocks")).cast("int"))
     dealt = (
-        open_rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("token", "doc", "root", F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj"))
+        many.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .select("token", "doc", "root", "place", F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj"))
         .join(classes.select("doc", "n", "counts"), "doc")
-        .select("token", "bi", "bj", "root", "n", "doc", "counts")
+        .select("token", "bi", "bj", "root", "n", "place", "doc", "counts")
         .repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "root", "n", "doc")
     )
 
+    def pairs(part: pa.Table) -> np.ndarray:
+        n, root, place, doc = (part.column(c).to_numpy() for c in ("n", "root", "place", "doc"))
+        points = np.stack([_folded(c) for c in part.column("counts").to_pylist()])
+        i, j = tree_pairs(points, n, root, percent).T
+        keep = _may_link(n[i], n[j], place[i], place[j], percent)
+        i, j = i[keep], j[keep]
+        if best and len(i):
+            spare = np.concatenate([np.minimum(points[i[at : at + STRIDE]], points[j[at : at + STRIDE]]).sum(axis=1) for at in range(0, len(i), STRIDE)])
+            spare -= _needed(n[i], n[j], percent)
+            point, other, spare = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([spare, spare])
+            order = np.lexsort((doc[other], -spare, point))
+            first = order[np.concatenate([[True], point[order][1:] != point[order][:-1]])]
+            i, j = point[first], other[first]
+        return np.stack([np.maximum(doc[i], doc[j]), np.minimum(doc[i], doc[j])], axis=1)
+
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        found: list[np.ndarray] = []
 
-        def pairs(part: pa.Table) -> pa.RecordBatch:
-            cols = [part.column(c).to_numpy() for c in ("n", "root", "doc")]
-            counts = np.frombuffer(b"".join(part.column("counts").to_pylist()), "<u4").reshape(-1, GROUPS)
-            found = tree_pairs(counts, cols[0], cols[1], percent)
-            a, b = cols[2][found[:, 0]], cols[2][found[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        def drained() -> pa.RecordBatch:
+            # a pair meets in many cells of its task
+            both = np.unique(np.concatenate(found), axis=0)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         for batch in batches:
             now = pa.Table.from_batches([batch])
@@ -260,23 +352,28 @@ def _across(cells: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
             cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             edges = [0, *cut.tolist()]
             for a, b in zip(edges[:-1], edges[1:]):
-                yield pairs(now.slice(a, b - a))
+                found.append(pairs(now.slice(a, b - a)))
+                if sum(map(len, found)) > HELD:
+                    yield drained()
             held = now.slice(edges[-1])
         if held is not None and held.num_rows:
-            yield pairs(held)
+            found.append(pairs(held))
+        if found:
+            yield drained()
 
-    return dealt.mapInArrow(searched, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(searched, "a bigint, b bigint")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, files: int) -> DataFrame:
     """Links ``u, v`` among the pairs ``a, b``: the sets meet in groups around ``b``."""
-    pairs = materialize(pairs)
+    pairs = materialize(pairs.repartition(files))
     counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / VERIFY).cast("int").alias("_parts"))
     dealt = pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int").alias("part"))
     routes = materialize(
         dealt.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), "part", F.lit(1).alias("side"))
         .unionByName(dealt.select(F.col("b").alias("doc_id"), F.col("b").alias("centre"), "part", F.lit(0).alias("side")).distinct())
         .groupBy("doc_id").agg(F.collect_list(F.struct("centre", "part", "side")).alias("routes"), F.count("*").alias("_n"))
+        .repartition(files)
     )
     total = routes.agg(F.sum("_n")).first()[0] or 0
     # ids can repeat with another text; the class keeps the set that is meant
@@ -310,23 +407,39 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, per
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return materialize(met.mapInArrow(compared, "u bigint, v bigint").distinct())
+    return materialize(met.mapInArrow(compared, "u bigint, v bigint").distinct().repartition(files))
 
 
 def ngram_join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document; ids are whole numbers."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    with small_batches(docs.sparkSession):
+        return _joined(docs, k, percent)
+
+
+def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     features = materialize(_features(docs, _shingle_ranks(docs, k), k, percent))
     classes = materialize(
         features.where("set_id is not null and doc_id is not null").groupBy("set_id")
         .agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts"))
     )
-    cells = materialize(_cells(classes))
-    near_first = cells.where(_alike("n", "first_n", percent)).select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct()
-    links = _verified(docs, classes, _within_bound(near_first, classes, percent), k, percent)
-    roots = components(links)
-    more = _verified(docs, classes, _across(cells, classes, roots, percent), k, percent)
-    final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    # what follows is far smaller than the documents; it is written by tasks in proportion, not by one for each shuffle partition
+    files = max(8, -(-features.count() // DOCS_PER_FILE))
+    cells = materialize(_cells(classes).repartition(files))
+    need = F.ceil(percent * (F.col("n") + F.col("first_n")) / (100 + percent))
+    fits = (F.col("n") - F.col("place") >= need) & (F.col("first_n") - F.col("first_place") >= need)
+    near_first = cells.where(fits).select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct()
+    links = _verified(docs, classes, _within_bound(near_first, classes, percent), k, percent, files)
+    roots = components(links, files)
+    rows = _open_cells(cells, roots, files)
+    if not rows.where(F.col("size") > FEW).isEmpty():
+        best = _by_tree(rows, classes, percent, best=True).distinct()
+        links = links.unionByName(_verified(docs, classes, _within_bound(best, classes, percent), k, percent, files))
+        roots = components(links, files)
+        rows = _open_cells(cells, roots, files)
+    rest = _pair_by_pair(rows, percent).unionByName(_by_tree(rows, classes, percent, best=False)).distinct()
+    links = links.unionByName(_verified(docs, classes, _within_bound(rest, classes, percent), k, percent, files))
+    final = components(links, files)
     of_class = classes.select("set_id", "doc").join(final, F.col("doc") == F.col("node"), "left").select("set_id", F.coalesce("root", "doc").alias("_component"))
     linked = features.select("doc_id", "n", "set_id").join(of_class, "set_id", "left")
     return linked.select(
@@ -337,3 +450,19 @@ def ngram_join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
 
 def op9_ngramjoin(spark, sf_dir) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+sets as (
+  select doc_id, list_distinct(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as shingles from words),
+sizes as (select doc_id, cast(len(shingles) as bigint) as n from sets),
+flat as (select doc_id, unnest(shingles) as s from sets),
+shared as (select a.doc_id as u, b.doc_id as v, count(*) as k from flat a join flat b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select u, v from shared join sizes x on x.doc_id = u join sizes y on y.doc_id = v where 100 * k >= 80 * (x.n + y.n - k)),
+both_ways as (select u, v from links union all select v, u from links),
+reach as (select doc_id as u, doc_id as v from documents union select r.u, b.v from reach r join both_ways b on b.u = r.v)
+select s.doc_id, s.n as n_shingles, m.component_id from sizes s join (select u, min(v) as component_id from reach group by u) m on m.u = s.doc_id
+"""

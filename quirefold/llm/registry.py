@@ -21,4 +21,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
+    "op9_ngramjoin": ngramjoin.OP9_SQL,
 }

@@ -116,8 +116,10 @@ def test_tree_keeps_every_pair_within_the_bound(points):
 def test_points_fold_to_fewer_groups():
     s = np.unique(np.random.default_rng(0).integers(0, 2**63, 20_000).astype(np.uint64))
     raw = ngramjoin._point(s).tobytes()
-    assert len(raw) == 4 * 4096
-    assert ngramjoin._folded(raw).tolist() == np.bincount((s & np.uint64(63)).astype(int), minlength=64).tolist()
+    assert len(raw) == 65536
+    assert ngramjoin._folded(raw, 64).tolist() == np.bincount((s & np.uint64(63)).astype(int), minlength=64).tolist()
+    crowded = ngramjoin._point(np.arange(300, dtype=np.uint64) << np.uint64(20))
+    assert crowded[0] == 255 and ngramjoin._folded(crowded.tobytes()).sum() > 300  # never less than the overlap
 
 
 def test_components_of_a_star_a_path_and_a_cycle(spark):
