@@ -126,6 +126,11 @@ def upload_provenance(synthetic: Column, filename: Column) -> Column:
     return F.concat(F.when(synthetic, "synthetic-upload:").otherwise("upload:"), filename)
 
 
+def stored_hashes(files: DataFrame) -> DataFrame:
+    """``path, actual_sha`` of stored files (``path, content`` as binaryFile reads them); the bytes stay in the scan stage."""
+    return files.select("path", F.sha2("content", 256).alias("actual_sha"))
+
+
 def artifact_verify(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """missing, mismatch or ok per pinned artifact; ``actual`` carries ``ws, path, actual_sha``."""
     seen = actual.select("ws", "path", F.col("actual_sha").alias("_actual"))

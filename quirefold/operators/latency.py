@@ -21,7 +21,7 @@ def item_timings(items: DataFrame) -> DataFrame:
 
 def pct_rounded_rank(df: DataFrame, group: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Percentile at index ``round(p * (n - 1))``, half to even."""
-    return ranked_values(df, group, value, {name: rounded_rank(p) for name, p in quantiles.items()})
+    return ranked_values(df, group, value, {name: rounded_rank(p) for name, p in quantiles.items()}, width=1.0)
 
 
 def batch_timings(items: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quirefold.session import materialize
 
 HOT_ROWS = 1_000_000
+#: Buckets of a histogram over the values of one group.
+BUCKETS = 1024
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -90,21 +92,26 @@ def ranked_values(
     group: Sequence[str],
     value: str,
     ranks: dict[str, Column],
-    width: float = 1.0,
+    width: float | None = None,
 ) -> DataFrame:
     """Exact order statistics per group, without sorting any whole group.
 
     ``ranks`` maps an output name to a 0-based rank written over the column ``n``
     (the group's row count). Equal values are folded into counts before the first
-    shuffle, a histogram of ``width``-wide buckets finds the bucket that holds each
-    rank, and only those buckets are ordered.
+    shuffle, a histogram finds the bucket that holds each rank, and only those buckets
+    are ordered. Buckets are ``width`` wide, or a ``BUCKETS``-th of what the group spans.
     """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("_v"))
         .agg(F.count("*").alias("_c"))
-        .withColumn("_b", F.floor(F.col("_v") / F.lit(width)))
     )
+    if width is None:
+        spans = counts.groupBy(*group).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        place = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * BUCKETS)).otherwise(0)
+        counts = counts.join(spans, list(group)).withColumn("_b", place).drop("_low", "_high")
+    else:
+        counts = counts.withColumn("_b", F.floor(F.col("_v") / F.lit(width)))
     whole = Window.partitionBy(*group)
     upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()])

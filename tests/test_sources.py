@@ -1,5 +1,6 @@
 """Byte probes, readers and writers."""
 
+import hashlib
 import json
 import struct
 from datetime import datetime
@@ -120,3 +121,13 @@ def test_object_keys_below_an_odd_root(spark, tmp_path):
     (root / "x" / "y.bin").write_bytes(b"12")
     for given in (str(root), f"file://{root}", f"file:{root}/"):
         assert [tuple(r) for r in readers.object_listing(spark, given).select("key", "size").collect()] == [("x/y.bin", 2)]
+
+
+def test_stored_artifacts_are_hashed_where_they_are_read(spark, tmp_path):
+    (tmp_path / "a.onnx").write_bytes(b"weights")
+    (tmp_path / "b.onnx").write_bytes(b"changed")
+    files = I.stored_hashes(spark.read.format("binaryFile").load(str(tmp_path)))
+    sha = hashlib.sha256(b"weights").hexdigest()
+    rows = [("w", f"file:{tmp_path}/{n}.onnx", sha) for n in "abc"]
+    verdicts = I.artifact_verify(spark.createDataFrame(rows, "ws string, path string, sha256 string"), files.withColumn("ws", F.lit("w")))
+    assert {r.path[-6]: r.verdict for r in verdicts.collect()} == {"a": "ok", "b": "mismatch", "c": "missing"}
