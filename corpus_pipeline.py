@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm import mixing, ngramjoin, packing, pii
 from quirefold.llm import quality as classifier
-from quirefold.llm.common import free_name, table
+from quirefold.llm.common import BATCH_ROWS, TEXT_ROWS, free_name, table
 from quirefold.session import materialize
 
 #: Dropped ids up to this number are broadcast; more are joined by shuffle.
@@ -26,6 +26,8 @@ BROADCAST_IDS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # stages run when they are written, so the smaller Arrow batches hold for the session from here on
+    spark.conf.set(BATCH_ROWS, TEXT_ROWS)
     weights = classifier.train(docs, table(spark, sf_dir, "labels"), classifier.may_learn(F.col("doc_id")))
     score = free_name(docs, "score")
     return classifier.score(docs, weights, score).where(F.col(score) >= 0.5).select(*docs.columns)

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import WordCache, by_batch, id_crc, offsets, run_sums, table
+from quirefold.llm.common import WordCache, by_batch, hold, id_crc, offsets, run_sums, table
 
 BITS = 18
 #: Labelled documents that a fit may read.
-SAMPLE = 6000
+SAMPLE = 4000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.0005, 0.0001
-#: Words handled at a time when scoring.
-CHUNK = 1 << 20
+#: Bytes of text handled at a time when scoring.
+CHUNK = 3 << 19
 
 
 def _two_hashes(word: bytes) -> int:
@@ -45,7 +45,7 @@ def _two_hashes(word: bytes) -> int:
     return zlib.crc32(word) << 32 | zlib.crc32(shape.encode())
 
 
-_SEEN = WordCache(_two_hashes, 500_000)
+_SEEN = WordCache(_two_hashes, 100_000)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,6 +60,7 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
     Per word: itself, its shape, the pair with the word before, the shape pair with it.
     """
+    hold("quality", _SEEN.clear)
     split = [(t or b"").split() for t in texts]
     starts = offsets(np.array([len(w) for w in split], np.int64))
     n = int(starts[-1])
@@ -82,8 +83,9 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return slots, starts
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights and, last, the bias; a row is (slots, values, label). FTRL-proximal, one row at a time."""
+def fit(rows: list[tuple[bytes, bytes, int, int]], epochs: int = EPOCHS) -> np.ndarray:
+    """Weights and, last, the bias. A row is (slots, counts, number of words, label), slots and
+    counts as four-byte numbers; FTRL-proximal takes one row at a time."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(i=slice(None)):
@@ -91,13 +93,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) ->
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
     for _ in range(epochs):
-        for slots, values, label in rows:
-            w = weights(slots)
+        for slots, counts, size, label in rows:
+            i = np.append(np.frombuffer(slots, "<u4"), 1 << BITS)
+            values = np.append(np.frombuffer(counts, "<f4") / max(size, 1), 1.0)
+            w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ values, -35, 35)))
             g = (p - label) * values
-            s = (np.sqrt(n[slots] + g * g) - np.sqrt(n[slots])) / ALPHA
-            z[slots] += g - s * w
-            n[slots] += g * g
+            s = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
+            z[i] += g - s * w
+            n[i] += g * g
     return weights().astype(np.float32)
 
 
@@ -125,12 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, size: int = SAMPLE)
 
     sample = sample_of(docs, labels, learn, size)
     rows = by_batch(sample, hashed, f"id {sample.schema['doc_id'].dataType.simpleString()}, y int, slots binary, counts binary, n bigint")
-    fitted = []
-    for r in sorted(rows.collect(), key=lambda r: zlib.crc32(str(r["id"]).encode())):
-        slots = np.append(np.frombuffer(r["slots"], "<u4").astype(np.int64), 1 << BITS)
-        values = np.append(np.frombuffer(r["counts"], "<f4") / max(r["n"], 1), 1.0)
-        fitted.append((slots, values, r["y"]))
-    return fit(fitted)
+    found = sorted(rows.collect(), key=lambda r: zlib.crc32(str(r["id"]).encode()))
+    return fit([(bytes(r["slots"]), bytes(r["counts"]), r["n"], r["y"]) for r in found])
 
 
 def score(docs: DataFrame, weights: np.ndarray, out: str) -> DataFrame:
@@ -143,7 +143,7 @@ def score(docs: DataFrame, weights: np.ndarray, out: str) -> DataFrame:
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (size < 6 * CHUNK or end == at):
+            while end < len(texts) and (size < CHUNK or end == at):
                 size += len(texts[end] or b"")
                 end += 1
             slots, starts = features(texts[at:end])

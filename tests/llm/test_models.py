@@ -35,7 +35,7 @@ def test_quality_of_odd_rows(spark):
 
 
 def test_ftrl_separates():
-    rows = [(np.array([i % 2, 1 << quality.BITS]), np.array([1.0, 1.0]), i % 2) for i in range(200)]
+    rows = [(np.array([i % 2], "<u4").tobytes(), np.array([1.0], "<f4").tobytes(), 1, i % 2) for i in range(200)]
     w = quality.fit(rows)
     assert w[0] < 0 < w[1] and np.count_nonzero(w) <= 3
 
