@@ -31,6 +31,10 @@ MAX_EPOCHS = 3.0
 SLOT_DIGITS = 3
 
 
+def _number(x: float) -> str:
+    return f"cast({float(x)!r} as double)"
+
+
 def inverse_demand(share: str, cls: str, schedule=SCHEDULE) -> str:
     """SQL for the moment at which ``share`` (0..1) of a source's demand has been met.
 
@@ -43,10 +47,10 @@ def inverse_demand(share: str, cls: str, schedule=SCHEDULE) -> str:
         pieces = [(t, n - t, a, b, (n - t) * (a + b) / 2) for (t, a), (n, b) in zip(knots, knots[1:])]
         area, met, arms = sum(p[4] for p in pieces), 0.0, []
         for k, (t, d, a, b, part) in enumerate(pieces):
-            rest = f"greatest(0.0e0, ({share}) * {area!r}e0 - {met!r}e0) / {d!r}e0"
-            root = f"{t!r}e0 + {d!r}e0 * least(1.0e0, 2.0e0 * {rest} / ({a!r}e0 + sqrt(greatest(0.0e0, {a * a!r}e0 + {2 * (b - a)!r}e0 * {rest}))))"
+            rest = f"greatest(0.0e0, ({share}) * {_number(area)} - {_number(met)}) / {_number(d)}"
+            root = f"{_number(t)} + {_number(d)} * least(1.0e0, 2.0e0 * {rest} / ({_number(a)} + sqrt(greatest(0.0e0, {_number(a * a)} + {_number(2 * (b - a))} * {rest}))))"
             met += part
-            arms.append(root if k == len(pieces) - 1 else f"when ({share}) * {area!r}e0 < {met!r}e0 then {root}")
+            arms.append(root if k == len(pieces) - 1 else f"when ({share}) * {_number(area)} < {_number(met)} then {root}")
         classes.append(f"when {c} then (case {' '.join(arms[:-1])} else {arms[-1]} end)" if len(arms) > 1 else f"when {c} then {arms[0]}")
     return f"case {cls} {' '.join(classes)} end"
 
