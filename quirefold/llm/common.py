@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries a worker keeps in a per-process cache before it starts over.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 600_000
 
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
