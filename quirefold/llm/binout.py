@@ -32,7 +32,7 @@ from quirefold.session import scratch_root
 GROUP_IDS = 1 << 23
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, group_ids: int = GROUP_IDS) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, group_ids: int = GROUP_IDS, remembered: int | None = None) -> None:
     """Write the ids of all documents below ``path``, ``end_id`` after each."""
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -55,7 +55,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, group_ids
         for batch in batches:
             id_type = batch.schema.field(0).type
             doc_ids, row = batch.column(0).to_pylist(), 0
-            for ids, starts in word_ids(batch.column(1), tokenizer):
+            for ids, starts in word_ids(batch.column(1), tokenizer, remembered):
                 for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
                     names.append(doc_ids[row])
                     lengths.append(b - a + 1)
@@ -109,5 +109,5 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
 
 def op8_binout(spark, sf_dir) -> DataFrame:
     path = f"{scratch_root(spark)}/ids-{uuid.uuid4().hex}"
-    write_ids(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json", 1)
+    write_ids(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json", 1, remembered=1_200_000)
     return read_ids(spark, path)

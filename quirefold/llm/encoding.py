@@ -87,8 +87,8 @@ def balanced(pieces: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]
 class Encoder:
     """What ``keep`` makes of the ids of each piece; values of short pieces are remembered, within bounds."""
 
-    def __init__(self, name: str, keep, parts: bool = False) -> None:
-        self.tokenizer, self.keep = load(name), keep
+    def __init__(self, name: str, keep, parts: bool = False, remembered: int | None = None) -> None:
+        self.tokenizer, self.keep, self.remembered = load(name), keep, remembered
         self.cuts = not name.endswith(".model")
         self.seen: dict[str, object] = {}
         self.parts: dict[str, bytes] | None = {} if parts else None
@@ -141,7 +141,7 @@ class Encoder:
         """A mapping that has the values of all these pieces."""
         hold(f"pieces of {id(self)}", self.forget)
         fresh = pieces.difference(self.seen)
-        if len(self.seen) + len(self.parts or ()) + len(fresh) > CACHE_ENTRIES:
+        if len(self.seen) + len(self.parts or ()) + len(fresh) > (self.remembered or CACHE_ENTRIES):
             self.forget()
             fresh = pieces
         once = {}
@@ -186,9 +186,9 @@ def lengths_of(name: str) -> Encoder:
 
 
 @lru_cache(maxsize=4)
-def _ids_of(name: str) -> Encoder:
+def _ids_of(name: str, remembered: int | None) -> Encoder:
     """Ids of each piece as little-endian bytes."""
-    return Encoder(name, lambda ids: np.array(ids, "<u4").tobytes(), parts=name == WORDS)
+    return Encoder(name, lambda ids: np.array(ids, "<u4").tobytes(), parts=name == WORDS, remembered=remembered)
 
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -201,10 +201,11 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def word_ids(column: pa.Array, name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def word_ids(column: pa.Array, name: str, remembered: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids of texts under the word vocabulary, for some rows at a time: all ids, and where each text starts.
 
-    Words are told apart by Arrow; Python sees each distinct word of the rows once.
+    Words are told apart by Arrow; Python sees each distinct word of the rows once, and a
+    worker keeps the ids of ``remembered`` of them (about 170 bytes each).
     """
     if name != WORDS:
         raise ValueError(f"white space may carry ids in {name}")
@@ -218,7 +219,7 @@ def word_ids(column: pa.Array, name: str) -> Iterator[tuple[np.ndarray, np.ndarr
         words, per_text = _words(column.slice(at, end - at))
         coded = words.dictionary_encode()
         which, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        values = list(map(_ids_of(name).lookup(set(distinct)).__getitem__, distinct))
+        values = list(map(_ids_of(name, remembered).lookup(set(distinct)).__getitem__, distinct))
         lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
         pool, from_ = np.frombuffer(b"".join(values), "<u4"), offsets(lengths)[:-1]
         taken = lengths[which]

@@ -110,10 +110,12 @@ def pack(
     windows: int = WINDOWS,
     min_cut: int = MIN_CUT,
     with_ids: bool = False,
+    remembered: int | None = None,
 ) -> DataFrame:
     """One row per piece: where its ids come from, and where they lie in which sequence.
 
-    ``ids`` (little-endian, four bytes each) is filled with ``with_ids``.
+    ``ids`` (little-endian, four bytes each) is filled with ``with_ids``; ``remembered``
+    bounds the words a worker keeps.
     """
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}"
     end = np.array([end_id], "<u4").tobytes()
@@ -124,7 +126,7 @@ def pack(
         for batch in batches:
             kind = batch.schema.field(0).type
             doc_ids = iter(batch.column(0).to_pylist())
-            for ids, starts in word_ids(batch.column(1), tokenizer):
+            for ids, starts in word_ids(batch.column(1), tokenizer, remembered):
                 for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
                     packer.add(next(doc_ids), b - a + 1, 0, ids[a:b].tobytes() + end)
             yield _rows(packer, None, part, with_ids, kind)
@@ -154,4 +156,4 @@ def pack(
 
 
 def op7_packing(spark, sf_dir) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2, remembered=1_200_000).drop("ids")
