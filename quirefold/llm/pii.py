@@ -7,7 +7,14 @@ two kinds.
 
 email, ip, card and phone are reported whenever their own rule holds (octets up to 255,
 13-19 digits with a valid Luhn sum, 9-15 digits). iban (mod-97) and ssn are added by
-score: a base, plus what a valid checksum and a context word before the span give.
+score: a base, plus what a valid checksum and a context word near the span give. Context is
+read on both sides, across whatever else the text holds there; one word serves a whole list:
+an iban or ssn no more than ``NEAR`` characters from one in context is in context as well.
+
+An iban may be printed with single spaces. Where its country is known the pattern takes
+exactly the characters that country has, so that it does not run into the next word; a
+country that is not listed is taken unspaced or in groups of four. A letter right after an
+ssn makes it something else.
 
 Null text counts as empty and has no spans. Repeated ids are answered row by row. The
 patterns cannot backtrack over a run: a match never starts inside a run that an earlier
@@ -24,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.common import free_name, table
 
-#: Characters before a span in which a context word counts.
+#: Characters on either side of a span in which a context word counts.
 NEAR = 48
 ACCEPT = 0.7
 
@@ -54,8 +61,25 @@ def _luhn(m: str) -> str:
     return f"aggregate(transform(split(reverse(regexp_replace({m}, '[^0-9]', '')), ''), (d, i) -> {digit}), 0, (a, d) -> a + d) % 10 = 0"
 
 
+#: Characters of an iban by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    end = "(?![A-Za-z0-9])"
+    known = "|".join(rf"(?:{cc.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}{end}" for n, cc in IBAN_LENGTHS.items())
+    solid, grouped = "[A-Z0-9]{11,30}", r"(?:\x20(?![A-Z]{2}[0-9]{2})[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?"
+    return rf"(?<![A-Za-z0-9])(?:{known}|[A-Z]{{2}}[0-9]{{2}}(?:{solid}|{grouped}){end})"
+
+
 def _mod97(m: str) -> str:
-    """First four characters last, letters as 10..35, remainder digit by digit."""
+    """First four characters last, letters as 10..35, remainder digit by digit; spaces do not count."""
+    m = f"replace({m}, ' ', '')"
     step = "case when c = '' then a when c between '0' and '9' then (a * 10 + int(c)) % 97 else (a * 100 + ascii(c) - 55) % 97 end"
     return f"aggregate(split(concat(substring({m}, 5), substring({m}, 1, 4)), ''), 0, (a, c) -> {step}) = 1"
 
@@ -77,8 +101,8 @@ KINDS = (
     Kind("ip", _run("0-9") + r"\.[0-9]++\.[0-9]++\.[0-9]++", "text rlike '[0-9][.][0-9]'", _octets, 0.6, r"(?i)\b(ip|host|server|address)\b"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "text rlike '[0-9][ -]?[0-9]'", _card, 0.7, r"(?i)\b(card|credit|visa|pay)\b"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "instr(text, '+') > 0", lambda m: f"{_n_digits(m)} between 9 and 15", 0.6, r"(?i)\b(phone|tel|call|mobile|fax)\b"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", "text rlike '[A-Z]{2}[0-9]{2}[A-Z0-9]'", _mod97, 0.7, r"(?i)\b(iban|bank|account)\b", False),
-    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "text rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'", _any, 0.45, r"(?i)\b(ssn|social|security)\b", False),
+    Kind("iban", _iban(), "text rlike '[A-Z]{2}[0-9]{2} ?[A-Z0-9]'", _mod97, 0.7, r"(?i)\b(iban|bank|account)\b", False),
+    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])", "text rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'", _any, 0.45, r"(?i)\b(ssn|social|security)\b", False),
 )
 BASE_KINDS = ("email", "ip", "card", "phone")
 _SPAN = "struct<kind:string,start:bigint,end:bigint,score:double>"
@@ -88,29 +112,60 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _positions(kind: Kind) -> str:
-    """Matches with their positions: array of (m, before, start, end)."""
+def _parts(kind: Kind) -> str:
+    """Matches with the text before each, and the text after the last: array of (m, gap)."""
     found = f"regexp_extract_all(text, {_quoted(kind.pattern)}, 0)"
     between = f"split(text, {_quoted(kind.pattern)}, -1)"
-    row = "array<struct<m:string,before:string,start:bigint,end:bigint>>"
     return (
-        f"case when {kind.gate} then aggregate(zip_with({found}, {between}, (m, gap) -> named_struct('m', m, 'gap', gap)), "
-        f"named_struct('at', 0L, 'out', cast(array() as {row})), (a, x) -> case when x.m is null then a else named_struct("
-        f"'at', a.at + length(x.gap) + length(x.m), 'out', concat(a.out, array(named_struct('m', x.m, 'before', substring(x.gap, -{NEAR}), "
-        f"'start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.m))))) end, a -> a.out) else cast(array() as {row}) end"
+        f"case when {kind.gate} then zip_with({found}, {between}, (m, gap) -> named_struct('m', m, 'gap', gap)) "
+        "else cast(array() as array<struct<m:string,gap:string>>) end"
     )
 
 
+def _positions(kind: Kind) -> str:
+    """Matches with their positions and the text on both sides: array of (m, before, start, end, after)."""
+    row = "array<struct<m:string,before:string,start:bigint,end:bigint>>"
+    forward = (
+        f"aggregate(_z_{kind.name}, named_struct('at', 0L, 'tail', '', 'out', cast(array() as {row})), (a, x) -> case when x.m is null then a else "
+        f"named_struct('at', a.at + length(x.gap) + length(x.m), 'tail', substring(concat(a.tail, substring(x.gap, -{NEAR}), x.m), -{NEAR}), "
+        f"'out', concat(a.out, array(named_struct('m', x.m, 'before', substring(concat(a.tail, substring(x.gap, -{NEAR})), -{NEAR}), "
+        "'start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.m))))) end, a -> a.out)"
+    )
+    backward = (
+        f"aggregate(reverse(_z_{kind.name}), named_struct('head', '', 'out', cast(array() as array<string>)), (a, x) -> named_struct("
+        f"'head', substring(concat(substring(x.gap, 1, {NEAR}), coalesce(x.m, ''), a.head), 1, {NEAR}), "
+        "'out', case when x.m is null then a.out else concat(a.out, array(a.head)) end), a -> reverse(a.out))"
+    )
+    return f"zip_with({forward}, {backward}, (x, after) -> named_struct('m', x.m, 'before', x.before, 'start', x.start, 'end', x.end, 'after', after))"
+
+
+def _in_list(spans: str) -> str:
+    """``near`` passed on, both ways, to spans at most ``NEAR`` characters further."""
+    row = "array<struct<start:bigint,end:bigint,near:boolean>>"
+
+    def swept(spans: str, gap: str, edge: str) -> str:
+        near = f"(x.near or (a.near and {gap} <= {NEAR}))"
+        return (
+            f"aggregate({spans}, named_struct('at', 0L, 'near', false, 'out', cast(array() as {row})), (a, x) -> named_struct('at', x.{edge}, 'near', {near}, "
+            f"'out', concat(a.out, array(named_struct('start', x.start, 'end', x.end, 'near', {near})))), a -> a.out)"
+        )
+
+    return f"reverse({swept(f'reverse({swept(spans, "x.start - a.at", "end")})', 'a.at - x.end', 'start')})"
+
+
 def _accepted(kind: Kind) -> str:
-    score = f"round({kind.base} + if(x.before rlike {_quoted(kind.context)}, 0.3, 0.0), 2)"
-    spans = f"transform(filter(_c_{kind.name}, x -> {kind.valid('x.m')}), x -> named_struct('kind', '{kind.name}', 'start', x.start, 'end', x.end, 'score', double({score})))"
-    return spans if kind.always else f"filter({spans}, x -> x.score >= {ACCEPT})"
+    near = f"x.before rlike {_quoted(kind.context)} or x.after rlike {_quoted(kind.context)}"
+    spans = f"transform(filter(_c_{kind.name}, x -> {kind.valid('x.m')}), x -> named_struct('start', x.start, 'end', x.end, 'near', {near}))"
+    score = f"round({kind.base} + if(x.near, 0.3, 0.0), 2)"
+    scored = f"transform({spans if kind.always else _in_list(spans)}, x -> named_struct('kind', '{kind.name}', 'start', x.start, 'end', x.end, 'score', double({score})))"
+    return scored if kind.always else f"filter({scored}, x -> x.score >= {ACCEPT})"
 
 
 def find_spans(docs: DataFrame, text: str = "text", out: str = "spans", kinds=KINDS) -> DataFrame:
     """``docs`` plus ``out``: array of (kind, start, end, score), by kind as listed, then start."""
     boxed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    matched = boxed.select("row", *[F.expr(_positions(k)).alias(f"_c_{k.name}") for k in kinds])
+    parts = boxed.select("row", *[F.expr(_parts(k)).alias(f"_z_{k.name}") for k in kinds])
+    matched = parts.select("*", *[F.expr(_positions(k)).alias(f"_c_{k.name}") for k in kinds])
     checked = matched.select("row", F.concat(*[F.expr(_accepted(k)).cast(f"array<{_SPAN}>") for k in kinds]).alias("_spans"))
     kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c != out]
     return checked.select(*kept, F.col("_spans").alias(out))

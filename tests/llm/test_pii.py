@@ -88,3 +88,41 @@ def test_plan_has_no_python_and_no_exchange(spark, tmp_path):
     cases.documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
     plan = pii.op2_pii(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def around(spark, texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans if s.kind not in pii.BASE_KINDS] for r in pii.find_spans(d).collect()}
+    return [found[i] for i in range(len(texts))], [r.text for r in pii.redact(d).orderBy("doc_id").collect()]
+
+
+def test_context_on_both_sides_and_along_lists(spark):
+    ssns = [f"{200 + i}-45-{6000 + i}" for i in range(30)]
+    far = " word" * 12
+    texts = [
+        "social security numbers: " + ", ".join(ssns), "SSN\n" + "\n".join(ssns), ", ".join(ssns) + " (SSN)", "123-45-6789 (SSN)",
+        f"ssn 000-45-6789 {ssns[0]}", f"{ssns[0]}{far} ssn {ssns[1]}{far} {ssns[2]}", f"part {ssns[0]}", f"ssn {ssns[0]}x", "\U0001f600 " * 20 + ssns[0] + " ssn",
+    ]
+    found, clean = around(spark, texts)
+    want = [ssns, ssns, ssns, ["123-45-6789"], [ssns[0]], [ssns[1]], [], [], [ssns[0]]]
+    assert found == [[("ssn", s) for s in w] for w in want]
+    assert clean[0] == "social security numbers: " + ", ".join(["[SSN]"] * 30) and clean[3] == "[SSN] (SSN)"
+
+
+def test_ibans_in_print_form(spark):
+    de, gb, be, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034", "NO93 8601 1117 947"
+    texts = [
+        f"{de} {gb} {be} EUR {no} PAID", f"{de}, {de.replace(' ', '')}; DE89 37040044 0532013000", de[:-1] + "1", "DE89  3704 0044 0532 0130 00",
+        f"REF AB12 CD34 {de}", de + "7", "XX89 3704 0044 0532 0130 00",
+    ]
+    found, clean = around(spark, texts)
+    want = [[de, gb, be, no], [de, de.replace(" ", ""), "DE89 37040044 0532013000"], [], [], [de], [], []]
+    assert found == [[("iban", s) for s in w] for w in want]
+    assert clean[0] == "[IBAN] [IBAN] [IBAN] EUR [IBAN] PAID"
+
+
+def test_query_finds_lists(spark, tmp_path):
+    rows = [(1, "social security numbers: 123-45-6789, 234-56-7890, 345-67-8901; IBAN DE89 3704 0044 0532 0130 00")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    (r,) = pii.op2_pii(spark, str(tmp_path)).collect()
+    assert [s.split(":")[0] for s in r.spans.split(",") if s.split(":")[0] in ("iban", "ssn")] == ["iban", "ssn", "ssn", "ssn"]
