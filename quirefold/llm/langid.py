@@ -1,17 +1,18 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes (ASCII lowered, at most ``SPAN`` at a time) from both
-ends, with a blank before and after, and gives every byte position a distribution over
-the languages learned; a document's probabilities are the mean over all its positions.
+The network reads a word's bytes (ASCII lowered) from both ends, with a blank before and
+after, and gives every byte position a distribution over the languages learned; a document's probabilities are the mean over all its positions.
 It is written and trained in numpy, by backpropagation through time with Adam.
 
 The recurrence starts anew at white space. Positions of equal words are therefore equal,
 and a worker labels a word once however often it occurs; every position of the whole text
-counts in the mean.
+counts in the mean. A run of more than ``SPAN`` bytes without white space is cut at character
+borders; each piece is read with up to ``AROUND`` bytes of its neighbours on either side, whose
+positions count in their own piece only.
 
-The fit reads at most ``PER_LANGUAGE`` documents of each language, those with the smallest
-id hash, and at most ``WORDS_OF`` words of each; the most frequent ``LANGUAGES`` languages
-of the table are learned. Scoring is one stage without a shuffle.
+Every language of the table is learned. The fit reads at most ``PER_LANGUAGE`` documents of
+each, those with the smallest id hash, and at most ``WORDS_OF`` words of each; with more than
+``LANGUAGES`` languages fewer documents of each, ``LEAST`` at least. Scoring is one stage without a shuffle.
 
 Null texts and texts without a letter are ``und`` with score 0. Without documents to learn
 from everything is ``und``. A row with a null id is predicted, counts as not held out and
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.common import by_batch, hold, id_crc, offsets, run_sums, table
 
-SPAN, HIDDEN = 24, 16
-PER_LANGUAGE, WORDS_OF, LANGUAGES = 250, 80, 64
+SPAN, AROUND, HIDDEN = 24, 12, 16
+PER_LANGUAGE, WORDS_OF, LANGUAGES, LEAST = 250, 80, 64, 20
 STEPS, BATCH, RATE = 1500, 256, 0.01
 UNKNOWN = "und"
 #: Words a worker remembers, and bytes of text worked on at a time.
@@ -41,8 +42,26 @@ REMEMBERED, TOGETHER = 300_000, 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 
 
-def spans(word: bytes) -> list[bytes]:
-    return [word[i : i + SPAN] for i in range(0, len(word), SPAN)]
+def _border(word: bytes, at: int, step: int) -> int:
+    """The nearest character border from ``at`` on in direction ``step``; bytes that are no UTF-8 have one everywhere."""
+    for k in range(4):
+        i = at + step * k
+        if not 0 < i < len(word) or word[i] & 0xC0 != 0x80:
+            return min(max(i, 0), len(word))
+    return at
+
+
+def spans(word: bytes) -> list[tuple[bytes, int, int]]:
+    """Pieces of a word as ``bytes, from, to``: what is read, and which part of it counts."""
+    if len(word) <= SPAN:
+        return [(word, 0, len(word))]
+    out, at = [], 0
+    while at < len(word):
+        end = _border(word, at + SPAN, -1) if at + SPAN < len(word) else len(word)
+        low, high = _border(word, max(0, at - AROUND), 1), _border(word, min(len(word), end + AROUND), -1)
+        out.append((word[low:high], at - low, end - low))
+        at = end
+    return out
 
 
 def _sigmoid(x):
@@ -149,14 +168,20 @@ class Network:
                 self.w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def word_sums(self, words: list[bytes]) -> np.ndarray:
-        """Per word the probabilities summed over its positions."""
-        out = np.empty((len(words), len(self.languages)), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
-            codes, real = self.batch([words[i] for i in part])
-            out[part] = (self.probabilities(codes) * real[:, :, None]).sum(axis=0)
+    def share(self, entries: int, least: int = 1) -> int:
+        """As many entries of a row of probabilities each as take the memory of ``entries`` with ``LANGUAGES`` languages."""
+        return min(entries, max(least, entries * LANGUAGES // max(1, len(self.languages))))
+
+    def word_sums(self, pieces: list[tuple[bytes, int, int]]) -> np.ndarray:
+        """Per piece the probabilities summed over the positions that count."""
+        out = np.empty((len(pieces), len(self.languages)), np.float32)
+        order, many = sorted(range(len(pieces)), key=lambda i: len(pieces[i][0])), self.share(4096)
+        for at in range(0, len(order), many):
+            part = order[at : at + many]
+            codes, _ = self.batch([pieces[i][0] for i in part])
+            low, high = (np.array([pieces[i][k] for i in part]) for k in (1, 2))
+            place = np.arange(len(codes))[:, None] - 1
+            out[part] = (self.probabilities(codes) * ((place >= low) & (place < high))[:, :, None]).sum(axis=0)
         return out
 
 
@@ -170,7 +195,7 @@ class Reader:
 
     def _learn(self, split: list[list[bytes]]) -> None:
         fresh = list(set().union(*split).difference(self.row))
-        if len(self.row) + len(fresh) > REMEMBERED:
+        if len(self.row) + len(fresh) > self.network.share(REMEMBERED):
             self.row, self.sums = {}, self.sums[:0]
             fresh = list(set().union(*split))
         parts = [spans(w) for w in fresh]
@@ -208,17 +233,18 @@ def may_learn(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, steps: int = STEPS) -> Network:
     marked = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
-    ids = marked.groupBy("lang", "doc_id").agg(F.count("*").alias("_n"))
+    ids = marked.select("lang", "doc_id").distinct()
+    n_languages = marked.select("lang").distinct().count()
+    if n_languages > LANGUAGES:
+        per_language = max(min(LEAST, per_language), per_language * LANGUAGES // n_languages)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.select("lang", "doc_id", rank.alias("_rank")).where(F.col("_rank") <= per_language)
-    largest = ids.groupBy("lang").agg(F.sum("_n").alias("_docs")).orderBy(F.desc("_docs"), "lang").limit(LANGUAGES).select("lang")
-    # at most LANGUAGES * per_language rows are broadcast
-    chosen = chosen.join(F.broadcast(largest), "lang").select("lang", "doc_id")
+    # the documents of LANGUAGES languages, or LEAST of each, are broadcast
+    chosen = ids.select("lang", "doc_id", rank.alias("_rank")).where(F.col("_rank") <= per_language).select("lang", "doc_id")
 
     def picked(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
-            words = {part for word in text.lower().split() for part in spans(word)}
+            words = {part for word in text.lower().split() for part, _, _ in spans(word)}
             out.append(sorted(words, key=lambda w: (zlib.crc32(w), w))[:WORDS_OF])
         return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out, pa.list_(pa.binary()))], ["lang", "words"])
 

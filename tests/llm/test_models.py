@@ -144,3 +144,27 @@ def test_parts_are_balanced():
     label = ann.balanced_parts(x, graph, 8)
     assert np.bincount(label, minlength=8).max() <= 111
     assert (label[graph] == label[:, None]).mean() > 0.4
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = [(i, f"{'abcdefgh'[i % 8] * 4} {'abcdefgh'[i % 8] * 3}", f"l{i % 8}") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = langid.train(d, F.col("doc_id") < 160, steps=150)
+    assert net.languages == [f"l{i}" for i in range(8)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(d, net).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
+def test_long_runs_are_cut_between_characters_and_read_with_their_neighbours():
+    for word in ("語" * 50 + "ab\U0001f600" * 20, "x" * 24, "é" * 13, "z" * 25):
+        raw = word.encode()
+        pieces = langid.spans(raw)
+        assert b"".join(p[a:b] for p, a, b in pieces) == raw and all(b - a <= langid.SPAN for _, a, b in pieces)
+        for p, a, b in pieces:
+            assert p.decode() and p[a:b].decode()
+        assert all(a > 0 for _, a, _ in pieces[1:]) and all(b < len(p) for p, _, b in pieces[:-1])
+    assert sum(b - a for _, a, b in langid.spans(b"\x80" * 100)) == 100
+    net, run = langid.Network(["a", "b"]), b"q" * 24 + b"w" * 24
+    alone = langid.Reader(net).documents([b"q" * 24])
+    assert not np.allclose(net.word_sums(langid.spans(run)[:1]) / 24, alone, atol=1e-7)
