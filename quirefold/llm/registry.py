@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quirefold.llm import ann, binout, fingerprint, langid, mixing, ngramjoin, packing, pii, quality, tokencount
+from quirefold.llm import ann, binout, fingerprint, langid, mixing, ngramjoin, packing, periodic, pii, quality, tokencount, urlfilter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,10 +16,13 @@ QUERIES = {
     "op8_binout": binout.op8_binout,
     "op9_ngramjoin": ngramjoin.op9_ngramjoin,
     "op10_fingerprint": fingerprint.op10_fingerprint,
+    "op12_periodic": periodic.op12_periodic,
+    "op13_urlfilter": urlfilter.op13_urlfilter,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
     "op9_ngramjoin": ngramjoin.OP9_SQL,
+    "op13_urlfilter": urlfilter.OP13_SQL,
 }
