@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quirefold.llm import ann, binout, fingerprint, langid, mixing, ngramjoin, packing, periodic, pii, quality, tokencount, urlfilter
+from quirefold.llm import alignment, ann, binout, fingerprint, langid, mixing, ngramjoin, packing, periodic, pii, quality, tokencount, urlfilter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_binout": binout.op8_binout,
     "op9_ngramjoin": ngramjoin.op9_ngramjoin,
     "op10_fingerprint": fingerprint.op10_fingerprint,
+    "op11_alignment": alignment.op11_alignment,
     "op12_periodic": periodic.op12_periodic,
     "op13_urlfilter": urlfilter.op13_urlfilter,
     "pipeline": corpus_pipeline.run,
