@@ -56,13 +56,13 @@ def _remove(spark: SparkSession, folder: str) -> None:
         return
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the scratch folder and read it back.
+def materialize(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` once to the scratch folder, with the writer's ``options``, and read it back.
 
     Unlike an in-memory cache this survives the loss of an executor, and unlike
     an RDD checkpoint it computes the plan once and stays columnar.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
