@@ -1,35 +1,34 @@
 """Tokens of two vocabularies laid over each other, with corpus-wide counts of linked ids.
 
 Each text, with a space before it, is encoded by a byte-level vocabulary (A) and by a piece
-vocabulary (B). Byte offsets where tokens of both end cut the tokens into groups; an A and
-a B token whose bytes overlap are a link.
+vocabulary (B), once; the ids are written. Byte offsets where tokens of both end cut the
+tokens into groups; an A and a B token whose bytes overlap are a link.
 
-The first pass aligns all documents and writes how often each id pair is linked, summed per
-task. Distinct pairs get a minimal perfect hash, built bucket by bucket in tasks. Every task
-over the written sums then fills a dense vector of counts, and of the pairs themselves,
-indexed by the hash; vectors are added up as a tree, ``FAN`` at a time, and a slot that two
-pairs claim is an error. The second pass aligns all documents again and looks up the count
-of each link, comparing the pair kept in its slot.
+The first pass lays the ids of all documents over each other and writes how often each id
+pair is linked, summed per task. Distinct pairs get a minimal perfect hash, built bucket by
+bucket in tasks. Every task over the written sums then fills a dense vector of counts, and
+of the pairs themselves, indexed by the hash; vectors are added up as a tree, ``FAN`` at a
+time, and a slot that two pairs claim is an error. The second pass lays the ids over each
+other again and looks up the count of each link, comparing the pair kept in its slot.
 
 Distinct pairs are bounded by the two vocabularies, not by the corpus. At most ``SLICE`` of
 them travel to the tasks at once (about 20 bytes each); with more, the second pass goes
-over the documents once per slice and adds up. The best count of each B id is a vector as
-long as the vocabulary. Nothing else reaches the driver.
-
-Neither vocabulary has a token with a space behind another sign, so texts are cut before
-spaces and equal pieces are encoded once; a worker remembers ``PIECES`` of them, and holds
-``CHUNK`` bytes of text, or one text, at a time. Texts that are null, empty or not restored
-by both vocabularies have no tokens: zeros and an empty group text. Repeated rows count
-again and are returned again. An empty table gives no rows. Columns that are not kept are
-ignored, kept ones travel in one struct.
+over the ids once per slice and adds up. The best count of each B id is a vector as long as
+the vocabulary. Nothing else reaches the driver.
+
+A task holds ``CHUNK`` bytes of text, or one text, and about a hundred bytes for each of
+its tokens. Texts that are null, empty or not restored by both vocabularies have no tokens:
+zeros and an empty group text. Repeated rows count again and are returned again. An empty
+table gives no rows. Columns that are not kept are ignored, kept ones travel in one struct.
 """
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import hold, offsets, small_batches, table
-from quirefold.llm.encoding import KEEP_CHARS, balanced, load
+from quirefold.llm.common import by_batch, offsets, small_batches, table
+from quirefold.llm.encoding import load
 from quirefold.llm.perfect import BUCKET_KEYS, LIMIT, PerfectHash, bucket_of, build
 from quirefold.session import materialize
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text worked on at a time; pieces a worker remembers; summed pairs a task holds before it writes them.
-CHUNK, PIECES, HELD = 4 << 20, 250_000, 1 << 20
+#: Bytes of text worked on at a time; summed pairs a task holds before it writes them.
+CHUNK, HELD = 4 << 20, 1 << 20
 #: Pairs that travel to the tasks at once; slots of a block of a vector; vectors added up at a time.
 SLICE, BLOCK, FAN = 1 << 21, 1 << 16, 16
-# a piece ends where a space follows a sign that is no white space
-PIECE = re.compile(r"\s*+\S++(?:[^\S ]\s*+\S++)*+(?:[^\S ]\s*+)?+|\s++")
 
 
 def byte_signs() -> dict[str, int]:
@@ -60,146 +57,186 @@ def byte_signs() -> dict[str, int]:
 
 
 class Vocabularies:
-    """Ids of pieces under both vocabularies, and the bytes of every id."""
+    """Ids of texts under both vocabularies, and the bytes of every id."""
 
     def __init__(self, a: str, b: str) -> None:
-        self.a, self.b = load(a), load(b)
-        self.a.encode_special_tokens = True
-        signs = byte_signs()
-        self.bytes_a = [b""] * self.a.get_vocab_size()
-        for entry, i in self.a.get_vocab().items():
-            self.bytes_a[i] = bytes(signs[c] for c in entry) if all(c in signs for c in entry) else entry.encode()
-        n = self.b.get_piece_size()
-        self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
-        self.space = self.b.piece_to_id("▁")
+        self.names, self.b = (a, b), load(b)
+        tokenizer = load(a)
+        signs, entries = byte_signs(), tokenizer.get_vocab()
+        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        self.bytes_a = [b""] * (max(entries.values()) + 1)
+        for entry, i in entries.items():
+            self.bytes_a[i] = entry.encode() if entry in special else bytes(signs[c] for c in entry)
+        tokenizer.encode_special_tokens = True
+        self.a = tokenizer
+        self.ranked = {self.bytes_a[i]: i for entry, i in entries.items() if entry not in special}
+        self.bytes_b = [
+            bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
+            for i in range(self.b.get_piece_size())
+        ]
+        if len(self.bytes_a) * len(self.bytes_b) > LIMIT or max(len(self.bytes_a), len(self.bytes_b)) > 1 << 16:
+            raise ValueError("ids or pairs of these vocabularies are too large")
         self.size_a, self.size_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
-        if len(self.bytes_a) * len(self.bytes_b) > LIMIT:
-            raise ValueError("pairs of these vocabularies do not fit a key")
-        if any(re.search(r"[^ ] ", x.decode("utf-8", "replace")) for x in self.bytes_b):
-            raise ValueError(f"{b} has pieces that go on behind a space")
+        self.raw_a, self.raw_b = (pa.array(v, pa.binary()) for v in (self.bytes_a, self.bytes_b))
+        self.in_order = self._merges_in_order()
+
+    def _merges_in_order(self) -> bool:
+        """Whether ids rise with the merges, so that ranks say all that the merges do."""
+        merges = json.loads(self.a.to_str())["model"]["merges"]
+        entries = self.a.get_vocab()
+        ids = [entries["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        return ids == sorted(ids) and len(set(ids)) == len(ids)
+
+    @cached_property
+    def _by_rank(self):
+        """The same vocabulary in the library that is several times faster; None where ranks do not say it all."""
+        import public_tokenizers
+        import tiktoken
+
+        if not self.in_order:
+            return None
+        return tiktoken.Encoding(self.names[0], pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranked, special_tokens={})
+
+    def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """B adds the space in front by itself; an empty text has no ids."""
+        spaced = [" " + t if t else "" for t in texts]
+        if self._by_rank is not None:
+            a = list(map(self._by_rank.encode_ordinary, spaced))
+        else:
+            a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        return a, self.b.encode(texts, num_threads=1)
+
+    @cached_property
+    def shown(self) -> pa.Array:
+        """Ids as text with what follows them: A with a comma, A with a bar, B with a comma, a semicolon, nothing."""
+        a, b = (list(map(str, range(len(v)))) for v in (self.bytes_a, self.bytes_b))
+        return pa.array([*[x + "," for x in a], *[x + "|" for x in a], *[x + "," for x in b], *[x + ";" for x in b], *b], pa.string())
+
+
+@lru_cache(maxsize=1)
+def _words(a: str, b: str) -> Vocabularies:
+    return Vocabularies(a, b)
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    total = np.zeros((len(values) + 1, *values.shape[1:]), np.int64)
+    np.cumsum(values, axis=0, out=total[1:])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def _restored(raw: pa.Array, ids: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Which texts the ids give back."""
+    made = bytes(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), raw.take(pa.array(ids))), b"")[0].as_buffer())
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = offsets(_sums(pc.binary_length(raw).to_numpy(zero_copy_only=False)[ids].astype(np.int64), offsets(counts)))
+    same = np.diff(ends) == sizes
+    if same.all() and made == b"".join(texts):
+        return same
+    at = ends.tolist()
+    return np.array([s and made[i:j] == t for s, i, j, t in zip(same, at, at[1:], texts)], bool)
 
-    def ids(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Pieces begin with a space, which B adds by itself, but not to an empty rest."""
-        a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        b = [[self.space] if p == " " else ids for p, ids in zip(pieces, self.b.encode([p[1:] for p in pieces], num_threads=1))]
-        return a, b
 
-    def restored(self, piece: str, a: list[int], b: list[int]) -> bool:
-        raw = piece.encode()
-        return b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+def encoded(texts: list[str], a: str, b: str) -> tuple[list[bytes], list[bytes]]:
+    """Ids of each text under both vocabularies as two-byte numbers; none where the text is not restored."""
+    words = _words(a, b)
+    wanted = [b" " + t.encode() if t else b"" for t in texts]
+    whole, sides = np.ones(len(texts), bool), []
+    for raw, lists in zip((words.raw_a, words.raw_b), words.ids(texts)):
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum()))
+        whole &= _restored(raw, ids, counts, wanted)
+        sides.append((ids.astype("<u2").tobytes(), (2 * offsets(counts)).tolist()))
+    return tuple([data[i:j] if w else b"" for w, i, j in zip(whole, at, at[1:])] for data, at in sides)
 
 
 @dataclass
-class Pieces:
-    """Columns over pieces; ``links`` of piece i lie between ``start[i]`` and ``start[i + 1]``."""
+class Laid:
+    """Tokens of many documents laid over each other. Bounds say where each document starts."""
 
-    good: np.ndarray
-    numbers: np.ndarray  # per piece: A tokens, B tokens, groups, links
-    start: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    bounds_a: np.ndarray
+    bounds_b: np.ndarray
     links: np.ndarray
-    groups: list[str]
-
-    @staticmethod
-    def none() -> Pieces:
-        return Pieces(np.zeros(0, bool), np.zeros((0, 4), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), [])
-
-    def __add__(self, more: Pieces) -> Pieces:
-        return Pieces(
-            np.concatenate([self.good, more.good]), np.concatenate([self.numbers, more.numbers]),
-            np.concatenate([self.start, more.start[1:] + self.start[-1]]), np.concatenate([self.links, more.links]), self.groups + more.groups,
-        )
-
-    def links_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Links of the given pieces one after the other, and how many each has."""
-        many = self.start[which + 1] - self.start[which]
-        to = offsets(many)
-        return self.links[np.repeat(self.start[which] - to[:-1], many) + np.arange(to[-1])], many
-
-
-def aligned(words: Vocabularies, pieces: list[str]) -> Pieces:
-    """Both encodings of each piece, cut where tokens of both end."""
-    all_a, all_b = words.ids(pieces)
-    good = np.array([words.restored(p, x, y) for p, x, y in zip(pieces, all_a, all_b)], bool)
-    some_a, some_b = ([ids for ids, g in zip(all_ids, good) if g] for all_ids in (all_a, all_b))
-    a, b = (np.array([i for ids in some for i in ids], np.int64) for some in (some_a, some_b))
-    end_a, end_b = np.cumsum(words.size_a[a]), np.cumsum(words.size_b[b])
-    n_a, n_b = (np.array([len(ids) for ids in some], np.int64) for some in (some_a, some_b))
-    piece_end = end_a[np.cumsum(n_a) - 1] if len(n_a) else np.zeros(0, np.int64)
-    # every stretch between two ends lies in one token of each side
-    ends, common = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b)
-    links = a[np.searchsorted(end_a, ends)] * len(words.bytes_b) + b[np.searchsorted(end_b, ends)]
-    n_links, n_groups = (np.bincount(np.searchsorted(piece_end, x), minlength=len(n_a)) for x in (ends, common))
-    last_a, last_b = (np.searchsorted(x, common) + 1 for x in (end_a, end_b))
-    text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    cuts = zip([0, *last_a.tolist()], last_a.tolist(), [0, *last_b.tolist()], last_b.tolist())
-    each = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in cuts]
-    by_piece = offsets(n_groups).tolist()
-    shown = iter([";".join(each[i:j]) for i, j in zip(by_piece, by_piece[1:])])
-    numbers = np.zeros((len(pieces), 4), np.int64)
-    numbers[good] = np.stack([n_a, n_b, n_groups, n_links], 1)
-    return Pieces(good, numbers, offsets(numbers[:, 3]), links, [next(shown) if g else "" for g in good])
-
-
-class Aligner:
-    """Pieces of texts, each aligned on first sight; starts over when it remembers too many."""
+    bounds: np.ndarray  # of links
+    group_a: np.ndarray  # the group of each A token
+    group_b: np.ndarray
+    bounds_g: np.ndarray  # of groups
 
-    def __init__(self, a: str, b: str) -> None:
-        self.words = Vocabularies(a, b)
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.seen = Pieces.none()
-
-    def pieces(self, texts: list[str]) -> tuple[Pieces, np.ndarray, np.ndarray]:
-        """Known pieces, which of them the texts are made of, and where each text starts."""
-        hold(f"alignment {id(self)}", self.forget)
-        split = [PIECE.findall(" " + t) if t else [] for t in texts]
-        bounds = offsets(np.array([len(s) for s in split], np.int64))
-        distinct = set().union(*split)
-        fresh = distinct.difference(self.index)
-        if len(self.index) + len(fresh) > PIECES:
-            self.forget()
-            fresh = distinct
-        kept = [p for p in fresh if len(p) <= KEEP_CHARS]
-        for batch in balanced(kept):
-            self.index.update(zip(batch, range(len(self.index), len(self.index) + len(batch))))
-            self.seen += aligned(self.words, batch)
-        index, known = self.index, self.seen
-        if len(kept) < len(fresh):
-            long = [p for p in fresh if len(p) > KEEP_CHARS]
-            index = index | {p: len(index) + k for k, p in enumerate(long)}
-            for batch in balanced(long):
-                known += aligned(self.words, batch)
-        which = np.fromiter((i for s in split for i in map(index.__getitem__, s)), np.int64, int(bounds[-1]))
-        return known, which, bounds
 
+def _numbers_of(side: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The two-byte numbers of all rows, and where each row starts."""
+    starts = np.frombuffer(side.buffers()[1], np.int32)[side.offset : side.offset + len(side) + 1].astype(np.int64)
+    data = side.buffers()[2]
+    numbers = np.frombuffer(data, "<u2")[starts[0] // 2 : starts[-1] // 2] if data is not None and data.size else np.zeros(0, "<u2")
+    return numbers.astype(np.int64), (starts - starts[0]) // 2
 
-@lru_cache(maxsize=1)
-def _aligner(a: str, b: str) -> Aligner:
-    return Aligner(a, b)
 
-
-def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(values) + 1, *values.shape[1:]), np.int64)
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[bounds[1:]] - total[bounds[:-1]]
+def lay(side_a: pa.Array, side_b: pa.Array, words: Vocabularies) -> Laid:
+    """Documents one after the other: a document's end is an end of both sides."""
+    (a, of_a), (b, of_b) = map(_numbers_of, (side_a, side_b))
+    end_a, end_b = np.cumsum(words.size_a[a]), np.cumsum(words.size_b[b])
+    size = int(end_a[-1]) if len(a) else 0
+    ends_a, ends_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+    ends_a[end_a] = True
+    ends_b[end_b] = True
+    # every stretch between two ends lies in one token of each side
+    before_a, before_b = (np.cumsum(e, dtype=np.int32) - e for e in (ends_a, ends_b))
+    stretches = np.flatnonzero(ends_a | ends_b)
+    links = a[before_a[stretches]] * len(words.bytes_b) + b[before_b[stretches]]
+    both = ends_a & ends_b
+    before_g = np.cumsum(both, dtype=np.int32) - both
+    text_ends = offsets(_sums(words.size_a[a], of_a))[1:]
+    n_links, n_groups = (np.searchsorted(ends, text_ends, "right") for ends in (stretches, np.flatnonzero(both)))
+    start = np.zeros(1, np.int64)
+    return Laid(
+        a, b, of_a, of_b, links, np.concatenate([start, n_links]), before_g[end_a], before_g[end_b], np.concatenate([start, n_groups]),
+    )
 
 
-def _chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    sizes, at = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), 0
+def group_texts(laid: Laid, words: Vocabularies) -> pa.Array:
+    """``a1,a2|b1;a3|b2,b3`` of each document."""
+    n_a, n_b, groups = len(words.bytes_a), len(words.bytes_b), int(laid.bounds_g[-1])
+    if not groups:
+        return pa.array([""] * (len(laid.bounds) - 1), pa.string())
+    ends_a, ends_b = (np.searchsorted(g, np.arange(groups), "right") for g in (laid.group_a, laid.group_b))
+    last_a, last_b = np.zeros(len(laid.a), bool), np.zeros(len(laid.b), bool)
+    last_a[ends_a - 1] = True
+    last_b[ends_b - 1] = True
+    closing = np.zeros(len(laid.b), bool)
+    closing[laid.bounds_b[1:][np.diff(laid.bounds_b) > 0] - 1] = True
+    shown = np.empty(len(laid.a) + len(laid.b), np.int64)
+    # A tokens stand behind the B tokens of earlier groups, B tokens behind the A tokens of their own
+    starts_b = np.append(0, ends_b[:-1])
+    shown[np.arange(len(laid.a)) + starts_b[laid.group_a]] = laid.a + n_a * last_a
+    shown[np.arange(len(laid.b)) + ends_a[laid.group_b]] = 2 * n_a + laid.b + n_b * (last_b.astype(np.int64) + closing)
+    lists = pa.ListArray.from_arrays(pa.array(laid.bounds_a + laid.bounds_b, pa.int32()), words.shown.take(pa.array(shown)))
+    return pc.binary_join(lists, "")
+
+
+def _chunks(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    sizes, at = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), 0
     while at < batch.num_rows:
         end, held = at, 0
-        while end < batch.num_rows and (held < CHUNK or end == at):
+        while end < batch.num_rows and (held < most or end == at):
             held += int(sizes[end])
             end += 1
         yield batch.slice(at, end - at)
         at = end
 
 
-def _whole(known: Pieces, which: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Which texts are restored, all pieces of them."""
-    return _sums(~known.good[which], bounds) == 0
+def token_ids(docs: DataFrame, keep: Sequence[str], a: str, b: str) -> DataFrame:
+    """``row, a, b``: the ids of every document."""
+    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), "text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sides = ([], [])
+        for part in _chunks(batch, "text", CHUNK):
+            for side, made in zip(sides, encoded(part.column("text").fill_null("").to_pylist(), a, b)):
+                side.extend(made)
+        return pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(s, pa.binary()) for s in sides]], ["row", "a", "b"])
+
+    return by_batch(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, a binary, b binary")
 
 
 def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -209,18 +246,14 @@ def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return distinct, total
 
 
-def pair_sums(docs: DataFrame, a: str, b: str) -> DataFrame:
+def pair_sums(tokens: DataFrame, a: str, b: str) -> DataFrame:
     """First pass: ``key, n`` - how often each id pair is linked, summed within bounds per task."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            for part in _chunks(batch, "text"):
-                known, which, bounds = _aligner(a, b).pieces(part.column(0).fill_null("").to_pylist())
-                whole = np.repeat(_whole(known, which, bounds), np.diff(bounds))
-                used, times = np.unique(which[whole], return_counts=True)
-                links, many = known.links_of(used)
-                key, n = _totals([links], [np.repeat(times, many)])
+            for part in _chunks(batch, "a", CHUNK):
+                key, n = np.unique(lay(part.column(0), part.column(1), _words(a, b)).links, return_counts=True)
                 keys.append(key)
                 counts.append(n)
                 if sum(map(len, keys)) > HELD:
@@ -232,7 +265,7 @@ def pair_sums(docs: DataFrame, a: str, b: str) -> DataFrame:
         key, n = _totals(keys, counts)
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
-    return docs.select("text").mapInArrow(summed, "key bigint, n bigint")
+    return tokens.select("a", "b").mapInArrow(summed, "key bigint, n bigint")
 
 
 def hashed(pairs: DataFrame, buckets: int) -> DataFrame:
@@ -328,32 +361,30 @@ class Lookup:
 
 
 def _second_pass(rows: DataFrame, lookup, a: str, b: str, last: bool) -> DataFrame:
+    """Adds what one slice of the pairs has for each document; the last one also tells tokens and groups."""
     kind = rows.schema["row"].dataType.simpleString()
-    rest = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string" if last else "text string"
+    rest = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string" if last else "a binary, b binary"
 
     def looked_up(part: pa.RecordBatch) -> pa.RecordBatch:
-        known, which, bounds = _aligner(a, b).pieces(part.column("text").fill_null("").to_pylist())
-        whole = _whole(known, which, bounds)
-        used, of = np.unique(which, return_inverse=True)
-        links, many = known.links_of(used)
-        count, best = lookup.value.found(links)
-        worth = _sums(np.stack([best, count], 1), offsets(many))
-        added = _sums(worth[of], bounds) * whole[:, None]
-        n_best = part.column("n_best").to_numpy() + added[:, 0]
-        count_sum = part.column("count_sum").to_numpy() + added[:, 1]
-        columns = {"row": part.column("row"), "n_best": pa.array(n_best), "count_sum": pa.array(count_sum)}
+        words = _words(a, b)
+        laid = lay(part.column("a"), part.column("b"), words)
+        count, best = lookup.value.found(laid.links)
+        columns = {
+            "row": part.column("row"),
+            "n_best": pa.array(part.column("n_best").to_numpy() + _sums(best, laid.bounds)),
+            "count_sum": pa.array(part.column("count_sum").to_numpy() + _sums(count, laid.bounds)),
+        }
         if last:
-            numbers = _sums(known.numbers[which], bounds) * whole[:, None]
-            columns |= {n: pa.array(np.ascontiguousarray(numbers[:, k])) for k, n in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
-            shown, at, to = known.groups.__getitem__, which.tolist(), bounds.tolist()
-            columns["groups"] = pa.array([";".join(map(shown, at[i:j])) if w else "" for i, j, w in zip(to, to[1:], whole)], pa.string())
+            bounds = (laid.bounds_a, laid.bounds_b, laid.bounds_g, laid.bounds)
+            columns |= {n: pa.array(np.diff(x)) for n, x in zip(("n_a", "n_b", "n_groups", "n_links"), bounds)}
+            columns["groups"] = group_texts(laid, words)
         else:
-            columns["text"] = part.column("text")
+            columns |= {"a": part.column("a"), "b": part.column("b")}
         return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from map(looked_up, _chunks(batch, "text"))
+            yield from map(looked_up, _chunks(batch, "a", CHUNK))
 
     return rows.mapInArrow(run, f"row {kind}, n_best bigint, count_sum bigint, {rest}")
 
@@ -367,7 +398,8 @@ def align(docs: DataFrame, keep: Sequence[str] = ("doc_id",), a: str = A, b: str
     spark: SparkSession = docs.sparkSession
     context = spark.sparkContext
     with small_batches(spark):
-        pairs = materialize(pair_sums(docs, a, b))
+        tokens = materialize(token_ids(docs, keep, a, b), compression="zstd")
+        pairs = materialize(pair_sums(tokens, a, b))
         distinct = pairs.select("key").distinct().count()
         buckets, slices = max(1, -(-distinct // BUCKET_KEYS)), max(1, -(-distinct // slice_pairs))
         of_slice: Callable = lambda bucket: F.floor(bucket * slices / buckets)
@@ -381,7 +413,8 @@ def align(docs: DataFrame, keep: Sequence[str] = ("doc_id",), a: str = A, b: str
         for _, vectors in made:
             for r in best_counts(vectors, n_b).collect():
                 best[r.b] = max(best[r.b], r.best)
-        rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), "text", F.lit(0).cast("bigint").alias("n_best"), F.lit(0).cast("bigint").alias("count_sum"))
+        zero = F.lit(0).cast("bigint")
+        rows = tokens.select("*", zero.alias("n_best"), zero.alias("count_sum"))
         for k, (hash_, vectors) in enumerate(made):
             parts = [np.zeros((2, 0), np.int64)]
             for r in vectors.orderBy("block").collect():  # every block below the last slot holds some count
