@@ -72,8 +72,8 @@ def coco_match(
         pred.select(*scope, "page_id", "label", "candidate", "det_id", "score", "x1", "y1", "x2", "y2"),
         truth.select(*scope, "page_id", "label", "box_id", "x1", "y1", "x2", "y2"),
         [*scope, "page_id", "label"], "l_det_id", "r_box_id", min(thresholds),
-        order=[-F.col("l_score"), F.col("l_det_id"), -F.col("iou"), -F.col("r_box_id")], keep=["iou"],
-        levels=Levels("thr", [(i, min(t, 1 - 1e-10)) for i, t in enumerate(thresholds)], lambda get, bound: get("iou") >= bound),
+        left_order=[-F.col("l_score"), F.col("l_det_id")], right_order=[-F.col("r_box_id")], keep=["iou"],
+        levels=Levels("thr", [(i, min(t, 1 - 1e-10)) for i, t in enumerate(thresholds)], "iou"),
         candidate="l_candidate", limit=limit, sized_by=truth,
     )
     return matched.withColumnsRenamed({"l_det_id": "det_id", "r_box_id": "box_id"})
@@ -188,8 +188,8 @@ def _truth_order_matches(truth: DataFrame, pred: DataFrame, scope: Sequence[str]
         truth.select(*scope, "page_id", "label", "box_id", "x1", "y1", "x2", "y2"),
         pred.select(*scope, "page_id", "label", "candidate", "det_id", "score", "x1", "y1", "x2", "y2"),
         [*scope, "page_id", "label"], "l_box_id", "r_det_id", min_iou,
-        order=[F.col("l_box_id"), -F.col("iou"), -F.col("r_det_id")], keep=["r_score"],
-        levels=Levels("threshold", [(t, t) for t in thresholds], lambda get, bound: get("r_score") >= bound),
+        left_order=[F.col("l_box_id")], right_order=[-F.col("r_det_id")], keep=["r_score"],
+        levels=Levels("threshold", [(t, t) for t in thresholds], "r_score"),
         candidate="r_candidate", limit=limit,
     )
 
@@ -249,7 +249,7 @@ def detection_agreement(
         a.select(*page_keys, "label", ident, "x1", "y1", "x2", "y2"),
         b.select(*page_keys, "label", ident, "x1", "y1", "x2", "y2"),
         [*page_keys, "label"], f"l_{ident}", f"r_{ident}", min_iou,
-        order=[-F.col("iou"), -F.col(f"l_{ident}"), -F.col(f"r_{ident}")], limit=limit,
+        left_order=[-F.col(f"l_{ident}")], right_order=[-F.col(f"r_{ident}")], overlap_first=True, limit=limit,
     ).groupBy(*page_keys).agg(F.count("*").alias("matched"))
     counts = (
         a.select(*page_keys, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
@@ -311,7 +311,7 @@ def shadow_matches(primary: DataFrame, shadow: DataFrame, keys: Sequence[str], m
     """Class-agnostic matches; primaries choose first in their order, later shadows win ties."""
     return match_boxes(
         primary, shadow, keys, "l_pos", "r_pos", min_iou,
-        order=[F.col("l_pos"), -F.col("iou"), -F.col("r_pos")], keep=["l_label", "r_label"], limit=limit,
+        left_order=[F.col("l_pos")], right_order=[-F.col("r_pos")], keep=["l_label", "r_label"], limit=limit,
     )
 
 

@@ -3,27 +3,34 @@
 Three facts shape this module:
 
 * Candidate pairs always share an equality key (page, often also class), so small
-  groups are a plain equi-join with the overlap as a residual condition.
+  groups are a plain equi-join with the overlap as a residual condition, folded inside
+  the JVM.
 * Every greedy matcher used here is the same thing: walk the candidate pairs in a
-  total order and take a pair when both ends are free. Small groups are folded
-  inside the JVM.
-* A pair that is first for both of its ends is always taken by that walk. Taking
-  all such pairs at once and repeating gives the same answer in parallel, which is
-  how groups above ``FOLD_BOXES`` are handled. Their candidate pairs come from a
-  grid whose cell size follows the box size, so no group is ever paired with itself
-  wholesale.
+  total order and take a pair when both ends are free.
+* That walk never looks beyond a connected component of the overlap graph. Groups above
+  ``FOLD_BOXES`` are cut into components and each is walked on its own. Equal boxes are
+  one vertex of the graph with its boxes in order, so a page of copies has as many pairs
+  as it has different boxes that overlap. Candidate pairs come from a grid whose cell
+  size follows the box size, so no group is ever paired with itself wholesale. The
+  number of jobs does not depend on how long a chain of ties is; a task holds the
+  vertices and edges of one component.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quirefold.functions.geometry import corners, fields, has_area, iou
+from quirefold.functions.geometry import CORNERS, corners, fields, has_area, iou
+from quirefold.operators.components import components
 from quirefold.operators.ordering import oversize_groups
 from quirefold.session import materialize
 
@@ -101,42 +108,48 @@ def overlapping_pairs(
     left, right = left.where(has_area()), right.where(has_area())
     if isinstance(hot, str):
         hot = hot_groups(keys, limit, left, right)
-    overlap = iou(corners("l_"), corners("r_"))
+    (calm_l, calm_r), warm = _split(left, right, keys, hot)
+    calm = _finished(_joined(calm_l, calm_r, keys), min_iou, strict, where)
+    if warm is None:
+        return calm, None
+    return calm, _finished(_gridded(_renamed(warm[0], keys, "l_"), _renamed(warm[1], keys, "r_"), keys, min_iou), min_iou, strict, where)
 
-    def finish(pairs: DataFrame) -> DataFrame:
-        if where is not None:
-            pairs = pairs.where(where)
-        pairs = pairs.withColumn("iou", overlap)
-        return pairs.where(F.col("iou") > min_iou if strict else F.col("iou") >= min_iou)
-
-    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
-        # a merge join leaves rows partitioned by the keys, which the walk then reuses
-        return _renamed(a, keys, "l_").join(_renamed(b, keys, "r_").hint("merge"), list(keys))
 
+def _split(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
+    """Both sides of small groups, and both sides of hot ones if there are any."""
     if hot is None:
-        return finish(joined(left, right)), None
-    calm_l, calm_r = left.join(hot, list(keys), "left_anti"), right.join(hot, list(keys), "left_anti")
-    warm_l, warm_r = left.join(hot, list(keys), "left_semi"), right.join(hot, list(keys), "left_semi")
-    calm = finish(joined(calm_l, calm_r))
-    warm = finish(_gridded(_renamed(warm_l, keys, "l_"), _renamed(warm_r, keys, "r_"), keys, min_iou))
-    return calm, warm
+        return (left, right), None
+    calm, warm = ([side.join(hot, list(keys), how) for side in (left, right)] for how in ("left_anti", "left_semi"))
+    return tuple(calm), tuple(warm)
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    # a merge join leaves rows partitioned by the keys, which the walk then reuses
+    return _renamed(left, keys, "l_").join(_renamed(right, keys, "r_").hint("merge"), list(keys))
+
+
+def _finished(pairs: DataFrame, min_iou: float, strict: bool = False, where: Column | None = None) -> DataFrame:
+    if where is not None:
+        pairs = pairs.where(where)
+    pairs = pairs.withColumn("iou", iou(corners("l_"), corners("r_")))
+    return pairs.where(F.col("iou") > min_iou if strict else F.col("iou") >= min_iou)
 
 
 @dataclass(frozen=True)
 class Levels:
     """Several thresholds judged over the same pairs.
 
-    ``steps`` maps the emitted value to its bound; ``passes(get, bound)`` tests one
-    pair, reading its columns through ``get``. Columns it reads must be in ``keep``.
+    ``steps`` maps the emitted value to its bound; a pair passes when its column ``on`` (the
+    overlap, or one of the right side) reaches the bound. ``on`` must be kept.
     """
 
     name: str
     steps: Sequence[tuple[object, float]]
-    passes: Callable[[Callable[[str], Column], Column], Column]
+    on: str
 
 
 def _test(levels: Levels, bound: float) -> Callable[[Column], Column]:
-    return lambda entry: levels.passes(lambda c: entry[c], F.lit(bound))
+    return lambda entry: entry[levels.on] >= F.lit(bound)
 
 
 def _walk(entries: Column) -> Column:
@@ -181,57 +194,161 @@ def _walk_small(
     )
 
 
-def _at_levels(pairs: DataFrame, levels: Levels) -> DataFrame:
-    steps = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(b).alias("bound")) for v, b in levels.steps])
-    passed = F.filter(steps, lambda s: levels.passes(F.col, s["bound"]))
-    return pairs.select("*", F.explode(F.transform(passed, lambda s: s["value"])).alias(levels.name))
+def _vertex(side: str, own: Sequence[str], prefix: str) -> Column:
+    """Name of a box: equal boxes of a group (and candidate) have the same."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in [*own, *[prefix + c for c in CORNERS]]]
+    return F.md5(F.concat_ws("|", F.lit(side), *parts).cast("binary"))
 
 
-def _walk_rounds(pairs: DataFrame, keys: Sequence[str], l: str, r: str, order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
-    names = [f"_o{i}" for i in range(len(order))]
-    left_edges = materialize(pairs.select(*keys, l, r, *[o.alias(n) for o, n in zip(order, names)], *[c for c in keep]))
-    done = []
-    while not left_edges.isEmpty():
-        first_l = left_edges.groupBy(*keys, l).agg(F.min(F.struct(*names, r)).alias("_b")).select(
-            *keys, l, F.col(f"_b.{r}").alias(r)
-        )
-        first_r = left_edges.groupBy(*keys, r).agg(F.min(F.struct(*names, l)).alias("_b")).select(
-            *keys, F.col(f"_b.{l}").alias(l), r
-        )
-        mutual = materialize(
-            left_edges.join(first_l, [*keys, l, r], "left_semi").join(first_r, [*keys, l, r], "left_semi")
-        )
-        done.append(mutual.select(*keys, l, r, *keep))
-        left_edges = materialize(
-            left_edges.join(mutual.select(*keys, l), [*keys, l], "left_anti")
-            .join(mutual.select(*keys, r), [*keys, r], "left_anti")
-        )
-    if not done:
-        return pairs.select(*keys, l, r, *keep).limit(0)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+def _choices(edges: list[tuple[float, str]], head: Callable[[str], int | None]) -> list[list[tuple[int, str]]]:
+    """Right vertices by overlap, the best last; equal overlaps as a heap by their first free box."""
+    out = []
+    for _, same in groupby(sorted(edges), key=lambda e: e[0]):
+        heap = [(head(v), v) for _, v in same if head(v) is not None]
+        heapq.heapify(heap)
+        out.append(heap)
     return out
 
 
-def greedy_match(
-    calm: DataFrame,
-    warm: DataFrame | None,
-    keys: Sequence[str],
-    l: str,
-    r: str,
-    order: Sequence[Column],
-    keep: Sequence[str] = (),
-    levels: Levels | None = None,
+def walk_component(
+    edges: list[tuple[str, str, float]], lefts: list[str], rights: list[str], overlap_first: bool
+) -> Iterator[tuple[int, int, float]]:
+    """Taken pairs as (left box, right box, overlap) of one component.
+
+    ``lefts`` and ``rights`` name the vertex of each box, in the order in which boxes choose
+    and are chosen. Lefts choose their best overlap one by one; with ``overlap_first`` all
+    pairs of one overlap come before all of the next lower one.
+    """
+    boxes_l, boxes_r = {}, {}
+    for boxes, side in ((boxes_l, lefts), (boxes_r, rights)):
+        for n, vertex in enumerate(side):
+            boxes.setdefault(vertex, []).append(n)
+    at_l, at_r = dict.fromkeys(boxes_l, 0), dict.fromkeys(boxes_r, 0)
+
+    def first(boxes: dict[str, list[int]], at: dict[str, int], vertex: str) -> int | None:
+        return boxes[vertex][at[vertex]] if vertex in at and at[vertex] < len(boxes[vertex]) else None
+
+    head = lambda v: first(boxes_r, at_r, v)
+    edges = sorted(edges, key=lambda e: -e[2])
+    for _, same in groupby(edges, key=lambda e: e[2] if overlap_first else None):
+        of_left: dict[str, list[tuple[float, str]]] = {}
+        for u, v, overlap in same:
+            of_left.setdefault(u, []).append((overlap, v))
+        known = {u: {v: o for o, v in some} for u, some in of_left.items()}
+        choices = {u: _choices(some, head) for u, some in of_left.items()}
+        queue = [(n, u) for u in of_left if (n := first(boxes_l, at_l, u)) is not None]
+        heapq.heapify(queue)
+        while queue:
+            n, u = heapq.heappop(queue)
+            groups, taken = choices[u], None
+            while groups and taken is None:
+                if not groups[-1]:
+                    groups.pop()
+                    continue
+                rank, v = groups[-1][0]
+                now = head(v)
+                if now is None:
+                    heapq.heappop(groups[-1])
+                elif now != rank:
+                    heapq.heapreplace(groups[-1], (now, v))
+                else:
+                    taken = v
+            # nothing becomes free again, so the other boxes of this vertex would find nothing either
+            if taken is None:
+                continue
+            yield n, head(taken), known[u][taken]
+            at_r[taken] += 1
+            at_l[u] += 1
+            if (n := first(boxes_l, at_l, u)) is not None:
+                heapq.heappush(queue, (n, u))
+
+
+def _by_component(df: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``work`` on the rows of each component, which lie together and in order in their partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name = [], None
+        for batch in batches:
+            names, start = batch.column("component").to_pylist(), 0
+            while start < len(names):
+                end = start
+                while end < len(names) and names[end] == names[start]:
+                    end += 1
+                if names[start] != name and held:
+                    yield from work(pa.Table.from_batches(held))
+                    held = []
+                name = names[start]
+                held.append(batch.slice(start, end - start))
+                start = end
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return df.mapInArrow(run, schema)
+
+
+def _walk_crowded(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], l: str, r: str, min_iou: float, left_order: Sequence[Column], right_order: Sequence[Column],
+    overlap_first: bool, keep: Sequence[str], levels: Levels | None, candidate: str | None,
 ) -> DataFrame:
-    """Walk pairs in ascending ``order`` and take each one whose two ends are free."""
-    matched = _walk_small(calm, keys, l, r, order, keep, levels)
-    if warm is not None:
-        warm_keys = list(keys)
-        if levels is not None:
-            warm, warm_keys = _at_levels(warm, levels), [*keys, levels.name]
-        matched = matched.unionByName(_walk_rounds(warm, warm_keys, l, r, order, keep))
-    return matched
+    """The walk over hot groups, component by component; both sides carry their prefixes."""
+    own = {p: [*keys, *([candidate] if candidate and candidate.startswith(p) else [])] for p in ("l_", "r_")}
+    boxes = {p: side.withColumn(f"{p}v", _vertex(p, own[p], p)) for p, side in (("l_", left), ("r_", right))}
+    folded = {p: boxes[p].select(*own[p], f"{p}v", *corners(p)).distinct() for p in boxes}
+    # one graph per candidate: a vertex of the other side counts in each
+    split = F.coalesce(F.col(candidate).cast("string"), F.lit("~")) if candidate else F.lit("")
+    pairs = materialize(
+        _finished(_gridded(folded["l_"], folded["r_"], keys, min_iou), min_iou)
+        .select(*keys, "l_v", "r_v", "iou", F.floor("l_y1").alias("_at"), *[F.md5(F.concat_ws("|", f"{p}v", split).cast("binary")).alias(f"{p}u") for p in boxes])
+    )
+    found = materialize(components(pairs, "l_u", "r_u", [*[F.col(k) for k in keys], F.col("_at")]))
+    of = lambda p: pairs.select(f"{p}v", F.col(f"{p}u").alias("vertex")).distinct().join(found, "vertex").select(f"{p}v", "component")
+    orders = [("l_", o, f"_l{i}") for i, o in enumerate(left_order)] + [("r_", o, f"_r{i}") for i, o in enumerate(right_order)]
+    kept = {p: [c for c in keep if c.startswith(p)] for p in boxes}
+    wanted = {"l_": [*keys, *([candidate] if candidate else []), l, *kept["l_"]], "r_": [r, *kept["r_"]]}
+    if candidate in own["r_"]:
+        wanted["l_"].remove(candidate)
+        wanted["r_"].append(candidate)
+
+    def rows(kind: int, frame: DataFrame, p: str) -> DataFrame:
+        return frame.select(
+            "component", F.lit(kind).alias("kind"), F.col(f"{p}v").alias("v"), *[o.alias(n) for side, o, n in orders if side == p], *wanted[p]
+        )
+
+    edges = pairs.join(found, pairs["l_u"] == found["vertex"]).select("component", F.lit(0).alias("kind"), F.col("l_v").alias("v"), F.col("r_v").alias("w"), "iou")
+    all_rows = edges
+    for kind, p in ((1, "l_"), (2, "r_")):
+        all_rows = all_rows.unionByName(rows(kind, boxes[p].join(of(p), f"{p}v"), p), allowMissingColumns=True)
+    in_order = all_rows.repartition("component").sortWithinPartitions("component", "kind", *[n for _, _, n in orders])
+    out = [*wanted["l_"], *wanted["r_"]]
+    schema = T.StructType([in_order.schema[c] for c in out] + [T.StructField("iou", T.DoubleType()), T.StructField("_level", T.IntegerType())])
+    steps = None if levels is None else [b for _, b in levels.steps]
+    on = None if levels is None else levels.on
+
+    def walked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        kinds = table.column("kind").to_pylist()
+        n_edges, n_left = kinds.count(0), kinds.count(1)
+        part = lambda c, a, n: table.column(c).slice(a, n).to_pylist()
+        graph = list(zip(part("v", 0, n_edges), part("w", 0, n_edges), part("iou", 0, n_edges)))
+        lefts = part("v", n_edges, n_left)
+        rights = part("v", n_edges + n_left, None)
+        values = part(on, n_edges + n_left, None) if on not in (None, "iou") else None
+        for level, bound in enumerate([None] if steps is None else steps):
+            some = graph if bound is None or values is not None else [e for e in graph if e[2] >= bound]
+            index = [i for i, v in enumerate(values) if v is not None and v >= bound] if values is not None else range(len(rights))
+            taken = list(walk_component(some, lefts, [rights[i] for i in index], overlap_first))
+            if not taken:
+                continue
+            at_l = pa.array([n_edges + n for n, _, _ in taken])
+            at_r = pa.array([n_edges + n_left + index[n] for _, n, _ in taken])
+            columns = [table.column(c).combine_chunks().take(at_l if c in wanted["l_"] else at_r) for c in out]
+            columns += [pa.array([o for _, _, o in taken], pa.float64()), pa.array([level] * len(taken), pa.int32())]
+            yield from pa.table(columns, names=[*out, "iou", "_level"]).to_batches()
+
+    matched = _by_component(in_order, walked, schema)
+    if levels is not None:
+        matched = matched.withColumn(levels.name, F.element_at(F.array(*[F.lit(v) for v, _ in levels.steps]), F.col("_level") + 1))
+    named = [F.col(candidate).alias("candidate")] if candidate else []
+    return matched.select(*keys, *named, *([levels.name] if levels else []), l, r, *keep)
 
 
 def match_boxes(
@@ -241,27 +358,39 @@ def match_boxes(
     l: str,
     r: str,
     min_iou: float,
-    order: Sequence[Column],
+    left_order: Sequence[Column],
+    right_order: Sequence[Column],
+    overlap_first: bool = False,
     keep: Sequence[str] = (),
     levels: Levels | None = None,
     candidate: str | None = None,
     limit: int = FOLD_BOXES,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Pairs and then the greedy walk; ``candidate`` names a prefixed column that splits the groups further.
+    """Walk overlapping pairs in order and take each one whose two ends are free.
 
-    ``sized_by`` names the side whose group sizes decide, when the other is bounded already.
+    Lefts choose in ``left_order``, each its greatest overlap and then the first right in
+    ``right_order``; with ``overlap_first`` the overlap comes before both orders. Columns
+    other than the keys have the prefixes ``l_`` and ``r_``; ``candidate`` names one that
+    splits the groups further. ``sized_by`` names the side whose group sizes decide, when
+    the other is bounded already.
     """
+    left, right = left.where(has_area()), right.where(has_area())
     if candidate is not None and sized_by is None:
         hot = _hot_by_candidate(keys, limit, left, right, candidate.removeprefix("r_"))
     else:
         hot = hot_groups(keys, limit, *([left, right] if sized_by is None else [sized_by]))
-    calm, warm = overlapping_pairs(left, right, keys, min_iou, hot=hot)
+    (calm_l, calm_r), warm = _split(left, right, keys, hot)
+    calm, groups = _finished(_joined(calm_l, calm_r, keys), min_iou), list(keys)
     if candidate is not None:
-        calm = calm.withColumnRenamed(candidate, "candidate")
-        warm = None if warm is None else warm.withColumnRenamed(candidate, "candidate")
-        keys = [*keys, "candidate"]
-    return greedy_match(calm, warm, keys, l, r, order, keep, levels)
+        calm, groups = calm.withColumnRenamed(candidate, "candidate"), [*keys, "candidate"]
+    overlap = -F.col("iou")
+    order = [overlap, *left_order, *right_order] if overlap_first else [*left_order, overlap, *right_order]
+    matched = _walk_small(calm, groups, l, r, order, keep, levels)
+    if warm is None:
+        return matched
+    sides = [_renamed(side, keys, p) for side, p in zip(warm, ("l_", "r_"))]
+    return matched.unionByName(_walk_crowded(*sides, keys, l, r, min_iou, left_order, right_order, overlap_first, keep, levels, candidate))
 
 
 def suppress(boxes: DataFrame, keys: Sequence[str], order: Sequence[Column], ident: str, max_iou: float, limit: int = FOLD_BOXES) -> DataFrame:
@@ -301,32 +430,32 @@ def suppress(boxes: DataFrame, keys: Sequence[str], order: Sequence[Column], ide
         .select(*[F.col(c) if c in keys else F.col(f"_k.{c}").alias(c) for c in cols])
     )
     if hot is not None:
-        out = out.unionByName(_suppress_rounds(unique.join(hot, list(keys), "left_semi"), keys, names, ident, max_iou, limit).select(*cols))
+        out = out.unionByName(_suppress_crowded(unique.join(hot, list(keys), "left_semi"), keys, names, max_iou, limit).select(*cols))
     return out.unionByName(flat.select(*cols))
 
 
-def _suppress_rounds(boxes: DataFrame, keys: Sequence[str], names: Sequence[str], ident: str, max_iou: float, limit: int) -> DataFrame:
-    """A box whose stronger neighbours are all gone stays; its neighbours go; repeat."""
-    boxes = materialize(boxes)
-    side = boxes.select(*keys, ident, *names, "x1", "y1", "x2", "y2")
+def _suppress_crowded(boxes: DataFrame, keys: Sequence[str], names: Sequence[str], max_iou: float, limit: int) -> DataFrame:
+    """Per component of the overlap graph: in order, a box that is still there removes its weaker neighbours."""
+    boxes = materialize(boxes.withColumn("_v", _vertex("", keys, "")))
+    side = boxes.select(*keys, "_v", *names, *CORNERS)
     rank_l, rank_r = F.struct(*[f"l_{n}" for n in names]), F.struct(*[f"r_{n}" for n in names])
     groups = boxes.select(*keys).distinct()
-    _, pairs = overlapping_pairs(side, side, keys, max_iou, strict=True, where=rank_l < rank_r, hot=groups)
-    edges = materialize(pairs.select(*keys, F.col(f"l_{ident}").alias("_strong"), F.col(f"r_{ident}").alias("_weak")))
-    lost = None
-    while not edges.isEmpty():
-        roots = edges.select(*keys, F.col("_strong").alias("_id")).distinct().join(
-            edges.select(*keys, F.col("_weak").alias("_id")), [*keys, "_id"], "left_anti"
-        )
-        gone = materialize(
-            edges.join(roots.withColumnRenamed("_id", "_strong"), [*keys, "_strong"], "left_semi")
-            .select(*keys, F.col("_weak").alias("_id")).distinct()
-        )
-        lost = gone if lost is None else lost.unionByName(gone)
-        edges = materialize(
-            edges.join(gone.withColumnRenamed("_id", "_strong"), [*keys, "_strong"], "left_anti")
-            .join(gone.withColumnRenamed("_id", "_weak"), [*keys, "_weak"], "left_anti")
-        )
-    if lost is None:
-        return boxes
-    return boxes.join(lost.withColumnRenamed("_id", ident), [*keys, ident], "left_anti")
+    _, pairs = overlapping_pairs(side, side, keys, max_iou, strict=True, where=rank_l < rank_r, limit=limit, hot=groups)
+    edges = materialize(pairs.select(*keys, F.col("l__v").alias("v"), F.col("r__v").alias("w"), F.floor("l_y1").alias("_at")))
+    found = materialize(components(edges, "v", "w", [*[F.col(k) for k in keys], F.col("_at")]))
+    rows = edges.join(found, edges["v"] == found["vertex"]).select("component", F.lit(0).alias("kind"), "v", "w").unionByName(
+        boxes.join(found, boxes["_v"] == found["vertex"]).select("component", F.lit(1).alias("kind"), F.col("_v").alias("v"), *names), allowMissingColumns=True
+    )
+    in_order = rows.repartition("component").sortWithinPartitions("component", "kind", *names)
+
+    def removed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        weaker, lost = {}, set()
+        for kind, v, w in zip(*[table.column(c).to_pylist() for c in ("kind", "v", "w")]):
+            if kind == 0:
+                weaker.setdefault(v, []).append(w)
+            elif v not in lost:
+                lost.update(weaker.get(v, ()))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(lost), pa.string())], ["_v"])
+
+    lost = _by_component(in_order, removed, T.StructType([T.StructField("_v", T.StringType())]))
+    return boxes.join(lost, "_v", "left_anti")
