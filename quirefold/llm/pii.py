@@ -16,9 +16,12 @@ exactly the characters that country has, so that it does not run into the next w
 country that is not listed is taken unspaced or in groups of four. A letter right after an
 ssn makes it something else.
 
-Null text counts as empty and has no spans. Repeated ids are answered row by row. The
-patterns cannot backtrack over a run: a match never starts inside a run that an earlier
-character of the same run would have started (``(?<!..)|\\G``), and runs are possessive.
+Null text counts as empty and has no spans. Repeated ids are answered row by row; a table
+without rows gives none. The patterns cannot backtrack over a run: a match never starts
+inside a run that an earlier character of the same run would have started (``(?<!..)|\\G``),
+and runs are possessive. Texts of any length are read whole, in time that grows with their
+length and the number of their matches: what is carried from match to match goes through
+runs of ``BLOCK`` of them, and no text is read from its beginning for each match.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from quirefold.llm.common import free_name, table
 #: Characters on either side of a span in which a context word counts.
 NEAR = 48
 ACCEPT = 0.7
+#: Elements of an array that are gathered one by one; blocks of so many are then strung together.
+BLOCK = 128
 
 
 @dataclass(frozen=True)
@@ -44,6 +49,7 @@ class Kind:
     valid: Callable[[str], str]  # check, given the SQL of the match
     base: float  # score of a match that passes its check
     context: str  # pattern of words that add 0.3
+    least: int  # characters of the shortest match
     always: bool = True  # reported whatever its score
 
 
@@ -97,12 +103,12 @@ def _any(m: str) -> str:
 
 
 KINDS = (
-    Kind("email", _run("A-Za-z0-9._%+-") + r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "instr(text, '@') > 0", _any, 0.7, r"(?i)\b(e-?mail|mail|contact|write)\b"),
-    Kind("ip", _run("0-9") + r"\.[0-9]++\.[0-9]++\.[0-9]++", "text rlike '[0-9][.][0-9]'", _octets, 0.6, r"(?i)\b(ip|host|server|address)\b"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "text rlike '[0-9][ -]?[0-9]'", _card, 0.7, r"(?i)\b(card|credit|visa|pay)\b"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "instr(text, '+') > 0", lambda m: f"{_n_digits(m)} between 9 and 15", 0.6, r"(?i)\b(phone|tel|call|mobile|fax)\b"),
-    Kind("iban", _iban(), "text rlike '[A-Z]{2}[0-9]{2} ?[A-Z0-9]'", _mod97, 0.7, r"(?i)\b(iban|bank|account)\b", False),
-    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])", "text rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'", _any, 0.45, r"(?i)\b(ssn|social|security)\b", False),
+    Kind("email", _run("A-Za-z0-9._%+-") + r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "instr(text, '@') > 0", _any, 0.7, r"(?i)\b(e-?mail|mail|contact|write)\b", 5),
+    Kind("ip", _run("0-9") + r"\.[0-9]++\.[0-9]++\.[0-9]++", "text rlike '[0-9][.][0-9]'", _octets, 0.6, r"(?i)\b(ip|host|server|address)\b", 7),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "text rlike '[0-9][ -]?[0-9]'", _card, 0.7, r"(?i)\b(card|credit|visa|pay)\b", 2),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "instr(text, '+') > 0", lambda m: f"{_n_digits(m)} between 9 and 15", 0.6, r"(?i)\b(phone|tel|call|mobile|fax)\b", 3),
+    Kind("iban", _iban(), "text rlike '[A-Z]{2}[0-9]{2} ?[A-Z0-9]'", _mod97, 0.7, r"(?i)\b(iban|bank|account)\b", 15, False),
+    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])", "text rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'", _any, 0.45, r"(?i)\b(ssn|social|security)\b", 11, False),
 )
 BASE_KINDS = ("email", "ip", "card", "phone")
 _SPAN = "struct<kind:string,start:bigint,end:bigint,score:double>"
@@ -122,35 +128,55 @@ def _parts(kind: Kind) -> str:
     )
 
 
-def _positions(kind: Kind) -> str:
-    """Matches with their positions and the text on both sides: array of (m, before, start, end, after)."""
-    row = "array<struct<m:string,before:string,start:bigint,end:bigint>>"
-    forward = (
-        f"aggregate(_z_{kind.name}, named_struct('at', 0L, 'tail', '', 'out', cast(array() as {row})), (a, x) -> case when x.m is null then a else "
-        f"named_struct('at', a.at + length(x.gap) + length(x.m), 'tail', substring(concat(a.tail, substring(x.gap, -{NEAR}), x.m), -{NEAR}), "
-        f"'out', concat(a.out, array(named_struct('m', x.m, 'before', substring(concat(a.tail, substring(x.gap, -{NEAR})), -{NEAR}), "
-        "'start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.m))))) end, a -> a.out)"
+def _let(name: str, value: str, then: str) -> str:
+    """``then`` with ``name`` for a value that is worked out once."""
+    return f"transform(array({value}), {name} -> {then})[0]"
+
+
+def _blocks(items: str) -> str:
+    return f"transform(sequence(0, greatest(0, size({items}) - 1) div {BLOCK}), k -> slice({items}, k * {BLOCK} + 1, {BLOCK}))"
+
+
+def _scan(items: str, start: str, step: str, value: str, kind: str) -> str:
+    """Array of ``value`` for each item, where ``a`` is the state before it and ``step`` the state behind it.
+
+    An array that grows by one copies what it holds, so only a block of items is gathered
+    that way; the state at the head of each block is found first.
+    """
+    ends = (
+        f"aggregate(blocks, named_struct('a', {start}, 'heads', array({start})), (c, block) -> "
+        f"{_let('e', f'aggregate(block, c.a, (a, x) -> {step})', "named_struct('a', e, 'heads', concat(c.heads, array(e)))")}, c -> c.heads)"
     )
-    backward = (
-        f"aggregate(reverse(_z_{kind.name}), named_struct('head', '', 'out', cast(array() as array<string>)), (a, x) -> named_struct("
-        f"'head', substring(concat(substring(x.gap, 1, {NEAR}), coalesce(x.m, ''), a.head), 1, {NEAR}), "
-        "'out', case when x.m is null then a.out else concat(a.out, array(a.head)) end), a -> reverse(a.out))"
+    inside = (
+        f"aggregate(block, named_struct('a', heads[k], 'out', cast(array() as array<{kind}>)), "
+        f"(c, x) -> transform(array(c.a), a -> named_struct('a', {step}, 'out', concat(c.out, array({value}))))[0], c -> c.out)"
     )
-    return f"zip_with({forward}, {backward}, (x, after) -> named_struct('m', x.m, 'before', x.before, 'start', x.start, 'end', x.end, 'after', after))"
+    return _let("blocks", _blocks(items), _let("heads", ends, f"flatten(transform(blocks, (block, k) -> {inside}))"))
+
+
+def _positions(kind: Kind) -> str:
+    """Matches with their positions and the text on both sides: array of (m, before, start, end, after)."""
+    z, reach = f"_z_{kind.name}", NEAR // kind.least + 1
+    starts = _scan(z, "0L", "a + length(x.gap) + coalesce(length(x.m), 0)", "a + length(x.gap)", "bigint")
+    # the text beside a match is the gap there or, where that is short, what lies behind it: so many matches fill it
+    left = f"array_join(transform(slice({z}, greatest(1, i + 1 - {reach}), least(i, {reach})), y -> concat(substring(y.gap, -{NEAR}), y.m)), '')"
+    before = f"if(length(x.gap) >= {NEAR}, substring(x.gap, -{NEAR}), substring(concat({left}, x.gap), -{NEAR}))"
+    right = f"array_join(transform(slice({z}, i + 2, {reach} + 1), y -> concat(substring(y.gap, 1, {NEAR}), coalesce(y.m, ''))), '')"
+    after = f"substring({right}, 1, {NEAR})"
+    row = f"named_struct('m', x.m, 'before', {before}, 'start', starts[i], 'end', starts[i] + length(x.m), 'after', {after})"
+    return _let("starts", starts, f"filter(transform({z}, (x, i) -> {row}), x -> x.m is not null)")
 
 
 def _in_list(spans: str) -> str:
     """``near`` passed on, both ways, to spans at most ``NEAR`` characters further."""
-    row = "array<struct<start:bigint,end:bigint,near:boolean>>"
+    row = "struct<start:bigint,end:bigint,near:boolean>"
 
     def swept(spans: str, gap: str, edge: str) -> str:
         near = f"(x.near or (a.near and {gap} <= {NEAR}))"
-        return (
-            f"aggregate({spans}, named_struct('at', 0L, 'near', false, 'out', cast(array() as {row})), (a, x) -> named_struct('at', x.{edge}, 'near', {near}, "
-            f"'out', concat(a.out, array(named_struct('start', x.start, 'end', x.end, 'near', {near})))), a -> a.out)"
-        )
+        return _scan(spans, "named_struct('at', 0L, 'near', false)", f"named_struct('at', x.{edge}, 'near', {near})", f"named_struct('start', x.start, 'end', x.end, 'near', {near})", row)
 
-    return f"reverse({swept(f'reverse({swept(spans, "x.start - a.at", "end")})', 'a.at - x.end', 'start')})"
+    forward = _let("forth", swept("spans", "x.start - a.at", "end"), _let("back", "reverse(forth)", swept("back", "a.at - x.end", "start")))
+    return _let("spans", spans, f"reverse({forward})")
 
 
 def _accepted(kind: Kind) -> str:
@@ -178,17 +204,23 @@ def as_text(spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans merge into the first.
 
-    Only ``text`` changes, and ``n_chars`` where the table has it.
+    Only ``text`` changes, and ``n_chars`` where the table has it. A null text stays null.
     """
     spans, by = free_name(docs, "_spans"), free_name(docs, "_sorted")
     found = find_spans(docs, out=spans)
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     rows = found.select(*[c for c in docs.columns if c != "text"], "text", by_start.alias(by))
+    # what stands between the spans that are left when overlapping ones have merged, and the kind of each
+    cuts = _scan(
+        "spans", "0L", "if(x.start < a, greatest(a, x.end), x.end)",
+        "named_struct('from', a, 'to', x.start, 'kind', x.kind, 'kept', x.start >= a, 'next', if(x.start < a, greatest(a, x.end), x.end))",
+        "struct<from:bigint,to:bigint,kind:string,kept:boolean,next:bigint>",
+    )
+    piece = "concat(substring(part, int(x.from - block[0].from) + 1, int(x.to - x.from)), '[', upper(x.kind), ']')"
+    cut_out = "substring(text, int(block[0].from) + 1, int(element_at(block, -1).to - block[0].from))"
     folded = F.expr(
-        f"aggregate({by}, named_struct('at', 0L, 'out', cast(array() as array<string>)), (a, s) -> case when s.start < a.at then "
-        "named_struct('at', greatest(a.at, s.end), 'out', a.out) else named_struct('at', s.end, 'out', concat(a.out, "
-        "array(substring(text, int(a.at) + 1, int(s.start - a.at)), concat('[', upper(s.kind), ']')))) end, "
-        "a -> concat(array_join(a.out, ''), substring(text, int(a.at) + 1)))"
+        _let("spans", by, _let("cuts", f"filter({cuts}, x -> x.kept)", _let("last", f"array_max(transform({by}, x -> x.end))",
+            f"concat(array_join(transform({_blocks('cuts')}, block -> {_let('part', cut_out, f"array_join(transform(block, x -> {piece}), '')")}), ''), substring(text, int(last) + 1))")))
     )
     clean = rows.withColumn("text", F.when(F.size(by) > 0, folded).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -126,3 +127,46 @@ def test_query_finds_lists(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     (r,) = pii.op2_pii(spark, str(tmp_path)).collect()
     assert [s.split(":")[0] for s in r.spans.split(",") if s.split(":")[0] in ("iban", "ssn")] == ["iban", "ssn", "ssn", "ssn"]
+
+
+LONG = {
+    "email": " ".join(f"u{i}@h{i % 97}.org" for i in range(50_000)),
+    "ip": ",".join(f"10.{i % 250}.{i // 250 % 250}.7" for i in range(50_000)),
+    "ssn": "social security: " + ", ".join(f"{100 + i % 500}-{10 + i % 80}-{1000 + i % 8000}" for i in range(50_000)) + " end " * 30 + "123-45-6789",
+    "mixed": "\n".join(f"row {i} a{i}@b.co 4111111111111111 +1 555 {1000000 + i} 1.2.3.{i % 300} é" for i in range(20_000)),
+}
+
+
+def plain_redaction(text: str, spans: list[tuple]) -> str:
+    out, at = [], 0
+    for start, end, kind in sorted((s, e, k) for k, s, e in spans):
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_very_long_texts_with_many_matches(spark):
+    d = spark.createDataFrame(list(LONG.items()), "doc_id string, text string").repartition(4)
+    begun = time.monotonic()
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_spans(d).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(d).collect()}
+    assert time.monotonic() - begun < 60  # quadratic work takes many minutes
+    for name, text in LONG.items():
+        assert [s for s in found[name] if s[0] in pii.BASE_KINDS] == plain(text)
+        assert clean[name] == plain_redaction(text, found[name])
+    # one heading serves the list, and not the number far behind it
+    assert [s[0] for s in found["ssn"]].count("ssn") == 50_000
+
+
+@pytest.mark.parametrize("block", [1, 2, 5, 128])
+def test_blocks_leave_no_trace(spark, monkeypatch, block):
+    """Spans, contexts across short gaps, lists and overlapping redactions, whatever a block holds."""
+    texts = [" ".join(f"{i}@x.y" for i in range(13)), "ssn 123-45-6789, 234-56-7890 345-67-8901", "345-67-8901 234-56-7890 (SSN)", "", "a@b.c1.2.3.4@d.e 10.0.0.1", TRICKY[0], TRICKY[5], TRICKY[9], TRICKY[12]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {r.doc_id: r.spans for r in pii.find_spans(d).collect()}, {r.doc_id: r.text for r in pii.redact(d).collect()}
+    monkeypatch.setattr(pii, "BLOCK", block)
+    assert ({r.doc_id: r.spans for r in pii.find_spans(d).collect()}, {r.doc_id: r.text for r in pii.redact(d).collect()}) == want
+    for i, t in enumerate(texts):
+        assert want[1][i] == plain_redaction(t, [(s.kind, s.start, s.end) for s in want[0][i]])
+    assert [s.kind for s in want[0][1]] == ["ssn"] * 3 and [s.kind for s in want[0][2]] == ["ssn"] * 2
