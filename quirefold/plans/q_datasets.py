@@ -16,7 +16,7 @@ from quirefold.operators import benchstats as B
 from quirefold.operators import datasets as D
 from quirefold.plans.fixtures import oracle, table
 from quirefold.session import scratch_root
-from quirefold.sources import readers, sinks
+from quirefold.sources import objects, readers, sinks
 
 
 def _fresh(s, name):
@@ -151,7 +151,12 @@ def points_to_pixels(s, d):
 
 
 def object_listing(s, d):
-    return readers.object_listing(s, d).select("key", "size")
+    """Every document stored as an object of its own, then the store listed."""
+    root = _fresh(s, "objects")
+    prefix = F.lpad(F.hex(F.pmod("doc_id", F.lit(64))), 2, "0")
+    key = F.concat(F.lit("assets/"), prefix, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    objects.write_objects(table(s, d, "documents").select(key.alias("key"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content")), f"{root}/store")
+    return objects.object_listing(s, f"{root}/store").select("key", "size")
 
 
 def bench_samples(s, d):
@@ -174,12 +179,13 @@ def load_tables(s, d):
 
 
 def append_release_log(s, d):
-    """Promotions and then rollbacks appended; the log and its audit trail grow together."""
+    """Three appends, each asked for twice; the log and its audit trail grow together, once each."""
     path = _fresh(s, "log")
     r = table(s, d, "fx_release").withColumn("actor", F.lit("owner"))
     for action in ("seed", "promote", "rollback"):
-        sinks.append_release_log(r.where(F.col("action") == action), path)
-    log, audit = readers.load_table(s, path, "release"), readers.load_table(s, path, "audit_event")
+        for _ in range(2):
+            sinks.append_release_log(r.where(F.col("action") == action), path)
+    log, audit = readers.release_log(s, path), readers.release_log(s, path, "audit_event")
     return log.join(audit.select("ws", F.col("after_hash").alias("id"), F.col("action").alias("event")), ["ws", "id"]).groupBy("ws", "event").agg(F.count("*").alias("n"))
 
 
@@ -255,6 +261,7 @@ _Q = {
                count(*) FILTER (ink AND x BETWEEN 1 AND 19 AND y BETWEEN 1 AND h - 2) AS inside FROM xy GROUP BY doc_id)
         SELECT concat('w', doc_id % 4) AS ws, doc_id AS page_id, 'no_ink' AS rule, 1::BIGINT AS box_id, round(share, 6) AS share FROM pg WHERE share < {K.MIN_INK_FRACTION}::DOUBLE
         UNION ALL SELECT concat('w', doc_id % 4), doc_id, 'ink_uncovered', -1, round(inside::DOUBLE / total, 6) FROM pg WHERE total > 0 AND inside::DOUBLE / total < {K.MIN_INK_COVERAGE}::DOUBLE""",
+    "object_listing": "SELECT concat('assets/', lpad(printf('%X', doc_id % 64), 2, '0'), '/', doc_id, '.txt') AS key, octet_length(encode(coalesce(text, ''))) AS size FROM documents",
     "append_release_log": "SELECT ws, concat('release.', action) AS event, count(*) AS n FROM fx_release GROUP BY ws, action",
 }
 ORACLES = {k: oracle(v) for k, v in _Q.items()}

@@ -1,4 +1,4 @@
-"""Readers: ledger tables, object listings, benchmark samples, label maps."""
+"""Readers: ledger tables, the release log, benchmark samples, label maps."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirefold import schemas as S
+from quirefold.sources.commits import read_committed
 
 # Layout of one raw benchmark file.
 TRIAL_FILE = (
@@ -38,17 +40,10 @@ def load_table_jdbc(spark: SparkSession, url: str, table: str, partition_on: str
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.schema(table) if f.name in raw.columns])
 
 
-def object_listing(spark: SparkSession, root: str, stream: bool = False) -> DataFrame:
-    """(key, mtime, size) of every object below ``root``; contents are never read."""
-    reader = spark.readStream if stream else spark.read
-    if stream:
-        reader = reader.schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
-    files = reader.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    # Spark reports paths below the root as its file system spells it
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString().rstrip("/")
-    return files.select(
-        F.expr(f"substring(path, {len(base) + 2})").alias("key"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+def release_log(spark: SparkSession, root: str, table: str = "release") -> DataFrame:
+    """``release`` or ``audit_event`` rows of every commit to the log below ``root``."""
+    stored = T.StructType([T.StructField("workspace_id" if f.name == "ws" else f.name, f.dataType) for f in S.schema(table)])
+    return read_committed(spark, root, table, stored).withColumnsRenamed({"workspace_id": "ws"})
 
 
 def bench_samples(spark: SparkSession, root: str, pretty: bool = True) -> DataFrame:

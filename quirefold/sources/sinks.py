@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold import schemas as S
+from quirefold.sources.commits import append_together
 
 
 def typed(df: DataFrame, table: str) -> DataFrame:
@@ -23,16 +24,20 @@ def write_table(df: DataFrame, path: str, table: str, mode: str = "append") -> N
     typed(df, table).write.mode(mode).parquet(path)
 
 
-def append_release_log(releases: DataFrame, root: str) -> None:
-    """Append releases and their audit events; nothing is ever rewritten.
+def append_release_log(releases: DataFrame, root: str, commit: str | None = None) -> bool:
+    """Append releases and their audit events in one commit; nothing is ever rewritten.
 
-    Audit ids come from the release, so a retried append is recognisable.
+    ``commit`` names the append, by default after the releases in it. One that is in the log
+    already adds nothing and gives False, so an append may be repeated until it is known to
+    have worked. ``readers.release_log`` reads both tables.
     """
     audit = releases.select(
         F.concat(F.lit("ae-"), "id").alias("id"), "ws", "actor", F.concat(F.lit("release."), "action").alias("action"), F.lit("channel").alias("subject_kind"),
         F.col("channel_id").alias("subject_id"), F.col("id").alias("after_hash"), "created_at")
-    write_table(releases, f"{root}/release", "release")
-    write_table(audit, f"{root}/audit_event", "audit_event")
+    if commit is None:
+        n, mark = releases.agg(F.count("*"), F.sum(F.xxhash64("ws", "id").cast("decimal(38,0)"))).first()
+        commit = f"{n}-{mark or 0}"
+    return append_together(root, commit, {"release": typed(releases, "release"), "audit_event": typed(audit, "audit_event")})
 
 
 def write_trials(samples: DataFrame, path: str, most: int = 10_000) -> None:

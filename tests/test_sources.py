@@ -3,6 +3,7 @@
 import hashlib
 import json
 import struct
+import time
 from datetime import datetime
 
 import pytest
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from quirefold.functions import hashing, times
 from quirefold.functions.media import header_dims, sniff_media
 from quirefold.operators import ingest as I
-from quirefold.sources import readers, sinks
+from quirefold.sources import commits, objects, readers, sinks
+from quirefold.streaming.runner import new_folder
 
 
 def jpeg(w, h, sof=0xC0, filler=b"\xff\xc4\x00\x04ab"):
@@ -72,9 +74,39 @@ def test_object_listing(spark, tmp_path):
     (tmp_path / "pages").mkdir()
     (tmp_path / "pages" / "x.png").write_bytes(b"123")
     (tmp_path / "top").write_bytes(b"1")
-    got = readers.object_listing(spark, str(tmp_path)).collect()
+    got = objects.object_listing(spark, str(tmp_path)).collect()
     assert {(r.key, r.size) for r in got} == {("pages/x.png", 3), ("top", 1)}
-    assert "content" not in readers.object_listing(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert all(abs(r.mtime.timestamp() - (tmp_path / r.key).stat().st_mtime) < 0.01 for r in got)
+    assert objects.object_listing(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_objects_are_listed_by_prefix_in_tasks(spark, tmp_path):
+    rows = [(f"{i % 7}/{i % 3}/o{i}", bytes(i)) for i in range(100)] + [("empty", b""), ("é/ü x", b"1")]
+    objects.write_objects(spark.createDataFrame(rows, "key string, content binary").repartition(4), f"{tmp_path}/store")
+    objects.write_objects(spark.createDataFrame(rows[:5], "key string, content binary"), f"{tmp_path}/store")  # a retry
+    listed = objects.object_listing(spark, f"{tmp_path}/store")
+    assert sorted((r.key, r.size) for r in listed.collect()) == sorted((k, len(c)) for k, c in rows)
+    assert listed.select(F.spark_partition_id()).distinct().count() == 9  # a task for each prefix and one for the root
+
+
+def test_new_objects_as_a_stream(spark, tmp_path):
+    store, out = tmp_path / "store", new_folder(spark, "listed")
+    one = spark.createDataFrame([(f"a/{i}", b"x") for i in range(5)], "key string, content binary")
+    two = spark.createDataFrame([(f"b/{i}", b"xy") for i in range(3)], "key string, content binary")
+
+    def drained() -> list[str]:
+        time.sleep(1.2)  # the store's settling time
+        query = (
+            objects.object_listing(spark, str(store), stream=True).select("key", "size").writeStream.format("parquet").option("path", f"{out}/rows")
+            .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
+        query.awaitTermination()
+        return sorted(r.key for r in spark.read.schema("key string, size long").parquet(f"{out}/rows").collect())
+
+    objects.write_objects(one, str(store))
+    assert drained() == [f"a/{i}" for i in range(5)]
+    objects.write_objects(two, str(store))
+    assert drained() == [f"a/{i}" for i in range(5)] + [f"b/{i}" for i in range(3)]
+    assert len(drained()) == 8
 
 
 def test_trial_files(spark, tmp_path):
@@ -120,7 +152,7 @@ def test_object_keys_below_an_odd_root(spark, tmp_path):
     (root / "x").mkdir(parents=True)
     (root / "x" / "y.bin").write_bytes(b"12")
     for given in (str(root), f"file://{root}", f"file:{root}/"):
-        assert [tuple(r) for r in readers.object_listing(spark, given).select("key", "size").collect()] == [("x/y.bin", 2)]
+        assert [tuple(r) for r in objects.object_listing(spark, given).select("key", "size").collect()] == [("x/y.bin", 2)]
 
 
 def test_stored_artifacts_are_hashed_where_they_are_read(spark, tmp_path):
@@ -131,3 +163,47 @@ def test_stored_artifacts_are_hashed_where_they_are_read(spark, tmp_path):
     rows = [("w", f"file:{tmp_path}/{n}.onnx", sha) for n in "abc"]
     verdicts = I.artifact_verify(spark.createDataFrame(rows, "ws string, path string, sha256 string"), files.withColumn("ws", F.lit("w")))
     assert {r.path[-6]: r.verdict for r in verdicts.collect()} == {"a": "ok", "b": "mismatch", "c": "missing"}
+
+
+RELEASE = "id string, ws string, channel_id string, candidate_id string, action string, actor string, created_at timestamp"
+
+
+def releases(spark, ids):
+    return spark.createDataFrame([(i, "w", "ch", "c", "promote", "me", datetime(2026, 1, 1)) for i in ids], RELEASE)
+
+
+def test_release_and_audit_rows_appear_together_and_once(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "log")
+    ids = lambda t, c="id": sorted(r[0] for r in readers.release_log(spark, root, t).select(c).collect())
+    assert ids("release") == []
+    assert sinks.append_release_log(releases(spark, ["r1", "r2"]), root)
+    assert not sinks.append_release_log(releases(spark, ["r2", "r1"]), root)
+    assert (ids("release"), ids("audit_event", "after_hash")) == (["r1", "r2"], ["r1", "r2"])
+
+    # the writer dies between the two tables, then between the tables and the manifest
+    def broken(*_):
+        raise OSError("lost")
+
+    bad = releases(spark, ["r3"]).withColumn("actor", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.append_release_log(bad, root, "third")
+    with monkeypatch.context() as m:
+        m.setattr(commits, "publish_document", broken)
+        with pytest.raises(OSError):
+            sinks.append_release_log(releases(spark, ["r3"]), root, "third")
+    assert (ids("release"), ids("audit_event", "after_hash")) == (["r1", "r2"], ["r1", "r2"])
+    # the same append again
+    assert sinks.append_release_log(releases(spark, ["r3"]), root, "third")
+    assert not sinks.append_release_log(releases(spark, ["r3"]), root, "third")
+    assert (ids("release"), ids("audit_event", "after_hash")) == (["r1", "r2", "r3"], ["r1", "r2", "r3"])
+
+
+def test_a_published_document_is_not_replaced(spark, tmp_path):
+    where = str(tmp_path / "d" / "one")
+    assert commits.read_document(spark, where) is None and commits.names_in(spark, str(tmp_path / "d")) == []
+    assert commits.publish_document(spark, where, {"a": 1})
+    assert not commits.publish_document(spark, where, {"a": 2})
+    assert commits.read_document(spark, where) == {"a": 1} and commits.names_in(spark, str(tmp_path / "d")) == ["one"]
+    for name in ("", ".x", "a/b"):
+        with pytest.raises(ValueError):
+            commits.append_together(str(tmp_path), name, {"t": spark.range(1)})
