@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold import constants as K
-from quirefold.operators.ordering import HOT_ROWS, nearest_rank, position, ranked_values
+from quirefold.operators.ordering import HOT_ROWS, nearest_rank, position, ranked_columns, ranked_values
 
 ENV_COLUMNS = K.ENV_FIELDS
 
@@ -41,17 +41,12 @@ def measured_window(samples: DataFrame, order: str = "page", warmup: int = K.WAR
 def trial_summary(samples: DataFrame, order: str = "page") -> DataFrame:
     """Throughput over summed service time, nearest-rank percentiles, peak and last RSS."""
     trial = ["config", "trial"]
-    long = samples.select(*trial, F.explode(F.array(
-        F.struct(F.lit("queue_inclusive").alias("metric"), F.col("queue_inclusive_ms").alias("value")),
-        F.struct(F.lit("service").alias("metric"), F.col("service_ms").alias("value")))).alias("_s")).select(*trial, "_s.*")
     ranks = {"p50": nearest_rank(0.50), "p95": nearest_rank(0.95), "p99": nearest_rank(0.99)}
-    pct = ranked_values(long, [*trial, "metric"], "value", ranks).groupBy(*trial).agg(*[
-        F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}")
-        for m, ps in (("queue_inclusive", ("p50", "p95", "p99")), ("service", ("p50", "p95"))) for p in ps])
-    whole = samples.groupBy(*trial).agg(
+    whole = [
         F.count("*").alias("n_pages"), (F.count("*") * 1000.0 / F.sum("service_ms")).alias("throughput"),
-        F.max("peak_rss").alias("peak_rss"), F.max_by("peak_rss", order).alias("steady_rss"))
-    return whole.join(pct, trial)
+        F.max("peak_rss").alias("peak_rss"), F.max_by("peak_rss", order).alias("steady_rss")]
+    out = ranked_columns(samples, trial, {"queue_inclusive": "queue_inclusive_ms", "service": "service_ms"}, ranks, whole)
+    return out.drop("queue_inclusive_n", "service_n", "service_p99")
 
 
 def config_aggregate(trials: DataFrame) -> DataFrame:

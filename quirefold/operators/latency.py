@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.times import delta_ms
-from quirefold.operators.ordering import ranked_values, rounded_rank
+from quirefold.operators.ordering import ranked_columns, ranked_values, rounded_rank
 
 STAGES = ["preprocess_ms", "infer_ms", "postprocess_ms", "persist_ms"]
 
@@ -21,27 +21,21 @@ def item_timings(items: DataFrame) -> DataFrame:
 
 def pct_rounded_rank(df: DataFrame, group: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Percentile at index ``round(p * (n - 1))``, half to even."""
-    return ranked_values(df, group, value, {name: rounded_rank(p) for name, p in quantiles.items()}, width=1.0)
+    return ranked_values(df, group, value, {name: rounded_rank(p) for name, p in quantiles.items()})
 
 
 def batch_timings(items: DataFrame) -> DataFrame:
     """Succeeded items only; a metric without values is NULL."""
     done = item_timings(items.where(F.col("state") == "succeeded"))
-    group = ["ws", "batch_id"]
+    ranks = {"p50": rounded_rank(0.50), "p95": rounded_rank(0.95)}
     metrics = {"queue_inclusive": "queue_inclusive_ms", "service": "service_ms", "batch_wait": "batch_wait_ms"}
-    long = done.select(
-        *group, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in metrics.items()])).alias("_s")
-    ).select(*group, "_s.metric", "_s.value")
-    pct = pct_rounded_rank(long, [*group, "metric"], "value", {"p50": 0.50, "p95": 0.95})
-    wide = pct.groupBy(*group).agg(*[
-        F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}_ms") for m in metrics for p in ("p50", "p95")
-    ])
-    plain = done.groupBy(*group).agg(
+    plain = [
         *[F.round(F.avg(c), 2).alias(f"{c}_mean") for c in STAGES],
         F.max(F.when(F.col("peak_rss") > 0, F.col("peak_rss"))).alias("peak_rss_bytes_max"),
         F.count("*").alias("n_succeeded"),
-    )
-    return plain.join(wide, group, "left")
+    ]
+    timed = ranked_columns(done, ["ws", "batch_id"], metrics, ranks, plain)
+    return timed.withColumnsRenamed({f"{m}_{k}": f"{m}_{k}_ms" for m in metrics for k in ranks}).drop(*[f"{m}_n" for m in metrics])
 
 
 def merge_timings(items: DataFrame, partial: DataFrame) -> DataFrame:

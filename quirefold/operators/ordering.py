@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from quirefold.session import materialize
 
 HOT_ROWS = 1_000_000
-#: Buckets of a histogram over the values of one group.
-BUCKETS = 1024
+#: Rows of a group that are sorted in one place, and different values of the last bucket of a larger one.
+RANK_ROWS = 100_000
+#: Open buckets (some 100 bytes each) up to this number are broadcast.
+BROADCAST_RANKS = 100_000
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -87,52 +89,84 @@ def position(
     return running_sums(df, group, order, {name: F.lit(1).cast("bigint")}, hot_rows, sized_by)
 
 
-def ranked_values(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    ranks: dict[str, Column],
-    width: float | None = None,
-) -> DataFrame:
-    """Exact order statistics per group, without sorting any whole group.
+def ordered_bits(value: Column) -> Column:
+    """The bits of a double as a bigint of the same order; both zeros are 0, NaN comes last."""
+    a = F.abs(value)
+    guess = F.floor(F.log2(a)).cast("double")
+    two = lambda e: F.pow(F.lit(2.0), e)
+    e = F.when(a >= two(guess + 1), guess + 1).when(a < two(guess), guess - 1).otherwise(guess)
+    top = F.lit(2047 << 52).cast("bigint")
+    whole = (
+        F.when(F.isnan(a), top + 1).when(a == float("inf"), top).when(a == 0, F.lit(0).cast("bigint"))
+        .when(a < 2.0**-1022, (a / 2.0**-1074).cast("bigint"))
+        .otherwise((e + 1023).cast("bigint") * (1 << 52) + ((a / two(e) - 1) * 2.0**52).cast("bigint"))
+    )
+    return F.when(value < 0, -whole).otherwise(whole)
+
+
+def _radix_ranks(rows: DataFrame, group: Sequence[str], ranks: dict[str, Column], bound: int) -> DataFrame:
+    """``group, n`` and each rank of the values ``_v``, for groups of any size and spread.
 
-    ``ranks`` maps an output name to a 0-based rank written over the column ``n``
-    (the group's row count). Equal values are folded into counts before the first
-    shuffle, a histogram finds the bucket that holds each rank, and only those buckets
-    are ordered. Buckets are ``width`` wide, or a ``BUCKETS``-th of what the group spans.
+    The bits of the values are refined sixteen at a time: each round counts the values of
+    the one bucket that holds the rank and keeps the part that still does, until that is
+    ``bound`` different values at most. Four rounds go down to a single value.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_c"))
-    )
-    if width is None:
-        spans = counts.groupBy(*group).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-        place = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * BUCKETS)).otherwise(0)
-        counts = counts.join(spans, list(group)).withColumn("_b", place).drop("_low", "_high")
-    else:
-        counts = counts.withColumn("_b", F.floor(F.col("_v") / F.lit(width)))
-    whole = Window.partitionBy(*group)
-    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    counts = materialize(rows.groupBy(*group, "_v").agg(F.count("*").alias("_c")).withColumn("_bits", ordered_bits(F.col("_v").cast("double"))))
     wanted = F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()])
-    targets = (
-        counts.groupBy(*group, "_b")
-        .agg(F.sum("_c").alias("_bc"))
-        .select(*group, "_b", "_bc", F.sum("_bc").over(upto).alias("_end"), F.sum("_bc").over(whole).alias("n"))
-        .select(*group, "_b", "n", (F.col("_end") - F.col("_bc")).alias("_start"), "_end", F.explode(wanted).alias("_w"))
-        .where((F.col("_w.rank") >= F.col("_start")) & (F.col("_w.rank") < F.col("_end")))
-        .select(*group, "_b", "n", F.col("_w.name").alias("_name"), (F.col("_w.rank") - F.col("_start")).alias("_r"))
-    )
-    walk = Window.partitionBy(*group, "_b", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    picked = (
-        counts.join(targets, [*group, "_b"])
-        .withColumn("_end", F.sum("_c").over(walk))
-        .where((F.col("_r") < F.col("_end")) & (F.col("_r") >= F.col("_end") - F.col("_c")))
-    )
-    return picked.groupBy(*group).agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in ranks],
+    open_ = materialize(
+        counts.groupBy(*group).agg(F.sum("_c").alias("n"), F.count("*").alias("_rows"))
+        .select(*group, "n", "_rows", F.explode(wanted).alias("_w"))
+        .select(*group, "n", "_rows", F.col("_w.name").alias("_name"), F.col("_w.rank").alias("_r"), F.lit(0).cast("bigint").alias("_top"))
     )
+    digit = lambda shift: F.shiftright("_bits", shift) if shift < 64 else F.lit(0).cast("bigint")
+    shift = 64
+
+    def inside() -> DataFrame:
+        """Values of the open buckets, once for each rank that is looked for there."""
+        few = open_.count() <= BROADCAST_RANKS
+        return counts.withColumn("_top", digit(shift)).join(F.broadcast(open_) if few else open_, [*group, "_top"])
+
+    while shift and (open_.agg(F.max("_rows")).first()[0] or 0) > bound:
+        held, shift = inside().drop("_top", "_rows"), shift - 16
+        parts = held.groupBy(*group, "n", "_name", "_r", digit(shift).alias("_top")).agg(F.sum("_c").alias("_bc"), F.count("*").alias("_rows"))
+        walk = Window.partitionBy(*group, "_name").orderBy("_top").rowsBetween(Window.unboundedPreceding, 0)
+        found = parts.withColumn("_end", F.sum("_bc").over(walk)).where((F.col("_r") < F.col("_end")) & (F.col("_r") >= F.col("_end") - F.col("_bc")))
+        open_ = materialize(found.select(*group, "n", "_rows", "_name", (F.col("_r") - F.col("_end") + F.col("_bc")).alias("_r"), "_top"))
+    walk = Window.partitionBy(*group, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    picked = inside().withColumn("_end", F.sum("_c").over(walk)).where((F.col("_r") < F.col("_end")) & (F.col("_r") >= F.col("_end") - F.col("_c")))
+    return picked.groupBy(*group).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in ranks])
+
+
+def ranked_columns(
+    df: DataFrame, group: Sequence[str], values: dict[str, str], ranks: dict[str, Column], more: Sequence[Column] = (), limit: int = RANK_ROWS,
+) -> DataFrame:
+    """Exact order statistics of several columns per group, with further aggregates ``more`` beside them.
+
+    ``values`` maps a metric to its column, ``ranks`` a name to a 0-based rank written over
+    the column ``n`` (how many values the metric has in the group, nulls apart). The result
+    has ``<metric>_n`` and ``<metric>_<name>``. Groups of up to ``limit`` rows are sorted
+    where one shuffle brings them together; larger ones are narrowed down by their bits.
+    """
+    hot = oversize_groups(df, group, limit)
+    calm = df if hot is None else df.join(hot, list(group), "left_anti")
+    out = calm.groupBy(*group).agg(*more, *[F.sort_array(F.collect_list(c)).alias(f"_s_{m}") for m, c in values.items()])
+    for m in values:
+        out = out.withColumn("n", F.size(f"_s_{m}").cast("bigint")).withColumns({f"{m}_{k}": F.get(f"_s_{m}", r.cast("int")) for k, r in ranks.items()})
+        out = out.withColumnRenamed("n", f"{m}_n").drop(f"_s_{m}")
+    if hot is None:
+        return out
+    warm = df.join(hot, list(group), "left_semi")
+    found = warm.groupBy(*group).agg(*more, *[F.count(c).alias(f"{m}_n") for m, c in values.items()])
+    for m, c in values.items():
+        one = _radix_ranks(warm.where(F.col(c).isNotNull()).select(*group, F.col(c).alias("_v")), group, ranks, limit).drop("n")
+        found = found.join(one.withColumnsRenamed({k: f"{m}_{k}" for k in ranks}), list(group), "left")
+    return out.unionByName(found)
+
+
+def ranked_values(df: DataFrame, group: Sequence[str], value: str, ranks: dict[str, Column], limit: int = RANK_ROWS) -> DataFrame:
+    """``group, n`` and each rank of one column, for the groups that have a value."""
+    out = ranked_columns(df.where(F.col(value).isNotNull()), group, {"v": value}, ranks, limit=limit)
+    return out.select(*group, F.col("v_n").alias("n"), *[F.col(f"v_{k}").alias(k) for k in ranks])
 
 
 def nearest_rank(p: float) -> Column:

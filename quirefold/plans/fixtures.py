@@ -2,8 +2,10 @@
 
 Each table is one SQL text over the driver tables. The same text, with a handful of
 engine-specific spellings filled in, is read by Spark (as a DataFrame) and by the SQL
-oracle (as a CTE), so both sides start from identical rows. Every definition reads
-whole tables and is a projection, so the derived tables grow with their source.
+oracle (as a CTE), so both sides start from identical rows. Every definition reads whole
+tables, so the derived tables grow with their source. Matching needs boxes that have no
+partner: ``fx_truth``, ``fx_pred`` and ``fx_ref`` leave some out; what counts or hashes boxes
+reads ``fx_truth_all`` and ``fx_pred_all``.
 """
 
 from __future__ import annotations
@@ -59,24 +61,12 @@ def spell(sql: str, engine: int) -> str:
         sql = sql[:hit.start()] + body + sql[i:]
 
 
-FIXTURES: dict[str, str] = {
-    # detections ------------------------------------------------------------------
-    "fx_box": """
-        SELECT concat('w', l_orderkey % 4) AS ws, l_orderkey AS page_id,
-               ((l_partkey * 100000 + l_suppkey) * 10 + l_linenumber) * 64 + CAST(l_quantity AS BIGINT) AS box_id,
-               CASE l_partkey % 4 WHEN 0 THEN 8 WHEN 1 THEN 6 WHEN 2 THEN 9 ELSE 10 END AS class_id,
-               CASE l_partkey % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'picture' WHEN 2 THEN 'text' ELSE 'title' END AS label,
-               CAST((l_partkey * 7) % 500 AS DOUBLE) AS x1, CAST((l_suppkey * 13) % 600 AS DOUBLE) AS y1,
-               CAST((l_partkey * 7) % 500 AS DOUBLE) + 40 + l_quantity AS x2,
-               CAST((l_suppkey * 13) % 600 AS DOUBLE) + 20 + CAST(CAST(l_quantity AS BIGINT) % 30 AS DOUBLE) AS y2,
-               l_partkey, l_suppkey
-        FROM lineitem""",
-    "fx_truth": """
+_TRUTH = """
         SELECT ws, page_id, box_id, class_id, label, x1, y1, x2, y2,
                CASE WHEN page_id % 5 = 0 THEN 'synth-scan' ELSE 'synth-clean' END AS dataset,
                CASE WHEN page_id % 3 = 0 THEN 'calib' ELSE 'test' END AS split
-        FROM fx_box WHERE l_partkey % 13 <> 0""",
-    "fx_pred": """
+        FROM fx_box"""
+_PRED = """
         SELECT ws, page_id, box_id AS det_id,
                CASE WHEN l_partkey % 17 = 0 THEN
                  CASE class_id WHEN 8 THEN 6 WHEN 6 THEN 9 WHEN 9 THEN 10 ELSE 8 END ELSE class_id END AS class_id,
@@ -87,7 +77,32 @@ FIXTURES: dict[str, str] = {
                x1 + l_partkey % 9 AS x1, y1 + l_suppkey % 5 AS y1, x2 + l_partkey % 9 AS x2, y2 + l_suppkey % 5 AS y2,
                CASE WHEN page_id % 5 = 0 THEN 'synth-scan' ELSE 'synth-clean' END AS dataset,
                CASE WHEN page_id % 3 = 0 THEN 'calib' ELSE 'test' END AS split
-        FROM fx_box WHERE l_partkey % 11 <> 0""",
+        FROM fx_box"""
+_CROWD = "CASE WHEN page_id % 20 = 0 THEN 0 ELSE page_id END AS page_id"
+_SNAP = (
+    "CAST(FLOOR(x1 / 120) * 120 + {id} % 2 * {by} AS DOUBLE) AS x1, CAST(FLOOR(y1 / 120) * 120 AS DOUBLE) AS y1, "
+    "CAST(FLOOR(x1 / 120) * 120 + {id} % 2 * {by} + 40 + {id} % 2 * 20 AS DOUBLE) AS x2, CAST(FLOOR(y1 / 120) * 120 + 30 + {id} % 3 * 15 AS DOUBLE) AS y2"
+)
+
+FIXTURES: dict[str, str] = {
+    # detections ------------------------------------------------------------------
+    "fx_box": """
+        SELECT concat('w', l_orderkey % 4) AS ws, l_orderkey AS page_id,
+               ((l_partkey * 100000 + l_suppkey) * 10 + l_linenumber) * 64 + CAST(l_quantity AS BIGINT) AS box_id,
+               CASE l_partkey % 4 WHEN 0 THEN 8 WHEN 1 THEN 6 WHEN 2 THEN 9 ELSE 10 END AS class_id,
+               CASE l_partkey % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'picture' WHEN 2 THEN 'text' ELSE 'title' END AS label,
+               CAST((l_partkey * 7) % 500 AS DOUBLE) AS x1, CAST((l_suppkey * 13) % 600 AS DOUBLE) AS y1,
+               CAST((l_partkey * 7) % 500 AS DOUBLE) + 40 + l_quantity AS x2,
+               CAST((l_suppkey * 13) % 600 AS DOUBLE) + 20 + CAST(CAST(l_quantity AS BIGINT) % 30 AS DOUBLE) AS y2,
+               l_partkey, l_suppkey
+        FROM lineitem""",
+    "fx_truth_all": _TRUTH,
+    "fx_truth": _TRUTH + " WHERE l_partkey % 13 <> 0",
+    "fx_pred_all": _PRED,
+    "fx_pred": _PRED + " WHERE l_partkey % 11 <> 0",
+    # one page of every twenty goes into one crowd, on a coarse grid of few sizes: many boxes are equal
+    "fx_crowd_truth": f"SELECT ws, 'crowd' AS dataset, {_CROWD}, box_id, class_id, label, {_SNAP.format(id='box_id', by=0)} FROM fx_truth_all",
+    "fx_crowd_pred": f"SELECT ws, 'crowd' AS dataset, {_CROWD}, det_id, class_id, label, score, {_SNAP.format(id='det_id', by=6)} FROM fx_pred_all",
     "fx_ref": """
         SELECT ws, page_id, box_id AS det_id, class_id, label,
                CAST((l_suppkey * 31 + l_partkey * 7) % 1000 AS DOUBLE) / 1000 AS score,
@@ -308,12 +323,6 @@ FIXTURES: dict[str, str] = {
                CAST(c_custkey % 100 AS DOUBLE) / 100 AS free_fraction, c_custkey AS n
         FROM customer""",
     # ingest ------------------------------------------------------------------------
-    "fx_head": """
-        SELECT page_id, url, html, CASE page_id % 9
-                 WHEN 0 THEN '89504E470D0A1A0A0000000D494844520000C3500000C350' WHEN 1 THEN '255044462D312E370A' WHEN 2 THEN 'FFD8FFE000104A464946'
-                 WHEN 3 THEN '49492A0008000000' WHEN 4 THEN '524946462400000057454250' WHEN 5 THEN '504B0304'
-                 WHEN 6 THEN '4D4D002A00000008' WHEN 7 THEN '' ELSE '474946383961FF00F000' END AS head_hex
-        FROM pages""",
     "fx_upload": """
         SELECT concat('w', c_custkey % 4) AS ws, concat('b', c_custkey) AS batch_id, CAST(file_no AS INT) AS file_no,
                CAST(FLOOR((c_acctbal + 1000) * (file_no + 1) * 700) AS BIGINT) AS byte_size, CAST((c_custkey * (file_no + 3)) % 33 AS INT) AS pages,

@@ -84,7 +84,7 @@ def list_candidates(s, d):
 
 
 def visible_class_counts(s, d):
-    return C.visible_class_counts(table(s, d, "fx_pred"), 0.5, ["ws"])
+    return C.visible_class_counts(table(s, d, "fx_pred_all"), 0.5, ["ws"])
 
 
 QUERIES = {f.__name__: f for f in (
@@ -113,5 +113,5 @@ ORACLES = {k: oracle(v) for k, v in {
     "dataset_page_ids": "SELECT DISTINCT ws, page_id FROM fx_truth WHERE dataset = 'synth-clean' AND split = 'test'",
     "list_datasets": "SELECT ws, name, semver, id FROM fx_dataset",
     "list_candidates": "SELECT ws, id, name FROM fx_candidate",
-    "visible_class_counts": "SELECT ws, label, count(*) AS n FROM fx_pred WHERE score >= 0.5::DOUBLE GROUP BY ws, label",
+    "visible_class_counts": "SELECT ws, label, count(*) AS n FROM fx_pred_all WHERE score >= 0.5::DOUBLE GROUP BY ws, label",
 }.items()}

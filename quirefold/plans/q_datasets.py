@@ -62,7 +62,7 @@ def candidate_hash(s, d):
 
 
 def _page_hashes(s, d):
-    return D.annotation_hash(table(s, d, "fx_truth"), ["ws", "dataset", "split", "page_id"], [F.col("box_id")])
+    return D.annotation_hash(table(s, d, "fx_truth_all"), ["ws", "dataset", "split", "page_id"], [F.col("box_id")])
 
 
 def annotation_hash(s, d):
@@ -92,7 +92,7 @@ def dataset_schedule(s, d):
 
 
 def dataset_counts(s, d):
-    return D.dataset_counts(table(s, d, "fx_truth"), ["ws", "dataset"])
+    return D.dataset_counts(table(s, d, "fx_truth_all"), ["ws", "dataset"])
 
 
 def load_truth(s, d):
@@ -119,7 +119,7 @@ def gt_box_issues(s, d):
 
 
 def _misnamed(s, d):
-    return table(s, d, "fx_truth").withColumn("class_id", F.when(F.col("box_id") % 31 == 0, 0).otherwise(F.col("class_id")))
+    return table(s, d, "fx_truth_all").withColumn("class_id", F.when(F.col("box_id") % 31 == 0, 0).otherwise(F.col("class_id")))
 
 
 def gt_report(s, d):
@@ -213,11 +213,11 @@ from quirefold.plans.q_ledger import AUDITED  # noqa: E402
 _PRE = """concat('{"label_map_hash":"', p_brand, '","processor_class":"proc","render_dpi":150,"resize":"', p_type, '","target":640,"tile_aspect":1.6,"tile_long_side_px":2200,"tile_overlap":0.15}')"""
 _RUN = """concat('{"batch_window_ms":25,"graph_opt_level":"all","inter_op_threads":1,"intra_op_threads":', p_size, ',"max_batch":4,"runtime":"', CASE WHEN p_partkey % 2 = 0 THEN 'torch' ELSE 'onnxruntime' END, '"}')"""
 # three levels of digests over runs of 4096: short lists are hashed three times
-_AH = """bx AS (SELECT ws, dataset, split, page_id, box_id, sha256(concat_ws(',', printf('%.3f', x1), printf('%.3f', y1), printf('%.3f', x2), printf('%.3f', y2), class_id)) AS d, (row_number() OVER (PARTITION BY ws, dataset, split, page_id ORDER BY box_id) - 1) // 4096 AS c FROM fx_truth),
+_AH = """bx AS (SELECT ws, dataset, split, page_id, box_id, sha256(concat_ws(',', printf('%.3f', x1), printf('%.3f', y1), printf('%.3f', x2), printf('%.3f', y2), class_id)) AS d, (row_number() OVER (PARTITION BY ws, dataset, split, page_id ORDER BY box_id) - 1) // 4096 AS c FROM fx_truth_all),
   l1 AS (SELECT ws, dataset, split, page_id, c, sha256(string_agg(d, ',' ORDER BY box_id)) AS d FROM bx GROUP BY ALL),
   l2 AS (SELECT ws, dataset, split, page_id, c // 4096 AS c, sha256(string_agg(d, ',' ORDER BY c)) AS d FROM l1 GROUP BY ws, dataset, split, page_id, l1.c // 4096),
   ah AS (SELECT ws, dataset, split, page_id, sha256(string_agg(d, ',' ORDER BY c)) AS annotation_hash FROM l2 GROUP BY ws, dataset, split, page_id)"""
-_ISSUES = f"""tb AS (SELECT ws, page_id, box_id, label, CASE WHEN box_id % 31 = 0 THEN 0 ELSE class_id END AS class_id, x1, y1, x2, y2 FROM fx_truth),
+_ISSUES = f"""tb AS (SELECT ws, page_id, box_id, label, CASE WHEN box_id % 31 = 0 THEN 0 ELSE class_id END AS class_id, x1, y1, x2, y2 FROM fx_truth_all),
   iss AS (SELECT ws, page_id, 'empty' AS rule FROM fx_canvas c WHERE NOT EXISTS (SELECT 1 FROM tb WHERE tb.ws = c.ws AND tb.page_id = c.page_id)
     UNION ALL SELECT tb.ws, tb.page_id, 'out_of_bounds' FROM tb JOIN fx_canvas c ON c.ws = tb.ws AND c.page_id = tb.page_id WHERE NOT (0 <= x1 AND x1 < x2 AND x2 <= width AND 0 <= y1 AND y1 < y2 AND y2 <= height)
     UNION ALL SELECT ws, page_id, 'class_mismatch' FROM tb WHERE class_id <> CASE label WHEN 'table' THEN 8 WHEN 'picture' THEN 6 WHEN 'text' THEN 9 ELSE 10 END
@@ -240,8 +240,8 @@ _Q = {
     "dataset_schedule": """WITH sp AS (SELECT source AS name, count(*) AS total, length(source) = 5 AS b FROM documents GROUP BY source), pl AS (SELECT *, unnest(range(0, total)) AS i FROM sp)
         SELECT name, i AS page_index, CASE WHEN b AND i % 5 = 0 THEN 'two_up' ELSE (['single_column', 'two_column', 'slide', 'two_up'])[i % 4 + 1] END AS template, 1000000 + i AS seed,
           CASE WHEN NOT b AND length(name) = 4 AND i < least(9, total // 5) THEN 'calib' WHEN b THEN 'bench' ELSE 'test' END AS split FROM pl""",
-    "dataset_counts": """SELECT ws, dataset, 'pages' AS axis, '' AS name, count(DISTINCT page_id) AS n FROM fx_truth GROUP BY ws, dataset UNION ALL SELECT ws, dataset, 'split', split, count(DISTINCT page_id) FROM fx_truth GROUP BY ws, dataset, split
-        UNION ALL SELECT ws, dataset, 'class', label, count(*) FROM fx_truth GROUP BY ws, dataset, label""",
+    "dataset_counts": """SELECT ws, dataset, 'pages' AS axis, '' AS name, count(DISTINCT page_id) AS n FROM fx_truth_all GROUP BY ws, dataset UNION ALL SELECT ws, dataset, 'split', split, count(DISTINCT page_id) FROM fx_truth_all GROUP BY ws, dataset, split
+        UNION ALL SELECT ws, dataset, 'class', label, count(*) FROM fx_truth_all GROUP BY ws, dataset, label""",
     "load_truth": "SELECT a.ws, d.name AS dataset, d.semver, count(*) AS boxes, sum(p.width_px)::BIGINT AS width_sum FROM fx_annotation a JOIN fx_page p ON p.ws = a.ws AND p.id = a.page_id JOIN fx_dataset d ON d.ws = a.ws AND d.id = a.dataset_version_id WHERE split = 'test' GROUP BY ALL",
     "category_axis": """WITH l AS (SELECT p_brand AS model, p_size * 3 AS class_id, min(p_type) AS label FROM part GROUP BY ALL), x AS (SELECT model, unnest(range(0, max(class_id)::BIGINT + 1)) AS class_id FROM l GROUP BY model)
         SELECT x.model, x.class_id, coalesce(l.label, concat('class_', x.class_id)) AS label FROM x LEFT JOIN l ON l.model = x.model AND l.class_id = x.class_id""",

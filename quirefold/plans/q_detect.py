@@ -113,19 +113,37 @@ def tile_plan(s, d):
 
 
 def nms(s, d):
-    return D.merge_tiles(table(s, d, "fx_pred").select("ws", "page_id", "class_id", "det_id", "score", "x1", "y1", "x2", "y2")).select(
+    return D.merge_tiles(table(s, d, "fx_pred_all").select("ws", "page_id", "class_id", "det_id", "score", "x1", "y1", "x2", "y2")).select(
         "page_id", "det_id", "score")
 
 
 def merge_tiles(s, d):
     """Each page's detections seen by two overlapping tiles: the second copy is shifted and slightly weaker."""
-    base = table(s, d, "fx_pred").select("ws", "page_id", "class_id", "det_id", "score", "x1", "y1", "x2", "y2")
+    base = table(s, d, "fx_pred_all").select("ws", "page_id", "class_id", "det_id", "score", "x1", "y1", "x2", "y2")
     again = base.select("ws", "page_id", "class_id", (F.col("det_id") + 1_000_000_000_000_000).alias("det_id"), (F.col("score") * 0.5).alias("score"),
                         (F.col("x1") + 3).alias("x1"), F.col("y1"), (F.col("x2") + 3).alias("x2"), F.col("y2"))
     return D.merge_tiles(base.unionByName(again)).groupBy("ws").agg(
         F.count("*").alias("kept"), F.sum((F.col("det_id") >= 1_000_000_000_000_000).cast("bigint")).alias("kept_second"), F.sum("det_id").cast("double").alias("id_sum"))
 
 
+def crowded_nms(s, d):
+    """Suppression where one page holds a twentieth of all boxes."""
+    return D.merge_tiles(table(s, d, "fx_crowd_pred").select("ws", "page_id", "class_id", "det_id", "score", "x1", "y1", "x2", "y2")).select("page_id", "det_id", "score")
+
+
+def crowded_matches(s, d):
+    """Precision and recall on such a page, many of whose boxes are equal."""
+    pred = table(s, d, "fx_crowd_pred").withColumn("candidate", F.lit("candidate"))
+    out = E.precision_recall(table(s, d, "fx_crowd_truth"), pred, (0.2, 0.6))
+    return out.select("ws", "threshold", "tp", "n_pred", "n_truth")
+
+
+def crowded_agreement(s, d):
+    """Per page the pairs of two sides of it, greatest overlap first."""
+    truth = table(s, d, "fx_crowd_truth").withColumnRenamed("box_id", "det_id")
+    return E.detection_agreement(truth, table(s, d, "fx_crowd_pred"), ["ws", "page_id"]).select("ws", "page_id", "matched", "n_a", "n_b")
+
+
 def raw_output_parity(s, d):
     two = table(s, d, "embeddings").select(
         "label", F.transform("embedding", lambda x: x.cast("double")).alias("a"),
@@ -275,7 +293,7 @@ def evaluation_row(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    iou, iou_pairs, cxcywh_to_xyxy, check_raw_outputs, topk_flat, postprocess, tile_plan, nms, merge_tiles, raw_output_parity,
+    iou, iou_pairs, cxcywh_to_xyxy, check_raw_outputs, topk_flat, postprocess, tile_plan, nms, merge_tiles, crowded_nms, crowded_matches, crowded_agreement, raw_output_parity,
     score_pages, eval_inputs, coco_match, pr_curve, coco_map, class_ap, coco_empty, quality_table, precision_recall,
     best_f1_threshold, detection_agreement, mean_agreement, shadow_pairs, shadow_diff, shadow_agreement, class_ap_delta, evaluation_row)}
 QUERIES["sigmoid"] = sigmoid_scores
@@ -429,9 +447,22 @@ ORACLES = {k: oracle(v) for k, v in {
         UNION ALL SELECT id, 0, 0, 0, CASE WHEN w >= h THEN least(g // 2 + o, g) ELSE w END, CASE WHEN w >= h THEN h ELSE least(g // 2 + o, g) END FROM m WHERE split
         UNION ALL SELECT id, 1, CASE WHEN w >= h THEN g // 2 ELSE 0 END, CASE WHEN w >= h THEN 0 ELSE g // 2 END,
           CASE WHEN w >= h THEN g - g // 2 ELSE w END, CASE WHEN w >= h THEN h ELSE g - g // 2 END FROM m WHERE split""",
-    "nms": _suppress_sql(f"SELECT {_PRED_COLS} FROM fx_pred") + " SELECT page_id, det_id, score FROM kept",
-    "merge_tiles": _suppress_sql(f"""SELECT {_PRED_COLS} FROM fx_pred UNION ALL
-        SELECT ws, page_id, class_id, det_id + 1000000000000000, score * 0.5::DOUBLE, x1 + 3, y1, x2 + 3, y2 FROM fx_pred""") + """
+    "crowded_nms": _suppress_sql(f"SELECT {_PRED_COLS} FROM fx_crowd_pred") + " SELECT page_id, det_id, score FROM kept",
+    "crowded_matches": f"""WITH RECURSIVE th AS (SELECT unnest([0.2, 0.6]::DOUBLE[]) AS threshold),
+        likes AS (SELECT th.threshold, t.ws, t.page_id, t.label, t.box_id, list(p.det_id ORDER BY {iou_sql('t.', 'p.')} DESC, p.det_id DESC) AS likes
+          FROM fx_crowd_truth t JOIN fx_crowd_pred p ON t.ws = p.ws AND t.page_id = p.page_id AND t.label = p.label JOIN th ON p.score >= th.threshold
+          WHERE {iou_sql('t.', 'p.')} >= 0.5::DOUBLE GROUP BY ALL),
+        lined AS (SELECT *, row_number() OVER (PARTITION BY threshold, ws, page_id, label ORDER BY box_id) AS i FROM likes),
+        run AS (SELECT DISTINCT threshold, ws, page_id, label, 0::BIGINT AS i, CAST([] AS BIGINT[]) AS used FROM lined
+          UNION ALL SELECT r.threshold, r.ws, r.page_id, r.label, r.i + 1,
+            CASE WHEN len(list_filter(m.likes, lambda x: NOT list_contains(r.used, x))) = 0 THEN r.used ELSE list_append(r.used, list_filter(m.likes, lambda x: NOT list_contains(r.used, x))[1]) END
+          FROM run r JOIN lined m ON m.threshold = r.threshold AND m.ws = r.ws AND m.page_id = r.page_id AND m.label = r.label AND m.i = r.i + 1),
+        tp AS (SELECT threshold, ws, sum(n)::BIGINT AS tp FROM (SELECT threshold, ws, page_id, label, max(len(used)) AS n FROM run GROUP BY ALL) z GROUP BY ALL)
+        SELECT t.ws, th.threshold, coalesce(tp, 0) AS tp, (SELECT count(*) FROM fx_crowd_pred p WHERE p.ws = t.ws AND p.score >= th.threshold) AS n_pred, n_truth
+        FROM (SELECT ws, count(*) AS n_truth FROM fx_crowd_truth GROUP BY ws) t CROSS JOIN th LEFT JOIN tp USING (threshold, ws)""",
+    "nms": _suppress_sql(f"SELECT {_PRED_COLS} FROM fx_pred_all") + " SELECT page_id, det_id, score FROM kept",
+    "merge_tiles": _suppress_sql(f"""SELECT {_PRED_COLS} FROM fx_pred_all UNION ALL
+        SELECT ws, page_id, class_id, det_id + 1000000000000000, score * 0.5::DOUBLE, x1 + 3, y1, x2 + 3, y2 FROM fx_pred_all""") + """
         SELECT ws, count(*) AS kept, count(*) FILTER (det_id >= 1000000000000000) AS kept_second, sum(det_id)::DOUBLE AS id_sum FROM kept GROUP BY ws""",
     "raw_output_parity": """WITH u AS (SELECT label, v::DOUBLE AS a, v::DOUBLE + (pos % 7)::DOUBLE * 0.0001::DOUBLE AS b FROM
           (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) z)

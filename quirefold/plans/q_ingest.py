@@ -45,7 +45,7 @@ def _uploads(s, d):
 
 
 def sniff_media(s, d):
-    return table(s, d, "fx_head").select("page_id", media_of(F.unhex("head_hex")).alias("media_type"))
+    return _uploads(s, d).select("page_id", media_of(F.col("content")).alias("media_type"))
 
 
 def header_dims(s, d):
@@ -159,9 +159,10 @@ _STORED = """c AS (SELECT ws, @sha(text) AS sha256, doc_id, concat('as', doc_id)
   old AS (SELECT ws, sha256, min(concat('old', id)) AS id FROM c WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ws, sha256),
   fresh AS (SELECT ws, sha256, arg_min(id, doc_id) AS id FROM c WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.ws = c.ws AND old.sha256 = c.sha256) GROUP BY ws, sha256)"""
 _Q = {
-    "sniff_media": """SELECT page_id, CASE WHEN head_hex = '' THEN 'empty' WHEN starts_with(head_hex, '89504E470D0A1A0A') THEN 'image/png' WHEN starts_with(head_hex, '255044462D') THEN 'application/pdf'
+    "sniff_media": f"""WITH {_DIM}, h AS (SELECT page_id, left({_HEX}, 32) || left(hex(encode(html)), 32) AS head_hex FROM dm)
+        SELECT page_id, CASE WHEN head_hex = '' THEN 'empty' WHEN starts_with(head_hex, '89504E470D0A1A0A') THEN 'image/png' WHEN starts_with(head_hex, '255044462D') THEN 'application/pdf'
         WHEN starts_with(head_hex, 'FFD8FF') THEN 'image/jpeg' WHEN starts_with(head_hex, '49492A00') OR starts_with(head_hex, '4D4D002A') THEN 'image/tiff'
-        WHEN starts_with(head_hex, '52494646') AND substring(head_hex, 17, 8) = '57454250' THEN 'image/webp' ELSE 'unrecognised' END AS media_type FROM fx_head""",
+        WHEN starts_with(head_hex, '52494646') AND substring(head_hex, 17, 8) = '57454250' THEN 'image/webp' ELSE 'unrecognised' END AS media_type FROM h""",
     "header_dims": f"WITH {_DIM} SELECT page_id, CASE WHEN known THEN w ELSE -1 END AS width, CASE WHEN known THEN h ELSE -1 END AS height FROM dm",
     "pixel_limit_screen": f"WITH {_DIM} SELECT page_id, CASE WHEN NOT known THEN 'decode_failed' WHEN w * h > 40000000 THEN 'pixel_limit' ELSE 'ok' END AS verdict FROM dm",
     "pdf_encryption_screen": """SELECT page_id, contains(right(hex(encode(CASE page_id % 4 WHEN 0 THEN html || '/Encrypt 5 0 R' WHEN 1 THEN '/Encrypt 5 0 R' || html ELSE html END)), 8192), '2F456E6372797074') AS encrypted FROM pages""",

@@ -10,7 +10,8 @@ from quirefold.plans import q_ingest, q_ledger
 from quirefold.plans.fixtures import oracle, table
 from quirefold.streaming import ingest as SI
 from quirefold.streaming import ledger as SL
-from quirefold.streaming.runner import drain, drain_totals, new_folder
+from quirefold.streaming.runner import drain, new_folder
+from quirefold.streaming.store import upserted
 
 
 def _replayed(s, df, name):
@@ -21,12 +22,12 @@ def _replayed(s, df, name):
 
 
 def stream_state_counts(s, d):
-    return drain_totals(L.state_counts(table(s, d, "fx_item", stream=True)), "state_counts")
+    return upserted(L.state_counts(table(s, d, "fx_item", stream=True)), ["ws", "batch_id", "state"])
 
 
 def stream_queue_depth(s, d):
     live = table(s, d, "fx_item", stream=True).groupBy("pool").agg(*[F.sum((F.col("state") == x).cast("bigint")).alias(x) for x in ("queued", "running")])
-    return drain_totals(live, "queue_depth")
+    return upserted(live, ["pool"])
 
 
 def stream_lease_sweep(s, d):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quirefold.session import scratch_root
 
@@ -23,22 +22,3 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
         .option("path", f"{root}/rows").trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
-
-
-def drain_totals(stream: DataFrame, name: str) -> DataFrame:
-    """Complete-mode aggregate; each trigger replaces its own numbered folder, the newest is the answer."""
-    spark = stream.sparkSession
-    root = new_folder(spark, name)
-    empty = spark.createDataFrame([], stream.schema)
-    empty.write.parquet(f"{root}/rows/_trigger=-1")
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/rows/_trigger={number}")
-
-    query = (
-        stream.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/_state")
-        .foreachBatch(keep).trigger(availableNow=True).start())
-    query.awaitTermination()
-    rows = spark.read.parquet(f"{root}/rows")
-    newest = rows.agg(F.max("_trigger")).first()[0]
-    return spark.read.schema(stream.schema).parquet(f"{root}/rows/_trigger={-1 if newest is None else newest}")

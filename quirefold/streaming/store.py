@@ -1,70 +1,47 @@
-"""Tables that streams keep below a folder: nothing is forgotten, so no watermark decides what counts.
+"""What streams keep below a folder: nothing is forgotten, so no watermark decides what counts.
 
-Each trigger writes folders of its own, so a replayed trigger replaces what it wrote
-before. Rows are laid out by hash bucket of their key and a trigger reads only the
-buckets its own keys fall into.
+Tables are levels of runs (``levels``): a trigger opens only the folders that may hold its
+keys, and a trigger that is replayed adds nothing a second time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.session import materialize
+from quirefold.streaming.levels import LevelledTable, layout_of, newest
 from quirefold.streaming.runner import new_folder
 
-BUCKETS = 64
 
-
-def _bucket(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-
-
-def _write(rows: DataFrame, folder: str, number: int, keys: Sequence[str]) -> None:
-    rows.withColumn("_bucket", _bucket(keys)).write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/_trigger={number}")
-
-
-def _read(spark, folder: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, _trigger bigint, _bucket int").parquet(folder)
-
-
-def _layout(df: DataFrame) -> str:
-    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-
-
-def _each_trigger(stream: DataFrame, root: str, settle: Callable[[DataFrame, int], None]) -> None:
-    query = stream.writeStream.foreachBatch(settle).option("checkpointLocation", f"{root}/_state").trigger(availableNow=True).start()
+def each_trigger(stream: DataFrame, root: str, settle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    query = (
+        stream.writeStream.foreachBatch(settle).outputMode(mode).option("checkpointLocation", f"{root}/_state").trigger(availableNow=True).start())
     query.awaitTermination()
 
 
-def _touched(batch: DataFrame, keys: Sequence[str]) -> list[int]:
-    return [r[0] for r in batch.select(_bucket(keys)).distinct().collect()]
-
-
 def first_of_each(stream: DataFrame, keys: Sequence[str], order: Sequence[str], root: str | None = None) -> DataFrame:
     """The row of each key that comes first in ``order`` among all that ever arrive, in whatever order they do.
 
     A trigger keeps the rows that beat what is stored for their key; readers take the best.
     """
-    spark, layout = stream.sparkSession, _layout(stream)
-    root = root or new_folder(spark, "first")
-    rows = f"{root}/rows"
+    spark = stream.sparkSession
     best = F.min(F.struct(*order, F.struct("*").alias("_row")))
+    firsts = lambda rows: rows.groupBy(*keys).agg(best.alias("_b")).select("_b._row.*")
+    table = LevelledTable(spark, root or new_folder(spark, "first"), layout_of(stream), keys, firsts)
 
     def settle(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        won = batch.groupBy(*keys).agg(best.alias("_b"))
-        if number > 0:
-            known = _read(spark, rows, layout).where(F.col("_bucket").isin(_touched(batch, keys)) & (F.col("_trigger") < number))
-            held = known.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_held"))
-            mine = F.struct(*[F.col(f"_b.{c}").alias(c) for c in order])
-            won = won.join(held, list(keys), "left").where(F.col("_held").isNull() | (mine < F.col("_held")))
-        _write(won.select("_b._row.*"), rows, number, keys)
-        batch.unpersist()
+        if table.settled(number):
+            return
+        won = materialize(firsts(batch))
+        held = table.holding(won, number).groupBy(*keys).agg(F.min(F.struct(*order)).alias("_held"))
+        beaten = F.col("_held").isNotNull() & (F.struct(*order) >= F.col("_held"))
+        table.add(won.join(held, list(keys), "left").where(~beaten).select(*stream.columns), number)
 
-    _each_trigger(stream, root, settle)
-    return _read(spark, rows, layout).drop("_trigger", "_bucket").groupBy(*keys).agg(best.alias("_b")).select("_b._row.*")
+    each_trigger(stream, table.root, settle)
+    return firsts(table.rows())
 
 
 def refolded(stream: DataFrame, keys: Sequence[str], fold: Callable[[DataFrame], DataFrame], root: str | None = None) -> DataFrame:
@@ -73,28 +50,37 @@ def refolded(stream: DataFrame, keys: Sequence[str], fold: Callable[[DataFrame],
     Events may arrive in any order and any trigger: a touched key is folded again from its
     stored rows, so the answer is the one the batch operator gives.
     """
-    spark, layout = stream.sparkSession, _layout(stream)
+    spark = stream.sparkSession
     root = root or new_folder(spark, "refolded")
-    results: list[str] = []
+    out = layout_of(fold(spark.createDataFrame([], stream.schema)))
+    log = LevelledTable(spark, f"{root}/log", layout_of(stream), keys)
+    # a touched key that folds to nothing leaves its mark, so that older results of it do not count
+    results = LevelledTable(spark, f"{root}/results", f"{out}, _version bigint, _mark boolean", keys, lambda rows: newest(rows, keys))
 
     def settle(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        _write(batch, f"{root}/log", number, keys)
-        fresh = batch.select(*keys).distinct()
-        log = _read(spark, f"{root}/log", layout).where(F.col("_bucket").isin(_touched(batch, keys)) & (F.col("_trigger") <= number))
-        out = fold(log.drop("_trigger", "_bucket").join(fresh, list(keys), "left_semi"))
-        results[:] = [_layout(out)]
-        _write(out, f"{root}/results", number, keys)
-        _write(fresh, f"{root}/touched", number, keys)
-        batch.unpersist()
-
-    _each_trigger(stream, root, settle)
-    if not results:  # nothing new since the last run, or nothing at all
-        empty = spark.createDataFrame([], stream.schema)
-        results.append(_layout(fold(empty)))
-        _write(empty, f"{root}/log", -1, keys)
-        _write(fold(empty), f"{root}/results", -1, keys)
-        _write(empty.select(*keys), f"{root}/touched", -1, keys)
-    key_layout = ", ".join(f"`{k}` {t}" for k, t in stream.dtypes if k in keys)
-    newest = _read(spark, f"{root}/touched", key_layout).groupBy(*keys).agg(F.max("_trigger").alias("_trigger"))
-    return _read(spark, f"{root}/results", results[0]).join(newest, [*keys, "_trigger"], "left_semi").drop("_trigger", "_bucket")
+        batch = materialize(batch)
+        if not log.settled(number):
+            log.add(batch, number)
+        if results.settled(number):
+            return
+        fresh = materialize(batch.select(*keys).distinct())
+        earlier = log.holding(fresh, number).join(fresh, list(keys), "left_semi").select(*stream.columns)
+        folded = fold(earlier.unionByName(batch)).withColumn("_mark", F.lit(False))
+        marked = folded.unionByName(fresh.withColumn("_mark", F.lit(True)), allowMissingColumns=True)
+        results.add(marked.withColumn("_version", F.lit(number).cast("bigint")), number)
+
+    each_trigger(stream, root, settle)
+    return newest(results.rows(), keys).where("NOT _mark").drop("_version", "_mark")
+
+
+def upserted(stream: DataFrame, keys: Sequence[str], root: str | None = None) -> DataFrame:
+    """A streaming aggregate as a table: each trigger writes the groups it changed, and only those."""
+    spark = stream.sparkSession
+    table = LevelledTable(spark, root or new_folder(spark, "upserted"), f"{layout_of(stream)}, _version bigint", keys, lambda rows: newest(rows, keys))
+
+    def settle(batch: DataFrame, number: int) -> None:
+        if not table.settled(number):
+            table.add(materialize(batch).withColumn("_version", F.lit(number).cast("bigint")), number)
+
+    each_trigger(stream, table.root, settle, "update")
+    return newest(table.rows(), keys).drop("_version")

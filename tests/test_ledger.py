@@ -10,6 +10,7 @@ from quirefold.operators import ingest as I
 from quirefold.operators import ledger as L
 from quirefold.streaming import ledger as SL
 from quirefold.streaming import ingest as SI
+from quirefold.streaming import expiry, levels, store
 from quirefold.streaming.runner import new_folder
 
 EVENT = "ws string, item_id string, seq long, ts timestamp, kind string, worker string, token long, code string"
@@ -96,6 +97,101 @@ def test_first_of_each_key_has_no_horizon(spark):
     assert {r.id for r in SL.unique_predictions(replay(spark, p, 3)).collect()} == {"p1", "p3"}
 
 
+def swept(events, now, lease_s=60, attempts=3):
+    """The batch fold and then the sweep at one moment."""
+    state = L.item_state_fold(events, lease_s).withColumns({"claimed_at": F.lit(None).cast("timestamp"), "outcome": F.lit(None).cast("string")})
+    late = L.lease_sweep(state, F.lit(now), attempts)
+    return state.join(late.select("ws", "item_id"), ["ws", "item_id"], "left_anti").unionByName(late).drop("claimed_at")
+
+
+def arriving(spark, rows, files):
+    """Events in several files, arrived in this order; the clock is the greatest time of those so far."""
+    path, size, clock, seen = new_folder(spark, "arriving"), -(-len(rows) // files), T0, []
+    for at in range(0, len(rows), size):
+        part = rows[at:at + size]
+        clock = max([clock, *[r[3] for r in part]])
+        seen += [(*r, clock) for r in part]
+        spark.createDataFrame(seen[at:], EVENT + ", seen_at timestamp").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(EVENT + ", seen_at timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    return stream, clock
+
+
+def test_leases_run_out_without_an_event_of_their_own(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    log = [
+        ("w", "stops", 0, at(0), "claim", "k", 1, None), ("w", "stops", 1, at(30), "heartbeat", "k", 1, None),
+        ("w", "third", 2, at(1), "claim", "k", 2, None), ("w", "third", 3, at(2), "claim", "k", 3, None), ("w", "third", 4, at(3), "claim", "k", 4, None),
+        ("w", "done", 5, at(4), "claim", "k", 5, None), ("w", "done", 6, at(5), "complete", "k", 5, None),
+        ("w", "edge", 7, at(140), "claim", "k", 7, None), ("w", "over", 10, at(139.999), "claim", "k", 10, None), ("w", "live", 8, at(190), "claim", "k", 8, None),
+        ("w", "clock", 9, at(200), "claim", "k", 9, None),
+    ]
+    stream, clock = arriving(spark, log, 5)
+    got = {r.item_id: (r.state, r.outcome, r.failure_code, r.fencing_token) for r in expiry.expiring_items(stream).collect()}
+    assert clock == at(200)
+    assert got == {
+        "stops": ("queued", "requeued", None, None), "third": ("failed", "exhausted", "max_attempts", 4), "done": ("succeeded", None, None, 5),
+        "edge": ("running", None, None, 7), "over": ("queued", "requeued", None, None), "live": ("running", None, None, 8), "clock": ("running", None, None, 9)}
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+def test_expiring_items_equal_the_sweep_of_the_batch_fold(spark, seed):
+    """Events out of order, some long after their item was swept."""
+    log = event_log(seed, 220)
+    late = log[:]
+    random.Random(seed).shuffle(late)
+    for rows in (log, late):
+        stream, clock = arriving(spark, rows, 4)
+        assert rows_of(expiry.expiring_items(stream)) == rows_of(swept(spark.createDataFrame(rows, EVENT), clock))
+
+
+def test_levels_of_a_table_grow_with_the_logarithm_of_triggers(spark, monkeypatch):
+    monkeypatch.setattr(levels, "FAN", 2)
+    table = levels.LevelledTable(spark, new_folder(spark, "levels"), "k long, v long", ["k"])
+    of = lambda n: spark.range(n * 10, n * 10 + 10).selectExpr("id AS k", f"CAST({n} AS BIGINT) AS v")
+    for n in range(11):
+        keys = spark.range(0, 5).selectExpr("id AS k")
+        held = table.holding(keys, n)
+        assert held.join(keys, "k", "left_semi").count() == (5 if n else 0)
+        table.add(of(n), n)
+        table.add(of(n), n)  # a trigger that is played again
+    runs = table._runs()
+    assert len(runs) <= 4 and max(r["level"] for r in runs) == 3
+    # five keys in one run: only folders that may hold one of them are opened
+    assert all(n <= 5 for n in table.opened)
+    assert sorted(r.k for r in table.rows().collect()) == list(range(110))
+
+
+def test_a_trigger_that_dies_before_its_manifest_leaves_nothing(spark, monkeypatch):
+    ev = spark.createDataFrame(event_log(5, 120), EVENT)
+    root, stream = new_folder(spark, "dies"), replay(spark, ev, 3)
+    real, calls = levels.publish_document, []
+
+    def dying(*args):
+        calls.append(1)
+        if len(calls) == 4:  # the results of the second trigger: its log is in already
+            raise OSError("lost")
+        return real(*args)
+
+    monkeypatch.setattr(levels, "publish_document", dying)
+    with pytest.raises(Exception, match="lost"):
+        store.refolded(stream, ("ws", "item_id"), L.item_state_fold, root)
+    assert rows_of(store.refolded(stream, ("ws", "item_id"), L.item_state_fold, root)) == rows_of(L.item_state_fold(ev))
+
+
+def test_upserts_write_the_groups_a_trigger_changed(spark):
+    rows = [("w", f"b{i % 50}", "queued") for i in range(200)]
+    path, root = new_folder(spark, "items"), new_folder(spark, "counts")
+    layout = "ws string, batch_id string, state string"
+    counts = lambda: store.upserted(L.state_counts(spark.readStream.schema(layout).parquet(path)), ["ws", "batch_id", "state"], root)
+    spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(path)
+    assert {r.n for r in counts().collect()} == {4}
+    spark.createDataFrame([("w", "b7", "queued"), ("w", None, "queued")], layout).coalesce(1).write.mode("append").parquet(path)
+    got = {r.batch_id: r.n for r in counts().collect()}
+    assert got == {**{f"b{i}": 4 for i in range(50)}, "b7": 5, None: 1}
+    table = levels.LevelledTable(spark, root, "ws string", ["ws"])
+    assert [table._all([r]).count() for r in table._runs()] == [50, 2]
+
+
 def test_micro_batches_over_triggers_keep_the_last_batch(spark):
     times = [i * 40 + (i % 7) * 13 for i in range(60)]
     path = new_folder(spark, "arrivals")
