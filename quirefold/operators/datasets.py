@@ -6,13 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold import constants as K
 from quirefold.operators.matching import FOLD_BOXES, overlapping_pairs
 from quirefold.operators.ordering import HOT_ROWS, position
-from quirefold.session import materialize
 
 # Lists are hashed in runs of this many entries, then the run digests are hashed, three
 # levels deep, so the content hash of a list of any length never gathers it in one place.
@@ -142,10 +142,6 @@ def gt_report(boxes: DataFrame, pages: DataFrame, issues: DataFrame) -> DataFram
     return p.join(b, "ws", "left").join(rules, "ws", "left").na.fill({"boxes": 0, "n_errors": 0}).withColumn("ok", F.col("n_errors") == 0)
 
 
-# Boxes judged beside one copy of a page's ink; a page with more is judged in slices.
-INK_SLICE = 1024
-
-
 def ink_masks(pages: DataFrame) -> DataFrame:
     """``ws, page_id, width, height, ink`` from raw RGB pages: one bit a pixel, made where the image is read."""
 
@@ -160,58 +156,90 @@ def ink_masks(pages: DataFrame) -> DataFrame:
     return pages.select("ws", "page_id", "width", "height", "rgb").mapInPandas(packed, "ws string, page_id bigint, width int, height int, ink binary")
 
 
-def _words(mask: np.ndarray) -> list[int]:
-    """A pixel mask as 64-bit words."""
-    bits = np.packbits(mask.ravel())
-    return np.pad(bits, (0, -len(bits) % 8)).view(np.int64).tolist()
+class _PageInk:
+    """One page's ink as a summed-area table, so that a box of any size costs four reads, and what its boxes cover."""
+
+    def __init__(self, raw: bytes, width: int, height: int, margin: int) -> None:
+        self.width, self.height, self.margin = width, height, margin
+        self.ink = np.unpackbits(np.frombuffer(raw, np.uint8), count=width * height).reshape(height, width)
+        self.sums = np.zeros((height + 1, width + 1), np.int32)
+        np.cumsum(np.cumsum(self.ink, axis=0, dtype=np.int32), axis=1, out=self.sums[1:, 1:])
+        self.edges = np.zeros((height + 1, width + 1), np.int32)
+
+    def shares(self, corners: np.ndarray) -> np.ndarray:
+        """Ink share of each box ``x1, y1, x2, y2``, which is covered from here on; NaN for boxes not within the page."""
+        x1, y1, x2, y2 = corners.T
+        inside = (x1 >= 0) & (x1 < x2) & (x2 <= self.width) & (y1 >= 0) & (y1 < y2) & (y2 <= self.height)
+        out = np.full(len(corners), np.nan)
+        left, top = (np.floor(v[inside]).astype(np.int64) for v in (x1, y1))
+        right, low = (np.ceil(v[inside]).astype(np.int64) for v in (x2, y2))
+        filled = self.sums[low, right] - self.sums[top, right] - self.sums[low, left] + self.sums[top, left]
+        out[inside] = filled / ((right - left) * (low - top))
+        for row, column, step in ((top, left, 1), (top, right, -1), (low, left, -1), (low, right, 1)):
+            np.add.at(self.edges, (row, column), step)
+        return out
 
+    def covered(self) -> tuple[int, int]:
+        """Ink inside the margin that some box covers, and all of it."""
+        m = self.margin
+        window = np.s_[m:max(m, self.height - m), m:max(m, self.width - m)]
+        boxed = np.cumsum(np.cumsum(self.edges, axis=0), axis=1)[:-1, :-1] > 0
+        return int((self.ink[window].astype(bool) & boxed[window]).sum()), int(self.ink[window].sum())
 
-def _judge(raw: bytes, width: int, height: int, boxes: list, margin: int) -> tuple[list[tuple[int, float]], np.ndarray, np.ndarray]:
-    """Boxes with too little ink, the core ink that boxes cover, and all core ink."""
-    ink = np.unpackbits(np.frombuffer(raw, np.uint8), count=width * height).reshape(height, width).astype(bool)
-    covered, core, bare = np.zeros_like(ink), np.zeros_like(ink), []
-    for b in boxes:
-        if not (0 <= b["x1"] < b["x2"] <= width and 0 <= b["y1"] < b["y2"] <= height):
-            continue
-        cut = np.s_[int(np.floor(b["y1"])):int(np.ceil(b["y2"])), int(np.floor(b["x1"])):int(np.ceil(b["x2"]))]
-        share = float(ink[cut].mean())
-        if share < K.MIN_INK_FRACTION:
-            bare.append((int(b["box_id"]), share))
-        covered[cut] = True
-    window = np.s_[margin:max(margin, height - margin), margin:max(margin, width - margin)]
-    core[window] = ink[window]
-    return bare, covered & core, core
 
+INK_ISSUE = "ws string, page_id bigint, rule string, box_id bigint, share double"
 
-def gt_ink_issues(pages: DataFrame, boxes: DataFrame, margin: int = K.INK_MARGIN_PX, slice_boxes: int = INK_SLICE, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Ink rules over raw RGB pages (``ws, page_id, width, height, rgb``).
 
-    Only ink masks are shuffled. A page is judged beside its boxes; one with more than
-    ``slice_boxes`` is judged in slices, whose coverage is combined word by word.
+def gt_ink_issues(pages: DataFrame, boxes: DataFrame, margin: int = K.INK_MARGIN_PX) -> DataFrame:
+    """Ink rules over raw RGB pages (``ws, page_id, width, height, rgb``) that have boxes.
+
+    Only ink masks are shuffled. A page's mask comes before its boxes in the partition that
+    both are dealt to, and the boxes stream past it: what is held is three images of the
+    page, however many boxes it has.
     """
-    key = ["ws", "page_id"]
-    numbered = position(boxes, key, [F.col("box_id")], "_pos", hot_rows).withColumn("slice", F.floor((F.col("_pos") - 1) / slice_boxes))
-    sizes = boxes.groupBy(*key).agg((F.count("*") > slice_boxes).alias("many"))
-    listed = numbered.groupBy(*key, "slice").agg(F.collect_list(F.struct("box_id", "x1", "y1", "x2", "y2")).alias("boxes")).join(sizes, key)
-    framed = ink_masks(pages).join(listed, key)
-    columns = ["ws", "page_id", "bare", "inside", "total", "covered"]
+    key, corners = ["ws", "page_id"], ["x1", "y1", "x2", "y2"]
+    masks = ink_masks(pages).select(*key, F.lit(0).alias("kind"), "width", "height", "ink")
+    marked = boxes.select(*key, F.lit(1).alias("kind"), "box_id", *[F.col(c).cast("double") for c in corners])
+    in_order = masks.unionByName(marked, allowMissingColumns=True).repartition(*key).sortWithinPartitions(*key, "kind")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, page, boxed = None, None, False
+        issues: list[tuple] = []
+
+        def closed() -> None:
+            if page is not None and boxed:
+                inside, total = page.covered()
+                if total and inside / total < K.MIN_INK_COVERAGE:
+                    issues.append((*at, "ink_uncovered", -1, inside / total))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for p in batch.itertuples(index=False):
-                bare, inside, core = _judge(p.ink, p.width, p.height, p.boxes, margin)
-                rows.append((p.ws, p.page_id, [{"box_id": b, "share": share} for b, share in bare],
-                             int(inside.sum()), int(core.sum()), _words(inside) if p.many else []))
-            yield pd.DataFrame(rows, columns=columns)
-
-    judged = materialize(framed.select(*key, "width", "height", "ink", "boxes", "many").mapInPandas(
-        judge, "ws string, page_id bigint, bare array<struct<box_id:bigint,share:double>>, inside bigint, total bigint, covered array<bigint>"))
-    bare = judged.select(*key, F.explode("bare").alias("_b")).select(*key, F.lit("no_ink").alias("rule"), "_b.box_id", "_b.share")
-    whole = judged.where(F.size("covered") == 0).select(*key, "inside", "total")
-    sliced = judged.where(F.size("covered") > 0)
-    combined = (
-        sliced.select(*key, "total", F.posexplode("covered").alias("word", "_v")).groupBy(*key, "word").agg(F.bit_or("_v").alias("_v"), F.max("total").alias("total"))
-        .groupBy(*key).agg(F.sum(F.bit_count("_v")).cast("bigint").alias("inside"), F.max("total").alias("total")))
-    loose = whole.unionByName(combined).where(F.col("total") > 0).withColumn("share", F.col("inside") / F.col("total")).where(F.col("share") < K.MIN_INK_COVERAGE)
-    return bare.unionByName(loose.select(*key, F.lit("ink_uncovered").alias("rule"), F.lit(-1).cast("bigint").alias("box_id"), "share"))
+            places = list(zip(batch.column("ws").to_pylist(), batch.column("page_id").to_pylist()))
+            kinds, start = batch.column("kind").to_pylist(), 0
+            while start < len(places):
+                if places[start] != at:
+                    closed()
+                    at, page, boxed = places[start], None, False
+                end = start
+                while end < len(places) and places[end] == at and kinds[end] == kinds[start]:
+                    end += 1
+                if kinds[start] == 0:
+                    page = _PageInk(batch.column("ink")[start].as_py(), batch.column("width")[start].as_py(), batch.column("height")[start].as_py(), margin)
+                elif page is not None:
+                    part, boxed = batch.slice(start, end - start), True
+                    shares = page.shares(np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in corners], 1))
+                    ids = part.column("box_id").to_pylist()
+                    issues += [(*at, "no_ink", ids[i], float(shares[i])) for i in np.flatnonzero(shares < K.MIN_INK_FRACTION)]
+                start = end
+            if issues:
+                yield _issue_rows(issues)
+                issues.clear()
+        closed()
+        if issues:
+            yield _issue_rows(issues)
+
+    return in_order.mapInArrow(judge, INK_ISSUE)
+
+
+def _issue_rows(issues: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*issues), types)], [f.split()[0] for f in INK_ISSUE.split(", ")])

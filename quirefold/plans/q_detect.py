@@ -138,12 +138,6 @@ def crowded_matches(s, d):
     return out.select("ws", "threshold", "tp", "n_pred", "n_truth")
 
 
-def crowded_agreement(s, d):
-    """Per page the pairs of two sides of it, greatest overlap first."""
-    truth = table(s, d, "fx_crowd_truth").withColumnRenamed("box_id", "det_id")
-    return E.detection_agreement(truth, table(s, d, "fx_crowd_pred"), ["ws", "page_id"]).select("ws", "page_id", "matched", "n_a", "n_b")
-
-
 def raw_output_parity(s, d):
     two = table(s, d, "embeddings").select(
         "label", F.transform("embedding", lambda x: x.cast("double")).alias("a"),
@@ -293,7 +287,7 @@ def evaluation_row(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    iou, iou_pairs, cxcywh_to_xyxy, check_raw_outputs, topk_flat, postprocess, tile_plan, nms, merge_tiles, crowded_nms, crowded_matches, crowded_agreement, raw_output_parity,
+    iou, iou_pairs, cxcywh_to_xyxy, check_raw_outputs, topk_flat, postprocess, tile_plan, nms, merge_tiles, crowded_nms, crowded_matches, raw_output_parity,
     score_pages, eval_inputs, coco_match, pr_curve, coco_map, class_ap, coco_empty, quality_table, precision_recall,
     best_f1_threshold, detection_agreement, mean_agreement, shadow_pairs, shadow_diff, shadow_agreement, class_ap_delta, evaluation_row)}
 QUERIES["sigmoid"] = sigmoid_scores

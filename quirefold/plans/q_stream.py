@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quirefold import constants as K
 from quirefold.operators import ingest as I
 from quirefold.operators import ledger as L
 from quirefold.plans import q_ingest, q_ledger
 from quirefold.plans.fixtures import oracle, table
 from quirefold.streaming import ingest as SI
 from quirefold.streaming import ledger as SL
+from quirefold.streaming.expiry import expiring_items
 from quirefold.streaming.runner import drain, new_folder
 from quirefold.streaming.store import upserted
 
@@ -50,6 +52,15 @@ def stream_item_state_fold(s, d):
         F.coalesce(F.unix_millis("lease_expires_at"), F.lit(-1)).alias("lease_ms"), F.coalesce("failure_code", F.lit("")).alias("failure_code"))
 
 
+def stream_lease_expiry(s, d):
+    """Items whose heartbeats have stopped by the time of the last event, found by their timers."""
+    events = _replayed(s, table(s, d, "fx_event").withColumn("seen_at", F.col("ts")), "events")
+    out = expiring_items(events).select(
+        "ws", "item_id", "state", "attempts", F.coalesce("fencing_token", F.lit(-1)).alias("fencing_token"), F.coalesce("outcome", F.lit("")).alias("outcome"),
+        F.coalesce("failure_code", F.lit("")).alias("failure_code"))
+    return out.where("outcome <> ''")
+
+
 def stream_lease_extend(s, d):
     return SL.lease_extend(_events(s, d)).select("ws", "item_id", "gen_token", "held", "lost", F.unix_millis("lease_expires_at").alias("lease_ms"))
 
@@ -82,7 +93,7 @@ def stream_fan_out_items(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_state_counts, stream_queue_depth, stream_lease_sweep, stream_fenced_writes, stream_item_state_fold, stream_lease_extend, stream_unique_predictions,
+    stream_state_counts, stream_queue_depth, stream_lease_sweep, stream_fenced_writes, stream_item_state_fold, stream_lease_expiry, stream_lease_extend, stream_unique_predictions,
     stream_micro_batches, stream_register_assets, stream_idempotent_batches, stream_fan_out_items)}
 
 _Q = {
@@ -90,6 +101,10 @@ _Q = {
     "stream_unique_predictions": "SELECT ws, work_item_id, candidate_id, min(id) AS id FROM fx_prediction GROUP BY ALL",
     "stream_micro_batches": q_ledger._Q["micro_batches"],
     "stream_idempotent_batches": "SELECT ws, idempotency_key, arg_min(id, (created_at, id)) AS id FROM fx_batch WHERE idempotency_key IS NOT NULL GROUP BY ALL",
+    "stream_lease_expiry": f"""WITH fold AS ({q_ledger._Q["item_state_fold"]}), clock AS (SELECT max(@ms(ts)) AS now FROM fx_event)
+        SELECT ws, item_id, CASE WHEN attempts < {K.MAX_ATTEMPTS} THEN 'queued' ELSE 'failed' END AS state, attempts, CASE WHEN attempts < {K.MAX_ATTEMPTS} THEN -1 ELSE fencing_token END AS fencing_token,
+          CASE WHEN attempts < {K.MAX_ATTEMPTS} THEN 'requeued' ELSE 'exhausted' END AS outcome, CASE WHEN attempts < {K.MAX_ATTEMPTS} THEN '' ELSE 'max_attempts' END AS failure_code
+        FROM fold, clock WHERE state = 'running' AND lease_ms < now""",
     "stream_state_counts": q_ledger._Q["state_counts"], "stream_queue_depth": q_ledger._Q["queue_depth"], "stream_lease_sweep": q_ledger._Q["lease_sweep"],
     "stream_fenced_writes": q_ledger._Q["fenced_writes"], "stream_item_state_fold": q_ledger._Q["item_state_fold"],
     "stream_register_assets": q_ingest._Q["register_assets"], "stream_fan_out_items": q_ingest._Q["fan_out_items"],

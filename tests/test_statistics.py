@@ -112,19 +112,46 @@ def test_content_hashes_ignore_ids_and_see_order(spark, monkeypatch):
     assert base != h([(1, 29 - r[1], *r[2:]) for r in rows])
 
 
-@pytest.mark.parametrize("slice_boxes", [1024, 2])
-def test_ink_rules(spark, slice_boxes):
+def test_ink_rules(spark):
     img = np.full((40, 50, 3), 255, np.uint8)
     img[10:20, 10:20] = 0
     img[30:34, 30:34] = 0
     pages = spark.createDataFrame([("w", 1, 50, 40, bytearray(img.tobytes()))], "ws string, page_id long, width int, height int, rgb binary")
     boxes = [(1, 10, 10, 15, 20), (2, 15, 10, 20, 20), (3, 0, 0, 8, 8), (4, 29.5, 30, 34, 34), (5, 40, 0, 99, 9)]
     layout = "ws string, page_id long, box_id long, x1 double, y1 double, x2 double, y2 double"
-    run = lambda bs: {(r.rule, r.box_id) for r in D.gt_ink_issues(pages, spark.createDataFrame([("w", 1, b[0], *map(float, b[1:])) for b in bs], layout), margin=5, slice_boxes=slice_boxes, hot_rows=0).collect()}
+    run = lambda bs: {(r.rule, r.box_id) for r in D.gt_ink_issues(pages, spark.createDataFrame([("w", 1, b[0], *map(float, b[1:])) for b in bs], layout), margin=5).collect()}
     assert run(boxes) == {("no_ink", 3)}
     assert run(boxes[:3]) == {("no_ink", 3), ("ink_uncovered", -1)}
 
 
+def test_ink_of_a_page_with_very_many_boxes(spark):
+    """A hundred thousand boxes on one page, beside small pages, against sums over the pixels themselves."""
+    rng = np.random.default_rng(4)
+    sizes = {1: (300, 200), 2: (20, 30), 3: (5, 5), 4: (40, 40)}
+    images = {p: np.where(rng.random((h, w, 1)) < 0.02, 0, 255).astype(np.uint8).repeat(3, 2) for p, (w, h) in sizes.items()}
+    pages = spark.createDataFrame([("w", p, w, h, bytearray(images[p].tobytes())) for p, (w, h) in sizes.items()], "ws string, page_id long, width int, height int, rgb binary")
+    n = 100_000
+    made = spark.range(n).selectExpr("'w' AS ws", "1L AS page_id", "id AS box_id", "CAST(id % 90 AS DOUBLE) AS x1", "CAST(id % 150 + 0.5 AS DOUBLE) AS y1", "CAST(id % 90 + 1 + id % 37 AS DOUBLE) AS x2", "CAST(id % 150 + 1 + id % 41 AS DOUBLE) AS y2")
+    few = spark.createDataFrame([("w", 2, 1, 0.0, 0.0, 20.0, 15.0), ("w", 2, 2, -1.0, 0.0, 20.0, 15.0), ("w", 9, 1, 0.0, 0.0, 1.0, 1.0), ("w", 4, 7, 0.0, 0.0, 99.0, 1.0)], made.schema)
+    got = {(r.page_id, r.rule, r.box_id): r.share for r in D.gt_ink_issues(pages, made.unionByName(few), margin=3).collect()}
+    want = {}
+    ink = {p: i.mean(axis=2) < K.INK_LEVEL for p, i in images.items()}
+    covered = {p: np.zeros_like(i) for p, i in ink.items()}
+    for r in [tuple(x)[1:] for x in made.unionByName(few).collect()]:
+        p, box, x1, y1, x2, y2 = r
+        if p in sizes and 0 <= x1 < x2 <= sizes[p][0] and 0 <= y1 < y2 <= sizes[p][1]:
+            cut = np.s_[int(y1):int(np.ceil(y2)), int(x1):int(np.ceil(x2))]
+            covered[p][cut] = True
+            if (share := ink[p][cut].mean()) < K.MIN_INK_FRACTION:
+                want[p, "no_ink", box] = share
+    for p in (1, 2, 4):
+        inner = np.s_[3:-3, 3:-3]
+        total = ink[p][inner].sum()
+        if total and (share := (ink[p] & covered[p])[inner].sum() / total) < K.MIN_INK_COVERAGE:
+            want[p, "ink_uncovered", -1] = share
+    assert got == pytest.approx(want) and len(want) > 100 and (4, "ink_uncovered", -1) in want
+
+
 def test_missing_dataset_fails(spark):
     t = spark.createDataFrame([("synth-clean",)], "dataset string")
     with pytest.raises(D.MissingDataset):
