@@ -2,68 +2,133 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold import schemas as S
+from quirefold.session import materialize
 
+#: References to one parent that a bit mask has room for, beside the bit of the parent itself.
+MOST_REFERENCES = 62
+
+
+@dataclass
+class _Plan:
+    """What is judged: constraints by number, and the families of keys in which they meet."""
+
+    labels: list[str] = field(default_factory=list)
+    families: dict[str, int] = field(default_factory=dict)
+    slots: dict[str, int] = field(default_factory=dict)
+
+    def label(self, name: str) -> int:
+        self.labels.append(name)
+        return len(self.labels) - 1
+
+    def family(self, name: str) -> int:
+        return self.families.setdefault(name, len(self.families))
+
+    def slot(self, parent: str) -> int:
+        """The bit of one more reference to a parent; bit 0 is the parent row."""
+        self.slots[parent] = self.slots.get(parent, 0) + 1
+        if self.slots[parent] > MOST_REFERENCES:
+            raise ValueError(f"too many references to {parent}")
+        return self.slots[parent]
+
+
+@dataclass(frozen=True)
+class _Entry:
+    """One constraint of one table: which rows take part, and the key they bring to their family."""
+
+    kind: str  # check, unique, reference or owner
+    label: int
+    family: int
+    slot: int
+    when: Column
+    key: tuple[str, ...]
+
+
+def _given(columns) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
+def _entries(name: str, df: DataFrame, tables: dict[str, DataFrame], plan: _Plan) -> list[_Entry]:
+    out = []
+
+    def check(label: str, bad: Column) -> None:
+        out.append(_Entry("check", plan.label(label), plan.family(label), 0, F.coalesce(bad, F.lit(False)), ()))
+
+    def keyed(kind: str, label: str, family: str, columns, slot: int = 0) -> None:
+        out.append(_Entry(kind, -1 if kind == "owner" else plan.label(label), plan.family(family), slot, _given(columns), tuple(columns)))
 
-def _row_checks(name: str, df: DataFrame) -> DataFrame:
-    """CHECK and NOT NULL constraints of one table, in one scan."""
-    counts: dict[str, Column] = {}
     for table, column, test in S.CHECKS:
         if table == name and column in df.columns:
-            counts[f"{name}.{column} check"] = ~F.expr(test.format(c=column))
+            check(f"{name}.{column} check", ~F.expr(test.format(c=column)))
     for column in df.columns:
         if column in S.TABLES[name] and column not in S.NULLABLE.get(name, []):
-            counts[f"{name}.{column} not null"] = F.col(column).isNull()
-    sums = df.agg(*[F.coalesce(F.sum(F.coalesce(bad, F.lit(False)).cast("bigint")), F.lit(0)).alias(f"c{i}") for i, bad in enumerate(counts.values())])
-    rows = F.array(*[F.struct(F.lit(label).alias("constraint"), F.col(f"c{i}").alias("violations")) for i, label in enumerate(counts)])
-    return sums.select(F.explode(rows).alias("_c")).select("_c.*")
-
-
-def _keys(name: str, df: DataFrame, tables: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
-    """``kind, label, key`` of every unique key, reference and own key of a row, in one scan; and the constraints they belong to."""
-    joined = lambda cols: F.concat_ws("\x01", *[F.col(c).cast("string") for c in cols])
-    given = lambda cols: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-    entry = lambda kind, label, cols, prefix="": F.when(given(cols), F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.concat(F.lit(prefix), joined(cols)).alias("key")))
+            check(f"{name}.{column} not null", F.col(column).isNull())
     own = ["ws", "id"] if "ws" in df.columns else ["id"]
-    unique = [k for t, k in S.UNIQUE if t == name and set(k) <= set(df.columns)] + [own]
-    entries = [entry("unique", f"{name}({', '.join(k)}) unique", k) for k in unique]
-    labels = [f"{name}({', '.join(k)}) unique" for k in unique]
+    for key in [k for t, k in S.UNIQUE if t == name and set(k) <= set(df.columns)] + [own]:
+        label = f"{name}({', '.join(key)}) unique"
+        keyed("unique", label, label, key)
     for child, column, parent in S.FOREIGN:
         if child == name and parent in tables and column in df.columns:
-            labels.append(f"{name}.{column} -> {parent}")
-            entries.append(entry("reference", labels[-1], ["ws", column], f"{parent}\x02"))
+            keyed("reference", f"{name}.{column} -> {parent}", f"rows of {parent}", ["ws", column], plan.slot(parent))
     if "ws" in df.columns and "workspace" in tables:
-        labels.append(f"{name}.ws -> workspace")
-        entries.append(entry("reference", labels[-1], ["ws"], "workspace\x02"))
+        keyed("reference", f"{name}.ws -> workspace", "rows of workspace", ["ws"], plan.slot("workspace"))
     if name == "workspace" or any(parent == name for _, _, parent in S.FOREIGN):
-        entries.append(entry("owner", name, own, f"{name}\x02"))
-    return df.select(F.explode(F.array_compact(F.array(*entries))).alias("_e")).select("_e.*"), labels
+        keyed("owner", name, f"rows of {name}", own)
+    return out
+
+
+def _digest(entry: _Entry) -> list[Column]:
+    """128 bits of a key in two numbers; zeros for a check, whose violations meet in one row."""
+    if not entry.key:
+        return [F.lit(0).cast("bigint")] * 2
+    parts = [F.col(c).cast("string") for c in entry.key]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)]
+
+
+def _exploded(df: DataFrame, entries: list[_Entry], value) -> DataFrame:
+    """``family, d1, d2`` and what ``value`` adds, for each entry that a row takes part in."""
+    made = []
+    for e in entries:
+        d1, d2 = _digest(e)
+        made.append(F.when(e.when, F.struct(F.lit(e.family).alias("family"), d1.alias("d1"), d2.alias("d2"), *value(e))))
+    return df.select(F.explode(F.array_compact(F.array(*made))).alias("_e")).select("_e.*")
 
 
 def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Violations per constraint, for the tables given. Zero rows are reported too.
 
-    Each table is scanned twice: for the checks of its rows, and for its keys. Keys of all
-    tables meet in one aggregate; the references to a parent row lie beside that row, so
-    no constraint needs a join of its own.
+    First every table is scanned once. Its violated checks and the digests of its keys, 128
+    bits each whatever the key, meet in one aggregate: per digest, how often it came and
+    which references and parent rows it stands for. Only digests that look violated (a
+    unique key that came twice, a reference without its parent) are looked up again, with
+    their real keys, in the tables they can come from.
     """
     spark = next(iter(tables.values())).sparkSession
-    keyed, labels = zip(*[_keys(name, df, tables) for name, df in tables.items()])
-    counts = reduce(lambda a, b: a.unionByName(b), keyed).groupBy("kind", "label", "key").agg(F.count("*").alias("n"))
-    # unique keys are judged on their own; references are gathered beside the row they name
-    place = F.when(F.col("kind") == "unique", F.col("label")).otherwise(F.col("key"))
-    met = counts.groupBy(place.alias("place")).agg(
-        F.max(F.col("kind") == "owner").alias("owned"),
-        F.sum(F.when((F.col("kind") == "unique") & (F.col("n") > 1), 1)).alias("twice"),
-        F.collect_list(F.when(F.col("kind") == "reference", F.struct(F.col("label").alias("constraint"), F.col("n").alias("violations")))).alias("references"))
-    loose = F.when(~F.col("owned"), F.col("references")).otherwise(F.filter("references", lambda r: F.lit(False)))
-    doubled = F.when(F.col("twice") > 0, F.array(F.struct(F.col("place").alias("constraint"), F.col("twice").alias("violations")))).otherwise(F.filter("references", lambda r: F.lit(False)))
-    found = met.select(F.explode(F.concat(loose, doubled)).alias("_v")).groupBy("_v.constraint").agg(F.sum("_v.violations").alias("violations"))
-    axis = spark.createDataFrame([(label,) for group in labels for label in group], "constraint string")
-    by_key = axis.join(found, "constraint", "left").select("constraint", F.coalesce("violations", F.lit(0).cast("bigint")).alias("violations"))
-    return reduce(lambda a, b: a.unionByName(b), [_row_checks(name, df) for name, df in tables.items()]).unionByName(by_key)
+    plan = _Plan()
+    entries = {name: _entries(name, df, tables, plan) for name, df in tables.items()}
+    union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+    bit = lambda e: [F.lit(1 << e.slot if e.kind in ("reference", "owner") else 0).cast("bigint").alias("mask")]
+    met = union([_exploded(df, entries[name], bit) for name, df in tables.items()]).groupBy("family", "d1", "d2").agg(F.bit_or("mask").alias("mask"), F.count("*").alias("n"))
+    checks = {e.family: e.label for some in entries.values() for e in some if e.kind == "check"}
+    orphaned = (F.col("mask") != 0) & (F.col("mask").bitwiseAND(F.lit(1).cast("bigint")) == 0)
+    odd = materialize(met.where(F.col("family").isin(list(checks)) | orphaned | ((F.col("mask") == 0) & (F.col("n") > 1))))
+
+    seen = {r.family for r in odd.select("family").distinct().collect()}  # as many as there are constraints, at most
+    axis = spark.createDataFrame(list(enumerate(plan.labels)), "label int, constraint string")
+    number = F.create_map(*[F.lit(x) for pair in checks.items() for x in pair])
+    found = odd.where(F.col("family").isin(list(checks))).select(F.element_at(number, F.col("family")).alias("label"), F.col("n").alias("violations"))
+    suspects = odd.where(~F.col("family").isin(list(checks))).select("family", "d1", "d2")
+    real = lambda e: [F.lit(e.label).alias("label"), F.lit(e.kind == "unique").alias("unique"), F.concat_ws("\x01", *[F.col(c).cast("string") for c in e.key]).alias("key")]
+    again = {name: [e for e in some if e.kind in ("unique", "reference") and e.family in seen] for name, some in entries.items()}
+    looked = [_exploded(tables[name], some, real) for name, some in again.items() if some]
+    if looked:
+        keys = union(looked).join(suspects, ["family", "d1", "d2"], "left_semi").groupBy("label", "unique", "key").agg(F.count("*").alias("n"))
+        wrong = F.when(~F.col("unique"), F.col("n")).when(F.col("n") > 1, 1)
+        found = found.unionByName(keys.groupBy("label").agg(F.sum(wrong).alias("violations")))
+    return axis.join(found, "label", "left").select("constraint", F.coalesce("violations", F.lit(0).cast("bigint")).alias("violations"))
