@@ -8,6 +8,7 @@ the workspace, and usually the dataset.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -371,16 +372,18 @@ def evaluation_row(
     pr = precision_recall(clean[0], only(at_threshold), (0.0,), scope, candidates=mine)
     agree = mean_agreement(clean[0], only(at_threshold), at_threshold.where(F.col("candidate") == reference), scope, same_weights, same_path)
 
-    def maps(sides: tuple[DataFrame, DataFrame]) -> DataFrame:
-        truth, pred = sides[0], sides[1].where(F.col("candidate").isin(who))
-        t, p = eval_inputs(truth, frozen(pred) if map_floor is None else pred, categories, map_floor or 0.0, scope)
-        return coco_empty(axis, coco_summary(t, p, pr_curve(t, p, scope), scope, truth), scope)
+    # both test sets are matched and scored in one pass, the set being one more column of the scope
+    sets, wide = {"clean": clean, "shift": shift}, [*scope, "_set"]
+    truth, pred = (reduce(lambda a, b: a.unionByName(b), [sides[i].withColumn("_set", F.lit(name)) for name, sides in sets.items()]) for i in (0, 1))
+    pred = pred.where(F.col("candidate").isin(who))
+    t, p = eval_inputs(truth, frozen(pred) if map_floor is None else pred, categories, map_floor or 0.0, wide)
+    every = axis.select("*", F.explode(F.array(*[F.lit(name) for name in sets])).alias("_set"))
+    scored = materialize(coco_empty(every, coco_summary(t, p, pr_curve(t, p, wide), wide, truth), wide))
 
     out = chosen.select(*scope, F.col("threshold").alias("operating_threshold"), F.round("f1", 5).alias("calib_f1"))
     out = out.join(pr.select(*scope, F.round("precision", 5).alias("precision"), F.round("recall", 5).alias("recall")), list(scope), "left")
-    for name, sides in (("clean", clean), ("shift", shift)):
-        scored = materialize(maps(sides))
+    for name in sets:
         for side, label in ((candidate, "candidate"), (reference, "reference")):
             columns = [F.col(c).alias(f"{name}_{label}{c.removeprefix('map') and '_' + c}") for c in ("map", "map50")]
-            out = out.join(scored.where(F.col("candidate") == side).select(*scope, *columns), list(scope), "left")
+            out = out.join(scored.where((F.col("candidate") == side) & (F.col("_set") == name)).select(*scope, *columns), list(scope), "left")
     return out.join(agree.select(*scope, F.round("agreement", 5).alias("agreement")), list(scope), "left")
