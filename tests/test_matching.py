@@ -219,3 +219,37 @@ def test_one_query_may_give_two_classes(spark):
     out = detect.postprocess(logits, boxes, tiles, {8: "table"}, 3, 17).collect()
     assert sorted(r.label for r in out) == ["class_9", "table"]
     assert {(r.x1, r.y1, r.x2, r.y2) for r in out} == {(400.0, 0.0, 1200.0, 1000.0)}
+
+
+def jobs_of(spark, work):
+    """How many Spark jobs some work starts, and what it gives."""
+    group = f"count-{id(work)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), out
+
+
+def test_jobs_do_not_follow_a_chain_of_ties(spark):
+    """Boxes that each overlap the next one fall alternately; a chain twenty times as long takes no more jobs."""
+    jobs = {}
+    for n in (15, 300):
+        chain = [("c", "w", "d", 1, i, "text", 1.0 - i / 1000, float(3 * i), 0.0, float(3 * i + 10), 10.0) for i in range(n)]
+        df = spark.createDataFrame(chain, PRED)
+        jobs[n], kept = jobs_of(spark, lambda: {r.det_id for r in detect.merge_tiles(df, class_col="label", max_iou=0.5, limit=0).collect()})
+        assert kept == set(range(0, n, 2))
+    assert jobs[300] <= jobs[15] + 6, jobs  # the old rounds took three jobs for every second box
+
+
+def test_thousands_of_equal_boxes(spark):
+    """Equal boxes are one vertex: all of the smaller side are matched, in order, without their pairs."""
+    box = (10.0, 10.0, 30.0, 30.0)
+    truth = spark.range(3000).selectExpr("'w' AS ws", "'d' AS dataset", "1L AS page_id", "id AS box_id", "'text' AS label", *[f"{v} AS {c}" for v, c in zip(map("CAST({} AS DOUBLE)".format, box), ("x1", "y1", "x2", "y2"))])
+    pred = truth.where("box_id < 2000").selectExpr("'c' AS candidate", "ws", "dataset", "page_id", "box_id AS det_id", "label", "CAST(0.5 AS DOUBLE) AS score", "x1", "y1", "x2", "y2")
+    r = E.precision_recall(truth, pred).first()
+    assert (r.tp, r.n_pred, r.n_truth) == (2000, 2000, 3000)
+    m = E.coco_match(truth, pred, limit=64).where("thr = 9").select("det_id", "box_id").collect()
+    # detections in order, each the latest free truth
+    assert {x.det_id: x.box_id for x in m} == {i: 2999 - i for i in range(2000)}
