@@ -179,8 +179,111 @@ def test_batches_do_not_change_prints(monkeypatch):
     assert (fingerprint.prints(texts) == want).all()
 
 
-def test_similar_to_first(spark):
-    prints = fingerprint.fingerprint_with_next(cases.documents(spark)).select("doc_id", "fingerprint")
-    links = {r.doc_id: r.first_id for r in fingerprint.similar_to_first(prints.where("doc_id between 0 and 59")).collect()}
-    assert all(links[i] == 40 for i in range(44, 60, 4)) and len(set(links) & set(range(41, 60))) >= 16
-    assert not set(links) & set(range(40))
+def plain_print(text):
+    """The walks of one text, a character at a time."""
+    move, vote = fingerprint._tables()
+    classes = [(ord(c) + (ord(c) >> 8) * 37) % 255 + 1 for c in text]
+    short = 0 < len(classes) < fingerprint.SHORT
+    sums = [0] * fingerprint.BITS
+    for r in range(-(-fingerprint.SHORT // len(classes)) if short else 1):
+        for stretch, at in enumerate(range(0, len(classes), fingerprint.STRETCH)):
+            piece, here, step = classes[at : at + fingerprint.STRETCH], 0, 0
+            while here < len(piece):
+                seen = fingerprint._turns()[r][piece[here]]
+                sums[(step + 53 * (stretch + r)) % fingerprint.BITS] += int(vote[step % fingerprint.PERIOD][seen])
+                here += int(move[step % fingerprint.PERIOD][seen])
+                step += 1
+    return np.packbits(np.array(sums) > 0)
+
+
+def test_prints_are_those_of_a_plain_walk():
+    texts = ["", "a", "abab", "é\U0001f600 x", cases.text(3, 40), cases.text(4, 900), cases.text(5, 3000)]
+    got = fingerprint.prints(texts)
+    assert all((g == plain_print(t)).all() for g, t in zip(got, texts))
+
+
+def test_short_texts_are_not_alike_for_being_short():
+    texts = [cases.text(i, 3) for i in range(60)] + ["a", "b", "ab", "abab", "7"]
+    prints = fingerprint.prints(texts)
+    pairs = [(i, j) for i, j in combinations(range(len(texts)), 2) if texts[i] != texts[j]]
+    near = fingerprint.likeness(prints[[i for i, _ in pairs]], prints[[j for _, j in pairs]])
+    assert (near >= fingerprint.SIMILAR).mean() < 0.01
+
+
+def families(seed, groups, size, flips, alone):
+    """Prints of groups of copies that differ from their first one in up to ``flips`` bits, and unrelated ones."""
+    r = np.random.default_rng(seed)
+    first = r.integers(0, 2, (groups, 1, fingerprint.BITS), np.uint8)
+    bits = np.repeat(first, size, axis=1)
+    for g in range(groups):
+        for k in range(1, size):
+            at = r.choice(fingerprint.BITS, r.integers(1, flips + 1), replace=False)
+            bits[g, k, at] ^= 1
+    bits = np.concatenate([bits.reshape(-1, fingerprint.BITS), r.integers(0, 2, (alone, fingerprint.BITS), np.uint8)])
+    return np.packbits(bits[r.permutation(len(bits))], axis=1)
+
+
+def brute_pairs(prints):
+    words, out = np.ascontiguousarray(prints).view("<u8"), []
+    for at in range(0, len(words), 200):
+        differ = np.bitwise_count(words[at : at + 200, None] ^ words[None]).sum(axis=2, dtype=np.int64)
+        x, y = np.nonzero(np.cos(np.pi * differ / fingerprint.BITS) >= fingerprint.SIMILAR)
+        out.append(np.stack([x + at, y], axis=1)[x + at < y])
+    return np.concatenate(out)
+
+
+def brute_components(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs.tolist():
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+def searched(spark, prints):
+    table = spark.createDataFrame([(i, p.tobytes().hex()) for i, p in enumerate(prints)], "doc_id bigint, fingerprint string").repartition(6)
+    found = fingerprint.near_copies(table).collect()
+    assert len(found) == len({p.tobytes() for p in prints})
+    by = {r.fingerprint: r.component_id for r in found}
+    return [by[p.tobytes().hex()] for p in prints]
+
+
+def test_recall_of_near_copies_among_20_000_prints(spark):
+    prints = families(1, 1500, 2, 52, 17_000)
+    pairs = brute_pairs(prints)
+    got = searched(spark, prints)
+    assert len(pairs) >= 1500
+    assert np.mean([got[a] == got[b] for a, b in pairs.tolist()]) >= 0.95
+    want = brute_components(len(prints), pairs)
+    assert all(want[i] == want[g] for i, g in enumerate(got))  # nothing is joined that has no chain of near pairs
+
+
+def test_crowded_cells_lose_no_pair_between_blocks(spark, monkeypatch):
+    prints = np.concatenate([families(2, 3, 400, 20, 0), families(3, 150, 4, 20, 300)])
+    want = brute_components(len(prints), brute_pairs(prints))
+    monkeypatch.setattr(fingerprint, "BLOCK", 40)
+    assert searched(spark, prints) == want
+
+
+def test_a_cell_full_of_copies_stays_linear(monkeypatch):
+    compared = []
+    plain = fingerprint._differ
+    monkeypatch.setattr(fingerprint, "_differ", lambda a, b: compared.append(len(a) * len(b)) or plain(a, b))
+    prints = np.ascontiguousarray(families(4, 1, 8_000, 12, 500)).view("<u8")
+    x, _ = fingerprint.united(prints, np.arange(len(prints)))
+    assert len(x) == 7_999 and sum(compared) < 8_500**2 / 8
+
+
+def test_components_of_fingerprinted_documents(spark):
+    rows = fingerprint.fingerprints(cases.documents(spark)).collect()
+    assert len(rows) == len(cases.rows())
+    by = {r.doc_id: r.component_id for r in rows}
+    assert by[None] is None and {by[i] for i in range(40, 60, 4)} == {40} and sum(by[i] == 40 for i in range(40, 60)) >= 16
+    assert all(by[i] == i for i in range(40) if i not in (1, 3, 7, 8)) and by[60] == by[61] == 60
+    assert fingerprint.fingerprints(cases.empty(spark)).count() == 0
