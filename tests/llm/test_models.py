@@ -34,6 +34,39 @@ def test_quality_of_odd_rows(spark):
     assert {r.p for r in quality.score(docs.select("text"), untrained, "p").collect()} == {0.5}
 
 
+def plain_slots(text: bytes) -> list[int]:
+    """Features of one text, a word at a time, in whole numbers."""
+    full, mix = (1 << 64) - 1, int(quality._MIX)
+
+    def slot(value, salt):
+        mixed = ((value + salt) & full) * mix & full
+        mixed ^= mixed >> 29
+        return (mixed * mix & full) >> (64 - quality.BITS)
+
+    out, before = [], (1, 1)
+    for word in text.split():
+        both = quality._two_hashes(word)
+        own, shape = both >> 32, both & 0xFFFFFFFF
+        repeat = 1 << 40 if own == before[0] else 0
+        out += [slot(own, 11), slot(shape, 22), slot((own * 31 + before[0]) & full, 33), slot((shape * 31 + before[1] + repeat) & full, 44)]
+        before = (own, shape)
+    return out
+
+
+def test_quality_scores_are_those_of_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK", 2000)
+    weights = np.random.default_rng(3).normal(0, 20, (1 << quality.BITS) + 1).astype(np.float32)
+    docs = cases.documents(spark).where("doc_id is not null")
+    got = sorted((r.doc_id, r.text or "", r.p) for r in quality.score(docs, weights, "p").collect())
+    want = []
+    for doc_id, text in ((r[0], r[1] or "") for r in cases.rows() if r[0] is not None):
+        slots = plain_slots(text.encode())
+        logit = float(weights[-1]) + (sum(float(weights[s]) for s in slots) / (len(slots) // 4) if slots else 0.0)
+        want.append((doc_id, text, 1 / (1 + np.exp(-logit))))
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=1e-5)
+
+
 def test_ftrl_separates():
     rows = [(np.array([i % 2], "<u4").tobytes(), np.array([1.0], "<f4").tobytes(), 1, i % 2) for i in range(200)]
     w = quality.fit(rows)
@@ -61,6 +94,39 @@ def test_gradients_are_those_of_the_loss():
         assert (up - down) / (2 * eps) == pytest.approx(g[at], rel=2e-2, abs=1e-5)
 
 
+def plain_probabilities(network, word: bytes) -> np.ndarray:
+    """Both passes over one word, a number at a time."""
+    h, w, codes = langid.HIDDEN, network.w, [256, *word, 256]
+    states = {}
+    for d in "fb":
+        state, out = [0.0] * h, {}
+        for t in range(len(codes)) if d == "f" else reversed(range(len(codes))):
+            x = [float(w[f"in_{d}"][codes[t], k] + w[f"bias_{d}"][k]) for k in range(3 * h)]
+            rec = w[f"rec_{d}"].astype(float)
+            gate = [1 / (1 + np.exp(-(x[k] + sum(state[i] * rec[i, k] for i in range(h))))) for k in range(2 * h)]
+            z, r = gate[:h], gate[h:]
+            new = [np.tanh(x[2 * h + k] + sum(r[i] * state[i] * rec[i, 2 * h + k] for i in range(h))) for k in range(h)]
+            state = [z[k] * state[k] + (1 - z[k]) * new[k] for k in range(h)]
+            out[t] = state
+        states[d] = out
+    rows = []
+    for t in range(1, len(codes) - 1):
+        both = states["f"][t] + states["b"][t]
+        logits = np.array([sum(both[i] * float(w["out"][i, k]) for i in range(2 * h)) + float(w["out_bias"][k]) for k in range(len(network.languages))])
+        e = np.exp(logits - logits.max())
+        rows.append(e / e.sum())
+    return np.array(rows)
+
+
+def test_forward_pass_is_that_of_a_plain_loop():
+    network = langid.Network(["a", "b", "c"], seed=2)
+    words = [b"x", b"river", "größe".encode(), b"internationalisation"]
+    codes, real = network.batch(words)
+    got = network.probabilities(codes)
+    for i, word in enumerate(words):
+        assert np.allclose(got[real[:, i], i], plain_probabilities(network, word), atol=1e-4)
+
+
 def test_language_on_held_out_documents(spark):
     got = {r.doc_id: r for r in langid.op6_langid(spark, SF).collect()}
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
