@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold import constants as K
+from quirefold.functions.geometry import has_area
 from quirefold.operators.matching import FOLD_BOXES, overlapping_pairs
 from quirefold.operators.ordering import HOT_ROWS, position
 
@@ -118,7 +119,12 @@ def provenance_parts(text: Column) -> Column:
 def gt_box_issues(
     boxes: DataFrame, pages: DataFrame, names: Sequence[str] = K.CLASS_NAMES, max_iou: float = K.MAX_SAME_CLASS_IOU, limit: int = FOLD_BOXES,
 ) -> DataFrame:
-    """(ws, page_id, rule, box_id): empty pages, boxes out of bounds, wrong class ids, same-class overlaps."""
+    """(ws, page_id, rule, box_id, n): empty pages, boxes out of bounds, wrong class ids, same-class overlaps.
+
+    Equal boxes of a page and class are one box here, with a count; an overlap is reported
+    once for each pair of such boxes, under the smallest id, and ``n`` says how many pairs of
+    boxes it stands for. A page full of equal boxes gives one row. Box ids are unique on a page.
+    """
     key = ["ws", "page_id"]
     empty = pages.join(boxes.select(*key).distinct(), key, "left_anti").select(*key, F.lit("empty").alias("rule"), F.lit(-1).cast("bigint").alias("box_id"))
     framed = boxes.join(pages.select(*key, "width", "height"), key)
@@ -127,15 +133,22 @@ def gt_box_issues(
     rules = F.array_compact(F.array(
         F.when(~inside, "out_of_bounds"), F.when(~F.coalesce(F.try_element_at(ids, F.col("label")) == F.col("class_id"), F.lit(False)), "class_mismatch")))
     single = framed.select(*key, F.explode(rules).alias("rule"), "box_id")
-    side = boxes.select(*key, "label", "box_id", "x1", "y1", "x2", "y2")
-    calm, warm = overlapping_pairs(side, side, [*key, "label"], max_iou, strict=True, where=F.col("l_box_id") < F.col("r_box_id"), limit=limit)
+    place = [*key, "label", "x1", "y1", "x2", "y2"]
+    sets = boxes.groupBy(*place).agg(F.min("box_id").alias("box_id"), F.count("*").alias("n"))
+    calm, warm = overlapping_pairs(sets, sets, [*key, "label"], max_iou, strict=True, where=F.col("l_box_id") < F.col("r_box_id"), limit=limit)
     pairs = calm if warm is None else calm.unionByName(warm)
-    return empty.unionByName(single).unionByName(pairs.select(*key, F.lit("same_class_overlap").alias("rule"), F.col("l_box_id").alias("box_id")))
+    overlap = lambda df, box, n: df.select(*key, F.lit("same_class_overlap").alias("rule"), box.alias("box_id"), n.alias("n"))
+    apart = overlap(pairs, F.col("l_box_id"), F.col("l_n") * F.col("r_n"))
+    # boxes with an area overlap their equals fully
+    equal = sets.where(has_area() & (F.col("n") > 1) & (F.lit(max_iou) < 1))
+    alike = overlap(equal, F.col("box_id"), (F.col("n") * (F.col("n") - 1) / 2).cast("bigint"))
+    one = F.lit(1).cast("bigint").alias("n")
+    return empty.unionByName(single).select("*", one).unionByName(apart).unionByName(alike)
 
 
 def gt_report(boxes: DataFrame, pages: DataFrame, issues: DataFrame) -> DataFrame:
     """Per workspace: pages, boxes, ok, and errors per rule as a map."""
-    rules = issues.groupBy("ws", "rule").agg(F.count("*").alias("n")).groupBy("ws").agg(
+    rules = issues.groupBy("ws", "rule").agg(F.sum("n").alias("n")).groupBy("ws").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule", "n")))).alias("errors"), F.sum("n").alias("n_errors"))
     p = pages.groupBy("ws").agg(F.count("*").alias("pages"))
     b = boxes.groupBy("ws").agg(F.count("*").alias("boxes"))

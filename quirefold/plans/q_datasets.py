@@ -115,7 +115,7 @@ def require_dataset(s, d):
 
 
 def gt_box_issues(s, d):
-    return D.gt_box_issues(_misnamed(s, d), table(s, d, "fx_canvas")).groupBy("ws", "page_id", "rule").agg(F.count("*").alias("n"))
+    return D.gt_box_issues(_misnamed(s, d), table(s, d, "fx_canvas")).groupBy("ws", "page_id", "rule").agg(F.sum("n").alias("n"))
 
 
 def _misnamed(s, d):

@@ -201,6 +201,28 @@ def test_same_class_overlaps(spark, limit):
     assert {r["rule"]: r["count"] for r in got} == {"empty": 1, "same_class_overlap": pairs, "out_of_bounds": outside}
 
 
+@pytest.mark.parametrize("limit", LIMITS)
+def test_equal_boxes_of_a_page_are_counted_without_listing_their_pairs(spark, limit):
+    truth, _ = scene(29, pages=2, boxes=12)
+    many = [(*truth[0][:3], 10_000 + i, "text", *at) for i, at in enumerate([(5.0, 5.0, 40.0, 40.0)] * 3000 + [(6.0, 5.0, 40.0, 40.0)] * 200 + [(7.0, 7.0, 7.0, 9.0)] * 50)]
+    truth = truth + many
+    boxes = spark.createDataFrame(truth, TRUTH).withColumn("class_id", F.when(F.col("label") == "text", 9).otherwise(8))
+    pages = boxes.select("ws", "page_id").distinct().selectExpr("*", "100 AS width", "90 AS height")
+    got = datasets.gt_box_issues(boxes, pages, limit=limit).where("rule = 'same_class_overlap'").groupBy("page_id").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
+    want, places = {}, {}
+    for t in truth:
+        places.setdefault((t[2], t[4], t[5:]), []).append(t[3])
+    found = list(places.items())
+    for i, ((page, label, a), ids) in enumerate(found):
+        if iou(a, a) > 0.3:
+            want[page] = want.get(page, 0) + len(ids) * (len(ids) - 1) // 2
+        for (other, kind, b), more in found[i + 1 :]:
+            if (page, label) == (other, kind) and iou(a, b) > 0.3:
+                want[page] += len(ids) * len(more)
+    assert {r.page_id: r.n for r in got} == {p: n for p, n in want.items() if n}
+    assert sum(r.rows for r in got) < 200
+
+
 def test_tile_boundaries(spark):
     sizes = [(1651, 1275), (2200, 1700), (2420, 1870), (400, 4000)]
     pages = spark.createDataFrame([(i, *s) for i, s in enumerate(sizes)], "id int, width_px int, height_px int")
